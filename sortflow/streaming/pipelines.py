@@ -1,0 +1,117 @@
+"""Structured Streaming: files arrive, are classified, moved and counted."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from sortflow.functions.paths import base_name, visible_name
+from sortflow.functions.vocabulary import EXTRACT_CHARS, REJECT_THRESHOLD
+from sortflow.operators.classify import classify_in_place
+from sortflow.operators.destinations import plan_destinations
+from sortflow.operators.movelog import append_moves, live, read_log
+from sortflow.sources.files import BINARY_FILE_SCHEMA, file_text
+
+
+def watch_folder(
+    spark: SparkSession, folder: str, max_files: int = 1000, max_chars: int = EXTRACT_CHARS
+) -> DataFrame:
+    """New visible files of one folder, not of its sub-folders, as (filepath, content, modified).
+
+    Files that are moved in count as new. Besides the hidden names of
+    :func:`visible_name`, the file source itself passes over names starting with ``_``.
+    """
+    files = (
+        spark.readStream.schema(BINARY_FILE_SCHEMA)
+        .format("binaryFile")
+        .option("maxFilesPerTrigger", max_files)
+        .load(folder)
+    )
+    name = base_name(F.col("path"))
+    return files.where(visible_name(name)).select(
+        F.col("path").alias("filepath"),
+        file_text(name, F.col("content"), max_chars).alias("content"),
+        F.col("modificationTime").alias("modified"),
+    )
+
+
+def watch_table(spark: SparkSession, folder: str, schema: T.StructType, file_glob: str) -> DataFrame:
+    """A parquet table as a stream of its files."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
+
+
+def classify_stream(
+    files: DataFrame,
+    category: Column,
+    confidence: Column,
+    threshold: float = REJECT_THRESHOLD,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Prediction records of a stream of (filepath, content); stateless, so any output mode fits."""
+    return classify_in_place(files.where(visible_name(F.col("filepath"))), category, confidence, threshold, keep)
+
+
+def append_sink(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Append a stateless stream to a parquet table; the sink's own log makes it exactly-once."""
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start(path)
+
+
+def move_batch(log_path: str, out_root: str, threshold: float = REJECT_THRESHOLD) -> Callable[[DataFrame, int], None]:
+    """Sink of prediction records with a unique integer ``seq``: plan and log the moves of a batch.
+
+    A batch that is replayed overwrites its own part of the log, and plans
+    against the log without it, so a restart moves nothing twice.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        sure = batch.where(F.col("confidence") >= threshold).withColumn("name", base_name(F.col("filepath")))
+        log = read_log(spark, log_path).where(F.col("batch") != str(batch_id))
+        taken = live(log).select("category", base_name(F.col("dst")).alias("name"))
+        planned = plan_destinations(
+            sure.select("seq", "category", "name", F.col("filepath").alias("src"), "confidence"), out_root, taken
+        )
+        append_moves(log_path, planned.withColumnRenamed("destination", "dst"), "seq", str(batch_id))
+
+    return write
+
+
+def auto_move(
+    records: DataFrame, log_path: str, out_root: str, checkpoint: str, threshold: float = REJECT_THRESHOLD
+) -> StreamingQuery:
+    """Route a stream of records into the move log."""
+    return (
+        records.writeStream.foreachBatch(move_batch(log_path, out_root, threshold))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def live_counts(moves: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Running count per category. State is one row per category; each trigger replaces the whole small table."""
+
+    def replace(counts: DataFrame, batch_id: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return (
+        moves.groupBy("category")
+        .agg(F.count("*").alias("count"))
+        .writeStream.outputMode("complete")
+        .foreachBatch(replace)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of the newest trigger."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version")).scalar()
+    return versions.where(F.col("version") == newest).select("category", "count")
