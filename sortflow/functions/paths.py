@@ -72,11 +72,15 @@ def visible_name(path: Column) -> Column:
     return (name != "") & ~name.startswith(".") & ~name.startswith("~")
 
 
+def bounded_name(name: Column) -> Column:
+    return F.substring(strip(F.coalesce(name, F.lit(""))), 1, MAX_NAME_CHARS)
+
+
 def ensure_filename(name: Column, label: Column, row_index: Column) -> Column:
     """The bounded name, or a made-up one from label and row index if it is blank."""
-    cleaned = strip(F.coalesce(name, F.lit("")))
+    bounded = bounded_name(name)
     suffix = F.lit(DEFAULT_FALLBACK_SUFFIX)
     for fixed_label, fixed_suffix in FALLBACK_SUFFIXES.items():
         suffix = F.when(label == fixed_label, fixed_suffix).otherwise(suffix)
     made_up = F.concat(F.lower(label), F.lit("_sample_"), row_index.cast("string"), F.lit("."), suffix)
-    return F.when(cleaned != "", F.substring(cleaned, 1, MAX_NAME_CHARS)).otherwise(made_up)
+    return F.when(bounded != "", bounded).otherwise(made_up)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sortflow.functions.paths import ensure_filename
+from sortflow.functions.paths import bounded_name, ensure_filename
 from sortflow.functions.text import collect_present, first_present, normalize_text, normalize_value
 from sortflow.functions.vocabulary import (
     CATEGORIES,
@@ -101,19 +101,42 @@ def source_rows(
     if spec.filename_from_content_prefix:
         prefix = F.substring(first_present(df, spec.content_columns), 1, NAME_PREFIX_CHARS)
         name = F.when(name == "", prefix).otherwise(name)
-    rows = rows.select(
-        ROW_ORDER,
-        name.alias("filename"),
-        collect_present(df, spec.content_columns).alias("content"),
-        F.lit(spec.label).alias("label"),
+    rows = name_rows(
+        rows.select(
+            ROW_ORDER,
+            name.alias("filename"),
+            collect_present(df, spec.content_columns).alias("content"),
+            F.lit(spec.label).alias("label"),
+        ),
+        chunk,
+        spec,
     )
-    # Positions count all rows read, so they are taken before the length filter.
-    rows = dense_index(rows, [], [ROW_ORDER], chunk, ROW_INDEX)
-    rows = rows.withColumn("filename", ensure_filename(F.col("filename"), F.col("label"), F.col(ROW_INDEX)))
-    rows = min_content(rows, spec.min_content_length)
     if max_chars is not None:
         rows = rows.withColumn("content", F.substring("content", 1, max_chars))
-    return dedup_keyed(rows, [], ROW_INDEX)
+    return dedup_keyed(rows, [], ROW_ORDER)
+
+
+def name_rows(rows: DataFrame, chunk: Column, spec: SourceSpec) -> DataFrame:
+    """Drop short rows and make up the missing file names.
+
+    A made-up name holds the row's position among all rows read, short ones
+    included. Positions are worked out on the order column alone and joined to
+    the nameless rows, so rows that have a name are not moved for it. A source
+    that names rows after their content has no nameless row left to keep.
+    """
+    filename = F.col("filename")
+    long_enough = min_content(rows, spec.min_content_length)
+    named = long_enough.where(filename != "").withColumn("filename", bounded_name(filename))
+    if spec.filename_from_content_prefix and spec.min_content_length > 0:
+        return named
+    positions = dense_index(
+        rows.select(ROW_ORDER, (filename == "").alias("__nameless")), [], [ROW_ORDER], chunk, ROW_INDEX
+    )
+    nameless = long_enough.where(filename == "").join(
+        positions.where("__nameless").select(ROW_ORDER, ROW_INDEX), ROW_ORDER
+    )
+    made_up = nameless.withColumn("filename", ensure_filename(filename, F.col("label"), F.col(ROW_INDEX)))
+    return named.unionByName(made_up.drop(ROW_INDEX))
 
 
 def min_content(df: DataFrame, length: int, column: str = "content") -> DataFrame:
@@ -188,7 +211,9 @@ def load_sources(
 
 def union_sources(loads: list[SourceLoad]) -> DataFrame:
     frames = [
-        load.rows.select(F.lit(load.name).alias("source"), *CORPUS_COLUMNS, ROW_INDEX)
+        load.rows.select(
+            F.lit(load.name).alias("source"), *CORPUS_COLUMNS, F.col(ROW_ORDER).cast("string").alias("source_row")
+        )
         for load in loads
         if load.rows is not None
     ]
@@ -225,7 +250,7 @@ def build_corpus(
 ) -> DataFrame:
     """Sources, synthetic rows and label caps in one frame of corpus rows."""
     rows = union_sources(load_sources(spark, manifest, readers, max_chars, seed)).select(
-        F.concat_ws("\x1f", "source", F.col(ROW_INDEX).cast("string")).alias("row_key"), *CORPUS_COLUMNS
+        F.concat_ws("\x1f", "source", "source_row").alias("row_key"), *CORPUS_COLUMNS
     )
     made = synthetic_corpus(spark, manifest.synthetic_counts, seed)
     if made is not None:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortflow.functions.paths import extension, stem
+from sortflow.plans.workspace import materialise
 from sortflow.plans.scan import CHUNK_ROWS, Running, dense_index, id_chunk, running
 
 _COUNTER = r"(?s)^(.+)_([1-9][0-9]*)\z"
@@ -35,103 +36,141 @@ def numbered_name(name: Column, slot: Column) -> Column:
     return F.when(slot == 0, name).otherwise(numbered)
 
 
-def _touching_names(files: DataFrame, existing: DataFrame) -> DataFrame:
-    """One row per name that is slot ``slot`` of ``parent``, both in use, and per incoming name that exists."""
-    incoming = files.groupBy("category", "name").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
-    on_disk = existing.select("category", "name").distinct().withColumn("exists", F.lit(True))
-    names = incoming.join(on_disk, ["category", "name"], "full").select(
-        "category", "name", "first", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("exists", F.lit(False)).alias("exists")
-    )
+def _slots_in_use(incoming: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """(category, parent, slot, name, first, exists): names in use that are a slot of an incoming name.
+
+    ``first`` is when a name first comes in, null for one that is on disk only.
+    """
+    names = incoming.join(on_disk, ["category", "name"], "full")
     counter = F.regexp_extract(stem(F.col("name")), _COUNTER, 2)
+    base = F.regexp_extract(stem(F.col("name")), _COUNTER, 1)
     children = names.where(counter != "").select(
         "category",
         "name",
         "first",
-        "exists",
-        F.concat(F.regexp_extract(stem(F.col("name")), _COUNTER, 1), _suffix(F.col("name"))).alias("parent"),
+        F.coalesce("exists", F.lit(False)).alias("exists"),
+        F.concat(base, _suffix(F.col("name"))).alias("parent"),
         counter.try_cast("bigint").alias("slot"),
-    ).where("slot is not null")
-    parents = incoming.select("category", F.col("name").alias("parent"))
-    edges = children.join(parents, ["category", "parent"])
-    return edges.unionByName(
-        names.where("exists and n > 0").select("category", "name", "exists"), allowMissingColumns=True
     )
+    parents = incoming.select("category", F.col("name").alias("parent"), F.col("n").alias("parent_n"))
+    return children.where("slot is not null").join(parents, ["category", "parent"])
+
+
+def _touching(slots: DataFrame) -> DataFrame:
+    """What one family has to be solved over: runs of slots on disk, and claims within reach.
+
+    Neighbouring slots on disk are always passed together, so a run of them is
+    one row, however long. A claim matters only if its parent could get there:
+    it passes at most the slots in use below, and has one slot per file.
+    """
+    placed = dense_index(slots, ["category", "parent"], ["slot"], F.floor(F.col("slot") / CHUNK_ROWS), "__below")
+    on_disk = placed.where("exists")
+    indexed = dense_index(
+        on_disk, ["category", "parent"], ["slot"], F.floor(F.col("slot") / CHUNK_ROWS), "__place"
+    )
+    runs = indexed.groupBy("category", "parent", (F.col("slot") - F.col("__place")).alias("__run")).agg(
+        F.min("slot").alias("slot"), F.count("*").alias("length")
+    )
+    claims = placed.where("not exists and slot - 1 - __below < parent_n").select(
+        "category", "parent", "slot", "name", "first", F.lit(1).cast("bigint").alias("length")
+    )
+    return runs.drop("__run").unionByName(claims, allowMissingColumns=True)
 
 
 def _solve(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk the touching names of one family, parents first, and list pre-taken names and skips."""
+    """Walk the touching slots of one family, parents first: which names are pre-taken, which slots are passed."""
     rows = pd.concat(list(groups), ignore_index=True)
     category, family = rows["category"].iat[0], rows["family"].iat[0]
-    taken = set(rows.loc[rows["exists"], "name"])
-    skips: list[tuple[str, int]] = []
-    edges = rows.dropna(subset=["parent"])
-    for parent in sorted(edges["parent"].unique(), key=len):
+    taken = set(rows.loc[rows["slot"] == 0, "name"])
+    passed = [(name, -1, 1) for name in taken]
+    slots = rows[rows["slot"] > 0].sort_values("slot")
+    by_parent = {parent: part for parent, part in slots.groupby("parent")}
+    for parent in sorted(by_parent, key=len):
         offset, skipped = int(parent in taken), 0
-        for edge in edges[edges["parent"] == parent].sort_values("slot").itertuples():
-            position = int(edge.slot) - offset - skipped
-            if position < int(edge.before):
-                taken.add(edge.name)
+        for row in by_parent[parent].itertuples():
+            position = int(row.slot) - offset - skipped
+            if position < int(row.before):
+                taken.add(row.name)
+                passed.append((row.name, -1, 1))
             else:
-                skips.append((parent, position))
-                skipped += 1
-    out = [(category, family, name, -1) for name in taken] + [(category, family, *s) for s in skips]
-    yield pd.DataFrame(out, columns=["category", "family", "name", "position"])
+                passed.append((parent, position, int(row.length)))
+                skipped += int(row.length)
+    out = [(category, family, *p) for p in passed]
+    yield pd.DataFrame(out, columns=["category", "family", "name", "position", "passed"])
 
 
 def _family(name: Column) -> Column:
     return F.concat(F.regexp_replace(stem(name), _COUNTERS, ""), _suffix(name))
 
 
+def _with_destination(df: DataFrame, slot: Column, out_root: str) -> DataFrame:
+    name = numbered_name(F.col("name"), slot)
+    return df.withColumn("destination", F.concat_ws("/", F.lit(out_root), F.col("category"), name))
+
+
 def plan_destinations(files: DataFrame, out_root: str, existing: DataFrame | None = None) -> DataFrame:
     """Add ``destination`` to (seq, category, name, ...). ``seq`` is a unique integer: the order of arrival.
 
     ``existing`` has (category, name) of files already in place. Names that end
     in a dot are numbered by the same rule, but are not seen as slots of one another.
     """
-    spark = files.sparkSession
     if existing is None:
-        existing = spark.createDataFrame([], "category string, name string")
+        existing = files.sparkSession.createDataFrame([], "category string, name string")
     keys = ["category", "name"]
-    touching = _touching_names(files.select("seq", *keys), existing)
+    incoming = files.groupBy(*keys).agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+    on_disk = existing.select(*keys).distinct().withColumn("exists", F.lit(True))
+    own = incoming.join(on_disk, keys, "left_semi").select(*keys, F.lit(0).cast("bigint").alias("slot"))
+    touching = _touching(_slots_in_use(incoming, on_disk)).unionByName(own, allowMissingColumns=True)
+    touching = materialise(touching, "touching-names")
+    if touching.isEmpty():
+        placed = dense_index(files, keys, ["seq"], id_chunk("seq"), "__position")
+        return _with_destination(placed, F.col("__position"), out_root).select(*files.columns, "destination")
 
     # Positions of the files, and of the first claims on their slots, among the files of a name.
-    arrivals = files.withColumn("__arrival", F.lit(1))
-    claims = touching.where("parent is not null and not exists").select(
-        "category", F.col("parent").alias("name"), F.col("first").alias("seq"), F.lit(0).alias("__arrival"), F.col("name").alias("__claim")
+    claims = touching.where("first is not null").select(
+        "category",
+        F.col("parent").alias("name"),
+        F.col("first").alias("seq"),
+        F.lit(0).alias("__arrival"),
+        F.col("name").alias("__claim"),
+        F.col("slot").alias("__slot"),
     )
     placed = running(
-        arrivals.unionByName(claims, allowMissingColumns=True),
+        files.withColumn("__arrival", F.lit(1)).unionByName(claims, allowMissingColumns=True),
         keys,
         ["seq"],
         id_chunk("seq"),
         Running("__position", "sum", F.col("__arrival").cast("bigint"), inclusive=False),
     )
-    ranks = placed.where("__arrival = 0").select("category", F.col("__claim").alias("name"), F.col("__position").alias("before"))
-    to_solve = touching.join(ranks, keys, "left").select(
-        "category", _family(F.col("name")).alias("family"), "name", "parent", "slot",
-        F.when(F.col("exists"), 0).otherwise(F.coalesce("before", F.lit(0))).cast("bigint").alias("before"), "exists",
+    ranked = placed.where("__arrival = 0").select(
+        "category",
+        F.col("name").alias("parent"),
+        F.col("__claim").alias("name"),
+        F.col("__slot").alias("slot"),
+        F.col("__position").alias("before"),
+        F.lit(1).cast("bigint").alias("length"),
     )
-    solved = to_solve.groupBy("category", "family").applyInPandas(
-        _solve, "category string, family string, name string, position bigint"
+    nothing = F.lit(0).cast("bigint")
+    fixed = touching.where("first is null").select(*keys, "parent", "slot", "length", nothing.alias("before"))
+    solved = (
+        ranked.unionByName(fixed)
+        .withColumn("family", _family(F.coalesce("parent", "name")))
+        .groupBy("category", "family")
+        .applyInPandas(_solve, "category string, family string, name string, position bigint, passed bigint")
     )
     # Position -1 marks a name whose own slot is gone: one more slot to pass for all its files.
-    passed = solved.groupBy("category", "name", F.greatest("position", F.lit(0)).alias("__position")).agg(
-        F.count("*").alias("__passed")
-    ).withColumn("__arrival", F.lit(0))
+    passed = (
+        solved.groupBy(*keys, F.greatest("position", F.lit(0)).alias("__position"))
+        .agg(F.sum("passed").alias("__passed"))
+        .withColumn("__arrival", F.lit(0))
+    )
+    arrived = placed.where("__arrival = 1").drop("__claim", "__slot").withColumn("__passed", nothing)
     numbered = running(
-        placed.where("__arrival = 1").drop("__claim").withColumn("__passed", F.lit(0).cast("bigint")).unionByName(passed, allowMissingColumns=True),
+        arrived.unionByName(passed, allowMissingColumns=True),
         keys,
         ["__position", "__arrival"],
         F.floor(F.col("__position") / CHUNK_ROWS),
         Running("__skipped", "sum", F.col("__passed")),
     )
     slot = F.col("__position") + F.col("__skipped")
-    destination = F.concat_ws("/", F.lit(out_root), F.col("category"), numbered_name(F.col("name"), slot))
-    return numbered.where("__arrival = 1").withColumn("destination", destination).select(*files.columns, "destination")
-
-
-def plan_free_destinations(files: DataFrame, out_root: str) -> DataFrame:
-    """As :func:`plan_destinations` into empty folders, where no incoming name looks like a numbered one."""
-    placed = dense_index(files, ["category", "name"], ["seq"], id_chunk("seq"), "__slot")
-    name = numbered_name(F.col("name"), F.col("__slot"))
-    return placed.withColumn("destination", F.concat_ws("/", F.lit(out_root), "category", name)).drop("__slot")
+    return _with_destination(numbered.where("__arrival = 1"), slot, out_root).select(*files.columns, "destination")

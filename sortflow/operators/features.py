@@ -46,6 +46,9 @@ FEATURE_BLOCKS = (
 )
 
 
+MAX_BROADCAST_TERMS = 100_000
+
+
 def _by_document(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Place each document once; all later grouping by document, or document and term, stays in place."""
     return docs.select(id_col, F.col(text).alias("__text")).repartition(id_col)
@@ -105,14 +108,16 @@ def smooth_idf(documents, df):
 def tfidf(docs: DataFrame, counts: DataFrame, max_features: int) -> DataFrame:
     """(id, term, tf, df, weight) for the kept terms.
 
-    The vocabulary has at most ``max_features`` rows by construction, which is
-    what makes broadcasting it safe; the number of documents is a scalar subquery.
+    The vocabulary has at most ``max_features`` rows by construction; it is
+    broadcast when that bound is small. The number of documents is a scalar subquery.
     """
     documents = docs.agg(F.count("*")).scalar()
     kept = vocabulary(counts, max_features).select(
         "term", "df", smooth_idf(documents, F.col("df")).alias("__idf")
     )
-    weighted = counts.join(F.broadcast(kept), "term")
+    if max_features <= MAX_BROADCAST_TERMS:
+        kept = F.broadcast(kept)
+    weighted = counts.join(kept, "term")
     return weighted.withColumn("weight", F.col("tf") * F.col("__idf")).drop("__idf")
 
 

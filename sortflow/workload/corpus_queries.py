@@ -79,7 +79,7 @@ _UNION_SQL = f"""union_rows as (
 
 @query("corpus_union", f"with {_UNION_SQL} select * from union_rows")
 def corpus_union(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.union_sources(ops.load_sources(spark, manifest(sf), max_chars=None)).drop(ops.ROW_INDEX)
+    return ops.union_sources(ops.load_sources(spark, manifest(sf), max_chars=None)).drop("source_row")
 
 
 @query(
@@ -211,10 +211,10 @@ def under_target(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "missing_labels",
     f"""{with_views('corpus')} select label from (values ('Code'), ('Docs'), ('Finance'), ('Study'), ('Logs')) t(label)
-        where label not in (select label from corpus where label <> 'Study')""",
+        where label not in (select label from corpus)""",
 )
 def missing_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.missing_labels(view(spark, sf, "corpus").where("label <> 'Study'"))
+    return ops.missing_labels(view(spark, sf, "corpus"))
 
 
 @query("shuffle_order", f"select doc_id, {q.hash_rank('', 'doc_id')} - 1 as position from documents")
