@@ -212,15 +212,22 @@ def early_stop(
     scanned = running(scanned, [run], [epoch], chunk, Running("__last", "max", F.col("__improved")))
     waited = F.col(epoch) - F.coalesce("__last", F.lit(0))
     scanned = scanned.withColumn("__stop", F.when(waited >= patience, F.col(epoch)))
-    stops = scanned.groupBy(run).agg(F.min("__stop").alias("__stop_at"))
-    seen = scanned.drop("__stop").join(stops, run).where(
-        F.col("__stop_at").isNull() | (F.col(epoch) <= F.col("__stop_at"))
-    )
-    return seen.groupBy(run).agg(
-        F.max("__improved").alias("best_epoch"),
-        F.max(epoch).alias("last_epoch"),
-        F.max(F.when(F.col("__improved").isNotNull(), F.col(metric))).alias("best_metric"),
-        F.bool_or(F.col("__stop_at").isNotNull()).alias("stopped_early"),
+    # The first stopping row knows the last improvement and the best value before it.
+    runs = scanned.groupBy(run).agg(
+        F.min("__stop").alias("__stop"),
+        F.min_by("__last", "__stop").alias("__stop_best"),
+        F.min_by("__best_before", "__stop").alias("__stop_metric"),
+        F.max("__improved").alias("__best"),
+        F.max(F.when(F.col("__improved").isNotNull(), F.col(metric))).alias("__metric"),
+        F.max(epoch).alias("__end"),
+    )
+    stopped = F.col("__stop").isNotNull()
+    return runs.select(
+        run,
+        F.when(stopped, F.col("__stop_best")).otherwise(F.col("__best")).alias("best_epoch"),
+        F.coalesce("__stop", "__end").alias("last_epoch"),
+        F.when(stopped, F.col("__stop_metric")).otherwise(F.col("__metric")).alias("best_metric"),
+        stopped.alias("stopped_early"),
     )
 
 

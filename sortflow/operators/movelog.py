@@ -12,7 +12,8 @@ from sortflow.functions.paths import base_name
 from sortflow.functions.text import percent_text
 from sortflow.functions.vocabulary import CATEGORIES, REJECT_THRESHOLD
 from sortflow.plans.broadcasting import dimension
-from sortflow.plans.scan import CHUNK, carry_join, dense_index, id_chunk, next_value
+from sortflow.plans.scan import CHUNK, carry_join, chunked, dense_index, id_chunk, next_value
+from sortflow.plans.workspace import materialise
 
 MOVE_SCHEMA = T.StructType(
     [
@@ -105,9 +106,16 @@ def undo_replay(
     ignored. This is bracket matching: a move's level is the stack depth it
     makes, an undo's level the depth it finds, and a move is undone if the
     next row of its level is an undo. Depths come from a chunked scan, so an
-    owner of any size is spread over many tasks.
+    owner of any size is spread over many tasks. ``id_col`` is unique over all owners.
     """
-    rows = ops.where(F.col(op).isin("move", "undo")).withColumn(CHUNK, id_chunk(id_col))
+    undone = _undone_moves(ops.select(owner, id_col, op), owner, id_col, op).withColumn("undone", F.lit(1))
+    moves = ops.where(F.col(op) == "move").drop(op)
+    return moves.join(undone, id_col, "left").withColumn("undone", F.coalesce("undone", F.lit(0)))
+
+
+def _undone_moves(ops: DataFrame, owner: str, id_col: str, op: str) -> DataFrame:
+    """Ids of the moves that an undo cancelled, from the three columns that decide it."""
+    rows = chunked(ops.where(F.col(op).isin("move", "undo")), [owner], id_chunk(id_col))
     step = F.when(F.col(op) == "move", 1).otherwise(-1)
     base = W.partitionBy(owner, CHUNK).orderBy(id_col)
     rows = rows.withColumn("__sum", F.sum(step).over(base.rowsBetween(W.unboundedPreceding, 0)))
@@ -120,18 +128,17 @@ def undo_replay(
     carry = chunks.select(
         owner, CHUNK, "__start", F.min(F.col("__start") + F.col("__dip")).over(earlier).alias("__floor")
     )
-    joined = carry_join(rows, carry, [owner]).withColumn("__sum", F.col("__sum") + F.col("__start"))
+    joined = carry_join(rows, carry, [owner])
     floor = F.least(F.lit(0), F.col("__floor"), F.col("__low") + F.col("__start"))
-    joined = joined.withColumn("__floor", floor).withColumn("__depth", F.col("__sum") - F.col("__floor"))
+    depth = F.col("__sum") + F.col("__start") - floor
 
     # An undo that would go below the floor met an empty log.
     is_move = F.col(op) == "move"
-    effective = joined.where(is_move | (F.col("__depth") >= 0)).withColumn(
-        "__level", F.when(is_move, F.col("__depth")).otherwise(F.col("__depth") + 1)
-    ).drop(CHUNK, "__sum", "__low", "__start", "__floor", "__depth")
+    level = F.when(is_move, depth).otherwise(depth + 1)
+    effective = joined.where(is_move | (depth >= 0)).select(owner, id_col, op, level.alias("__level"))
+    effective = materialise(effective, "undo-levels")
     paired = next_value(effective, [owner, "__level"], id_col, id_chunk(id_col), op, "__next")
-    undone = F.coalesce((F.col("__next") == "undo").cast("int"), F.lit(0))
-    return paired.where(is_move).withColumn("undone", undone).drop("__next", "__level", op)
+    return paired.where(is_move & (F.col("__next") == "undo")).select(id_col)
 
 
 # --- views ------------------------------------------------------------------------------------------

@@ -21,7 +21,7 @@ CHUNK = "__chunk"
 
 def id_chunk(id_col: str, rows: int = CHUNK_ROWS) -> Column:
     """Chunk number of a unique integer id: ids are distinct, so a chunk holds at most ``rows`` of them."""
-    return F.floor(F.col(id_col) / F.lit(rows))
+    return F.expr(f"`{id_col}` div {rows}")
 
 
 @dataclass(frozen=True)
@@ -43,17 +43,16 @@ def _merge(how: str, local: Column, carry: Column) -> Column:
     return F.least(local, carry) if how == "min" else F.greatest(local, carry)
 
 
+def chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Add the chunk number, and fail on null keys: they would not meet in the join of :func:`carry_join`."""
+    for k in keys:
+        df = df.withColumn(k, F.coalesce(F.col(k), F.raise_error(f"Null in key column {k}")))
+    return df.withColumn(CHUNK, chunk)
+
+
 def carry_join(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join per-chunk carries back to their rows; null keys match null keys."""
-    names = [*keys, CHUNK]
-    renamed = carry.select(
-        *[F.col(k).alias(f"__carry_{k}") for k in names],
-        *[c for c in carry.columns if c not in names],
-    )
-    condition = F.lit(True)
-    for k in names:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__carry_{k}"))
-    return rows.join(renamed, condition, "left").drop(*[f"__carry_{k}" for k in names])
+    """Join per-chunk carries to their rows. The rows lie by (keys, chunk) already and are not moved again."""
+    return rows.join(carry, [*keys, CHUNK], "left")
 
 
 def running(
@@ -64,7 +63,8 @@ def running(
     *specs: Running,
 ) -> DataFrame:
     """Add running aggregates per key in ``order``. ``chunk`` must not decrease along ``order``."""
-    rows = df.withColumn(CHUNK, chunk)
+    source = chunked(df, keys, chunk)
+    rows = source
     base = W.partitionBy(*keys, CHUNK).orderBy(*order)
     totals = []
     for spec in specs:
@@ -76,8 +76,7 @@ def running(
         totals.append(aggregate(spec.value).alias(f"__{spec.name}"))
     earlier = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     carry = (
-        df.withColumn(CHUNK, chunk)
-        .groupBy(*keys, CHUNK)
+        source.groupBy(*keys, CHUNK)
         .agg(*totals)
         .select(
             *keys,
@@ -106,13 +105,13 @@ def next_value(
     df: DataFrame, keys: Sequence[str], order: str, chunk: Column, value: str, name: str
 ) -> DataFrame:
     """Add the ``value`` of the following row of the same key. ``value`` itself must not be null."""
-    rows = df.withColumn(CHUNK, chunk)
+    source = chunked(df, keys, chunk)
+    rows = source
     base = W.partitionBy(*keys, CHUNK).orderBy(order)
     rows = rows.withColumn(name, F.lead(value).over(base))
     later = W.partitionBy(*keys).orderBy(CHUNK)
     carry = (
-        df.withColumn(CHUNK, chunk)
-        .groupBy(*keys, CHUNK)
+        source.groupBy(*keys, CHUNK)
         .agg(F.min_by(value, order).alias("__first"))
         .select(*keys, CHUNK, F.lead("__first").over(later).alias("__carried"))
     )

@@ -32,7 +32,7 @@ def small_chunks(monkeypatch):
     from sortflow.plans import scan
 
     def tiny(id_col: str, rows: int = 3):
-        return scan.F.floor(scan.F.col(id_col) / scan.F.lit(rows))
+        return scan.F.expr(f"`{id_col}` div {rows}")
 
     for module in (scan, destinations, evaluate, movelog):
         monkeypatch.setattr(module, "id_chunk", tiny)
