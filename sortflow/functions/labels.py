@@ -36,9 +36,12 @@ def reject_low(category: Column, confidence: Column, threshold: float = REJECT_T
 
 def softmax(logits: Column) -> Column:
     """Class probabilities of an array of scores, shifted by the maximum against overflow."""
-    shifted = F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits).cast("double")))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
+    # Row-wide values enter the lambdas as repeated arrays: inside, they would be worked out per element.
+    n = F.size(logits)
+    peak = F.array_repeat(F.array_max(logits).cast("double"), n)
+    scaled = F.zip_with(logits, peak, lambda x, m: F.exp(x.cast("double") - m))
+    total = F.array_repeat(F.aggregate(scaled, F.lit(0.0), lambda acc, x: acc + x), n)
+    return F.zip_with(scaled, total, lambda x, t: x / t)
 
 
 def arg_max(values: Column) -> Column:

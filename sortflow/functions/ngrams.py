@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from sortflow.functions.text import WHITESPACE
 
-WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
+# Word characters are letters, numbers and the underscore; ASCII ones are settled by range tests.
+WORD_PATTERN = r"[a-zA-Z0-9_[\x{80}-\x{10FFFF}&&[\p{L}\p{N}]]]{2,}"
 
 
 def _sql_text(pattern: str) -> str:

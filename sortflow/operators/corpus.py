@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sortflow.functions.paths import bounded_name, ensure_filename
-from sortflow.functions.text import collect_present, first_present, normalize_text, normalize_value
+from sortflow.functions.text import normalize_text, normalize_value, present_fields
 from sortflow.functions.vocabulary import (
     CATEGORIES,
     DEFAULT_CATEGORY,
@@ -25,8 +25,10 @@ from sortflow.functions.vocabulary import (
 )
 from sortflow.operators.synthetic import synthetic_corpus
 from sortflow.plans.broadcasting import checked_broadcast, dimension
+from sortflow.plans.once import computed_once
 from sortflow.plans.quota import hash_order, hash_prefix, pick_by_hash, proportional_quotas
 from sortflow.plans.scan import dense_index, id_chunk
+from sortflow.plans.workspace import materialise
 from sortflow.sources.manifest import LOCAL, Manifest, SourceSpec
 from sortflow.sources.tables import CORPUS_COLUMNS, fill_nulls, load_table
 
@@ -97,20 +99,21 @@ def source_rows(
         raise ValueError(f"Source {spec.name} keeps duplicate rows and so needs an id_column.")
     rows = sample_rows(rows, ROW_ORDER, spec.sample_limit, seed)
 
-    name = first_present(df, spec.filename_columns)
+    # Each column is normalised once, whether it serves the name, the content, or both.
+    used = {f.name: f for f in present_fields(df, [*spec.filename_columns, *spec.content_columns])}
+    cells = {f"__{name}": F.nullif(normalize_value(F.col(f"`{name}`"), f.dataType), F.lit("")) for name, f in used.items()}
+    rows = computed_once(rows, [ROW_ORDER], cells) if cells else rows.select(ROW_ORDER)
+
+    def found(candidates: tuple[str, ...]) -> list[Column]:
+        return [F.col(f"`__{f.name}`") for f in present_fields(df, candidates)]
+
+    name = F.coalesce(*found(spec.filename_columns), F.lit(""))
     if spec.filename_from_content_prefix:
-        prefix = F.substring(first_present(df, spec.content_columns), 1, NAME_PREFIX_CHARS)
+        prefix = F.substring(F.coalesce(*found(spec.content_columns), F.lit("")), 1, NAME_PREFIX_CHARS)
         name = F.when(name == "", prefix).otherwise(name)
-    rows = name_rows(
-        rows.select(
-            ROW_ORDER,
-            name.alias("filename"),
-            collect_present(df, spec.content_columns).alias("content"),
-            F.lit(spec.label).alias("label"),
-        ),
-        chunk,
-        spec,
-    )
+    content = F.concat_ws(" ", *found(spec.content_columns))
+    rows = rows.select(ROW_ORDER, name.alias("filename"), content.alias("content"), F.lit(spec.label).alias("label"))
+    rows = name_rows(rows, chunk, spec)
     if max_chars is not None:
         rows = rows.withColumn("content", F.substring("content", 1, max_chars))
     return dedup_keyed(rows, [], ROW_ORDER)
@@ -248,7 +251,11 @@ def build_corpus(
     max_chars: int | None = MAX_CONTENT_CHARS,
     seed: int = SEED,
 ) -> DataFrame:
-    """Sources, synthetic rows and label caps in one frame of corpus rows."""
+    """Sources, synthetic rows and label caps in one frame of corpus rows.
+
+    The rows before capping are written once: choosing rows per label then
+    reads labels and keys only, and the sources are not worked through again.
+    """
     rows = union_sources(load_sources(spark, manifest, readers, max_chars, seed)).select(
         F.concat_ws("\x1f", "source", "source_row").alias("row_key"), *CORPUS_COLUMNS
     )
@@ -258,7 +265,9 @@ def build_corpus(
             F.concat_ws("\x1f", F.lit("synthetic"), "label", F.col("index").cast("string")).alias("row_key"),
             *CORPUS_COLUMNS,
         ))
-    return rebalance(rows, manifest.label_target_counts, "row_key", seed=seed)
+    if not manifest.label_target_counts:
+        return rows
+    return rebalance(materialise(rows, "corpus"), manifest.label_target_counts, "row_key", seed=seed)
 
 
 # --- labels: caps, shortfalls, ids ------------------------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sortflow.plans.once import computed_once
 from sortflow.functions.ngrams import (
     char_grams,
     padded_word_grams,
@@ -63,11 +64,16 @@ def word_term_counts(docs: DataFrame, id_col: str, text: str, high: int = 2) ->
     """(id, term, tf): words and, for ``high`` = 2, pairs of neighbouring words."""
     if high not in (1, 2):
         raise ValueError("Word n-grams go up to pairs.")
-    placed = _by_document(docs, id_col, text).select(
-        id_col, F.expr(word_tokens("__text")).alias("__tokens")
+    placed = computed_once(
+        _by_document(docs, id_col, text), [id_col], {"__tokens": F.expr(word_tokens("__text"))}
     )
-    terms = "__tokens" if high == 1 else unigrams_and_bigrams("__tokens")
-    exploded = placed.select(id_col, F.explode(F.expr(terms)).alias("term"))
+    # Terms are cut by position, which stays in generated code; a lambda over the array would not.
+    at = placed.select(id_col, "__tokens", F.explode(F.sequence(F.lit(0), F.size("__tokens") - 1)).alias("__i"))
+    at = at.where("__i < size(__tokens) and __i >= 0")
+    word, following = F.get("__tokens", F.col("__i")), F.get("__tokens", F.col("__i") + 1)
+    pair = F.concat(word, F.lit(" "), following)
+    terms = at.select(id_col, F.explode(F.array(word, pair) if high == 2 else F.array(word)).alias("term"))
+    exploded = terms.where("term is not null")
     return exploded.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 

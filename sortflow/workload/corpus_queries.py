@@ -17,7 +17,8 @@ from sortflow.functions.text import normalize_text
 from sortflow.functions.vocabulary import CATEGORIES
 from sortflow.operators import corpus as ops
 from sortflow.operators.synthetic import seed_rows, synthetic_rows
-from sortflow.plans.workspace import scratch
+from sortflow.plans.once import computed_once
+from sortflow.plans.workspace import materialise, scratch
 from sortflow.sources.manifest import Manifest
 from sortflow.sources.tables import CORPUS_COLUMNS, check_corpus, label_counts, load_table
 from sortflow.workload import sqltext as q
@@ -147,9 +148,13 @@ def corpus_label_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def built_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "corpus").withColumn("content", normalize_text(F.col("content")))
+    rows = computed_once(
+        view(spark, sf, "corpus"),
+        ["doc_id", "source", "filename", "label"],
+        {"content": normalize_text(F.col("content"))},
+    )
     unique = ops.dedup_keyed(ops.min_content(rows, 20), ["source"], "doc_id")
-    return ops.rebalance(unique, TARGETS, "doc_id")
+    return ops.rebalance(materialise(unique, "corpus"), TARGETS, "doc_id")
 
 
 @query("dedup_full_row", "select distinct lang, source, text from documents")
