@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from sortflow.plans.once import computed_once
 from sortflow.functions.ngrams import (
     char_grams,
-    padded_word_grams,
     padded_words,
     unigrams_and_bigrams,
     word_tokens,
@@ -89,9 +88,14 @@ def char_term_counts(docs: DataFrame, id_col: str, text: str, low: int, high: in
         .groupBy(id_col, "__word")
         .agg(F.count("*").alias("__n"))
     )
-    grams = words.select(
-        id_col, "__n", F.explode(F.expr(padded_word_grams("__word", low, high))).alias("term")
+    # Two generators instead of nested lambdas: gram sizes, then positions, in generated code.
+    size, length = F.col("__size"), F.char_length("__word")
+    sized = words.select("*", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("__size"))
+    sized = sized.where((size == low) | (length >= size))
+    placed = sized.select(
+        "*", F.explode(F.sequence(F.lit(1), F.greatest(length - size + 1, F.lit(1)))).alias("__at")
     )
+    grams = placed.select(id_col, "__n", F.substring("__word", F.col("__at"), size).alias("term"))
     return grams.groupBy(id_col, "term").agg(F.sum("__n").alias("tf"))
 
 
