@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sortflow.functions.text import WHITESPACE
+from sortflow.functions.text import blank_run_pattern
 
 # Word characters are letters, numbers and the underscore; ASCII ones are settled by range tests.
 WORD_PATTERN = r"[a-zA-Z0-9_[\x{80}-\x{10FFFF}&&[\p{L}\p{N}]]]{2,}"
@@ -28,7 +28,7 @@ def unigrams_and_bigrams(tokens: str) -> str:
 
 def padded_words(column: str) -> str:
     """Whitespace-separated lower-cased words, each with a blank on both sides."""
-    words = f"split(trim(regexp_replace(lower({column}), {_sql_text(f'[{WHITESPACE}]+')}, ' ')), ' ')"
+    words = f"split(trim(regexp_replace(lower({column}), {_sql_text(blank_run_pattern())}, ' ')), ' ')"
     return f"transform(filter({words}, w -> w <> ''), w -> concat(' ', w, ' '))"
 
 

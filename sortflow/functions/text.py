@@ -38,10 +38,17 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_WHITESPACE_CHARS))
 
 
-def _collapse(c: Column, extra: str) -> Column:
-    # A single blank stays as it is; matching it only to put it back would cost a match per word.
+def blank_run_pattern(extra: str = "") -> str:
+    """Whitespace that is not already one plain blank.
+
+    A single blank stays as it is; matching it only to put it back would cost a match per word.
+    """
     blank = f"[{extra}{_FAST_WHITESPACE}]"
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"{blank}(?:{blank}+|(?<! ))", " "))
+    return rf"{blank}(?:{blank}+|(?<! ))"
+
+
+def _collapse(c: Column, extra: str) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), blank_run_pattern(extra), " "))
 
 
 def collapse_whitespace(c: Column) -> Column:

@@ -187,13 +187,16 @@ def train_classifier(
 
     ``selected_features`` keeps the features with the best F-test score; it is
     the lever on training cost, which grows with features x first layer.
-    Features are computed once, to a shared table, before the iterations.
+    Features are computed once, to a shared table, before the iterations; the
+    rows are spread evenly first, as the slowest partition sets the pace of each.
     """
     prepared = corpus.select(id_col, featurize_name(F.col("filename")).alias("filename"), "content", "label")
     indexer = StringIndexer(inputCol="label", outputCol="label_id", stringOrderType="alphabetAsc").fit(prepared)
     feature_stages = fit_feature_stages(prepared, id_col, blocks)
     vectors = materialise(
-        indexer.transform(PipelineModel(feature_stages).transform(prepared)).select("label_id", "features"),
+        indexer.transform(PipelineModel(feature_stages).transform(prepared.repartition(id_col))).select(
+            "label_id", "features"
+        ),
         "train-features",
     )
     stages: list[Model] = [*feature_stages]

@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -185,8 +185,9 @@ def load_sources(
 ) -> list[SourceLoad]:
     """Plan every source. A source that cannot be read is skipped, unless it is required.
 
-    Paths, formats and schemas are resolved here, without reading data;
-    failing tasks are retried by Spark. Kinds other than local files need a
+    Paths, formats and schemas are resolved here. Tasks that fail later are
+    retried by Spark, and a job that fails for good is not taken for a skipped
+    source. Kinds other than local files need a
     reader of their own in ``readers``.
     """
     known = {LOCAL: read_local, **(readers or {})}
@@ -204,7 +205,7 @@ def load_sources(
                 raise ValueError(f"No reader for sources of kind {raw.kind}")
             rows = source_rows(known[raw.kind](spark, raw), raw, seed, max_chars)
             loads.append(SourceLoad(spec_name, label, rows))
-        except (PySparkException, ValueError, OSError) as exc:
+        except (AnalysisException, ValueError, OSError) as exc:
             if required:
                 raise RuntimeError(f"Required source failed: {spec_name}") from exc
             log.warning("Skipped source %s: %s", spec_name, exc)

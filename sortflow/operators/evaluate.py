@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortflow.functions.text import error_preview, signed_delta
@@ -46,17 +46,21 @@ def confusion_matrix(df: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 def class_report(df: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support per label seen as truth or prediction; 0 where undefined."""
-    pairs = pair_counts(df)
-    per_side = pairs.select(F.col("y_true").alias("label"), "n", F.lit(True).alias("is_true"), (F.col("y_true") == F.col("y_pred")).alias("hit")).unionByName(
-        pairs.select(F.col("y_pred").alias("label"), "n", F.lit(False).alias("is_true"), F.lit(False).alias("hit"))
-    )
-    sums = per_side.groupBy("label").agg(
-        F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("hits"),
-        F.sum(F.when(F.col("is_true"), F.col("n")).otherwise(0)).alias("support"),
-        F.sum(F.when(~F.col("is_true"), F.col("n")).otherwise(0)).alias("predicted"),
+    hits = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
+    none = F.lit(0).cast("bigint")
+
+    def side(label: str, hits: Column, support: Column, predicted: Column) -> Column:
+        return F.struct(
+            F.col(label).alias("label"), hits.alias("hits"), support.alias("support"), predicted.alias("predicted")
+        )
+
+    # Each pair counts once for its truth and once for its prediction.
+    sides = pair_counts(df).select(
+        F.inline(F.array(side("y_true", hits, F.col("n"), none), side("y_pred", none, none, F.col("n"))))
     )
+    sums = sides.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("hits", "support", "predicted")])
 
-    def ratio(top, bottom):
+    def ratio(top: Column, bottom: Column) -> Column:
         return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
 
     return sums.select(
@@ -70,22 +74,30 @@ def class_report(df: DataFrame) -> DataFrame:
 
 
 def class_report_full(df: DataFrame) -> DataFrame:
-    """The class report plus the accuracy, macro and weighted rows; the accuracy row repeats one value."""
-    classes = class_report(df)
-    support = F.col("support").cast("double")
-    accuracy = F.sum("hits") / F.sum("support")
-    accuracy_row = classes.agg(accuracy.alias("a")).select(
-        F.lit("accuracy").alias("label"), *[F.col("a").alias(m) for m in [*REPORT_METRICS, "support"]]
-    )
-    macro_row = classes.agg(
-        *[F.avg(m).alias(m) for m in REPORT_METRICS], F.sum(support).alias("support")
-    ).select(F.lit("macro avg").alias("label"), *REPORT_METRICS, "support")
-    weighted_row = classes.agg(
-        *[(F.sum(F.col(m) * support) / F.sum(support)).alias(m) for m in REPORT_METRICS],
-        F.sum(support).alias("support"),
-    ).select(F.lit("weighted avg").alias("label"), *REPORT_METRICS, "support")
-    plain = classes.select("label", *REPORT_METRICS, support.alias("support"))
-    return plain.unionByName(accuracy_row).unionByName(macro_row).unionByName(weighted_row)
+    """The class report plus the accuracy, macro and weighted rows; the accuracy row repeats one value.
+
+    Every class row also feeds the three summary lines, so the input is read once.
+    """
+    lines = F.array(
+        F.struct(F.lit("class").alias("kind"), F.col("label").alias("line")),
+        *[F.struct(F.lit(name).alias("kind"), F.lit(name).alias("line")) for name in ("accuracy", *AVERAGE_ROWS)],
+    )
+    fed = class_report(df).select("*", F.inline(lines))
+    support = F.sum("support").cast("double")
+
+    def value(metric: str) -> Column:
+        return (
+            F.when(F.col("kind") == "accuracy", F.sum("hits") / F.sum("support"))
+            .when(F.col("kind") == "weighted avg", F.sum(F.col(metric) * F.col("support")) / support)
+            .otherwise(F.avg(metric))
+        )
+
+    shown_support = F.when(F.col("kind") == "accuracy", F.sum("hits") / F.sum("support")).otherwise(support)
+    return (
+        fed.groupBy("kind", "line")
+        .agg(*[value(m).alias(m) for m in REPORT_METRICS], shown_support.alias("support"))
+        .select(F.col("line").alias("label"), *REPORT_METRICS, "support")
+    )
 
 
 def top_errors(df: DataFrame, limit: int = 25, order: str = "row_index") -> DataFrame:

@@ -24,9 +24,20 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/sortflow/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder name not used before."""
-    return f"{shared_root(spark)}/sortflow/{name}-{uuid.uuid4().hex}"
+    """A folder name not used before, below one folder per application."""
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to scratch. Results read from there must be stored by then."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
