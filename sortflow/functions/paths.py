@@ -59,11 +59,16 @@ def path_suffixes(path: Column) -> Column:
     return F.when(name.endswith("."), F.array().cast("array<string>")).otherwise(F.array_distinct(dotted))
 
 
-def any_suffix_in(path: Column, suffixes: Sequence[str]) -> Column:
-    """True if any suffix of the name is listed. Same answer as testing the suffix set, without building it."""
+def suffix_part(path: Column) -> Column:
+    """The part of the name in which suffixes are looked for, empty if it cannot have any."""
     name = F.regexp_replace(base_name(F.lower(path)), r"^\.+", "")
+    return F.when(name.endswith("."), "").otherwise(name)
+
+
+def names_any_suffix(part: Column, suffixes: Sequence[str]) -> Column:
+    """True if any suffix of a :func:`suffix_part` is listed: the suffix-set test, without building the set."""
     listed = "|".join(suffixes)
-    return ~name.endswith(".") & name.rlike(rf"\.(?:{listed})(?:\.|\z)")
+    return part.rlike(rf"\.(?:{listed})(?:\.|\z)")
 
 
 def visible_name(path: Column) -> Column:

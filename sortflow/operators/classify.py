@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sortflow.functions.labels import arg_max, category_icon, reject_low, softmax
-from sortflow.functions.paths import any_suffix_in, base_name, featurize_name
+from sortflow.functions.paths import base_name, featurize_name, names_any_suffix, suffix_part
 from sortflow.functions.text import result_preview
 from sortflow.functions.vocabulary import (
     DEFAULT_CATEGORY,
@@ -22,6 +22,7 @@ from sortflow.functions.vocabulary import (
     SEED,
 )
 from sortflow.operators.features import FEATURE_BLOCKS, Block, fit_feature_stages
+from sortflow.plans.once import computed_once
 from sortflow.plans.workspace import materialise
 
 PREDICTION_COLUMNS = ["filepath", "filename", "category", "icon", "confidence", "content_preview"]
@@ -32,12 +33,16 @@ Scorer = Callable[[DataFrame], DataFrame]
 # --- rules ------------------------------------------------------------------------------------------
 
 
-def rule_category(path: Column) -> Column:
-    """Category by suffix, null if no rule applies."""
-    result = F.lit(None).cast("string")
-    for category, _, suffixes in reversed(EXTENSION_RULES):
-        result = F.when(any_suffix_in(path, suffixes), category).otherwise(result)
-    return result
+RULE = "__rule"
+
+
+def with_rule(df: DataFrame) -> DataFrame:
+    """Add the category by suffix, null if no rule applies."""
+    named = computed_once(df, df.columns, {"__part": suffix_part(F.col("filepath"))})
+    category = F.lit(None).cast("string")
+    for name, _, suffixes in reversed(EXTENSION_RULES):
+        category = F.when(names_any_suffix(F.col("__part"), suffixes), name).otherwise(category)
+    return computed_once(named, df.columns, {RULE: category})
 
 
 def rule_confidence(category: Column) -> Column:
@@ -69,8 +74,7 @@ def prediction_record(df: DataFrame, threshold: float, *keep: str) -> DataFrame:
 
 def classify_by_rule(df: DataFrame, *keep: str) -> DataFrame:
     """Records of the rows that a rule decides. Content is not read."""
-    hits = df.select(*keep, "filepath", rule_category(F.col("filepath")).alias("category"))
-    hits = hits.where(F.col("category").isNotNull())
+    hits = with_rule(df.select(*keep, "filepath")).where(F.col(RULE).isNotNull()).withColumnRenamed(RULE, "category")
     return prediction_record(
         hits.withColumn("confidence", rule_confidence(F.col("category"))).withColumn("content_preview", F.lit("")),
         0.0,
@@ -84,7 +88,7 @@ def classify(df: DataFrame, scorer: Scorer, threshold: float = REJECT_THRESHOLD,
     The frame is split on the rule, so that only undecided rows reach the
     scorer; a scorer adds ``category`` and unrounded ``confidence``.
     """
-    undecided = df.where(rule_category(F.col("filepath")).isNull())
+    undecided = with_rule(df).where(F.col(RULE).isNull()).drop(RULE)
     scored = scorer(undecided).withColumn("content_preview", result_preview(F.col("content")))
     return classify_by_rule(df, *keep).unionByName(prediction_record(scored, threshold, *keep))
 
@@ -93,13 +97,12 @@ def classify_in_place(
     df: DataFrame, category: Column, confidence: Column, threshold: float = REJECT_THRESHOLD, keep: Sequence[str] = ()
 ) -> DataFrame:
     """As :func:`classify`, for a score that is a column expression: one pass, usable on streams."""
-    ruled = F.col("__rule").isNotNull()
-    rows = df.withColumn("__rule", rule_category(F.col("filepath")))
-    rows = rows.withColumn(
-        "category", F.when(ruled, F.col("__rule")).otherwise(reject_low(category, confidence, threshold))
+    ruled = F.col(RULE).isNotNull()
+    rows = with_rule(df).withColumn(
+        "category", F.when(ruled, F.col(RULE)).otherwise(reject_low(category, confidence, threshold))
     ).withColumn("content_preview", F.when(ruled, "").otherwise(result_preview(F.col("content"))))
     rows = rows.withColumn(
-        "confidence", F.when(ruled, rule_confidence(F.col("__rule"))).otherwise(confidence)
+        "confidence", F.when(ruled, rule_confidence(F.col(RULE))).otherwise(confidence)
     )
     return prediction_record(rows, 0.0, *keep)
 

@@ -13,17 +13,17 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sortflow.plans.once import computed_once
 from sortflow.functions.ngrams import (
     char_grams,
     padded_words,
     unigrams_and_bigrams,
     word_tokens,
 )
+from sortflow.plans.once import computed_once
 
 
 @dataclass(frozen=True)
@@ -59,8 +59,8 @@ def word_list(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(id_col, F.expr(word_tokens(f"`{text}`")).alias("tokens"))
 
 
-def word_term_counts(docs: DataFrame, id_col: str, text: str, high: int = 2) -> DataFrame:
-    """(id, term, tf): words and, for ``high`` = 2, pairs of neighbouring words."""
+def word_occurrences(docs: DataFrame, id_col: str, text: str, high: int = 2) -> DataFrame:
+    """(id, term, n): words and, for ``high`` = 2, pairs of neighbouring words, as they occur."""
     if high not in (1, 2):
         raise ValueError("Word n-grams go up to pairs.")
     placed = computed_once(
@@ -72,12 +72,11 @@ def word_term_counts(docs: DataFrame, id_col: str, text: str, high: int = 2) ->
     word, following = F.get("__tokens", F.col("__i")), F.get("__tokens", F.col("__i") + 1)
     pair = F.concat(word, F.lit(" "), following)
     terms = at.select(id_col, F.explode(F.array(word, pair) if high == 2 else F.array(word)).alias("term"))
-    exploded = terms.where("term is not null")
-    return exploded.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    return terms.where("term is not null").withColumn("n", F.lit(1).cast("bigint"))
 
 
-def char_term_counts(docs: DataFrame, id_col: str, text: str, low: int, high: int) -> DataFrame:
-    """(id, term, tf): character n-grams inside words.
+def char_occurrences(docs: DataFrame, id_col: str, text: str, low: int, high: int) -> DataFrame:
+    """(id, term, n): character n-grams inside words, ``n`` times the word that holds them.
 
     Equal words of a document are counted first, so grams are cut once per
     distinct word of a document.
@@ -95,14 +94,18 @@ def char_term_counts(docs: DataFrame, id_col: str, text: str, low: int, high: in
     placed = sized.select(
         "*", F.explode(F.sequence(F.lit(1), F.greatest(length - size + 1, F.lit(1)))).alias("__at")
     )
-    grams = placed.select(id_col, "__n", F.substring("__word", F.col("__at"), size).alias("term"))
-    return grams.groupBy(id_col, "term").agg(F.sum("__n").alias("tf"))
+    return placed.select(id_col, F.substring("__word", F.col("__at"), size).alias("term"), F.col("__n").alias("n"))
 
 
-def term_counts(docs: DataFrame, id_col: str, block: Block) -> DataFrame:
+def occurrences(docs: DataFrame, id_col: str, block: Block) -> DataFrame:
     if block.analyzer == "word":
-        return word_term_counts(docs, id_col, block.column, block.high)
-    return char_term_counts(docs, id_col, block.column, block.low, block.high)
+        return word_occurrences(docs, id_col, block.column, block.high)
+    return char_occurrences(docs, id_col, block.column, block.low, block.high)
+
+
+def term_counts(found: DataFrame, id_col: str) -> DataFrame:
+    """(id, term, tf). Documents are in place, so this needs no shuffle."""
+    return found.groupBy(id_col, "term").agg(F.sum("n").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, max_features: int) -> DataFrame:
@@ -111,24 +114,25 @@ def vocabulary(counts: DataFrame, max_features: int) -> DataFrame:
     return totals.orderBy(F.desc("total"), "term").limit(max_features)
 
 
-def smooth_idf(documents, df):
+def smooth_idf(documents: Column, df: Column) -> Column:
     return F.log((F.lit(1) + documents) / (F.lit(1) + df)) + 1
 
 
-def tfidf(docs: DataFrame, counts: DataFrame, max_features: int) -> DataFrame:
-    """(id, term, tf, df, weight) for the kept terms.
+def tfidf(docs: DataFrame, found: DataFrame, id_col: str, max_features: int) -> DataFrame:
+    """(id, term, tf, df, weight) for the kept terms of the occurrences ``found``.
 
     The vocabulary has at most ``max_features`` rows by construction; it is
-    broadcast when that bound is small. The number of documents is a scalar subquery.
+    broadcast when that bound is small. Occurrences of other terms are dropped
+    before they are counted. The number of documents is a scalar subquery.
     """
     documents = docs.agg(F.count("*")).scalar()
-    kept = vocabulary(counts, max_features).select(
+    kept = vocabulary(term_counts(found, id_col), max_features).select(
         "term", "df", smooth_idf(documents, F.col("df")).alias("__idf")
     )
     if max_features <= MAX_BROADCAST_TERMS:
         kept = F.broadcast(kept)
-    weighted = counts.join(kept, "term")
-    return weighted.withColumn("weight", F.col("tf") * F.col("__idf")).drop("__idf")
+    counted = found.join(kept, "term").groupBy(id_col, "term", "df", "__idf").agg(F.sum("n").alias("tf"))
+    return counted.select(id_col, "term", "tf", "df", (F.col("tf") * F.col("__idf")).alias("weight"))
 
 
 def l2_normalised(weights: DataFrame, id_col: str) -> DataFrame:
@@ -158,7 +162,7 @@ def fit_feature_stages(
             grams = char_grams(block.column, block.low, block.high)
         terms = f"{block.name}_terms"
         stages.append(SQLTransformer(statement=f"SELECT *, {grams} AS {terms} FROM __THIS__"))
-        kept = vocabulary(term_counts(train, id_col, block), block.max_features)
+        kept = vocabulary(term_counts(occurrences(train, id_col, block), id_col), block.max_features)
         rows = kept.select("term", smooth_idf(F.lit(documents), F.col("df")).alias("idf")).collect()
         if not rows:
             continue

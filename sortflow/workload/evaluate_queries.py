@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortflow.operators import evaluate as ops
-from sortflow.operators.classify import classify_in_place, rule_category
+from sortflow.operators.classify import RULE, classify_in_place, with_rule
 from sortflow.workload import sqltext as q
 from sortflow.workload.registry import query
 from sortflow.workload.views import view, with_views
@@ -178,8 +178,8 @@ def prediction_checks(spark: SparkSession, sf: str) -> DataFrame:
     files = view(spark, sf, "corpus").withColumnRenamed("filename", "filepath")
     score = F.lit(0.5) + ((F.col("doc_id") * 37) % 499) / 1000
     records = classify_in_place(files, F.col("label"), score, keep=("doc_id",))
-    expected = files.select(
-        "doc_id", F.col("label").alias("expected"), rule_category(F.col("filepath")).isNotNull().alias("stable")
+    expected = with_rule(files.select("doc_id", "filepath", F.col("label").alias("expected"))).select(
+        "doc_id", "expected", F.col(RULE).isNotNull().alias("stable")
     )
     return ops.prediction_checks(records, expected, "doc_id", 4, 4)
 

@@ -35,11 +35,11 @@ def word_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _grams(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.word_term_counts(table(spark, sf, "documents"), "doc_id", "text", _CONTENT_WORDS.high)
+    return ops.word_occurrences(table(spark, sf, "documents"), "doc_id", "text", _CONTENT_WORDS.high)
 
 
-def _totals(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+def _totals(found: DataFrame) -> DataFrame:
+    return ops.term_counts(found, "doc_id").groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
 
 
 @query(
@@ -62,12 +62,12 @@ def word_ngrams(spark: SparkSession, sf: str) -> DataFrame:
         select term, count(*) as total, count(distinct doc_id) as df from grams group by term""",
 )
 def char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    return _totals(ops.char_term_counts(table(spark, sf, "documents"), "doc_id", "text", 3, 5))
+    return _totals(ops.char_occurrences(table(spark, sf, "documents"), "doc_id", "text", 3, 5))
 
 
 @query("vocab_topk", f"with {_GRAMS}, {_KEPT} select term, total::bigint as total, df from kept")
 def vocab_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.vocabulary(_grams(spark, sf), _CONTENT_WORDS.max_features)
+    return ops.vocabulary(ops.term_counts(_grams(spark, sf), "doc_id"), _CONTENT_WORDS.max_features)
 
 
 @query(
@@ -76,11 +76,11 @@ def vocab_topk(spark: SparkSession, sf: str) -> DataFrame:
         group by doc_id, term""",
 )
 def term_freq(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.word_term_counts(table(spark, sf, "documents"), "doc_id", "text", high=1)
+    return ops.term_counts(ops.word_occurrences(table(spark, sf, "documents"), "doc_id", "text", high=1), "doc_id")
 
 
 def _weights(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.tfidf(table(spark, sf, "documents"), _grams(spark, sf), _CONTENT_WORDS.max_features)
+    return ops.tfidf(table(spark, sf, "documents"), _grams(spark, sf), "doc_id", _CONTENT_WORDS.max_features)
 
 
 @query("tfidf", f"with {_GRAMS}, {_KEPT} select doc_id, term, tf, df, round(weight, 6) as weight from weights")

@@ -43,7 +43,7 @@ def docs(spark):
 
 
 def counted(df):
-    return {(r.id, r.term): r.tf for r in df.collect()}
+    return {(r.id, r.term): r.tf for r in ops.term_counts(df, "id").collect()}
 
 
 def expected(terms):
@@ -51,15 +51,15 @@ def expected(terms):
 
 
 def test_word_counts(docs):
-    assert counted(ops.word_term_counts(docs, "id", "text", 1)) == expected(words)
-    assert counted(ops.word_term_counts(docs, "id", "text", 2)) == expected(word_terms)
+    assert counted(ops.word_occurrences(docs, "id", "text", 1)) == expected(words)
+    assert counted(ops.word_occurrences(docs, "id", "text", 2)) == expected(word_terms)
     with pytest.raises(ValueError):
-        ops.word_term_counts(docs, "id", "text", 3)
+        ops.word_occurrences(docs, "id", "text", 3)
 
 
 @pytest.mark.parametrize(("low", "high"), [(2, 4), (3, 5)])
 def test_char_counts_and_arrays(docs, low, high):
-    assert counted(ops.char_term_counts(docs, "id", "text", low, high)) == expected(lambda t: char_terms(t, low, high))
+    assert counted(ops.char_occurrences(docs, "id", "text", low, high)) == expected(lambda t: char_terms(t, low, high))
     arrays = docs.select("id", F.expr(char_grams("text", low, high)).alias("g")).collect()
     assert {r.id: Counter(r.g) for r in arrays} == {i: Counter(char_terms(t, low, high)) for i, t in enumerate(TEXTS)}
 
@@ -80,8 +80,8 @@ def plain_tfidf(terms, cap):
 
 
 def test_tfidf_equals_plain_python(docs):
-    counts = ops.word_term_counts(docs, "id", "text", 2)
-    got = ops.l2_normalised(ops.tfidf(docs, counts, 12), "id").collect()
+    found = ops.word_occurrences(docs, "id", "text", 2)
+    got = ops.l2_normalised(ops.tfidf(docs, found, "id", 12), "id").collect()
     wanted = plain_tfidf(word_terms, 12)
     assert {(r.id, r.term) for r in got} == set(wanted)
     assert all(r.weight == pytest.approx(wanted[r.id, r.term], abs=1e-12) for r in got)

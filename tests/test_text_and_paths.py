@@ -64,7 +64,7 @@ def test_names_follow_posix_paths(spark):
 def test_suffix_test_equals_suffix_set(spark):
     listed = ["gz", "jpg", "env", "b"]
     wanted = [bool({s.lstrip(".") for s in PurePosixPath(n.lower()).suffixes} & set(listed)) for n in NAMES]
-    assert evaluate(spark, NAMES, lambda c: paths.any_suffix_in(c, listed)) == wanted
+    assert evaluate(spark, NAMES, lambda c: paths.names_any_suffix(paths.suffix_part(c), listed)) == wanted
 
 
 def test_model_text_keeps_letter_case_of_token_and_content(spark):
