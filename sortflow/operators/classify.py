@@ -126,7 +126,7 @@ def model_labels(model: PipelineModel) -> list[str]:
     for stage in model.stages:
         if isinstance(stage, StringIndexerModel):
             return list(stage.labels)
-    raise ValueError("The model has no label stage.")
+    raise ValueError("No stage of this model knows labels.")
 
 
 def model_scorer(model: PipelineModel) -> Scorer:
@@ -135,10 +135,12 @@ def model_scorer(model: PipelineModel) -> Scorer:
     stages = PipelineModel([s for s in model.stages if not isinstance(s, StringIndexerModel)])
 
     def score(df: DataFrame) -> DataFrame:
-        inputs = df.withColumn("filename", featurize_name(base_name(F.col("filepath"))))
+        # The model's input column takes the place of a file name of the frame for as long as it runs.
+        kept = {c: "__own_name" if c == "filename" else c for c in df.columns}
+        inputs = df.withColumnsRenamed(kept).withColumn("filename", featurize_name(base_name(F.col("filepath"))))
         scored = stages.transform(inputs).withColumn("__p", vector_to_array("probability"))
         return scored.select(
-            *df.columns,
+            *[F.col(name).alias(c) for c, name in kept.items()],
             F.get(labels, arg_max(F.col("__p")).cast("int")).alias("category"),
             F.array_max("__p").alias("confidence"),
             F.col("__p").alias("probabilities"),

@@ -214,15 +214,18 @@ def load_sources(
 
 
 def union_sources(loads: list[SourceLoad]) -> DataFrame:
+    """(source, corpus columns, row_key) of all sources. Keys tell apart entries that read the same table."""
     frames = [
         load.rows.select(
-            F.lit(load.name).alias("source"), *CORPUS_COLUMNS, F.col(ROW_ORDER).cast("string").alias("source_row")
+            F.lit(load.name).alias("source"),
+            *CORPUS_COLUMNS,
+            F.concat_ws(":", F.lit(position), F.col(ROW_ORDER).cast("string")).alias("row_key"),
         )
-        for load in loads
+        for position, load in enumerate(loads)
         if load.rows is not None
     ]
     if not frames:
-        raise ValueError("No rows were collected. Check dataset settings and content columns.")
+        raise ValueError("None of the declared sources could be read.")
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -257,13 +260,11 @@ def build_corpus(
     The rows before capping are written once: choosing rows per label then
     reads labels and keys only, and the sources are not worked through again.
     """
-    rows = union_sources(load_sources(spark, manifest, readers, max_chars, seed)).select(
-        F.concat_ws("\x1f", "source", "source_row").alias("row_key"), *CORPUS_COLUMNS
-    )
+    rows = union_sources(load_sources(spark, manifest, readers, max_chars, seed)).select("row_key", *CORPUS_COLUMNS)
     made = synthetic_corpus(spark, manifest.synthetic_counts, seed)
     if made is not None:
         rows = rows.unionByName(made.select(
-            F.concat_ws("\x1f", F.lit("synthetic"), "label", F.col("index").cast("string")).alias("row_key"),
+            F.concat_ws(":", F.lit("synthetic"), "label", F.col("index").cast("string")).alias("row_key"),
             *CORPUS_COLUMNS,
         ))
     if not manifest.label_target_counts:
@@ -361,6 +362,6 @@ def stratified_cap(
     if (total or 0) <= max_rows:
         return df
     if max_rows < classes:
-        raise ValueError(f"max_rows={max_rows} is too small for {classes} classes.")
+        raise ValueError(f"A cap of {max_rows} rows cannot hold one row of each of {classes} labels.")
     quotas = proportional_quotas(counts, label, max_rows)
     return pick_by_hash(df, label, id_col, quotas, "__keep", seed).where("__keep").drop("__keep")

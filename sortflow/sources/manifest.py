@@ -39,11 +39,11 @@ class SourceSpec:
 
     def __post_init__(self) -> None:
         if self.label not in CATEGORIES:
-            raise ValueError(f"Unsupported label: {self.label}")
+            raise ValueError(f"Not a category: {self.label}")
         if not self.content_columns:
-            raise ValueError(f"Source for label {self.label} must define non-empty 'content_columns'.")
+            raise ValueError(f"No content columns given for a {self.label} source.")
         if self.kind not in {LOCAL, HUB}:
-            raise ValueError(f"Unsupported source kind: {self.kind}")
+            raise ValueError(f"No such kind of source: {self.kind}")
 
     @property
     def name(self) -> str:
@@ -72,7 +72,7 @@ class Manifest:
     @classmethod
     def from_dict(cls, raw: Mapping[str, Any]) -> Manifest:
         if not isinstance(raw.get("sources"), list):
-            raise ValueError("Manifest must contain a 'sources' array.")
+            raise ValueError("A manifest needs a list of sources.")
         return cls(
             tuple(raw["sources"]),
             dict(raw.get("label_target_counts", {})),
@@ -83,5 +83,5 @@ class Manifest:
     def load(cls, path: str) -> Manifest:
         file = Path(path)
         if not file.exists():
-            raise FileNotFoundError(f"Manifest not found: {path}")
+            raise FileNotFoundError(f"No manifest at {path}")
         return cls.from_dict(json.loads(file.read_text(encoding="utf-8")))

@@ -14,7 +14,7 @@ CORPUS_COLUMNS = ["filename", "content", "label"]
 def table_format(path: str, file_format: str | None = None) -> str:
     fmt = (file_format or PurePosixPath(path).suffix.lstrip(".")).lower()
     if fmt not in {"csv", "jsonl", "ndjson", "json", "parquet"}:
-        raise ValueError(f"Unsupported source format for {path}: {fmt}")
+        raise ValueError(f"Cannot read {path}: no reader for {fmt!r}")
     return fmt
 
 
@@ -52,7 +52,7 @@ def check_corpus(df: DataFrame) -> DataFrame:
     """The corpus contract: three text columns, no nulls; further columns are kept."""
     missing = sorted(set(CORPUS_COLUMNS) - set(df.columns))
     if missing:
-        raise ValueError(f"Dataset is missing columns: {missing}")
+        raise ValueError(f"Not a corpus, these columns are absent: {missing}")
     for name in CORPUS_COLUMNS:
         df = df.withColumn(name, F.coalesce(F.col(name).cast("string"), F.lit("")))
     return df

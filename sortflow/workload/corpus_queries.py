@@ -80,7 +80,7 @@ _UNION_SQL = f"""union_rows as (
 
 @query("corpus_union", f"with {_UNION_SQL} select * from union_rows")
 def corpus_union(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.union_sources(ops.load_sources(spark, manifest(sf), max_chars=None)).drop("source_row")
+    return ops.union_sources(ops.load_sources(spark, manifest(sf), max_chars=None)).drop("row_key")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sortflow.functions.paths import visible_name
 from sortflow.operators.movelog import read_moves
 from sortflow.plans.workspace import scratch
-from sortflow.streaming import pipelines as streams
+from sortflow.streaming import flows as streams
 from sortflow.workload import sqltext as q
 from sortflow.workload.classify_queries import _FALLBACK_SQL, _RULED, stand_in_score
 from sortflow.workload.registry import query, table

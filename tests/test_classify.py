@@ -110,10 +110,11 @@ def test_train_save_load_score(spark, topics, tmp_path, algorithm):
     ops.save_model(model, str(tmp_path / "model"))
     loaded = ops.load_model(str(tmp_path / "model"))
     assert ops.model_labels(loaded) == ["Docs", "Finance", "Study"]
-    inputs = topics.select("id", F.col("filename").alias("filepath"), "content", "label")
+    inputs = topics.select("id", F.col("filename").alias("filepath"), "filename", "content", "label")
     got = ops.model_scorer(loaded)(inputs).collect()
     assert sum(r.category == r.label for r in got) >= 43
     assert all(r.confidence == max(r.probabilities) and sum(r.probabilities) == pytest.approx(1) for r in got)
+    assert all(r.filename == r.filepath for r in got)
     record = ops.classify(inputs, ops.model_scorer(loaded), keep=["id"])
     assert record.columns == ["id", *ops.PREDICTION_COLUMNS] and record.count() == 45
     with pytest.raises(ValueError, match="Unknown algorithm"):

@@ -87,7 +87,7 @@ def test_cap_keeps_proportions_and_checks_classes(spark):
     assert corpus.stratified_cap(df, "label", "id", 100).count() == 100
     sizes = {r.label: r["count"] for r in corpus.stratified_cap(df, "label", "id", 10).groupBy("label").count().collect()}
     assert sum(sizes.values()) == 10 and set(sizes.values()) == {2, 3}
-    with pytest.raises(ValueError, match="too small"):
+    with pytest.raises(ValueError, match="cannot hold"):
         corpus.stratified_cap(df, "label", "id", 3)
 
 
