@@ -115,8 +115,11 @@ def undo_replay(
 
 def _undone_moves(ops: DataFrame, owner: str, id_col: str, op: str) -> DataFrame:
     """Ids of the moves that an undo cancelled, from the three columns that decide it."""
-    rows = chunked(ops.where(F.col(op).isin("move", "undo")), [owner], id_chunk(id_col))
-    step = F.when(F.col(op) == "move", 1).otherwise(-1)
+    steps = ops.where(F.col(op).isin("move", "undo")).select(
+        owner, id_col, F.when(F.col(op) == "move", 1).otherwise(-1).alias("__step")
+    )
+    rows = chunked(steps, [owner], id_chunk(id_col))
+    step = F.col("__step")
     base = W.partitionBy(owner, CHUNK).orderBy(id_col)
     rows = rows.withColumn("__sum", F.sum(step).over(base.rowsBetween(W.unboundedPreceding, 0)))
     rows = rows.withColumn("__low", F.min("__sum").over(base.rowsBetween(W.unboundedPreceding, -1)))
@@ -133,12 +136,12 @@ def _undone_moves(ops: DataFrame, owner: str, id_col: str, op: str) -> DataFrame
     depth = F.col("__sum") + F.col("__start") - floor
 
     # An undo that would go below the floor met an empty log.
-    is_move = F.col(op) == "move"
+    is_move = step == 1
     level = F.when(is_move, depth).otherwise(depth + 1)
-    effective = joined.where(is_move | (depth >= 0)).select(owner, id_col, op, level.alias("__level"))
+    effective = joined.where(is_move | (depth >= 0)).select(owner, id_col, "__step", level.alias("__level"))
     effective = materialise(effective, "undo-levels")
-    paired = next_value(effective, [owner, "__level"], id_col, id_chunk(id_col), op, "__next")
-    return paired.where(is_move & (F.col("__next") == "undo")).select(id_col)
+    paired = next_value(effective, [owner, "__level"], id_col, id_chunk(id_col), "__step", "__next")
+    return paired.where(is_move & (F.col("__next") == -1)).select(id_col)
 
 
 # --- views ------------------------------------------------------------------------------------------
