@@ -29,7 +29,10 @@ _FAST_WHITESPACE = (
 # The same code points as a plain string, for trimming.
 _WHITESPACE_CHARS = "".join(
     chr(c)
-    for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    for c in [
+        *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+        *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+    ]
 )
 
 

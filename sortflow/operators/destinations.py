@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortflow.functions.paths import extension, stem
-from sortflow.plans.workspace import materialise
 from sortflow.plans.scan import CHUNK_ROWS, Running, dense_index, id_chunk, running
+from sortflow.plans.workspace import materialise
 
 _COUNTER = r"(?s)^(.+)_([1-9][0-9]*)\z"
 _COUNTERS = r"(?s)(?:_[1-9][0-9]*)+\z"
@@ -111,6 +111,8 @@ def _with_destination(df: DataFrame, slot: Column, out_root: str) -> DataFrame:
 def plan_destinations(files: DataFrame, out_root: str, existing: DataFrame | None = None) -> DataFrame:
     """Add ``destination`` to (seq, category, name, ...). ``seq`` is a unique integer: the order of arrival.
 
+    ``files`` is read several times and should be a stored table, not the end of a costly plan.
+
     ``existing`` has (category, name) of files already in place. Names that end
     in a dot are numbered by the same rule, but are not seen as slots of one another.
     """

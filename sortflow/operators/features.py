@@ -45,7 +45,6 @@ FEATURE_BLOCKS = (
     Block("content_chars", "content", "char", 3, 5, 8_000),
 )
 
-
 MAX_BROADCAST_TERMS = 100_000
 
 

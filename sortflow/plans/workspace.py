@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
+_scopes = threading.local()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,15 +37,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to scratch. Results read from there must be stored by then."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _session_folder(spark))
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that this thread materialises inside, at the end. Their readers must be done by then."""
+    outer = getattr(_scopes, "created", None)
+    _scopes.created = created = []
+    try:
+        yield
+    finally:
+        _scopes.created = outer
+        for folder in created:
+            _delete(spark, folder)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table, so that a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, name)
+    created = getattr(_scopes, "created", None)
+    if created is not None:
+        created.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,6 +14,7 @@ from sortflow.functions.vocabulary import EXTRACT_CHARS, REJECT_THRESHOLD
 from sortflow.operators.classify import classify_in_place
 from sortflow.operators.destinations import plan_destinations
 from sortflow.operators.movelog import append_moves, live, read_log
+from sortflow.plans.workspace import materialise, scratch_scope
 from sortflow.sources.files import BINARY_FILE_SCHEMA, file_text
 
 
@@ -70,13 +71,16 @@ def move_batch(log_path: str, out_root: str, threshold: float = REJECT_THRESHOLD
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        sure = batch.where(F.col("confidence") >= threshold).withColumn("name", base_name(F.col("filepath")))
+        name = base_name(F.col("filepath"))
+        sure = batch.where(F.col("confidence") >= threshold).select(
+            "seq", "category", name.alias("name"), F.col("filepath").alias("src"), "confidence"
+        )
         log = read_log(spark, log_path).where(F.col("batch") != str(batch_id))
         taken = live(log).select("category", base_name(F.col("dst")).alias("name"))
-        planned = plan_destinations(
-            sure.select("seq", "category", "name", F.col("filepath").alias("src"), "confidence"), out_root, taken
-        )
-        append_moves(log_path, planned.withColumnRenamed("destination", "dst"), "seq", str(batch_id))
+        with scratch_scope(spark):
+            # Planning reads the batch several times; classification runs once, for this table.
+            planned = plan_destinations(materialise(sure, "routed"), out_root, taken)
+            append_moves(log_path, planned.withColumnRenamed("destination", "dst"), "seq", str(batch_id))
 
     return write
 
