@@ -144,6 +144,7 @@ def plan_destinations(files: DataFrame, out_root: str, existing: DataFrame | Non
         id_chunk("seq"),
         Running("__position", "sum", F.col("__arrival").cast("bigint"), inclusive=False),
     )
+    placed = materialise(placed, "placed-files")
     ranked = placed.where("__arrival = 0").select(
         "category",
         F.col("name").alias("parent"),
@@ -160,6 +161,7 @@ def plan_destinations(files: DataFrame, out_root: str, existing: DataFrame | Non
         .groupBy("category", "family")
         .applyInPandas(_solve, "category string, family string, name string, position bigint, passed bigint")
     )
+    solved = materialise(solved, "passed-slots")
     # Position -1 marks a name whose own slot is gone: one more slot to pass for all its files.
     passed = (
         solved.groupBy(*keys, F.greatest("position", F.lit(0)).alias("__position"))

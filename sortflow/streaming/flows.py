@@ -78,9 +78,10 @@ def move_batch(log_path: str, out_root: str, threshold: float = REJECT_THRESHOLD
         log = read_log(spark, log_path).where(F.col("batch") != str(batch_id))
         taken = live(log).select("category", base_name(F.col("dst")).alias("name"))
         with scratch_scope(spark):
-            # Planning reads the batch several times; classification runs once, for this table.
+            # Planning and appending read their input several times; each step runs once, for its table.
             planned = plan_destinations(materialise(sure, "routed"), out_root, taken)
-            append_moves(log_path, planned.withColumnRenamed("destination", "dst"), "seq", str(batch_id))
+            moves = materialise(planned.withColumnRenamed("destination", "dst"), "planned")
+            append_moves(log_path, moves, "seq", str(batch_id))
 
     return write
 
