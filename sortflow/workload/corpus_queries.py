@@ -98,7 +98,7 @@ def source_audit(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "read_formats",
     f"""{with_views('corpus')}, formats(format) as (values ('csv'), ('jsonl'), ('parquet'))
-        select format, label, count(*) as rows, sum(length(content)) as chars, count(distinct content) as contents
+        select format, label, count(*) as rows, sum(length(content))::bigint as chars, count(distinct content) as contents
         from corpus, formats group by format, label""",
 )
 def read_formats(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,7 +204,7 @@ def rebalance(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "under_target",
     f"""{with_views('corpus')}, {_TARGET_SQL}
-        select label, count(*) as count, quota as target from corpus join targets using (label)
+        select label, count(*) as count, quota::bigint as target from corpus join targets using (label)
         where quota > 0 group by label, quota having count(*) < quota""",
 )
 def under_target(spark: SparkSession, sf: str) -> DataFrame:
