@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortflow.llm.decontamination import contamination
+from sortflow.llm.language_id import identify_languages, train_languages
 from sortflow.llm.packing import pack_documents
+from sortflow.llm.rows import ROW
 from sortflow.llm.sharding import shard_documents
+from sortflow.llm.toxicity import score_toxicity, train_toxicity
 
 QUERIES = {}
 ORACLES = {}
 SHARDS = 24
+TOXIC_FROM = 0.7
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -35,6 +39,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """The third of the documents that no model learns from."""
+    fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
+    return F.coalesce(fold == 1, F.lit(False))
+
+
+@_query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = train_toxicity(docs, labels.where(~held_out()))
+    scored = score_toxicity(docs.select("doc_id", "text"), model).select(F.col(ROW)["doc_id"].alias("doc_id"), "score")
+    predicted = (F.col("score") >= TOXIC_FROM).cast("int")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@_query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_languages(docs.where(~held_out()))
+    found = identify_languages(docs.select("doc_id", "text"), model)
+    found = found.select(F.col(ROW)["doc_id"].alias("doc_id"), "lang_pred", "score", "bits_per_byte", "accepted")
+    return found.withColumn("held_out", held_out())
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
