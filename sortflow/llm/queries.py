@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortflow.llm.decontamination import contamination
+from sortflow.llm.html_extraction import extract_text
 from sortflow.llm.language_id import identify_languages, train_languages
 from sortflow.llm.packing import pack_documents
 from sortflow.llm.rows import ROW
 from sortflow.llm.sharding import shard_documents
+from sortflow.llm.substring_dedup import remove_repeated_spans
+from sortflow.llm.topk_search import top_k
 from sortflow.llm.toxicity import score_toxicity, train_toxicity
 
 QUERIES = {}
@@ -63,6 +66,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out())
 
 
+@_query("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = ["n_sentences", "n_removed", "n_words_removed"]
+    return cleaned.select(F.col(ROW)["doc_id"].alias("doc_id"), "text", *counts)
+
+
+@_query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select(F.col(ROW)["page_id"].alias("page_id"), F.col(ROW)["url"].alias("url"), "text", "n_chars")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -111,3 +127,22 @@ def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_tiered_packing")
 def op7_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+_SCALED = "list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))"
+
+
+@_query(
+    "op10_max_score",
+    f"""
+    with v as (select vec_id, {_SCALED} as v from embeddings
+      where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) as bigint) as score
+      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+    ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from scored)
+    select query_id, rank, vec_id, score from ranked where rank <= 5
+    """,
+)
+def op10_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))

@@ -129,9 +129,14 @@ def run_hashes(words: Words, hashes: np.ndarray, length: int) -> tuple[np.ndarra
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     first = np.flatnonzero(words.row[:n] == words.row[length - 1 :])
+    return first, word_run_hashes(hashes, first, first + length)
+
+
+def word_run_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the runs of words ``start`` to ``end``, from the hashes of the words."""
     sums = _prefix(hashes, _WORD_STEP)
     _, back = _powers(_WORD_STEP, len(hashes) + 1)
-    return first, mix((sums[first + length] - sums[first]) * back[first] + np.uint64(length))
+    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
 
 
 def by_row(row: np.ndarray, rows: int) -> np.ndarray:
