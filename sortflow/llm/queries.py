@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sortflow.llm.decontamination import contamination
 from sortflow.llm.html_extraction import extract_text
+from sortflow.llm.jaccard_join import link_components
 from sortflow.llm.language_id import identify_languages, train_languages
 from sortflow.llm.packing import pack_documents
 from sortflow.llm.rows import ROW
@@ -129,6 +130,26 @@ def op7_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@_query(
+    "op8_jaccard_join",
+    f"""
+    with recursive d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^ \\x09-\\x0D]+') as w from documents),
+    shingles as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_transform(range(1, cast(len(w) as bigint) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from d),
+    sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    shared as (select a.doc_id as a, b.doc_id as b, count(*) as k
+      from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+    links as (select t.a, t.b from shared t join sizes x on x.doc_id = t.a join sizes y on y.doc_id = t.b
+      where 100 * k >= 90 * (x.n + y.n - k)),
+    reach(a, b) as (select doc_id, doc_id from d union select r.a, l.b from reach r join links l on r.b = l.a)
+    select d.doc_id, coalesce(n, 0) as n_shingles, component_id
+    from d left join sizes using (doc_id) join (select a as doc_id, min(b) as component_id from reach group by a) using (doc_id)
+    """,
+)
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 _SCALED = "list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))"
 
 
