@@ -10,6 +10,7 @@ from sortflow.llm.html_extraction import extract_text
 from sortflow.llm.jaccard_join import link_components
 from sortflow.llm.language_id import identify_languages, train_languages
 from sortflow.llm.packing import pack_documents
+from sortflow.llm.pii import KINDS, find_disclosures, spans_text
 from sortflow.llm.rows import ROW
 from sortflow.llm.sharding import shard_documents
 from sortflow.llm.substring_dedup import remove_repeated_spans
@@ -150,6 +151,17 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+@_query("op9_disclosure")
+def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_disclosures(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("entities", lambda s: s["kind"])
+    counts = [
+        (F.size("entities") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)
+    ]
+    base = F.sha2(spans_text(F.col("entities")), 256)
+    return found.select(F.col(ROW)["doc_id"].alias("doc_id"), *counts, base.alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 _SCALED = "list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))"
 
 
