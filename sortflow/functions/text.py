@@ -64,14 +64,46 @@ def normalize_text(c: Column) -> Column:
     return _collapse(c, r"\x00")
 
 
+def _shortest(c: Column, dtype: T.DataType) -> Column:
+    """Scientific text with the fewest digits that read back as the same number."""
+    kind, most, certain, denormal = ("float", 8, 5, 1e-37) if isinstance(dtype, T.FloatType) else ("double", 16, 14, 1e-307)
+    wide = c.cast("double")
+
+    def first_equal(fewest: int) -> Column:
+        text = F.format_string(f"%.{most}e", wide)
+        for digits in reversed(range(fewest, most)):
+            shorter = F.format_string(f"%.{digits}e", wide)
+            text = F.when(shorter.cast(kind) == c, shorter).otherwise(text)
+        return text
+
+    return F.when(wide < denormal, first_equal(0)).otherwise(first_equal(certain))
+
+
+def _fraction_text(c: Column, dtype: T.DataType) -> Column:
+    """Text of a fraction: plain from 1e-4 to 1e16, else with an exponent of two digits at least."""
+    text = _shortest(F.abs(c), dtype)
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(text, "e", 1), r"\.", ""), r"(?<=.)0+\z", "")
+    exponent = F.substring_index(text, "e", -1).cast("int")
+    n = F.char_length(digits)
+    tail = lambda begin: F.substr(digits, begin, n)
+    below_one = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    whole = F.rpad(F.substr(digits, F.lit(1), exponent + 1), exponent + 1, "0")
+    plain = F.when(exponent < 0, below_one).otherwise(
+        F.concat(whole, F.lit("."), F.when(n > exponent + 1, tail(exponent + 2)).otherwise("0"))
+    )
+    mantissa = F.when(n > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), tail(F.lit(2)))).otherwise(digits)
+    sign = F.when(exponent < 0, "e-").otherwise("e+")
+    power = F.abs(exponent).cast("string")
+    scientific = F.concat(mantissa, sign, F.lpad(power, F.greatest(F.char_length(power), F.lit(2)), "0"))
+    size = F.abs(c.cast("double"))
+    unsigned = F.when((size >= 1e-4) & (size < 1e16), plain).otherwise(scientific)
+    text = F.when(size == float("inf"), "inf").otherwise(unsigned)
+    return F.when(F.isnan(c), "nan").otherwise(F.concat(F.when(c < 0, "-").otherwise(""), text))
+
+
 def _number_text(c: Column, dtype: T.DataType) -> Column:
     """Decimal text of a number; zero and null become empty, fractions keep at least one digit."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        size = F.abs(c)
-        plain = F.regexp_replace(c.cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+\z", "$1")
-        text = F.when((size >= 1e-4) & (size < 1e16), plain).otherwise(F.lower(c.cast("string")))
-    else:
-        text = c.cast("string")
+    text = _fraction_text(c, dtype) if isinstance(dtype, (T.FloatType, T.DoubleType)) else c.cast("string")
     return F.when(c == F.lit(0), "").otherwise(F.coalesce(text, F.lit("")))
 
 

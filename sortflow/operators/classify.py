@@ -191,15 +191,17 @@ def train_classifier(
     """Fit features and classifier on (filename, content, label).
 
     ``selected_features`` keeps the features with the best F-test score; it is
-    the lever on training cost, which grows with features x first layer.
-    Features are computed once, to a shared table, before the iterations; the
-    rows are spread evenly first, as the slowest partition sets the pace of each.
+    the lever on training cost of the perceptron, which grows with features x
+    first layer; ``algorithm="logistic"`` takes all features as sparse vectors.
+    The rows are written once, spread evenly, as the slowest partition sets the
+    pace of each iteration; so are the features.
     """
-    prepared = corpus.select(id_col, featurize_name(F.col("filename")).alias("filename"), "content", "label")
+    rows = corpus.select(id_col, featurize_name(F.col("filename")).alias("filename"), "content", "label")
+    prepared = materialise(rows.repartition(id_col), "train-rows")
     indexer = StringIndexer(inputCol="label", outputCol="label_id", stringOrderType="alphabetAsc").fit(prepared)
     feature_stages = fit_feature_stages(prepared, id_col, blocks)
     vectors = materialise(
-        indexer.transform(PipelineModel(feature_stages).transform(prepared.repartition(id_col))).select(
+        indexer.transform(PipelineModel(feature_stages).transform(prepared)).select(
             "label_id", "features"
         ),
         "train-features",

@@ -8,7 +8,8 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -205,7 +206,7 @@ def load_sources(
                 raise ValueError(f"No reader for sources of kind {raw.kind}")
             rows = source_rows(known[raw.kind](spark, raw), raw, seed, max_chars)
             loads.append(SourceLoad(spec_name, label, rows))
-        except (AnalysisException, ValueError, OSError) as exc:
+        except (PySparkException, Py4JJavaError, ValueError, OSError) as exc:
             if required:
                 raise RuntimeError(f"Required source failed: {spec_name}") from exc
             log.warning("Skipped source %s: %s", spec_name, exc)

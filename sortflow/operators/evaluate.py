@@ -32,8 +32,16 @@ def pair_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(df: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """One row per label and one count column per label, in the order given, zeros included."""
+def confusion_matrix(df: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+    """One row per label and one count column per label, in the order given, zeros included.
+
+    Without ``labels``, those found as truth or prediction, sorted. A list that lacks a label found is an error.
+    """
+    side = F.explode(F.array("y_true", "y_pred")).alias("label")
+    found = [r.label for r in pair_counts(df).select(side).where("label is not null").distinct().orderBy("label").collect()]
+    labels = found if labels is None else list(labels)
+    if absent := sorted(set(found) - set(labels)):
+        raise ValueError(f"Labels found in the data are not in the list: {absent}")
     rows = dimension(df.sparkSession, [(i, x) for i, x in enumerate(labels)], "position int, true_label string")
     cells = pair_counts(df).groupBy("y_true").agg(
         *[F.sum(F.when(F.col("y_pred") == x, F.col("n")).otherwise(0)).alias(x) for x in labels]
@@ -120,10 +128,14 @@ def top_errors(df: DataFrame, limit: int = 25, order: str = "row_index") -> Data
 
 
 def mean_loss(df: DataFrame, id_col: str, batch_size: int) -> DataFrame:
-    """Mean of batch means of -ln(p_true), batches of consecutive rows; and the plain row mean."""
+    """Mean of batch means of -ln(p_true), batches of consecutive rows; and the plain row mean.
+
+    A probability of 0 is an infinite loss; a missing one is no loss at all and makes the means missing.
+    """
+    loss = F.when(F.col("p_true") <= 0, float("inf")).when(F.col("p_true").isNull(), float("nan")).otherwise(-F.log("p_true"))
     placed = dense_index(df.select(id_col, "p_true"), [], [id_col], id_chunk(id_col), "__row")
     batches = placed.groupBy(F.floor(F.col("__row") / batch_size).alias("batch")).agg(
-        F.avg(-F.log("p_true")).alias("loss"), F.sum(-F.log("p_true")).alias("total"), F.count("*").alias("n")
+        F.avg(loss).alias("loss"), F.sum(loss).alias("total"), F.count("*").alias("n")
     )
     return batches.agg(
         F.avg("loss").alias("mean_batch_loss"),
@@ -181,26 +193,38 @@ def acceptance_gate(
 def prediction_checks(
     predictions: DataFrame, expected: DataFrame, key: str, min_matches: int, min_stable: int
 ) -> DataFrame:
-    """One row of checks. ``expected`` has (key, expected, stable); stable rows are those a rule decides."""
-    joined = expected.join(predictions.select(key, "category", "confidence"), key, "left")
+    """One row of checks. ``expected`` has (key, expected, stable); stable rows are those a rule decides.
+
+    Files and records are counted apart: every file needs exactly one record. A file predicted more than once
+    counts once, with its first category by name.
+    """
+    made = predictions.groupBy(key).agg(
+        F.count("*").alias("made"), F.min(F.struct("category", "confidence")).alias("first")
+    )
+    joined = expected.join(made, key, "full").select(
+        "*", F.col("first.category").alias("category"), F.col("first.confidence").alias("confidence")
+    )
+    tested = F.col("expected").isNotNull()
     match = F.coalesce(F.col("category") == F.col("expected"), F.lit(False))
     checks = joined.agg(
-        F.count("*").alias("files_tested"),
-        F.count("category").alias("records"),
+        F.count_if(tested).alias("files_tested"),
+        F.coalesce(F.sum("made"), F.lit(0)).alias("records"),
         F.count_if(match).alias("matched_expected"),
         F.count_if(match & F.col("stable")).alias("stable_matched"),
         F.count_if(F.coalesce(F.col("category"), F.lit("")) == "").alias("empty_categories"),
+        F.count_if(tested & (F.coalesce("made", F.lit(0)) != 1)).alias("not_single"),
         F.count_if(~F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False))).alias("bad_confidences"),
         F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories"),
     )
     ok = (
         (F.col("records") == F.col("files_tested"))
+        & (F.col("not_single") == 0)
         & (F.col("empty_categories") == 0)
         & (F.col("bad_confidences") == 0)
         & (F.col("matched_expected") >= min_matches)
         & (F.col("stable_matched") >= min_stable)
     )
-    return checks.withColumn("ok", ok)
+    return checks.withColumn("ok", ok).drop("not_single")
 
 
 def early_stop(
@@ -213,9 +237,10 @@ def early_stop(
 ) -> DataFrame:
     """Best and last epoch per run: strictly better counts, and ``patience`` epochs without end the run.
 
-    Runs may have any number of epochs: all scans are chunked by epoch.
+    Runs may have any number of epochs: all scans are chunked by epoch. A metric that is no number never improves.
     """
     chunk = id_chunk(epoch)
+    history = history.withColumn(metric, F.nanvl(F.col(metric), F.lit(None).cast("double")))
     scanned = running(
         history, [run], [epoch], chunk, Running("__best_before", "max", F.col(metric), inclusive=False)
     )

@@ -62,7 +62,9 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([*MOVE_SCHEMA.fields, T.StructField("batch", T.StringType())])
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -7,6 +7,8 @@ and the hash found there becomes a cut-off that every row is compared with.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +28,13 @@ def hash_prefix(digest: Column) -> Column:
     return F.substring(digest, 1, PREFIX_DIGITS)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; the keys are those of the left side."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(named, condition, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def pick_by_hash(
     df: DataFrame,
     key: str,
@@ -36,7 +45,7 @@ def pick_by_hash(
 ) -> DataFrame:
     """Flag the first ``quota`` rows of every key. ``quotas`` has (key, quota), one row per key.
 
-    Keys without a quota get a null flag. ``id_col`` must be unique within a key.
+    Keys without a quota get a null flag; null is a key like any other. ``id_col`` must be unique within a key.
     """
     quotas = checked_broadcast(quotas.select(key, F.col("quota").cast("bigint").alias("quota")))
     keyed = df.select(key, id_col, hash_order(id_col, seed).alias("__h")).withColumn(
@@ -47,22 +56,22 @@ def pick_by_hash(
         keyed.groupBy(key, "__p")
         .agg(F.count("*").alias("__n"))
         .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .join(quotas, key)
+        .transform(lambda left: null_safe_join(left, quotas, [key]))
         .where("__before < quota and __before + __n >= quota")
         .select(key, "__p", (F.col("quota") - F.col("__before")).alias("__need"))
     )
     rank = F.row_number().over(W.partitionBy(key, "__p").orderBy("__h", id_col))
     cuts = (
-        keyed.join(checked_broadcast(edges), [key, "__p"])
+        null_safe_join(keyed, checked_broadcast(edges), [key, "__p"])
         .withColumn("__rank", rank)
         .where("__rank = __need")
         .select(key, F.col("__h").alias("__cut_h"), F.col(id_col).alias("__cut_id"))
     )
-    limits = checked_broadcast(quotas.join(cuts, key, "left"))
+    limits = checked_broadcast(null_safe_join(quotas, cuts, [key], "left"))
     h = hash_order(id_col, seed)
     inside = (h < F.col("__cut_h")) | ((h == F.col("__cut_h")) & (F.col(id_col) <= F.col("__cut_id")))
     return (
-        df.join(limits, key, "left")
+        null_safe_join(df, limits, [key], "left")
         .withColumn(
             flag,
             F.when(F.col("quota").isNull(), F.lit(None).cast("boolean"))

@@ -12,6 +12,9 @@ from sortflow.functions.paths import base_name, extension
 from sortflow.functions.text import extracted_text
 from sortflow.functions.vocabulary import EXTRACT_CHARS, TEXT_SUFFIXES
 
+#: Half of what one binary cell can hold.
+MAX_FILE_BYTES = 1 << 30
+
 BINARY_FILE_SCHEMA = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -47,18 +50,22 @@ def file_text(name: Column, content: Column, max_chars: int = EXTRACT_CHARS) ->
 
 
 def read_files(spark: SparkSession, folder: str, max_chars: int = EXTRACT_CHARS) -> DataFrame:
-    """All files of one folder. Only files with a text suffix are opened; of the rest only the names are listed."""
+    """All files of one folder. Only files with a text suffix are opened; of the rest only the names are listed.
+
+    Files of more than ``MAX_FILE_BYTES`` are not opened either and have an empty text.
+    """
     opened = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", suffix_glob(TEXT_SUFFIXES))
         .load(folder)
+        .where(F.col("length") <= MAX_FILE_BYTES)
         .select("path", file_text(base_name(F.col("path")), F.col("content"), max_chars).alias("content"))
     )
     listed = (
         spark.read.format("binaryFile")
         .load(folder)
+        .where(~has_text_suffix(base_name(F.col("path"))) | (F.col("length") > MAX_FILE_BYTES))
         .select("path", F.lit("").alias("content"))
-        .where(~has_text_suffix(base_name(F.col("path"))))
     )
     return opened.where(has_text_suffix(base_name(F.col("path")))).unionByName(listed).select(
         F.col("path").alias("filepath"), base_name(F.col("path")).alias("filename"), "content"

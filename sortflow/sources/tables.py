@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,10 @@ def table_format(path: str, file_format: str | None = None) -> str:
     return fmt
 
 
+def _read_csv(reader: DataFrameReader, path: str, infer: bool) -> DataFrame:
+    return reader.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=infer)
+
+
 def load_table(
     spark: SparkSession,
     path: str,
@@ -33,8 +37,7 @@ def load_table(
     fmt = table_format(path, file_format)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
-        infer = schema is None
-        return reader.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=infer)
+        return _read_csv(reader, path, infer=schema is None)
     if fmt == "json":
         return reader.json(path, multiLine=True)
     if fmt in {"jsonl", "ndjson"}:
@@ -59,6 +62,9 @@ def check_corpus(df: DataFrame) -> DataFrame:
 
 
 def load_corpus(spark: SparkSession, path: str, file_format: str | None = None) -> DataFrame:
+    """A corpus in any format. Cells of csv stay the text they are: names like 001 are no numbers."""
+    if table_format(path, file_format) == "csv":
+        return check_corpus(_read_csv(spark.read, path, infer=False))
     return check_corpus(load_table(spark, path, file_format))
 
 
@@ -69,7 +75,7 @@ def write_corpus(df: DataFrame, path: str, file_format: str = "parquet") -> Data
         raise ValueError("Write jsonl; Spark writes one document per line.")
     writer = df.select(*CORPUS_COLUMNS).write.mode("overwrite")
     if fmt == "csv":
-        writer.csv(path, header=True, quote='"', escape='"')
+        writer.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     elif fmt == "parquet":
         writer.parquet(path)
     else:
