@@ -57,9 +57,16 @@ def apply_all_pending(
     return df.withColumn("status", F.when(F.col("status") == "Pending", routed).otherwise(F.col("status")))
 
 
+#: What is stored: moves and undos of every owner, in the order of their ids.
+LOG_SCHEMA = T.StructType(
+    [*MOVE_SCHEMA.fields, T.StructField("op", T.StringType()), T.StructField("owner", T.StringType())]
+)
+ONE_OWNER = ""
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log with its ``batch`` column, empty if nothing was ever written."""
-    schema = T.StructType([*MOVE_SCHEMA.fields, T.StructField("batch", T.StringType())])
+    """The stored operations with their ``batch`` column, empty if nothing was ever written."""
+    schema = T.StructType([*LOG_SCHEMA.fields, T.StructField("batch", T.StringType())])
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as exc:
@@ -68,22 +75,30 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def replayed(log: DataFrame) -> DataFrame:
+    """The moves of stored operations, ``undone`` set by the undos on record."""
+    ops = log.withColumns({"op": F.coalesce("op", F.lit("move")), "owner": F.coalesce("owner", F.lit(ONE_OWNER))})
+    if ops.where("op = 'undo'").isEmpty():
+        return ops.where("op = 'move'")
+    return undo_replay(ops.drop("undone"))
+
+
 def read_moves(spark: SparkSession, path: str) -> DataFrame:
-    return read_log(spark, path).drop("batch")
+    return replayed(read_log(spark, path)).select(*MOVE_SCHEMA.names)
 
 
-def append_moves(path: str, moves: DataFrame, order: str, batch: str) -> None:
-    """Append (src, dst, category, confidence[, ts]) rows in ``order``, a unique integer column.
+def append_operations(path: str, rows: DataFrame, order: str, batch: str) -> None:
+    """Append (op, owner, src, dst, category, confidence[, ts]) rows in ``order``, a unique integer column.
 
     Ids go on after the highest one on record. A batch is a folder of its own
     that a replay overwrites, so writing a batch twice leaves it once. One
     writer at a time, as ids are taken from the log.
     """
-    others = read_log(moves.sparkSession, path).where(F.col("batch") != batch)
+    others = read_log(rows.sparkSession, path).where(F.col("batch") != batch)
     last = others.agg(F.max("id")).first()[0] or 0
-    placed = dense_index(moves, [], [order], id_chunk(order), "__row")
-    ts = F.col("ts") if "ts" in moves.columns else F.current_timestamp()
-    rows = placed.select(
+    placed = dense_index(rows, [], [order], id_chunk(order), "__row")
+    ts = F.col("ts") if "ts" in rows.columns else F.current_timestamp()
+    stored = placed.select(
         (F.lit(last) + 1 + F.col("__row")).cast("bigint").alias("id"),
         "src",
         "dst",
@@ -91,8 +106,23 @@ def append_moves(path: str, moves: DataFrame, order: str, batch: str) -> None:
         F.col("confidence").cast("double").alias("confidence"),
         ts.cast("timestamp").alias("ts"),
         F.lit(0).alias("undone"),
+        "op",
+        F.col("owner").cast("string").alias("owner"),
     )
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    stored.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def append_moves(path: str, moves: DataFrame, order: str, batch: str) -> None:
+    """Append moves; without an ``owner`` column they are all of one owner."""
+    owner = F.col("owner") if "owner" in moves.columns else F.lit(ONE_OWNER)
+    append_operations(path, moves.withColumns({"op": F.lit("move"), "owner": owner}), order, batch)
+
+
+def append_undo(spark: SparkSession, path: str, batch: str, owner: str = ONE_OWNER) -> None:
+    """Append one undo of the owner's newest live move; it does nothing if there is none."""
+    columns = "n long, op string, owner string, src string, dst string, category string, confidence double"
+    undo = spark.createDataFrame([(0, "undo", owner, None, None, None, None)], columns)
+    append_operations(path, undo, "n", batch)
 
 
 # --- undo -------------------------------------------------------------------------------------------

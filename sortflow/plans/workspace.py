@@ -37,14 +37,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete_folder(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to scratch. Results read from there must be stored by then."""
-    _delete(spark, _session_folder(spark))
+    delete_folder(spark, _session_folder(spark))
 
 
 @contextmanager
@@ -57,7 +57,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _scopes.created = outer
         for folder in created:
-            _delete(spark, folder)
+            delete_folder(spark, folder)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sortflow.functions.paths import base_name, visible_name
 from sortflow.functions.vocabulary import EXTRACT_CHARS, REJECT_THRESHOLD
-from sortflow.operators.classify import classify_in_place
+from sortflow.operators.classify import Scorer, classify, classify_in_place
 from sortflow.operators.destinations import plan_destinations
-from sortflow.operators.movelog import append_moves, live, read_log
-from sortflow.plans.workspace import materialise, scratch_scope
+from sortflow.operators.movelog import append_moves, live, read_log, replayed
+from sortflow.plans.workspace import delete_folder, materialise, scratch_scope
 from sortflow.sources.files import BINARY_FILE_SCHEMA, file_text
 
 
@@ -47,13 +50,20 @@ def watch_table(spark: SparkSession, folder: str, schema: T.StructType, file_glo
 
 def classify_stream(
     files: DataFrame,
-    category: Column,
-    confidence: Column,
+    category: Column | None = None,
+    confidence: Column | None = None,
     threshold: float = REJECT_THRESHOLD,
     keep: tuple[str, ...] = (),
+    scorer: Scorer | None = None,
 ) -> DataFrame:
-    """Prediction records of a stream of (filepath, content); stateless, so any output mode fits."""
-    return classify_in_place(files.where(visible_name(F.col("filepath"))), category, confidence, threshold, keep)
+    """Prediction records of a stream of (filepath, content); stateless, so any output mode fits.
+
+    The score is a pair of column expressions, or a scorer as batches take it, such as that of a fitted model.
+    """
+    visible = files.where(visible_name(F.col("filepath")))
+    if scorer is not None:
+        return classify(visible, scorer, threshold, keep)
+    return classify_in_place(visible, category, confidence, threshold, keep)
 
 
 def append_sink(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -76,8 +86,8 @@ def move_batch(log_path: str, out_root: str, threshold: float = REJECT_THRESHOLD
             "seq", "category", name.alias("name"), F.col("filepath").alias("src"), "confidence"
         )
         log = read_log(spark, log_path).where(F.col("batch") != str(batch_id))
-        taken = live(log).select("category", base_name(F.col("dst")).alias("name"))
         with scratch_scope(spark):
+            taken = live(replayed(log)).select("category", base_name(F.col("dst")).alias("name"))
             # Planning and appending read their input several times; each step runs once, for its table.
             planned = plan_destinations(materialise(sure, "routed"), out_root, taken)
             moves = materialise(planned.withColumnRenamed("destination", "dst"), "planned")
@@ -87,32 +97,57 @@ def move_batch(log_path: str, out_root: str, threshold: float = REJECT_THRESHOLD
 
 
 def auto_move(
-    records: DataFrame, log_path: str, out_root: str, checkpoint: str, threshold: float = REJECT_THRESHOLD
+    records: DataFrame,
+    log_path: str,
+    out_root: str,
+    checkpoint: str,
+    threshold: float = REJECT_THRESHOLD,
+    once: bool = True,
 ) -> StreamingQuery:
-    """Route a stream of records into the move log."""
-    return (
-        records.writeStream.foreachBatch(move_batch(log_path, out_root, threshold))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def live_counts(moves: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Running count per category. State is one row per category; each trigger replaces the whole small table."""
-
-    def replace(counts: DataFrame, batch_id: int) -> None:
-        counts.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    """Route a stream of records into the move log: all there is, or (``once=False``) until stopped."""
+    writer = records.writeStream.foreachBatch(move_batch(log_path, out_root, threshold)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def _changes(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What the operations of one owner add to and take from the counts; the state is the stack of its live moves."""
+    live_moves = list(state.get[0]) if state.exists else []
+    changes: Counter = Counter()
+    for row in pd.concat(list(rows), ignore_index=True).sort_values("id").itertuples():
+        if row.op == "move":
+            live_moves.append(row.category)
+            changes[row.category] += 1
+        elif row.op == "undo" and live_moves:
+            changes[live_moves.pop()] -= 1
+    state.update((live_moves,))
+    found = [(category, n) for category, n in changes.items() if n]
+    yield pd.DataFrame({"category": [c for c, _ in found], "change": [n for _, n in found]})
+
+
+def live_counts(ops: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Live moves per category of a stream of (owner, id, op, category), as undos take moves back.
+
+    An owner's operations have to arrive in the order of their ids over triggers. State is the stack of
+    categories of each owner's live moves; a trigger adds its changes to the counts of the one before,
+    a table of one row per category, and leaves that and its own.
+    """
 
-    return (
-        moves.groupBy("category")
-        .agg(F.count("*").alias("count"))
-        .writeStream.outputMode("complete")
-        .foreachBatch(replace)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    def replace(changes: DataFrame, batch_id: int) -> None:
+        spark = changes.sparkSession
+        counts = changes.select("category", F.col("change").alias("count"))
+        if batch_id:
+            before = spark.read.schema("category string, count long").parquet(f"{path}/version={batch_id - 1}")
+            counts = counts.unionByName(before)
+        counts = counts.groupBy("category").agg(F.sum("count").alias("count")).where("count > 0")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        if batch_id > 1:
+            delete_folder(spark, f"{path}/version={batch_id - 2}")
+
+    changed = ops.select("owner", "id", "op", "category").groupBy("owner").applyInPandasWithState(
+        _changes, "category string, change long", "live array<string>", "update", GroupStateTimeout.NoTimeout
     )
+    writer = changed.writeStream.outputMode("update").foreachBatch(replace).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:

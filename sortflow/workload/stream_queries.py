@@ -11,6 +11,7 @@ from sortflow.plans.workspace import scratch
 from sortflow.streaming import flows as streams
 from sortflow.workload import sqltext as q
 from sortflow.workload.classify_queries import _FALLBACK_SQL, _RULED, stand_in_score
+from sortflow.workload.move_queries import _WITH_MOVES
 from sortflow.workload.registry import query, table
 from sortflow.workload.views import VIEWS, with_views
 
@@ -68,12 +69,10 @@ def stream_route(spark: SparkSession, sf: str) -> DataFrame:
     return read_moves(spark, log).drop("ts")
 
 
-@query(
-    "stream_counts",
-    f"{with_views('ops')} select category, count(*) as count from ops where op = 'move' group by category",
-)
+@query("stream_counts", f"{_WITH_MOVES} select category, count(*) as count from moves where undone = 0 group by category")
 def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
-    moves = stream_view(spark, sf, "ops").where("op = 'move'")
+    """Moves and undos as a stream; the counts left are those of the live moves."""
+    ops = stream_view(spark, sf, "ops")
     folder = scratch(spark, "stream-counts")
-    streams.live_counts(moves, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    streams.live_counts(ops, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
     return streams.latest_counts(spark, f"{folder}/counts")
