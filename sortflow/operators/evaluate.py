@@ -17,6 +17,30 @@ AVERAGE_ROWS = ["macro avg", "weighted avg"]
 DEFAULT_TOLERANCE = 0.005
 
 
+def evaluation_rows(scored: DataFrame, labels: Sequence[str], order: str, truth: str = "label") -> DataFrame:
+    """Rows of a scored table as the tables here take them: truth, prediction and their probabilities.
+
+    ``probabilities`` is an array in the order of ``labels``; a truth the model does not know has probability 0.
+    """
+    names = F.array(*[F.lit(x) for x in labels])
+    own = F.get("probabilities", (F.array_position(names, F.col(truth)) - 1).cast("int"))
+    return scored.select(
+        F.col(order).alias("row_index"),
+        *[c for c in ("filename", "filepath", "content") if c in scored.columns],
+        F.col(truth).alias("y_true"),
+        F.col("category").alias("y_pred"),
+        F.col("confidence").alias("p_pred"),
+        F.coalesce(own, F.lit(0.0)).alias("p_true"),
+    )
+
+
+def full_summary(df: DataFrame, train_rows: int, labels: Sequence[str]) -> DataFrame:
+    """One row: the summary of held-out rows, the rows trained on, and the labels."""
+    return summary(df).withColumnRenamed("rows", "validation_rows").select(
+        F.lit(train_rows).cast("bigint").alias("train_rows"), "*", F.array(*[F.lit(x) for x in labels]).alias("labels")
+    )
+
+
 def summary(df: DataFrame) -> DataFrame:
     """One row: rows, errors, accuracy."""
     errors = F.count_if(F.col("y_true") != F.col("y_pred"))

@@ -14,8 +14,10 @@ from sortflow.functions.labels import reject_low
 from sortflow.functions.text import result_preview
 from sortflow.functions.vocabulary import DEFAULT_CATEGORY
 from sortflow.operators import classify as ops
+from sortflow.operators import evaluate as ev
 from sortflow.operators.corpus import stratified_cap, stratified_split
 from sortflow.operators.evaluate import REPORT_METRICS, class_report_full
+from sortflow.plans.workspace import materialise
 from sortflow.workload import sqltext as q
 from sortflow.workload.registry import query, table
 from sortflow.workload.views import view, with_views
@@ -237,6 +239,35 @@ def train_classifier(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "model_evaluation",
+    f"""{_SPLIT_SQL} select (select max(draws) from whole) as train_rows, sum(support)::bigint as validation_rows,
+          'Docs,Finance,Logs,Study' as labels, sum(support)::bigint as matrix_total, true as accuracy_ok, true as loss_ok,
+          true as errors_ok from held_out""",
+)
+def model_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Summary, matrix, loss and top errors of the trained model on held-out rows, in terms that SQL can state."""
+    split = split_corpus(spark, sf)
+    model = trained_model(spark, sf)
+    labels = ops.model_labels(model)
+    held_out = split.where("split = 'validation'").withColumnRenamed("filename", "filepath")
+    scored = ops.model_scorer(model)(held_out).withColumn("filename", F.col("filepath"))
+    rows = materialise(ev.evaluation_rows(scored, labels, "doc_id"), "evaluation-rows")
+    totals = ev.full_summary(rows, split.where("split = 'train'").count(), labels)
+    matrix = ev.confusion_matrix(rows, labels).select(F.aggregate(F.array(*labels), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
+    loss = ev.mean_loss(rows, "row_index", 16).first()
+    shown = ev.top_errors(rows).count()
+    return totals.select(
+        "train_rows",
+        "validation_rows",
+        F.array_join("labels", ",").alias("labels"),
+        F.lit(matrix.agg(F.sum("n")).first()[0]).alias("matrix_total"),
+        (F.col("accuracy") >= ACCURACY_FLOOR).alias("accuracy_ok"),
+        F.lit(0 <= loss["mean_row_loss"] < 1).alias("loss_ok"),
+        (F.least("total_errors", F.lit(25)) == shown).alias("errors_ok"),
+    )
+
+
 @query("score_batch", f"{with_views('corpus')} select doc_id, true as known, true as in_range from corpus")
 def score_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Whether every document gets a category of the model and a confidence above 0 and up to 1."""

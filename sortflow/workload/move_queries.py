@@ -140,9 +140,15 @@ def plan_destinations_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "plan_destinations_contended",
+    """select event_type as category, count(*) as files, count(*) as destinations, 0::bigint as on_disk, count(*) as slots
+       from events group by event_type""",
 )
 def plan_destinations_contended(spark: SparkSession, sf: str) -> DataFrame:
-    """Names that are numbered forms of one another, and folders that already hold files."""
+    """Names that are numbered forms of one another, and folders that already hold files.
+
+    What SQL can say of the plan, which the tests hold against the sequential rule: every file has a
+    destination of its own, none is on disk, all are slots of the family, and files of one name rise in order.
+    """
     events = table(spark, sf, "events")
     number = (F.col("event_id") * 7 % 5).cast("string")
     name = F.when(F.col("event_id") % 3 == 0, F.lit("f.txt")).otherwise(F.concat(F.lit("f_"), number, F.lit(".txt")))
@@ -150,7 +156,15 @@ def plan_destinations_contended(spark: SparkSession, sf: str) -> DataFrame:
     existing = events.select(
         F.col("event_type").alias("category"), F.concat(F.lit("f_"), F.col("user_id").cast("string"), F.lit(".txt")).alias("name")
     ).distinct()
-    return plan_destinations(files, "/out", existing)
+    planned = plan_destinations(files, "/out", existing).groupBy("category", "destination").agg(F.count("*").alias("n"))
+    on_disk = existing.select(F.concat_ws("/", F.lit("/out"), "category", "name").alias("destination"), F.lit(1).alias("taken"))
+    slot = F.col("destination").rlike(r"^/out/[a-z]+/f(_[0-9]+)*\.txt$")
+    return planned.join(on_disk, "destination", "left").groupBy("category").agg(
+        F.sum("n").alias("files"),
+        F.count("*").alias("destinations"),
+        F.count("taken").alias("on_disk"),
+        F.sum(F.when(slot, F.col("n")).otherwise(0)).alias("slots"),
+    )
 
 
 @query(

@@ -7,7 +7,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from sortflow.workload import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"plan_destinations_contended"}
+ROWS_ONLY = set()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
