@@ -4,13 +4,15 @@ A text is cut into sentences: after a word that ends in a full stop, question or
 exclamation mark, at a line end, and, so that a passage is cut alike wherever it
 was pasted in, after every word whose hash is a multiple of ``CUT_EVERY``. From
 each sentence a span runs over at least ``sentences`` sentences and ``words``
-words. Equal spans are found by one aggregate over a 128-bit hash, with partial
+words. Equal spans are found by one aggregate over a 96-bit hash, with partial
 counts before the shuffle; the first occurrence, by document and place, stays,
 and every sentence that another occurrence covers is removed.
 
-No group is gathered: a span keeps its first place only, and the occurrences meet
-it in a join whose large keys Spark can split. Spans of a document are collected
-per document, whose length bounds them.
+Texts without a repeat are not shuffled, as long as the ids of the others can be
+broadcast. No group is gathered: a span keeps its first document only, and the occurrences
+meet it in a join whose large keys Spark can split. What a text repeats itself is
+found where the text is cut. Spans of a document are collected per document, whose
+length bounds them.
 
 Defined results: a null or empty text has no sentences and stays as it is;
 documents are told apart by id, those with a null id by the hash of their text;
@@ -30,10 +32,13 @@ from pyspark.sql import functions as F
 
 from sortflow.llm.rows import ROW, text_of, whole_row
 from sortflow.llm.wordbytes import SOLID_BYTES, Texts, Words, by_row, find_words, mix, span_hashes, text_slices, word_run_hashes
+from sortflow.plans.workspace import materialise
 
 SENTENCES = 3
-WORDS = 16
-CUT_EVERY = 8
+WORDS = 12
+CUT_EVERY = 4
+#: Ids broadcast at most, 8 bytes each.
+MAX_IDS = 1_000_000
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -57,24 +62,31 @@ def cut_sentences(texts: Texts) -> tuple[Words, np.ndarray, np.ndarray]:
 
 
 def spans_of(texts: Texts, sentences: int = SENTENCES, words: int = WORDS):
-    """(row, first sentence, last sentence, hash, second hash) of every span; sentences count from 0 in their text."""
+    """Sentences of the texts, and their spans.
+
+    Returns (words, border, row, first, last, one, two, again): words and borders of :func:`cut_sentences`; of every
+    span its row, first and last sentence over all rows, a 128-bit hash, and whether its row has it earlier on.
+    """
     found, hashes, border = cut_sentences(texts)
     n = len(border) - 1
-    none = np.zeros(0, np.int64)
-    if not n:
-        return none, none, none, none, none
-    row = found.row[border[:-1]]
+    row = found.row[border[:-1]] if n else np.zeros(0, np.int64)
     first = np.arange(n)
     last = np.maximum(first + sentences - 1, np.searchsorted(border, border[:-1] + words) - 1)
-    ok = last < n
-    first, last = first[ok], last[ok]
-    same = row[first] == row[last]
-    first, last = first[same], last[same]
-    start, end = border[first], border[last + 1]
-    one = word_run_hashes(hashes, start, end)
-    two = word_run_hashes(mix(hashes ^ _SALT), start, end)
-    base = by_row(row, texts.rows)[row[first]]
-    return row[first], first - base, last - base, one.view(np.int64), two.view(np.int64)
+    inside = np.flatnonzero(last < n)
+    inside = inside[row[inside] == row[last[inside]]]
+    first, last, row = first[inside], last[inside], row[inside]
+    one = word_run_hashes(hashes, border[first], border[last + 1])
+    two = word_run_hashes(mix(hashes ^ _SALT), border[first], border[last + 1])
+    order = np.lexsort((first, two, one, row))
+    again = np.zeros(len(order), bool)
+    same = [x[order[1:]] == x[order[:-1]] for x in (row, one, two)]
+    again[order[1:]] = same[0] & same[1] & same[2]
+    return found, border, row, first, last, one, two, again
+
+
+def _first_sentences(found: Words, border: np.ndarray, rows: int) -> np.ndarray:
+    """Borders of the rows among the sentences."""
+    return by_row(found.row[border[:-1]] if len(border) > 1 else np.zeros(0, np.int64), rows)
 
 
 def _spans(sentences: int, words: int):
@@ -82,55 +94,58 @@ def _spans(sentences: int, words: int):
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for texts in text_slices(batch.column(1)):
-                row, first, last, one, two = spans_of(texts, sentences, words)
-                columns = [one, two, docs[texts.first + row], first, last]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()).cast(k) for c, k in zip(columns, kinds)], ["one", "two", "doc", "first", "last"]
-                )
+                found, border, row, first, _, one, two, again = spans_of(texts, sentences, words)
+                new = ~again
+                number = first - _first_sentences(found, border, texts.rows)[row]
+                half = (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                columns = [one.view(np.int64), half, docs[texts.first + row], number.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in columns], ["one", "two", "doc", "first"])
 
     return cut
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop the sentences that a document's list of spans covers."""
-    for batch in batches:
-        spans = batch.column(2).to_pylist()
-        out, counts, removed, words_removed = [], [], [], []
-        for texts in text_slices(batch.column(1)):
-            whole = next(text_slices(batch.column(1).slice(texts.first, texts.rows), max_bytes=1 << 62, lower=False)).data
-            words, _, border = cut_sentences(texts)
-            per_row = by_row(words.row[border[:-1]], texts.rows) if len(border) > 1 else np.zeros(texts.rows + 1, np.int64)
-            for i in range(texts.rows):
-                n = int(per_row[i + 1] - per_row[i])
-                gone = np.zeros(n + 1, np.int64)
-                for span in spans[texts.first + i] or ():
-                    if span["first"] < n:
-                        gone[span["first"]] += 1
-                        gone[min(n, span["last"] + 1)] -= 1
-                gone = np.cumsum(gone)[:n] > 0
-                counts.append(n)
-                removed.append(int(gone.sum()))
-                if not gone.any():
-                    out.append(None)
-                    words_removed.append(0)
-                    continue
-                sizes = border[per_row[i] + 1 : per_row[i + 1] + 1] - border[per_row[i] : per_row[i + 1]]
-                words_removed.append(int(sizes[gone].sum()))
-                starts = np.append(words.start[border[per_row[i] : per_row[i + 1]]], texts.offsets[i + 1])
-                starts[0] = texts.offsets[i]
-                out.append(b"".join(whole[a:b].tobytes() for a, b, g in zip(starts[:-1], starts[1:], gone) if not g).decode("utf-8", "replace"))
-        texts = [old if new is None else new for old, new in zip(batch.column(1).to_pylist(), out)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(texts, pa.string()),
-                pa.array(counts, pa.int64()),
-                pa.array(removed, pa.int64()),
-                pa.array(words_removed, pa.int64()),
-            ],
-            [ROW, "text", "n_sentences", "n_removed", "n_words_removed"],
-        )
+def _remove(sentences: int, words: int, text_col: str):
+    """Drop the sentences of the spans in a document's list, and of those it repeats itself."""
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lists = batch.column(0), batch.column(1).to_pylist()
+            column = rows.field(rows.type.get_field_index(text_col)).cast(pa.string())
+            old, out, counts, removed, words_removed = column.to_pylist(), [], [], [], []
+            for texts in text_slices(column):
+                whole = next(text_slices(column.slice(texts.first, texts.rows), max_bytes=1 << 62, lower=False)).data
+                found, border, row, first, last, _, _, again = spans_of(texts, sentences, words)
+                per_row = _first_sentences(found, border, texts.rows)
+                listed = [np.asarray(x or (), np.int64) for x in lists[texts.first : texts.first + texts.rows]]
+                marked = np.zeros(len(border), bool)
+                marked[first[again]] = True
+                for i, x in enumerate(listed):
+                    x = per_row[i] + x
+                    marked[x[x < per_row[i + 1]]] = True
+                gone = np.zeros(len(border) + 1, np.int64)
+                chosen = marked[first]
+                np.add.at(gone, first[chosen], 1)
+                np.add.at(gone, last[chosen] + 1, -1)
+                gone = np.cumsum(gone)[: len(border) - 1] > 0
+                sizes = np.diff(border)
+                begins = found.start[border[:-1]] if len(border) > 1 else border[:0]
+                for i in range(texts.rows):
+                    own = slice(per_row[i], per_row[i + 1])
+                    counts.append(own.stop - own.start)
+                    removed.append(int(gone[own].sum()))
+                    words_removed.append(int(sizes[own][gone[own]].sum()))
+                    if not removed[-1]:
+                        out.append(old[texts.first + i])
+                        continue
+                    starts = np.append(begins[own], texts.offsets[i + 1])
+                    starts[0] = texts.offsets[i]
+                    kept = [whole[a:b].tobytes() for a, b, g in zip(starts[:-1], starts[1:], gone[own]) if not g]
+                    out.append(b"".join(kept).decode("utf-8", "replace"))
+            columns = [pa.array(x, pa.int64()) for x in (counts, removed, words_removed)]
+            names = [ROW, "text", "n_sentences", "n_removed", "n_words_removed"]
+            yield pa.RecordBatch.from_arrays([rows, pa.array(out, pa.string()), *columns], names)
+
+    return remove
 
 
 def remove_repeated_spans(
@@ -144,11 +159,16 @@ def remove_repeated_spans(
     text = text_of(docs, text_col)
     doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(text))
     rows = docs.select(whole_row(docs), text.alias("text"), doc.alias("doc"))
-    cut = rows.select("doc", "text").mapInArrow(_spans(sentences, words), "one long, two long, doc long, first int, last int")
-    place = F.struct("doc", "first")
-    repeated = cut.groupBy("one", "two").agg(F.min(place).alias("kept"), F.max(place).alias("end")).where("kept != end")
-    again = cut.join(repeated.select("one", "two", "kept"), ["one", "two"]).where(place != F.col("kept"))
-    by_doc = again.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    marked = rows.join(by_doc, "doc", "left").select(ROW, "text", "spans")
+    cut = rows.select("doc", "text").mapInArrow(_spans(sentences, words), "one long, two int, doc long, first int")
+    kept = cut.groupBy("one", "two").agg(F.min("doc").alias("kept"))
+    again = cut.join(kept, ["one", "two"]).where("doc != kept")
+    by_doc = materialise(again.groupBy("doc").agg(F.collect_set("first").alias("spans")), "repeated-spans")
+    rows = rows.drop("text")
+    if by_doc.count() <= MAX_IDS:
+        ids = F.broadcast(by_doc.select("doc"))
+        untouched = rows.join(ids, "doc", "left_anti").withColumn("spans", F.lit(None).cast("array<int>"))
+        marked = rows.join(ids, "doc", "left_semi").join(by_doc, "doc").unionByName(untouched).select(ROW, "spans")
+    else:
+        marked = rows.join(by_doc, "doc", "left").select(ROW, "spans")
     schema = marked.select(ROW).schema.add("text", "string").add("n_sentences", "long").add("n_removed", "long")
-    return marked.mapInArrow(_remove, schema.add("n_words_removed", "long"))
+    return marked.mapInArrow(_remove(sentences, words, text_col), schema.add("n_words_removed", "long"))
