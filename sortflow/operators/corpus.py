@@ -98,6 +98,8 @@ def source_rows(
         chunk = hash_prefix(F.col(ROW_ORDER))
     else:
         raise ValueError(f"Source {spec.name} keeps duplicate rows and so needs an id_column.")
+    if spec.sample_limit > 0 and spec.id_column is None:
+        rows = materialise(rows, "source-digests")  # drawing reads the digests several times
     rows = sample_rows(rows, ROW_ORDER, spec.sample_limit, seed)
 
     # Each column is normalised once, whether it serves the name, the content, or both.
@@ -114,7 +116,8 @@ def source_rows(
         name = F.when(name == "", prefix).otherwise(name)
     content = F.concat_ws(" ", *found(spec.content_columns))
     rows = rows.select(ROW_ORDER, name.alias("filename"), content.alias("content"), F.lit(spec.label).alias("label"))
-    rows = name_rows(rows, chunk, spec)
+    # The source is read and normalised here, once; names and positions come from the written table.
+    rows = name_rows(materialise(rows, "source-normalised"), chunk, spec)
     if max_chars is not None:
         rows = rows.withColumn("content", F.substring("content", 1, max_chars))
     return dedup_keyed(rows, [], ROW_ORDER)
@@ -184,12 +187,9 @@ def load_sources(
     max_chars: int | None = MAX_CONTENT_CHARS,
     seed: int = SEED,
 ) -> list[SourceLoad]:
-    """Plan every source. A source that cannot be read is skipped, unless it is required.
+    """Read every source once and write its rows. A source that cannot be read is skipped, unless it is required.
 
-    Paths, formats and schemas are resolved here. Tasks that fail later are
-    retried by Spark, and a job that fails for good is not taken for a skipped
-    source. Kinds other than local files need a
-    reader of their own in ``readers``.
+    Kinds other than local files need a reader of their own in ``readers``.
     """
     known = {LOCAL: read_local, **(readers or {})}
     loads = []
@@ -205,7 +205,7 @@ def load_sources(
             if raw.kind not in known:
                 raise ValueError(f"No reader for sources of kind {raw.kind}")
             rows = source_rows(known[raw.kind](spark, raw), raw, seed, max_chars)
-            loads.append(SourceLoad(spec_name, label, rows))
+            loads.append(SourceLoad(spec_name, label, materialise(rows, "source")))
         except (PySparkException, Py4JJavaError, ValueError, OSError) as exc:
             if required:
                 raise RuntimeError(f"Required source failed: {spec_name}") from exc
