@@ -37,6 +37,8 @@ from sortflow.plans.workspace import materialise
 SENTENCES = 3
 WORDS = 12
 CUT_EVERY = 4
+#: Text worked on at once: a task takes about 100 times as much for hashes.
+SLICE_BYTES = 1 << 20
 #: Ids broadcast at most, 8 bytes each.
 MAX_IDS = 1_000_000
 _ENDS = np.zeros(256, bool)
@@ -93,7 +95,7 @@ def _spans(sentences: int, words: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for texts in text_slices(batch.column(1)):
+            for texts in text_slices(batch.column(1), SLICE_BYTES):
                 found, border, row, first, _, one, two, again = spans_of(texts, sentences, words)
                 new = ~again
                 number = first - _first_sentences(found, border, texts.rows)[row]
@@ -112,7 +114,7 @@ def _remove(sentences: int, words: int, text_col: str):
             rows, lists = batch.column(0), batch.column(1).to_pylist()
             column = rows.field(rows.type.get_field_index(text_col)).cast(pa.string())
             old, out, counts, removed, words_removed = column.to_pylist(), [], [], [], []
-            for texts in text_slices(column):
+            for texts in text_slices(column, SLICE_BYTES):
                 whole = next(text_slices(column.slice(texts.first, texts.rows), max_bytes=1 << 62, lower=False)).data
                 found, border, row, first, last, _, _, again = spans_of(texts, sentences, words)
                 per_row = _first_sentences(found, border, texts.rows)
