@@ -180,8 +180,12 @@ def train_languages(
     counted = sample.mapInArrow(_count_grams(order), "lang string, gram long, n long")
     counted = counted.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     grams = counted.groupBy("gram").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-    kept = grams.where("n > 1").orderBy(F.desc("n"), "gram").limit(max_grams).collect()
-    return LanguageModel([(_bytes_of(r["gram"]), {x["lang"]: x["n"] for x in r["by_lang"]}) for r in kept], order, sizes)
+    kept = grams.where("n > 1").orderBy(F.desc("n"), "gram").limit(max_grams).select("gram", F.inline("by_lang")).toArrow()
+    counts: dict[bytes, dict[str, int]] = {}
+    for part in kept.to_batches(max_chunksize=10_000):
+        for gram, lang, n in zip(*(c.to_pylist() for c in part.columns)):
+            counts.setdefault(_bytes_of(gram), {})[lang] = n
+    return LanguageModel(list(counts.items()), order, sizes)
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", max_bits: float = MAX_BITS) -> DataFrame:
