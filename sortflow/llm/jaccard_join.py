@@ -7,17 +7,19 @@ points, is dropped when that sum stays below what the threshold demands.
 
 Spread over a cluster, the root of the tree splits by equal coordinates. The
 groups of a text are dealt into slices; sets that differ in at most d shingles
-differ in at most d slices, and with d + 3 slices at least three have equal
+differ in at most d slices, and with d + 5 slices at least five have equal
 coordinates. Each text therefore goes to one cell per slice, named by its
-coordinates there (every shingle hash is a group of its own in these slices), and
-linked texts always meet. d follows from the threshold and the size, by classes
+coordinates there (every shingle hash is a group of its own in these slices).
+Empty slices are left out unless a text has three or more, so linked texts meet
+in three cells at least; pairs that meet in fewer are dropped before any vector
+is looked at. Small texts get d + 3 slices and meet once at least. d follows from the threshold and the size, by classes
 of sizes; a text also visits the cells of the next class if a partner may be there.
 
 No cell is gathered and no pair listed that is linked already:
 
 1. Texts with equal sets are one node.
-2. Every cell names its smallest node. Each node is compared with the smallest of
-   those, then with the others unless they are of one component by now. This
+2. Every cell names its smallest node. Each node is compared with the one named most
+   often, then with the others unless they are of one component by now. This
    takes one pair per node and cell at most, however large the cell.
 3. Cells that still hold different components are searched by trees of at most
    ``BLOCK`` points, cut by hash, block against block. A query skips nodes of the
@@ -42,14 +44,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sortflow.llm.components import connected_components
-from sortflow.llm.rows import text_of
+from sortflow.llm.rows import release_shuffles, text_of
 from sortflow.llm.wordbytes import SOLID_BYTES, Texts, by_row, find_words, mix, run_hashes, span_hashes, text_slices, word_run_hashes
 from sortflow.plans.broadcasting import checked_broadcast
 from sortflow.plans.workspace import materialise
 
 GROUPS = 64
+#: Groups of the second bound, for the pairs that pass the first.
+FINE_GROUPS = 1_024
 CLASS_RATIO = 1.6
-SPARE = 3
+#: Cells in which linked texts meet; a cell of small texts counts as so many.
+MET = 3
+#: A text visits the cells of its empty slices if it has so many of them.
+EMPTY = 3
+#: From so many differences on, there are slices enough for linked texts to meet more than once.
+LIGHT_FROM = 8
 LEAF = 32
 FAN = 16
 BLOCK = 2_048
@@ -90,7 +99,10 @@ def set_nodes(row: np.ndarray, shingles: np.ndarray, rows: int) -> tuple[np.ndar
 
 
 class SizeClasses:
-    """Classes of set sizes with the number of slices that a pair needs whose larger set is in the class."""
+    """Classes of set sizes with the number of slices that a pair needs whose larger set is in the class.
+
+    Where linked sets cannot differ at all, they are one node already and need no slices.
+    """
 
     def __init__(self, percent: int, largest: int) -> None:
         self.percent = percent
@@ -99,14 +111,15 @@ class SizeClasses:
             starts.append(max(starts[-1] + 1, int(starts[-1] * CLASS_RATIO)))
         self.starts = np.array(starts, np.int64)
         self.differ = (100 - percent) * 2 * (self.starts[1:] - 1) // (100 + percent)
-        self.slices = np.where(self.differ == 0, 1, self.differ + SPARE)
+        self.light = self.differ >= LIGHT_FROM
+        self.slices = np.where(self.differ == 0, 0, self.differ + np.where(self.light, MET + EMPTY - 1, EMPTY))
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, sizes, side="right") - 1
 
 
 def cell_keys(row: np.ndarray, shingles: np.ndarray, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every cell that a text visits."""
+    """(row, key) of every cell that a text visits. Keys of small texts are odd."""
     sizes = np.bincount(row, minlength=rows)
     classes = SizeClasses(percent, int(sizes.max(initial=1)))
     own = classes.of(np.maximum(sizes, 1))
@@ -117,25 +130,26 @@ def cell_keys(row: np.ndarray, shingles: np.ndarray, rows: int, percent: int) ->
         level = own + step
         active = (level <= last) & (sizes > 0)
         slices = np.where(active, classes.slices[np.minimum(level, len(classes.slices) - 1)], 0)
-        differ = classes.differ[np.minimum(level, len(classes.slices) - 1)]
+        light = classes.light[np.minimum(level, len(classes.slices) - 1)]
         base = np.cumsum(slices) - slices
-        used = active[row]
+        used = (slices > 0)[row]
         place = base[row[used]] + (spread[used] % slices[row[used]].astype(np.uint64)).astype(np.int64)
         total = int(slices.sum())
         counts, sums = np.bincount(place, minlength=total), _sum_by(place, weight[used], total)
         owner = np.repeat(np.arange(rows), slices)
         number = np.arange(total) - base[owner]
         empty = np.bincount(owner, counts == 0, rows)
-        wanted = (counts > 0) | (empty >= slices - differ)[owner]
+        wanted = (counts > 0) | (empty >= EMPTY)[owner]
         name = mix((level[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64))
         out_rows.append(owner[wanted])
-        out_keys.append(mix(sums + name)[wanted])
+        key = (mix(sums + name) & ~np.uint64(1)) | (~light[owner]).astype(np.uint64)
+        out_keys.append(key[wanted])
     return np.concatenate(out_rows), np.concatenate(out_keys)
 
 
-def group_counts(row: np.ndarray, shingles: np.ndarray, rows: int) -> np.ndarray:
-    group = (mix(shingles) % np.uint64(GROUPS)).astype(np.int64)
-    return np.bincount(row * GROUPS + group, minlength=rows * GROUPS).reshape(rows, GROUPS)
+def group_counts(row: np.ndarray, shingles: np.ndarray, rows: int, groups: int = GROUPS) -> np.ndarray:
+    group = (mix(shingles) % np.uint64(groups)).astype(np.int64)
+    return np.bincount(row * groups + group, minlength=rows * groups).reshape(rows, groups)
 
 
 def needed_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -207,9 +221,11 @@ def _nodes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in text_slices(batch.column(1)):
-                sizes, node = set_nodes(*shingle_sets(texts, width), texts.rows)
+                row, shingles = shingle_sets(texts, width)
+                sizes, node = set_nodes(row, shingles, texts.rows)
+                counts = pa.array([c.tobytes() for c in group_counts(row, shingles, texts.rows).astype("<u4")], pa.binary())
                 ids = (batch.column(i).slice(texts.first, texts.rows) for i in (0, 2))
-                yield _batch(id=next(ids), place=next(ids), n=_longs(sizes), node=_longs(node))
+                yield _batch(id=next(ids), place=next(ids), n=_longs(sizes), node=_longs(node), counts=counts)
 
     return run
 
@@ -231,15 +247,36 @@ def _sets(width: int):
         for batch in batches:
             for texts in text_slices(batch.column(0)):
                 row, shingles = shingle_sets(texts, width)
-                sizes, node = set_nodes(row, shingles, texts.rows)
+                _, node = set_nodes(row, shingles, texts.rows)
                 border = by_row(row, texts.rows)
-                counts = group_counts(row, shingles, texts.rows).astype("<u4")
-                yield _batch(
-                    node=_longs(node),
-                    n=_longs(sizes),
-                    counts=pa.array([c.tobytes() for c in counts], pa.binary()),
-                    shingles=pa.array([shingles[a:b].tobytes() for a, b in zip(border[:-1], border[1:])], pa.binary()),
-                )
+                sets = [shingles[a:b].tobytes() for a, b in zip(border[:-1], border[1:])]
+                yield _batch(node=_longs(node), data=pa.array(sets, pa.binary()))
+
+    return run
+
+
+def _fine_counts(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in text_slices(batch.column(0), 1 << 20):
+                row, shingles = shingle_sets(texts, width)
+                _, node = set_nodes(row, shingles, texts.rows)
+                counts = [c.tobytes() for c in group_counts(row, shingles, texts.rows, FINE_GROUPS).astype("<u4")]
+                yield _batch(node=_longs(node), data=pa.array(counts, pa.binary()))
+
+    return run
+
+
+def _bounded_finely(percent: int):
+    """Drop pairs whose counts over finer groups cannot reach the overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, "<u4").astype(np.int64), np.frombuffer(y, "<u4").astype(np.int64)
+                ok.append(bool(np.minimum(x, y).sum() >= needed_overlap(x.sum(), y.sum(), percent)))
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -277,6 +314,10 @@ def _verified(percent: int):
     return run
 
 
+def _weight(key: int) -> int:
+    return MET if key % 2 else 1
+
+
 def _search_blocks(percent: int):
     """Pairs of different components between two blocks of a cell, or inside one."""
 
@@ -288,12 +329,13 @@ def _search_blocks(percent: int):
         one = np.flatnonzero(side == 0)
         two = np.flatnonzero(side == 1) if (side == 1).any() else one
         if not len(one):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "met")})
         tree = CountTree(counts[one], sizes[one], components[one])
         query, point = tree.search(counts[two], sizes[two], components[two], percent)
         a, b = nodes[two[query]], nodes[one[point]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+        met = np.full(pairs.shape[1], _weight(table.column("key")[0].as_py()), np.int64)
+        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1]), "met": pa.array(met)})
 
     return run
 
@@ -306,50 +348,69 @@ class _Join:
         text = text_of(docs, text_col)
         key = F.col(f"`{id_col}`").cast("long")
         self.docs = docs.select(key.alias("id"), text.alias("text"), F.coalesce(key, F.xxhash64(text)).alias("place"))
-        nodes = self.docs.mapInArrow(_nodes(width), "id long, place long, n long, node long")
+        nodes = self.docs.mapInArrow(_nodes(width), "id long, place long, n long, node long, counts binary")
         self.nodes = materialise(nodes, "jaccard-nodes")
+        self.vectors = self.nodes.select("node", "n", "counts", "place")
 
     def cells(self) -> DataFrame:
         """(key, node, first): the cells of more than one node, with their smallest node."""
         keys = self.docs.select("text").mapInArrow(_cells(self.width, self.percent), "key long, node long")
         firsts = keys.groupBy("key").agg(F.min("node").alias("first"))
         members = keys.join(firsts, "key").where("node != first").distinct()
-        return materialise(members, "jaccard-cells")
-
-    def sets(self, members: DataFrame) -> DataFrame:
-        """(node, n, counts, shingles) of every node of a shared cell, from one text of each."""
-        wanted = members.select("node").unionByName(members.select(F.col("first").alias("node"))).distinct()
-        chosen = self.nodes.join(wanted, "node").groupBy("node").agg(F.min("place").alias("place")).select("place").distinct()
-        texts = self.docs.join(checked_broadcast(chosen, MAX_IDS), "place").select("text")
-        sets = texts.mapInArrow(_sets(self.width), "node long, n long, counts binary, shingles binary")
-        return materialise(sets.dropDuplicates(["node"]), "jaccard-sets")
-
-    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked: first by the bound, then by the sets."""
-        a = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("counts_a"))
-        b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("counts").alias("counts_b"))
+        members = materialise(members, "jaccard-cells")
+        del keys, firsts
+        release_shuffles(self.docs.sparkSession)
+        return members
+
+    def points(self, nodes: DataFrame) -> DataFrame:
+        """(node, n, counts, place) of some nodes: their points, and where a text of each is."""
+        mine = self.vectors.join(nodes, "node", "left_semi").groupBy("node")
+        return mine.agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.min("place").alias("place"))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are linked: by the bound, by the bound over finer groups, then by the sets."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        points = materialise(self.points(nodes), "jaccard-points")
+        a = points.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("counts_a"))
+        b = points.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("counts").alias("counts_b"))
         near = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "counts_a", "n_b", "counts_b")
-        near = near.mapInArrow(_bounded(self.percent), "a long, b long")
-        a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-        b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-        both = near.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b")
-        return materialise(both.mapInArrow(_verified(self.percent), "a long, b long"), "jaccard-links")
-
-    def star_pairs(self, members: DataFrame, sets: DataFrame, components: DataFrame) -> DataFrame:
-        """Pairs of a node and the smallest node of one of its cells that are not of one component yet."""
+        near = materialise(near.mapInArrow(_bounded(self.percent), "a long, b long"), "jaccard-near")
+
+        near = self._filtered(near, points, _fine_counts, _bounded_finely)
+        return self._filtered(near, points, _sets, _verified)
+
+    def _filtered(self, pairs: DataFrame, points: DataFrame, make, keep) -> DataFrame:
+        """The pairs that ``keep`` keeps, by what ``make`` makes of a text of either node."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        places = points.join(nodes, "node", "left_semi").select("place").distinct()
+        texts = self.docs.join(checked_broadcast(places, MAX_IDS), "place", "left_semi").select("text")
+        # One exchange of the data of nodes serves both joins.
+        data = texts.mapInArrow(make(self.width), "node long, data binary").dropDuplicates(["node"])
+        of_a = data.select(F.col("node").alias("a"), F.col("data").alias("of_a"))
+        of_b = data.select(F.col("node").alias("b"), F.col("data").alias("of_b"))
+        both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b")
+        found = materialise(both.mapInArrow(keep(self.percent), "a long, b long"), "jaccard-pairs")
+        del data, of_a, of_b, both
+        release_shuffles(self.docs.sparkSession)
+        return found
+
+    def star_pairs(self, stars: DataFrame, components: DataFrame) -> DataFrame:
+        """Pairs of a node and the smallest node of its cells that are not of one component yet."""
         of_a = components.select(F.col("node").alias("a"), F.col("component").alias("in_a"))
         of_b = components.select(F.col("node").alias("b"), F.col("component").alias("in_b"))
-        pairs = members.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-        placed = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-        return placed.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
+        placed = stars.join(of_a, "a", "left").join(of_b, "b", "left")
+        apart = placed.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
+        return materialise(apart, "jaccard-apart")
 
-    def open_pairs(self, members: DataFrame, sets: DataFrame, components: DataFrame) -> DataFrame:
-        """Pairs of different components in one cell that the trees let through."""
+    def open_pairs(self, members: DataFrame, components: DataFrame) -> DataFrame:
+        """Pairs of different components in three cells or more that the trees let through."""
         whole = members.select("key", "node").unionByName(members.select("key", F.col("first").alias("node")).distinct())
         placed = whole.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
         mixed = mixed.where("low != high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        rows = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = materialise(placed.join(mixed, "key"), "jaccard-mixed")
+        points = materialise(self.points(rows.select("node").distinct()).drop("place"), "jaccard-points")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         rows = rows.select("key", "node", "component", "block", other)
         rows = rows.select(
@@ -360,19 +421,24 @@ class _Join:
             "node",
             "component",
         )
-        rows = rows.join(sets.select("node", "n", "counts"), "node")
-        found = rows.groupBy("key", "low", "high").applyInArrow(_search_blocks(self.percent), "a long, b long")
-        return materialise(found.distinct(), "jaccard-open")
+        rows = rows.join(points, "node")
+        found = rows.groupBy("key", "low", "high").applyInArrow(_search_blocks(self.percent), "a long, b long, met long")
+        often = found.groupBy("a", "b").agg(F.sum("met").alias("met")).where(F.col("met") >= MET)
+        return materialise(often.select("a", "b"), "jaccard-open")
 
     def components(self) -> DataFrame:
         """(node, component) of all nodes with a link."""
         members = self.cells()
-        sets = self.sets(members)
-        links = self.links(members.groupBy("node").agg(F.min("first").alias("b")).withColumnRenamed("node", "a"), sets)
+        weight = F.when(F.col("key") % 2 == 0, 1).otherwise(MET)
+        stars = members.groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.sum(weight).alias("met"))
+        stars = materialise(stars.where(F.col("met") >= MET), "jaccard-stars")
+        best = F.max_by("b", F.struct("met", "b")).alias("b")
+        links = self.links(stars.groupBy("a").agg(best))
         components = connected_components(links)
-        for pairs in (self.star_pairs, self.open_pairs):
-            more = self.links(pairs(members, sets, components), sets)
-            if not more.isEmpty():
+        for pairs in (lambda c: self.star_pairs(stars, c), lambda c: self.open_pairs(members, c)):
+            found = pairs(components)
+            more = None if found.isEmpty() else self.links(found)
+            if more is not None and not more.isEmpty():
                 links = links.unionByName(more)
                 components = connected_components(links)
         return components
@@ -389,7 +455,7 @@ def link_components(
     if not 1 <= percent <= 100:
         raise ValueError("percent must be between 1 and 100")
     join = _Join(docs, width, percent, id_col, text_col)
-    placed = join.nodes.join(join.components(), "node", "left")
+    placed = join.nodes.select("id", "n", "node").join(join.components(), "node", "left")
     placed = placed.select("id", "n", F.coalesce("component", "node").alias("component"))
     smallest = placed.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
     linked = placed.join(smallest, "component", "left")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW = "row"
@@ -20,3 +22,9 @@ def text_of(df: DataFrame, column: str) -> Column:
 def unpack(df: DataFrame, like: DataFrame) -> DataFrame:
     """The rows as they came, without what was computed."""
     return df.select(*[F.col(ROW)[c].alias(c) for c in like.columns])
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
