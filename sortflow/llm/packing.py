@@ -43,6 +43,8 @@ END_ID = 2
 BLOCK_TOKENS = 4_000_000
 #: Words whose ids a Python worker remembers: about 50 bytes each.
 MAX_WORDS = 1_500_000
+#: Text tokenised at once: the more, the more often a word is met that is known by then.
+SLICE_BYTES = 4 << 20
 _SOLID = np.ones(256, bool)
 _SOLID[[9, 10, 13, 32]] = False
 _PLAIN = np.zeros(256, bool)
@@ -248,7 +250,7 @@ def _pack_texts(tokenizer_path: str, tiers: tuple[int, ...], end_id: int, block_
         writer = _Writer(TaskContext.get().partitionId())
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for texts in text_slices(batch.column(1)):
+            for texts in text_slices(batch.column(1), SLICE_BYTES):
                 ids, borders = tokenise(texts, end_id)
                 for i, doc_id in enumerate(doc_ids[texts.first : texts.first + texts.rows]):
                     own = ids[borders[i] : borders[i + 1]]

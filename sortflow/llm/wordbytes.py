@@ -1,6 +1,6 @@
 """Words of many texts at once, as numpy arrays over the bytes of an Arrow column.
 
-Texts stay UTF-8 bytes: a batch is cut into slices of a few megabytes, words are
+Texts stay UTF-8 bytes: a batch is cut into slices of about a megabyte, words are
 runs of wanted bytes, and a word or a run of words gets a 64-bit hash.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BYTE_STEP = 0x9E3779B97F4A7C15
 _WORD_STEP = 0xD1342543DE82EF95
 _power_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
