@@ -9,9 +9,10 @@ after training, so the length of the code of a text is an exact sum of table
 entries. The language with the shortest code wins, its name included, which
 costs -log2 of its share of the labelled rows.
 
-Training reads about ``max_docs`` labelled rows per language and keeps the
-``max_grams`` most frequent byte sequences; both bound the model, which is
-broadcast. Scoring reads every byte of every text, in one pass without a shuffle.
+Training reads about ``max_docs`` labelled rows per language, which bounds the
+model, and keeps every byte sequence of theirs. The trees are broadcast packed: the
+followers of a context are a bit set and the number of the first of them. Scoring
+reads every byte of every text, in one pass without a shuffle.
 
 Defined results: a null, empty or letterless text is ``und`` with score 0; equal
 code lengths go to the first language by name; without labelled rows everything
@@ -34,7 +35,6 @@ from sortflow.llm.wordbytes import Texts, text_slices
 
 ORDER = 4
 MAX_DOCS = 4_000
-MAX_GRAMS = 60_000
 #: A text that takes more bits a byte in its best language is in none of them: a byte no language has shown
 #: costs over 20 bits, numbers and keys among words 8 to 12.
 MAX_BITS = 16.0
@@ -66,37 +66,56 @@ def _count_grams(order: int):
     return count
 
 
-def _bytes_of(gram: int) -> bytes:
-    """Bytes of a counted key, first byte first."""
-    return int(gram & ((1 << 40) - 1)).to_bytes(5, "big")[5 - (gram >> 40) :]
+def _key_of(gram: bytes) -> int:
+    """Key of a byte sequence, as it is counted."""
+    return len(gram) << 40 | int.from_bytes(gram, "big")
 
 
 class LanguageModel:
     """Context trees of all languages in one tree, with a table of costs per language."""
 
     def __init__(self, grams: list[tuple[bytes, dict[str, int]]], order: int, rows: dict[str, int] | None = None) -> None:
+        counted = [(_key_of(gram), lang, n) for gram, by_lang in grams for lang, n in by_lang.items()]
+        keys, langs, n = zip(*counted) if counted else ((), (), ())
+        self._fit(np.array(keys, np.int64), np.array(langs, object), np.array(n, np.int64), order, rows)
+
+    @classmethod
+    def of_counts(cls, counted: pa.Table, order: int, rows: dict[str, int] | None = None) -> LanguageModel:
+        """Model of a table (gram, lang, n) of counted keys."""
+        model = cls.__new__(cls)
+        langs = counted["lang"].combine_chunks().dictionary_encode()
+        names = np.array(langs.dictionary.to_pylist(), object)[langs.indices.to_numpy()] if len(langs) else np.zeros(0, object)
+        model._fit(counted["gram"].to_numpy(), names, counted["n"].to_numpy(), order, rows)
+        return model
+
+    def _fit(self, gram: np.ndarray, lang: np.ndarray, n: np.ndarray, order: int, rows: dict[str, int] | None) -> None:
         self.order = order
-        self.languages = sorted({lang for _, counts in grams for lang in counts})
-        shares = np.array([(rows or {}).get(lang, 1) for lang in self.languages], np.float64)
+        self.languages = sorted(set(lang))
+        shares = np.array([(rows or {}).get(name, 1) for name in self.languages], np.float64)
         self.name_bits = -np.log2(shares / shares.sum())
-        grams = sorted(grams, key=lambda g: (len(g[0]), g[0]))
-        number = {b"": 0} | {gram: i + 1 for i, (gram, _) in enumerate(grams)}
+        #: Node i stands for keys[i]: shorter sequences first, then by byte; node 0 is the empty sequence.
+        keys = np.unique(np.append(gram, 0))
+        length, said = keys >> 40, keys & ((1 << 40) - 1)
+        size, languages = len(keys), len(self.languages)
+        last = said & 255
+        parent = np.searchsorted(keys, np.maximum(length - 1, 0) << 40 | said >> 8)
+        shorter = np.searchsorted(keys, np.maximum(length - 1, 0) << 40 | said & ((1 << 8 * np.maximum(length - 1, 0)) - 1))
         self.symbol = np.zeros(256, np.int64)
-        seen = sorted({b for gram, _ in grams for b in gram})
+        seen = np.unique(last[1:])
         self.symbol[seen] = np.arange(1, len(seen) + 1)
-        self.width = len(seen) + 1
-        #: Sequences of full length have no followers; the last row is that of sequences not kept.
-        inner = 1 + sum(len(gram) <= order for gram, _ in grams)
+        #: Sequences of full length have no followers; the last row is that of sequences not seen.
+        inner = int(np.count_nonzero(length <= order))
         self.dead = inner
-        size, languages = len(grams) + 1, len(self.languages)
-        child = np.full((inner + 1, self.width), -1, np.int64)
+        self.words = (len(seen) + 64) // 64
+        slot = parent[1:] * self.words + (self.symbol[last[1:]] >> 6)
+        self.bits = np.zeros((inner + 1) * self.words, np.uint64)
+        np.bitwise_or.at(self.bits, slot, np.uint64(1) << (self.symbol[last[1:]] & 63).astype(np.uint64))
+        self.first = np.zeros((inner + 1) * self.words, np.int64)
+        used, at = np.unique(slot, return_index=True)
+        self.first[used] = at + 1
         counts = np.zeros((size, languages))
-        for gram, by_lang in grams:
-            child[number[gram[:-1]], self.symbol[gram[-1]]] = number[gram]
-            for lang, n in by_lang.items():
-                counts[number[gram], self.languages.index(lang)] = n
+        counts[np.searchsorted(keys, gram), np.searchsorted(self.languages, list(lang)) if languages else []] = n
         total, kinds = np.zeros((size, languages)), np.zeros((size, languages))
-        parent = np.array([0] + [number[gram[:-1]] for gram, _ in grams])
         np.add.at(total, parent[1:], counts[1:])
         np.add.at(kinds, parent[1:], counts[1:] > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -104,17 +123,22 @@ class LanguageModel:
             own = -np.log2(counts / (total + kinds)[parent])
         falls = escape.copy()
         cost = np.full((size, languages), 8.0)
-        for gram, _ in grams:
-            i, shorter = number[gram], number[gram[1:]]
-            if len(gram) <= order:
-                falls[i] += falls[shorter]
-            below = cost[shorter] if len(gram) > 1 else 8.0
-            cost[i] = np.where(counts[i] > 0, own[i], escape[parent[i]] + below)
+        for k in range(1, order + 2):
+            i = slice(*np.searchsorted(length, [k, k + 1]))
+            if k <= order:
+                falls[i] += falls[shorter[i]]
+            cost[i] = np.where(counts[i] > 0, own[i], escape[parent[i]] + cost[shorter[i]])
         cost[1:] -= falls[parent[1:]]
-        self.child = child.astype(np.int32).ravel()
         self.cost = np.ascontiguousarray(cost.T)
         self.falls = np.ascontiguousarray(falls[:inner].T)
 
+    def _child(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The node of a sequence and one byte more, -1 if it was not seen."""
+        slot = node * self.words + (symbol >> 6)
+        bits, at = self.bits[slot], (symbol & 63).astype(np.uint64)
+        below = np.bitwise_count(bits & ((np.uint64(1) << at) - np.uint64(1)))
+        return np.where(bits >> at & np.uint64(1), self.first[slot] + below, -1)
+
     def code_bits(self, texts: Texts) -> np.ndarray:
         """Code length in bits of every text in every language."""
         out = np.zeros((len(self.languages), texts.rows))
@@ -133,7 +157,7 @@ class LanguageModel:
                 before[1:] = node[:-1]
                 before[first] = -1
                 before[before < 0] = self.dead
-            node = self.child[before * self.width + symbol].astype(np.int64)
+            node = self._child(before, symbol)
             alive = node >= 0
             if length == self.order + 1:
                 context = matched.copy()
@@ -165,7 +189,6 @@ def train_languages(
     lang_col: str = "lang",
     order: int = ORDER,
     max_docs: int = MAX_DOCS,
-    max_grams: int = MAX_GRAMS,
 ) -> LanguageModel:
     """Fit on about ``max_docs`` rows of each language, chosen by a hash of the row."""
     if not 1 <= order <= 4:
@@ -179,13 +202,7 @@ def train_languages(
     sample = rows.where(F.pmod("at", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
     counted = sample.mapInArrow(_count_grams(order), "lang string, gram long, n long")
     counted = counted.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    grams = counted.groupBy("gram").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-    kept = grams.where("n > 1").orderBy(F.desc("n"), "gram").limit(max_grams).select("gram", F.inline("by_lang")).toArrow()
-    counts: dict[bytes, dict[str, int]] = {}
-    for part in kept.to_batches(max_chunksize=10_000):
-        for gram, lang, n in zip(*(c.to_pylist() for c in part.columns)):
-            counts.setdefault(_bytes_of(gram), {})[lang] = n
-    return LanguageModel(list(counts.items()), order, sizes)
+    return LanguageModel.of_counts(counted.select("gram", "lang", "n").toArrow(), order, sizes)
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", max_bits: float = MAX_BITS) -> DataFrame:

@@ -61,6 +61,25 @@ def test_code_lengths_are_exact():
             np.testing.assert_allclose(bits[i], expected, atol=1e-9)
 
 
+def test_every_sequence_of_the_sample_counts(spark):
+    """Sequences seen once, and those of a rare language, beside more than 60,000 others."""
+    r = random.Random(7)
+    say = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(n))
+    texts = {lang: [say(letters, 3_000)] * 2 for lang, letters in (("en", "abcdefghijklm"), ("de", "nopqrstuvwxyz"))}
+    texts["es"] = [say("abcdefgñopqrs", 20) for _ in range(3)]
+    model = train_languages(spark.createDataFrame([(t, lang) for lang, said in texts.items() for t in said], "text string, lang string"))
+    grams = tree(texts, 4)
+    assert sum(sum(by.values()) > 1 for _, by in grams) > 60_000
+    assert sum(x.bit_count() for x in model.bits.tolist()) == len(grams)
+    said = [texts["es"][0], texts["en"][0][:300], "ñabc xyz", "a"]
+    bits = model.code_bits(next(text_slices(pa.array(said), lower=False)))
+    few = {g: by for g, by in grams if any(g[:-1] in x.encode() for x in said[2:])}
+    for i, lang in enumerate(model.languages):
+        np.testing.assert_allclose(bits[i, 2:], [plain_bits(few, lang, x.encode(), 4) for x in said[2:]], atol=1e-9)
+    np.testing.assert_allclose(bits, LanguageModel(grams, 4).code_bits(next(text_slices(pa.array(said), lower=False))), atol=1e-9)
+    assert bits[model.languages.index("es"), 0] == bits[:, 0].min()
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = train_languages(docs.where(~held_out()))
