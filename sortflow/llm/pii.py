@@ -4,15 +4,17 @@ Protected entities are e-mail addresses, IP addresses, card numbers and phone
 numbers. A term is a word of letters; it stands near an entity if it lies whole
 within ``WINDOW`` characters of it. Over the whole corpus,
 
-    p(k)   is the share of words that stand near an entity of kind k,
-    p(k|t) the share of the occurrences of term t that do, and
-    d(t)   = PMI(t; k) / IC(k) = log(p(k|t) / p(k)) / log(1 / p(k)),
-
-the largest over k: the part of the information in "here is an entity of kind k"
-that the term gives away, 1 if it never stands elsewhere. Terms near fewer than
-``SUPPORT`` different entities are left alone, so that copies of one text teach
-nothing. Near an entity, terms from ``GENERALISE`` on are replaced by a general
-word, from ``REMOVE`` on they are removed; entities are replaced by their kind.
+    p(e)   is the share of words that stand near entity e,
+    p(e|t) the share of the occurrences of term t that do, and
+    d(t)   = PMI(t; e) / IC(e) = log(p(e|t) / p(e)) / log(1 / p(e)),
+
+the largest over all entity values, and over their kinds, which count as entities
+of a second level: the part of the information in "here is entity e" or "here is an
+entity of this kind" that the term gives away, 1 if it never stands elsewhere. A
+term is held against an entity or kind beside which it stands in at least
+``SUPPORT`` different texts, so that copies of one text teach nothing. Near an
+entity, terms from ``GENERALISE`` on are replaced by a general word, from
+``REMOVE`` on they are removed; entities are replaced by their kind.
 
 Words are counted for candidate terms only. Candidates and term spans are
 broadcast if they are few, else joined by a shuffle; a hot term is
@@ -147,39 +149,44 @@ def find_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def near_terms(found: DataFrame) -> DataFrame:
-    """(place, kind, entity, start, end, term): every word near an entity, off all entities."""
+    """(place, said, kind, entity, start, end, term): every word near an entity, off all entities; ``said`` tells texts apart."""
     each = found.where(F.size("entities") > 0).select("place", "text", "entities", F.explode("entities").alias("span"))
+    said = F.xxhash64("text").alias("said")
     entity = F.xxhash64("span.kind", F.substr("text", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")))
     words = each.select(
-        "place", "entities", F.col("span.kind").alias("kind"), entity.alias("entity"), F.explode(_near(F.col("text"), F.col("span"))).alias("word")
+        "place", said, "entities", F.col("span.kind").alias("kind"), entity.alias("entity"), F.explode(_near(F.col("text"), F.col("span"))).alias("word")
     )
     end = F.col("word.start") + F.char_length("word.piece")
     off = ~F.exists("entities", lambda x: (x["start"] < end) & (x["end"] > F.col("word.start")))
     return words.where(off).select(
-        "place", "kind", "entity", F.col("word.start").alias("start"), end.alias("end"), F.lower("word.piece").alias("term")
+        "place", "said", "kind", "entity", F.col("word.start").alias("start"), end.alias("end"), F.lower("word.piece").alias("term")
     )
 
 
 def disclosing_terms(docs: DataFrame, near: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
     """(term, disclosure) of the candidate terms: the part of an entity's information that they give away."""
-    seen = near.groupBy("term", "kind").agg(
-        F.count_distinct("place", "start").alias("near"), F.count_distinct("entity").alias("entities")
-    )
-    seen = materialise(seen, "pii-terms")
-    by_kind = {r["kind"]: r["near"] for r in seen.groupBy("kind").agg(F.sum("near").alias("near")).collect()}
-    candidates = seen.where(F.col("entities") >= support)
-    if candidates.isEmpty():
-        return candidates.select("term", F.lit(0.0).alias("disclosure")).limit(0)
-    terms = candidates.select("term").distinct().withColumn("candidate", F.lit(True))
+    counts = F.count_distinct("place", "start").alias("near"), F.count_distinct("said").alias("texts")
+    values = materialise(near.groupBy("term", "entity").agg(*counts), "pii-values")
+    kinds = materialise(near.groupBy("term", "kind").agg(*counts), "pii-terms")
+    enough = F.col("texts") >= support
+    terms = values.where(enough).select("term").union(kinds.where(enough).select("term")).distinct()
+    terms = materialise(terms.withColumn("candidate", F.lit(True)), "pii-candidates")
+    if terms.isEmpty():
+        return terms.select("term", F.lit(0.0).alias("disclosure"))
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_of(docs, text_col)), F.lit(f"({_WORD})"))).alias("term"))
     counted = words.join(checked_broadcast(terms, MAX_TERMS), "term", "left")
     counted = counted.groupBy(F.when(F.col("candidate"), F.col("term")).alias("term")).agg(F.count("*").alias("n"))
     counted = materialise(counted, "pii-counts")
     total = counted.agg(F.sum("n")).first()[0] or 1
-    shares = F.create_map(*[x for k, n in by_kind.items() for x in (F.lit(k), F.lit(min(0.5, n / total)))])
-    share = shares[F.col("kind")]
+    share = F.least(F.lit(0.5), F.col("all_near") / F.lit(total))
     degree = F.log(F.least(F.col("near") / F.col("n"), F.lit(1.0)) / share) / -F.log(share)
-    return candidates.join(counted, "term").groupBy("term").agg(F.max(degree).alias("disclosure"))
+
+    def degrees(seen: DataFrame, what: str) -> DataFrame:
+        whole = seen.groupBy(what).agg(F.sum("near").alias("all_near"))
+        return seen.where(enough).join(whole, what).join(counted, "term").select("term", degree.alias("degree"))
+
+    both = degrees(values, "entity").union(degrees(kinds, "kind"))
+    return both.groupBy("term").agg(F.max("degree").alias("disclosure"))
 
 
 def _disclosures(docs: DataFrame, text_col: str, support: int, generalise: float, remove: float) -> DataFrame:

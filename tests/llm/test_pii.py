@@ -95,6 +95,24 @@ def test_copies_teach_nothing(documents):
     assert [r[0] for r in found] == ["email:30:41"]
 
 
+def test_terms_of_a_single_owner(documents):
+    """A name that stands in many texts beside its owner's one address, and nowhere else."""
+    r = random.Random(8)
+    other = [f"{a}{b}{c}" for a in "bdkl" for b in ("ara", "eno", "ili") for c in ("tan", "mos", "rin", "dul")]
+    say = lambda n: " ".join(r.choice(other) for _ in range(n))
+    rows = [(i, f"{say(30)} Quxville at q@here.org {say(30)}") for i in range(30)]
+    rows += [(100 + i, f"{say(60)} at {say(10)}") for i in range(200)]
+    rows += [(400 + i, f"{say(30)} Onlyfour f@here.org {say(30)}") for i in range(4)]
+    found = find_disclosures(documents(rows)).select(F.col(ROW)["doc_id"].alias("doc_id"), spans_text(F.col("spans")).alias("spans"))
+    spans = {x["doc_id"]: x["spans"].split(",") for x in found.collect()}
+    for doc_id, text in rows:
+        name = re.search("Quxville", text)
+        terms = [x for x in spans[doc_id] if x.startswith("term")]
+        assert terms == ([f"term:{name.start()}:{name.end()}"] if name else [])
+    clean = {x["doc_id"]: x["text"] for x in sanitise(documents(rows)).collect()}
+    assert "Quxville" not in "".join(clean.values()) and "Onlyfour" in clean[400]
+
+
 def test_odd_tables(spark, documents):
     assert find_disclosures(documents([])).count() == 0
     odd = documents([(None, "a@b.c"), (None, "a@b.c"), (1, "a@b.c")], extra="entities string, spans string, row string, place long")
