@@ -6,8 +6,9 @@ side bars, notices, adverts, forms, comments and everything that is no text are
 left out by element, role, and the words of class and id. The ratio of text to
 tags of the lines that remain is smoothed by a Gaussian; lines above a part of
 its spread are content. The content lines vote for regions: articles and main
-elements if the page has any, else the innermost element that holds nearly all
-of the content. Every line of a chosen region is text, however short.
+elements if the page has any, else the lowest container that all content lines
+share and that holds other lines too; paragraphs, headings, lists, tables and their
+parts are no containers. Every line of a chosen region is text, however short.
 
 Defined results: null, empty and textless html give an empty text; unclosed
 elements end with their parent; character references are decoded, unknown ones
@@ -18,6 +19,7 @@ other columns pass through in the row.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -32,8 +34,6 @@ from sortflow.llm.rows import ROW, text_of, whole_row
 SIGMA = 1.0
 #: Content lines have at least this part of the standard deviation of the smoothed ratios.
 SPREAD = 0.5
-#: Part of the content that the chosen element of a page without articles holds.
-MOST = 0.9
 
 # Elements, roles and words of class and id, as used in HTML pages.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,11 +58,16 @@ REGIONS = {"article", "main"}
 #: Words that drop a whole article: others may describe the page around it.
 DROPPED_REGION_WORDS = set("ad ads advert advertisement sponsored promo comment comments reply replies related teaser".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Block elements that are a piece of a text, never the region that holds it.
+PIECES = HEADINGS | set(
+    "p pre blockquote address hgroup ul ol li dl dt dd table caption colgroup thead tbody tfoot tr td th figure figcaption "
+    "details summary fieldset legend optgroup option".split()
+)
 
 
 @dataclass
 class Line:
-    """A line of a page: text, tags in it, the elements around it, and the region it lies in."""
+    """A line of a page: text, tags in it, the containers around it, and the region it lies in."""
 
     text: str
     tags: int
@@ -99,7 +104,7 @@ class LineParser(HTMLParser):
         text = " ".join("".join(state.parts).split())
         if text:
             top = state.open[-1] if state.open else None
-            around = tuple(e.number for e in state.open if e.tag not in INLINE)
+            around = tuple(e.number for e in state.open if e.tag not in INLINE and e.tag not in PIECES)
             self.lines.append(Line(text, state.tags, around, top.region if top else None))
         state.parts.clear()
         state.tags = 0
@@ -171,14 +176,11 @@ def smoothed_ratios(lines: list[Line], sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def _innermost(lines: list[Line], weight: np.ndarray) -> int | None:
-    """The innermost element that holds nearly all of the weight."""
-    held: dict[int, float] = {}
-    for line, w in zip(lines, weight):
-        for element in line.around:
-            held[element] = held.get(element, 0.0) + w
-    enough = [element for element, w in held.items() if w >= MOST * weight.sum()]
-    return max(enough, default=None)
+def _common_container(lines: list[Line], weight: np.ndarray) -> int | None:
+    """The lowest container around all lines with weight that holds more than one line."""
+    held = Counter(container for line in lines for container in line.around)
+    shared = set.intersection(*[set(line.around) for line, w in zip(lines, weight) if w])
+    return max((container for container in shared if held[container] > 1), default=None)
 
 
 def main_text(html: str | None) -> str:
@@ -196,7 +198,7 @@ def main_text(html: str | None) -> str:
         voted = {line.region for line, w in zip(lines, weight) if w and line.region is not None}
         chosen = [line for line in lines if line.region in (voted or regions)]
     else:
-        inner = _innermost(lines, weight)
+        inner = _common_container(lines, weight) if weight.any() else None
         chosen = [line for line in lines if inner is None or inner in line.around]
     return "\n".join(line.text for line in chosen)
 

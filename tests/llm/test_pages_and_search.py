@@ -29,6 +29,17 @@ def test_page_without_an_article():
     assert main_text(page) == main_text(PAGE)
 
 
+def test_a_long_paragraph_does_not_win_alone():
+    lead, long, end = "lead " * 12, "long words " * 200, "closing words of the page"
+    one = f"<div><h1>Title</h1><p>{lead}</p><p>{long}</p></div>"
+    assert main_text(one).split("\n") == ["Title", lead.strip(), long.strip()]
+    assert main_text(f"<div><h1>Title</h1><div><p>{long}</p></div></div>").split("\n") == ["Title", long.strip()]
+    apart = f"<body><div><div><p>{lead}</p></div><div><p>{long}</p><ul><li>one<li>two</ul></div><div><p>{end}</p></div></div></body>"
+    assert main_text(apart).split("\n") == [lead.strip(), long.strip(), "one", "two", end]
+    table = f"<div><h2>Title</h2><table><tr><td>a<td>{long}</table><p>b</p></div>"
+    assert main_text(table).split("\n") == ["Title", "a", long.strip(), "b"]
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [(None, ""), ("", ""), ("<p></p><!-- x -->", ""), ("plain words", "plain words"), ("<p>a < b &lt; c &nosuch; &amp", "a < b < c &nosuch; &"),
