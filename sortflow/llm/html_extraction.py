@@ -3,7 +3,10 @@
 The standard library's parser streams a page's events. Block elements end a
 line; a line has its text and the number of tags in it. Menus, headers, footers,
 side bars, notices, adverts, forms, comments and everything that is no text are
-left out by element, role, and the words of class and id. The ratio of text to
+left out by element, role, and the words of class and id. A word counts if it is
+the head noun of a class or id, and never for an element that holds most of the
+page's text, nor for one that holds an article or main element if there is none
+outside such elements; this is decided when the page is read. The ratio of text to
 tags of the lines that remain is smoothed by a Gaussian; lines above a part of
 its spread are content. The content lines vote for regions: articles and main
 elements if the page has any, else the lowest container that all content lines
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from html.parser import HTMLParser
 
 import numpy as np
@@ -54,6 +57,9 @@ DROPPED_WORDS = set(
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments "
     "respond reply replies disqus related recommended recommendations pagination pager toolbar skip hidden".split()
 )
+#: Last words that add nothing to the noun before them, and first words that tell what an element has or lacks.
+TAILS = set("container wrapper wrap box block area section slot unit list item items".split())
+DESCRIBING = set("has have no not non with without hide show".split())
 REGIONS = {"article", "main"}
 #: Words that drop a whole article: others may describe the page around it.
 DROPPED_REGION_WORDS = set("ad ads advert advertisement sponsored promo comment comments reply replies related teaser".split())
@@ -81,12 +87,14 @@ class _Element:
     number: int
     dropped: bool
     region: int | None
+    #: Elements around it, itself included, whose class or id names what is left out.
+    marks: tuple[int, ...]
 
 
 @dataclass
 class _State:
     open: list[_Element] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
+    parts: list[tuple[str, tuple[int, ...]]] = field(default_factory=list)
     tags: int = 0
     count: int = 0
 
@@ -96,30 +104,54 @@ class LineParser(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[Line] = []
+        self.read: list[tuple[list[tuple[str, tuple[int, ...]]], Line]] = []
+        self.regions: dict[int, tuple[int, ...]] = {}
         self.state = _State()
 
     def _end_line(self) -> None:
         state = self.state
-        text = " ".join("".join(state.parts).split())
-        if text:
+        if any(not said.isspace() for said, _ in state.parts):
             top = state.open[-1] if state.open else None
             around = tuple(e.number for e in state.open if e.tag not in INLINE and e.tag not in PIECES)
-            self.lines.append(Line(text, state.tags, around, top.region if top else None))
-        state.parts.clear()
+            self.read.append((state.parts, Line("", state.tags, around, top.region if top else None)))
+        state.parts = []
         state.tags = 0
 
     @staticmethod
     def _is_dropped(tag: str, attrs: dict[str, str]) -> bool:
         if tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLES or "hidden" in attrs:
             return True
-        if attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").lower().replace(" ", ""):
-            return True
+        return attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").lower().replace(" ", "")
+
+    @staticmethod
+    def _is_marked(tag: str, attrs: dict[str, str]) -> bool:
         if tag in {"html", "body", *HEADINGS}:
             return False
-        said = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-        words = "".join(c if c.isalnum() else " " for c in said).split()
-        return not (DROPPED_REGION_WORDS if tag in REGIONS else DROPPED_WORDS).isdisjoint(words)
+        wanted = DROPPED_REGION_WORDS if tag in REGIONS else DROPPED_WORDS
+        for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+            words = [w for w in "".join(c if c.isalnum() else " " for c in token).split() if not w.isdigit()]
+            while len(words) > 1 and words[-1] in TAILS:
+                words.pop()
+            if words and words[-1] in wanted and words[0] not in DESCRIBING:
+                return True
+        return False
+
+    def _spared(self) -> set[int]:
+        """Marked elements that stay: they hold most of the text of the page or their region, or the page's only articles."""
+        held, within, total, inside = Counter(), {}, 0, Counter()
+        for parts, line in self.read:
+            for said, marks in parts:
+                n = len("".join(said.split()))
+                total += n
+                held.update(dict.fromkeys(marks, n))
+                if n and line.region is not None:
+                    inside[line.region] += n
+                    within |= {mark: line.region for mark in marks if mark > line.region}
+        spared = {mark for mark, n in held.items() if 2 * n > (inside[within[mark]] if mark in within else total)}
+        around = [self.regions[region] for region in inside]
+        while around and not any(spared.issuperset(marks) for marks in around):
+            spared |= {next(mark for mark in marks if mark not in spared) for marks in around}
+        return spared
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         state = self.state
@@ -127,7 +159,7 @@ class LineParser(HTMLParser):
             self._close("head")
         top = state.open[-1] if state.open else None
         if tag == "br":
-            state.parts.append(" ")
+            state.parts.append((" ", top.marks if top else ()))
         elif tag not in INLINE:
             self._end_line()
         state.tags += 1
@@ -137,11 +169,15 @@ class LineParser(HTMLParser):
             self._close(tag)
             top = state.open[-1] if state.open else None
         state.count += 1
-        dropped = bool(top and top.dropped) or self._is_dropped(tag, {k: v or "" for k, v in attrs})
+        said = {k: v or "" for k, v in attrs}
+        dropped = bool(top and top.dropped) or self._is_dropped(tag, said)
+        marked = not dropped and self._is_marked(tag, said)
+        marks = (top.marks if top else ()) + ((state.count,) if marked else ())
         region = top.region if top else None
-        if tag in REGIONS and region is None and not dropped:
+        if tag in REGIONS and region is None and not dropped and not marked:
             region = state.count
-        state.open.append(_Element(tag, state.count, dropped, region))
+            self.regions[region] = marks
+        state.open.append(_Element(tag, state.count, dropped, region, marks))
 
     def _close(self, tag: str) -> None:
         opened = self.state.open
@@ -159,12 +195,18 @@ class LineParser(HTMLParser):
     def handle_data(self, data: str) -> None:
         opened = self.state.open
         if not (opened and opened[-1].dropped):
-            self.state.parts.append(data)
+            self.state.parts.append((data, opened[-1].marks if opened else ()))
 
     def finish(self) -> list[Line]:
         self.close()
         self._end_line()
-        return self.lines
+        spared = self._spared()
+        lines = []
+        for parts, line in self.read:
+            text = " ".join("".join(said for said, marks in parts if spared.issuperset(marks)).split())
+            if text:
+                lines.append(replace(line, text=text))
+        return lines
 
 
 def smoothed_ratios(lines: list[Line], sigma: float = SIGMA) -> np.ndarray:

@@ -40,6 +40,22 @@ def test_a_long_paragraph_does_not_win_alone():
     assert main_text(table).split("\n") == ["Title", "a", long.strip(), "b"]
 
 
+@pytest.mark.parametrize("said", ["class='layout has-sidebar'", "id=page class=no-comments", "class='container fixed-header'", "class=with_nav"])
+def test_layout_words_do_not_empty_a_page(said):
+    assert main_text(PAGE.replace("<body>", f"<body><div {said}>")) == main_text(PAGE)
+    inside = PAGE.replace("<article>", f"<article><div {said}>").replace("<aside>", "</div><aside>")
+    assert main_text(inside) == main_text(PAGE)
+    page = PAGE.replace("First ", "First words of a paragraph that is the most of what this page has to say to its readers, and more ")
+    plain = page.replace("<article>", f"<div id=content><div {said}>").replace("</article>\n<section", "</div></div>\n<section")
+    assert main_text(plain) == main_text(page)
+
+
+def test_surroundings_by_class_stay_out():
+    around = "<div class='related'><article><p>Another story</p></article></div><p>x <span class=ad-slot>Buy</span> y</p>"
+    assert main_text(f"<article><p>The story itself, at length.</p></article>{around}") == "The story itself, at length."
+    assert main_text("<div><p>The story itself, at length.</p><p>x <b class=ad-slot>Buy</b> y</p></div>") == "The story itself, at length.\nx y"
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [(None, ""), ("", ""), ("<p></p><!-- x -->", ""), ("plain words", "plain words"), ("<p>a < b &lt; c &nosuch; &amp", "a < b < c &nosuch; &"),
