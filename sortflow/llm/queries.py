@@ -13,7 +13,7 @@ from sortflow.llm.packing import pack_documents
 from sortflow.llm.pii import KINDS, find_disclosures, spans_text
 from sortflow.llm.rows import ROW
 from sortflow.llm.sharding import shard_documents
-from sortflow.llm.substring_dedup import remove_repeated_spans
+from sortflow.llm.substring_dedup import PASSAGE, remove_repeated_spans
 from sortflow.llm.topk_search import top_k
 from sortflow.llm.toxicity import score_toxicity, train_toxicity
 
@@ -70,7 +70,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op3_substring_dedup")
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = remove_repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = remove_repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), passage=PASSAGE)
     counts = ["n_sentences", "n_removed", "n_words_removed"]
     return cleaned.select(F.col(ROW)["doc_id"].alias("doc_id"), "text", *counts)
 

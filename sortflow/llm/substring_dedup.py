@@ -2,8 +2,10 @@
 
 A text is cut into sentences: after a word that ends in a full stop, question or
 exclamation mark, at a line end, and, so that a passage is cut alike wherever it
-was pasted in, after every word whose hash is a multiple of ``CUT_EVERY``. From
-each sentence a span runs over at least ``sentences`` sentences and ``words``
+was pasted in, after words chosen by their hash. With ``passage`` these are the
+smallest of every window of words (winnowing), so narrow that any ``passage`` words
+in a row hold a whole span, whatever stands around them; without it, words whose
+hash is a multiple of ``CUT_EVERY``, which guarantees nothing. From each sentence a span runs over at least ``sentences`` sentences and ``words``
 words. Equal spans are found by one aggregate over a 96-bit hash, with partial
 counts before the shuffle; the first occurrence, by document and place, stays,
 and every sentence that another occurrence covers is removed.
@@ -37,6 +39,8 @@ from sortflow.plans.workspace import materialise
 SENTENCES = 3
 WORDS = 12
 CUT_EVERY = 4
+#: Words of a passage that is found wherever it was pasted in.
+PASSAGE = 51
 #: Text worked on at once: a task takes about 100 times as much for hashes.
 SLICE_BYTES = 1 << 20
 #: Ids broadcast at most, 8 bytes each.
@@ -46,14 +50,45 @@ _ENDS[list(b".!?")] = True
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
-def cut_sentences(texts: Texts) -> tuple[Words, np.ndarray, np.ndarray]:
+def window_of(passage: int, sentences: int = SENTENCES, words: int = WORDS) -> int:
+    """The widest window whose cuts leave a whole span in any ``passage`` words.
+
+    A cut depends on less than a window on either side. In what remains of the passage the first cut comes within a
+    window, and the span ends within a window a sentence, or within a window from its last needed word.
+    """
+    w = 0
+    while w + max(sentences * (w + 1), words + w) < passage - 2 * w:
+        w += 1
+    if not w:
+        raise ValueError(f"No cuts leave {sentences} sentences and {words} words in every {passage} words")
+    return w
+
+
+def _smallest_of_windows(words: Words, hashes: np.ndarray, window: int) -> np.ndarray:
+    """Whether a word has the smallest hash of some window of its row."""
+    n = len(hashes)
+    least = np.zeros(n, np.uint64)
+    whole = n - window + 1
+    if whole > 0:
+        lowest = hashes[:whole].copy()
+        for k in range(1, window):
+            np.minimum(lowest, hashes[k : k + whole], out=lowest)
+        least[:whole] = np.where(words.row[:whole] == words.row[window - 1 :], lowest, np.uint64(0))
+    best = least.copy()
+    for k in range(1, min(window, n)):
+        np.maximum(best[k:], least[: n - k], out=best[k:])
+    return best == hashes
+
+
+def cut_sentences(texts: Texts, window: int | None = None) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words, their hashes, and the first word of every sentence with the number of words at the end."""
     words = find_words(texts, SOLID_BYTES)
     hashes = span_hashes(texts, words.start, words.end)
     n = len(hashes)
     if not n:
         return words, hashes, np.zeros(1, np.int64)
-    ends = _ENDS[texts.data[words.end - 1]] | (hashes % np.uint64(CUT_EVERY) == 0)
+    chosen = _smallest_of_windows(words, hashes, window) if window else hashes % np.uint64(CUT_EVERY) == 0
+    ends = _ENDS[texts.data[words.end - 1]] | chosen
     line_ends = np.flatnonzero(texts.data == 10)
     after = np.searchsorted(line_ends, words.end)
     before_next = np.searchsorted(line_ends, np.append(words.start[1:], len(texts.data)))
@@ -63,13 +98,13 @@ def cut_sentences(texts: Texts) -> tuple[Words, np.ndarray, np.ndarray]:
     return words, hashes, np.concatenate([[0], np.flatnonzero(ends) + 1])
 
 
-def spans_of(texts: Texts, sentences: int = SENTENCES, words: int = WORDS):
+def spans_of(texts: Texts, sentences: int = SENTENCES, words: int = WORDS, window: int | None = None):
     """Sentences of the texts, and their spans.
 
     Returns (words, border, row, first, last, one, two, again): words and borders of :func:`cut_sentences`; of every
     span its row, first and last sentence over all rows, a 128-bit hash, and whether its row has it earlier on.
     """
-    found, hashes, border = cut_sentences(texts)
+    found, hashes, border = cut_sentences(texts, window)
     n = len(border) - 1
     row = found.row[border[:-1]] if n else np.zeros(0, np.int64)
     first = np.arange(n)
@@ -91,12 +126,12 @@ def _first_sentences(found: Words, border: np.ndarray, rows: int) -> np.ndarray:
     return by_row(found.row[border[:-1]] if len(border) > 1 else np.zeros(0, np.int64), rows)
 
 
-def _spans(sentences: int, words: int):
+def _spans(sentences: int, words: int, window: int | None):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for texts in text_slices(batch.column(1), SLICE_BYTES):
-                found, border, row, first, _, one, two, again = spans_of(texts, sentences, words)
+                found, border, row, first, _, one, two, again = spans_of(texts, sentences, words, window)
                 new = ~again
                 number = first - _first_sentences(found, border, texts.rows)[row]
                 half = (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -106,7 +141,7 @@ def _spans(sentences: int, words: int):
     return cut
 
 
-def _remove(sentences: int, words: int, text_col: str):
+def _remove(sentences: int, words: int, window: int | None, text_col: str):
     """Drop the sentences of the spans in a document's list, and of those it repeats itself."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +151,7 @@ def _remove(sentences: int, words: int, text_col: str):
             old, out, counts, removed, words_removed = column.to_pylist(), [], [], [], []
             for texts in text_slices(column, SLICE_BYTES):
                 whole = next(text_slices(column.slice(texts.first, texts.rows), max_bytes=1 << 62, lower=False)).data
-                found, border, row, first, last, _, _, again = spans_of(texts, sentences, words)
+                found, border, row, first, last, _, _, again = spans_of(texts, sentences, words, window)
                 per_row = _first_sentences(found, border, texts.rows)
                 listed = [np.asarray(x or (), np.int64) for x in lists[texts.first : texts.first + texts.rows]]
                 marked = np.zeros(len(border), bool)
@@ -156,12 +191,14 @@ def remove_repeated_spans(
     words: int = WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    passage: int | None = None,
 ) -> DataFrame:
     """(row, text, n_sentences, n_removed, n_words_removed): every row as a struct, and its text without repeats."""
+    window = window_of(passage, sentences, words) if passage else None
     text = text_of(docs, text_col)
     doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(text))
     rows = docs.select(whole_row(docs), text.alias("text"), doc.alias("doc"))
-    cut = rows.select("doc", "text").mapInArrow(_spans(sentences, words), "one long, two int, doc long, first int")
+    cut = rows.select("doc", "text").mapInArrow(_spans(sentences, words, window), "one long, two int, doc long, first int")
     kept = cut.groupBy("one", "two").agg(F.min("doc").alias("kept"))
     again = cut.join(kept, ["one", "two"]).where("doc != kept")
     by_doc = materialise(again.groupBy("doc").agg(F.collect_set("first").alias("spans")), "repeated-spans")
@@ -173,4 +210,4 @@ def remove_repeated_spans(
     else:
         marked = rows.join(by_doc, "doc", "left").select(ROW, "spans")
     schema = marked.select(ROW).schema.add("text", "string").add("n_sentences", "long").add("n_removed", "long")
-    return marked.mapInArrow(_remove(sentences, words, text_col), schema.add("n_words_removed", "long"))
+    return marked.mapInArrow(_remove(sentences, words, window, text_col), schema.add("n_words_removed", "long"))

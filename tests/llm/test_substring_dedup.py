@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 
 from sortflow.llm.rows import ROW
-from sortflow.llm.substring_dedup import CUT_EVERY, SENTENCES, WORDS, remove_repeated_spans
+from sortflow.llm.substring_dedup import CUT_EVERY, PASSAGE, SENTENCES, WORDS, remove_repeated_spans, window_of
 from sortflow.llm.wordbytes import SOLID_BYTES, find_words, span_hashes, text_slices
 
 
@@ -87,6 +87,21 @@ def test_planted_passages_go_and_clean_texts_stay(documents):
     assert all(found[i]["n_words_removed"] >= 24 for i in range(3, 60, 2))
 
 
+def test_every_passage_of_51_words_holds_a_span(documents):
+    """Passages of many and of few different words, pasted into the middle of other sentences."""
+    assert window_of(PASSAGE) == 8
+    r = random.Random(9)
+    words = [f"v{i}" for i in range(5000)]
+    say = lambda n, some: [r.choice(some) for _ in range(n)]
+    passages = [say(PASSAGE, words if i % 3 else r.sample(words, 1 + i // 3 % 5)) for i in range(300)]
+    docs = [(1000 * c + i, " ".join(say(40, words) + p + say(40, words))) for c in (0, 1) for i, p in enumerate(passages)]
+    found = {x[ROW]["doc_id"]: x["n_words_removed"] for x in remove_repeated_spans(documents(docs), passage=PASSAGE).collect()}
+    assert all(WORDS <= found[1000 + i] <= PASSAGE for i in range(1, 300, 3))
+    assert all(WORDS <= found[1000 + i] <= PASSAGE for i in range(2, 300, 3))
+    assert all(found[1000 + i] >= WORDS for i in range(0, 300, 3))
+    assert all(found[i] == 0 for i in range(300) if i % 3)
+
+
 def test_odd_tables(documents):
     text = " ".join(f"word{i}." for i in range(40))
     rows = remove_repeated_spans(documents([(None, text), (None, text), (None, text + " more."), (3, text), (3, text)], extra="spans string, doc long"))
