@@ -13,15 +13,19 @@ from sortflow.llm.packing import pack_documents
 from sortflow.llm.pii import KINDS, find_disclosures, spans_text
 from sortflow.llm.rows import ROW
 from sortflow.llm.sharding import shard_documents
+from sortflow.llm.simhash_join import simhash_components
 from sortflow.llm.substring_dedup import PASSAGE, remove_repeated_spans
+from sortflow.llm.token_alignment import align_tokenizers
 from sortflow.llm.topk_search import top_k
 from sortflow.llm.toxicity import score_toxicity, train_toxicity
+from sortflow.llm.vector_codes import ROUNDS, vector_codes
 
 QUERIES = {}
 ORACLES = {}
 SHARDS = 24
 TOXIC_FROM = 0.7
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _query(name: str, oracle: str | None = None):
@@ -38,10 +42,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -179,3 +183,48 @@ _SCALED = "list_transform(embedding, lambda x: cast(floor(256 * cast(x as double
 def op10_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def _code_rounds(rounds: int) -> str:
+    """Assignments ``a0`` to ``a<rounds>`` and the codebooks ``c1`` to ``c<rounds>`` made of them; ``m`` is distance and entry in one."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+    a{k} as materialized (select vec_id, part, min(d * 256 + entry) as m
+      from (select vec_id, part, entry, cast(sum((x - c) * (x - c)) as bigint) as d from p join c{k} using (part, i) group by all) group by all),
+    s{k} as materialized (select a.part, a.m % 256 as entry, i, count(*) as n, cast(sum(x) as bigint) as s
+      from a{k} a join p using (vec_id, part) group by all),
+    c{k + 1} as materialized (select part, entry, i, coalesce((s - ((s % n) + n) % n) // n, c) as c from c{k} left join s{k} using (part, entry, i))""")
+    return ",".join(steps)
+
+
+@_query(
+    "op11_vector_codes",
+    f"""
+    with v as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+      from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    w as (select max(len(v)) // 4 as w from v),
+    p as materialized (select vec_id, (k - 1) // w as part, (k - 1) % w as i, v[k] as x
+      from (select vec_id, w, v, unnest(range(1, cast(len(v) as bigint) + 1)) as k from v, w)),
+    first as (select vec_id, row_number() over (order by vec_id) - 1 as entry from v order by vec_id limit 256),
+    c0 as materialized (select part, entry, i, x as c from p join first using (vec_id)),
+    {_code_rounds(ROUNDS)},
+    coded as (select vec_id, string_agg(format('{{:02x}}', m % 256), '' order by part) as code, cast(sum(m // 256) as bigint) as error
+      from a{ROUNDS} group by vec_id)
+    select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+      (select sha256(string_agg(cast(c as varchar), ',' order by part, entry, i)) from c{ROUNDS}) as codebooks_sha256
+    from v join coded using (vec_id)
+    """,
+)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+@_query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"), *map(tokenizer_path, ALIGNED))
+
+
+@_query("op13_simhash")
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"))

@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_jaccard_join": "doc_id:bigint n_shingles:bigint component_id:bigint",
     "op9_disclosure": "doc_id:bigint n_email:bigint n_ip:bigint n_card:bigint n_phone:bigint base_sha256:string spans:string",
     "op10_max_score": "query_id:bigint rank:int vec_id:bigint score:bigint",
+    "op11_vector_codes": "vec_id:bigint code:string error:bigint label_error:bigint codebooks_sha256:string",
+    "op12_token_alignment": "doc_id:bigint n_a:bigint n_b:bigint n_groups:bigint n_links:bigint n_best:bigint count_sum:bigint groups_sha256:string",
+    "op13_simhash": "doc_id:bigint fingerprint:string component_id:bigint",
 }
 
 
