@@ -20,8 +20,8 @@ Defined results: texts that are null, empty, or that either tokenizer does not
 give back byte by byte (with one space in front) have no tokens, all counts are 0
 and the groups are empty; repeated rows count as often as they come; ids of rows
 are carried as they are, null included; an empty table gives no rows; columns
-other than id and text are not read. Long texts are encoded in parts cut at single spaces
-between word characters, where neither tokenizer joins.
+other than id and text are not read. A word, what stands between single spaces, is encoded
+once by a Python worker: neither tokenizer joins over such a space.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +44,14 @@ from pyspark.sql import functions as F
 from sortflow.llm.rows import text_of
 from sortflow.plans.workspace import materialise
 
-#: Characters encoded at once, and characters from which a text is cut into parts.
+#: Characters of text worked on at once.
 SLICE_CHARS = 1 << 20
-PART_CHARS = 1 << 18
+#: Characters of words remembered.
+MAX_CHARS = 1 << 23
 #: Bytes of text in a block: the more, the fewer rows of pairs travel.
 BLOCK_BYTES = 8 << 20
-_CUT = re.compile(r"(?<=\w) (?=\w)")
+#: Where both tokenizers begin anew: at a single space, but for one after the character that stands for a space in B.
+_CUT = re.compile(r"(?<=[^\s▁]) (?=\S)")
 _SPACE = "▁"
 
 _TEXTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, pair array<int>, times array<long>"
@@ -109,16 +113,9 @@ class Pieces:
         return self.model.encode(parts, num_threads=1)
 
 
-def parts_of(text: str, size: int = PART_CHARS) -> list[str]:
-    """Parts that, with a space before each, are the text with a space before it."""
-    out, at = [], 0
-    while len(text) - at > size:
-        cut = _CUT.search(text, at + size)
-        if cut is None:
-            break
-        out.append(text[at : cut.start()])
-        at = cut.end()
-    return [*out, text[at:]]
+def words_of(text: str) -> list[str]:
+    """Words that, with a space before each, are the text with a space before it."""
+    return _CUT.split(text)
 
 
 @dataclass
@@ -135,14 +132,43 @@ class Encoded:
         return pa.table({"text": self.text, "end": self.end, name: self.ids, f"at_{name}": place})
 
 
-def _lists(encode, parts: list[str], owner: np.ndarray, texts: int) -> pa.LargeListArray:
-    """The ids of every text as one list array."""
-    encoded = encode(parts)
-    sizes = np.bincount(owner, [len(x) for x in encoded], texts).astype(np.int64)
-    flat = np.concatenate([np.asarray(x, np.int32) for x in encoded]) if encoded else np.zeros(0, np.int32)
+def _list_array(lists: list[list[int]]) -> pa.LargeListArray:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
     return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(flat))
 
 
+class Words:
+    """Words a Python worker has met, each encoded once by both tokenizers. Beyond ``MAX_CHARS`` it starts anew."""
+
+    def __init__(self, *encoders) -> None:
+        self.encoders = encoders
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.chars = 0
+        self.ids = [_list_array([]) for _ in self.encoders]
+
+    def __call__(self, words: list[str]) -> list[pa.LargeListArray]:
+        """The ids of every word, by each tokenizer."""
+        if self.chars > MAX_CHARS:
+            self._forget()
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.chars += sum(map(len, new))
+            self.ids = [pa.concat_arrays([old, _list_array(encode(new))]) for old, encode in zip(self.ids, self.encoders)]
+        numbers = pa.array(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+        return [ids.take(numbers) for ids in self.ids]
+
+
+def _by_text(words: pa.LargeListArray, counts: np.ndarray) -> pa.LargeListArray:
+    """The ids of every text from those of its words."""
+    borders = words.offsets.to_numpy()[np.concatenate([[0], np.cumsum(counts)])]
+    return pa.LargeListArray.from_arrays(pa.array(borders - borders[0]), words.flatten())
+
+
 def _gives_back(lists: pa.LargeListArray, tokens: pa.Array, wanted: list[bytes]) -> np.ndarray:
     """Whether the bytes of a text's tokens, joined, are the wanted ones."""
     said = tokens.take(lists.flatten())
@@ -173,14 +199,14 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str) -> None:
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
+        self.words = Words(self.a, self.b)
         self.spelt = _spelt(self.a.tokens, self.b.tokens)
 
     def lists(self, texts: list[str | None]) -> tuple[pa.LargeListArray, pa.LargeListArray]:
         """The ids of every text by A and by B; none where either does not give the text back."""
-        split = [parts_of(t) if t else [] for t in texts]
-        owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])
-        parts = [p for s in split for p in s]
-        both = [_lists(encode, parts, owner, len(texts)) for encode in (self.a, self.b)]
+        split = [words_of(t) if t else [] for t in texts]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        both = [_by_text(ids, counts) for ids in self.words(list(chain.from_iterable(split)))]
         wanted = [(" " + t).encode() if t else b"" for t in texts]
         kept = pa.array(_gives_back(both[0], self.a.tokens, wanted) & _gives_back(both[1], self.b.tokens, wanted))
         none = pa.scalar([], both[0].type)
@@ -217,6 +243,12 @@ class Aligner:
         return pa.array([bytes(data[x : max(x, y - 1)]).decode() for x, y in zip(cuts[:-1], cuts[1:])], pa.large_string())
 
 
+@lru_cache(maxsize=1)
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    """One for all tasks of a Python worker."""
+    return Aligner(path_a, path_b)
+
+
 def _slices(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     first, chars, held = 0, 0, []
     for k, value in enumerate(column):
@@ -273,7 +305,7 @@ class _Block:
 
 def _in_blocks(path_a: str, path_b: str, whole: bool, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, number = Aligner(path_a, path_b), TaskContext.get().partitionId() << 32
+        aligner, number = _aligner(path_a, path_b), TaskContext.get().partitionId() << 32
         block = _Block()
         for batch in batches:
             for first, texts in _slices(batch.column(1)):

@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from sortflow.llm.token_alignment import ByteLevel, Pieces, align_tokenizers, link_counts, parts_of
+from sortflow.llm import token_alignment
+from sortflow.llm.token_alignment import ByteLevel, Pieces, align_tokenizers, link_counts, words_of
 
 
 def paths():
@@ -98,22 +100,31 @@ def test_counts_of_pairs(documents):
     assert {(r.a, r.b): (r["count"], r.best) for r in found} == brute(docs)[1]
 
 
-def test_parts_are_encoded_as_the_whole():
+def test_words_are_encoded_as_the_whole():
     r = random.Random(1)
-    words = "one two, three. été 中文 x1 _y 'tis don't 10,000 ... ▁z".split()
-    text = "".join(r.choice(words) + r.choice([" ", " ", "  ", "\n", " \n"]) for _ in range(3_000))
-    parts = parts_of(text, 50)
-    assert len(parts) > 100 and " ".join(parts) == text
+    words = "one two, three. été 中文 x1 _y 'tis don't 10,000 ... ▁z z▁ \u00a0 \x85 \x1c \u2003 \u3000x a\u0301".split(" ")
     for side, path in zip((ByteLevel, Pieces), paths()):
         encode = side(path)
-        assert [i for ids in encode(parts) for i in ids] == encode([text])[0]
-    assert parts_of("x" * 1_000, 50) == ["x" * 1_000]
+        for _ in range(300):
+            text = "".join(r.choice(words) + r.choice([" ", " ", " ", "  ", "\n", " \n", "\t "]) for _ in range(30))
+            parts = words_of(text)
+            assert len(parts) > 1 and " ".join(parts) == text
+            assert [i for ids in encode(parts) for i in ids] == encode([text])[0]
+    assert words_of("x" * 1_000) == ["x" * 1_000]
 
 
 def test_no_piece_spans_a_word_border():
-    """What the cut into parts rests on: no piece of B holds a space between word characters; A cuts words first."""
+    """What the cut into words rests on: no piece of B holds a space after another character; A cuts words first."""
     for token in Pieces(paths()[1]).tokens.to_pylist():
-        assert not re.search(r"\w \w", token.decode(errors="replace"))
+        assert b" " not in token.lstrip(b" ")
+
+
+def test_words_are_forgotten(documents, monkeypatch):
+    monkeypatch.setattr(token_alignment, "MAX_CHARS", 60)
+    monkeypatch.setattr(token_alignment, "SLICE_CHARS", 100)
+    aligner, docs = token_alignment.Aligner(*paths()), texts(60)
+    found = [row for _, part in token_alignment._slices(pa.array([t for _, t in docs])) for row in aligner(part)[0].to_pylist()]
+    assert [(r["n_a"], r["n_b"], r["groups"]) for r in found] == [(r[1], r[2], r[8]) for r in brute(docs)[0]]
 
 
 def test_long_text_and_empty_table(documents):
