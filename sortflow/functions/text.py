@@ -73,7 +73,7 @@ def _shortest(c: Column, dtype: T.DataType) -> Column:
         text = F.format_string(f"%.{most}e", wide)
         for digits in reversed(range(fewest, most)):
             shorter = F.format_string(f"%.{digits}e", wide)
-            text = F.when(shorter.cast(kind) == c, shorter).otherwise(text)
+            text = F.when(shorter.try_cast(kind) == c, shorter).otherwise(text)
         return text
 
     return F.when(wide < denormal, first_equal(0)).otherwise(first_equal(certain))
@@ -83,7 +83,8 @@ def _fraction_text(c: Column, dtype: T.DataType) -> Column:
     """Text of a fraction: plain from 1e-4 to 1e16, else with an exponent of two digits at least."""
     text = _shortest(F.abs(c), dtype)
     digits = F.regexp_replace(F.regexp_replace(F.substring_index(text, "e", 1), r"\.", ""), r"(?<=.)0+\z", "")
-    exponent = F.substring_index(text, "e", -1).cast("int")
+    # Null, NaN and infinity have no exponent; their text is settled below.
+    exponent = F.substring_index(text, "e", -1).try_cast("int")
     n = F.char_length(digits)
     tail = lambda begin: F.substr(digits, begin, n)
     below_one = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)

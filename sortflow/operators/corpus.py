@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +35,12 @@ from sortflow.sources.tables import CORPUS_COLUMNS, fill_nulls, load_table
 
 log = logging.getLogger(__name__)
 
+#: Conditions of a job that failed because a file could not be read.
+READ_CONDITIONS = (
+    "CANNOT_MERGE_SCHEMAS", "CANNOT_READ_FILE_FOOTER", "CONVERTING_AVRO", "FAILED_READ_FILE", "MALFORMED_CSV_RECORD",
+    "MALFORMED_RECORD_IN_PARSING", "PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA",
+)
+
 ROW_ORDER = "__order"
 ROW_INDEX = "row_index"
 
@@ -180,6 +186,13 @@ class SourceLoad:
     error: str | None = None
 
 
+def unreadable(failure: Exception) -> bool:
+    """Whether ``failure`` says that a source cannot be read as declared. A job that failed for another reason does not."""
+    if isinstance(failure, (ValueError, OSError, AnalysisException)):
+        return True
+    return any(f"[{condition}" in str(failure) for condition in READ_CONDITIONS)
+
+
 def load_sources(
     spark: SparkSession,
     manifest: Manifest,
@@ -189,7 +202,7 @@ def load_sources(
 ) -> list[SourceLoad]:
     """Read every source once and write its rows. A source that cannot be read is skipped, unless it is required.
 
-    Kinds other than local files need a reader of their own in ``readers``.
+    Any other failure ends the build. Kinds other than local files need a reader of their own in ``readers``.
     """
     known = {LOCAL: read_local, **(readers or {})}
     loads = []
@@ -207,10 +220,12 @@ def load_sources(
             rows = source_rows(known[raw.kind](spark, raw), raw, seed, max_chars)
             loads.append(SourceLoad(spec_name, label, materialise(rows, "source")))
         except (PySparkException, Py4JJavaError, ValueError, OSError) as exc:
+            if not unreadable(exc):
+                raise
             if required:
                 raise RuntimeError(f"Required source failed: {spec_name}") from exc
             log.warning("Skipped source %s: %s", spec_name, exc)
-            loads.append(SourceLoad(spec_name, label, None, type(exc).__name__))
+            loads.append(SourceLoad(spec_name, label, None, f"{type(exc).__name__}: {str(exc).partition(chr(10))[0]}"))
     return loads
 
 

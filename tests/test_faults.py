@@ -15,7 +15,7 @@ from sortflow.operators import evaluate as ev
 from sortflow.operators.corpus import load_sources, sample_per_source, source_audit, stratified_cap, stratified_split
 from sortflow.operators.movelog import read_log
 from sortflow.sources import files
-from sortflow.sources.manifest import Manifest
+from sortflow.sources.manifest import LOCAL, Manifest
 from sortflow.sources.tables import load_corpus, write_corpus
 
 
@@ -82,10 +82,19 @@ def test_outer_blanks_and_names_that_look_like_numbers(spark, tmp_path):
 
 
 def test_a_damaged_optional_source_is_audited(spark, tmp_path):
+    """A file that is no parquet, and one whose footer is sound and whose pages are not."""
     (tmp_path / "bad.parquet").write_bytes(b"PAR1 no parquet at all")
-    entry = {"kind": "local", "path": str(tmp_path / "bad.parquet"), "label": "Docs", "content_columns": ["text"]}
-    loads = load_sources(spark, Manifest.from_dict({"sources": [entry]}) if hasattr(Manifest, "from_dict") else Manifest(sources=[entry]))
-    assert loads[0].rows is None and source_audit(spark, loads).first()["status"] == "skipped"
+    rows = [(f"{i}.txt", f"some words of text number {i}") for i in range(500)]
+    spark.createDataFrame(rows, "filename string, text string").coalesce(1).write.parquet(f"{tmp_path}/pages")
+    page = next((tmp_path / "pages").glob("*.parquet"))
+    data = bytearray(page.read_bytes())
+    data[60:2_000] = bytes(1_940)
+    page.write_bytes(bytes(data))
+    next((tmp_path / "pages").glob(f".{page.name}.crc")).unlink()
+    for name in ("bad.parquet", "pages", "absent"):
+        entry = {"path": str(tmp_path / name), "format": "parquet", "label": "Docs", "content_columns": ["text"]}
+        loads = load_sources(spark, Manifest.from_dict({"sources": [entry]}))
+        assert loads[0].rows is None and len(loads[0].error) > 20 and source_audit(spark, loads).first()["status"] == "skipped"
 
 
 def test_only_a_missing_log_is_empty(spark, tmp_path):
@@ -100,3 +109,50 @@ def test_large_files_are_listed_and_not_opened(spark, tmp_path, monkeypatch):
     (tmp_path / "small.txt").write_text("small")
     (tmp_path / "large.txt").write_text("large " * 100)
     assert {(r["filename"], r["content"]) for r in files.read_files(spark, str(tmp_path)).collect()} == {("small.txt", "small"), ("large.txt", "")}
+
+
+def python_text(x) -> str:
+    """What the rule says: falsy values are empty, other numbers are their shortest text."""
+    return "" if not x else repr(x)
+
+
+def odd_doubles(n: int = 3_000) -> list:
+    r = random.Random(8)
+    made = [struct.unpack("<d", r.getrandbits(64).to_bytes(8, "little"))[0] for _ in range(n)]
+    made += [r.uniform(-1e6, 1e6) for _ in range(n)] + [round(r.uniform(0, 1e5), r.randrange(6)) for _ in range(n)]
+    return [None, 0.0, -0.0, math.nan, math.inf, -math.inf, 5e-324, 1e16, 1e-5, 123456789.0, *made]
+
+
+def test_doubles_and_nulls_as_text(spark):
+    values = odd_doubles()
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i long, x double")
+    got = dict(rows.select("i", normalize_value(F.col("x"), T.DoubleType())).collect())
+    assert [got[i] for i in range(len(values))] == [python_text(x) for x in values]
+
+
+def test_arrays_of_doubles_and_nulls_as_text(spark):
+    values, r = odd_doubles(200), random.Random(9)
+    lists = [None, [], [None], [0.0, None], *[[r.choice(values) for _ in range(r.randrange(5))] for _ in range(200)]]
+    kind = T.ArrayType(T.DoubleType())
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], T.StructType([T.StructField("i", T.LongType()), T.StructField("x", kind)]))
+    got = dict(rows.select("i", normalize_value(F.col("x"), kind)).collect())
+    assert [got[i] for i in range(len(lists))] == [" ".join(t for t in map(python_text, x or []) if t) for x in lists]
+
+
+def test_a_null_number_is_no_reason_to_lose_a_source(spark, tmp_path):
+    spark.createDataFrame([("a.txt", 1.5), ("b.txt", None)], "filename string, content double").write.parquet(f"{tmp_path}/numbers")
+    entry = {"path": f"{tmp_path}/numbers", "format": "parquet", "label": "Code", "content_columns": ["content"], "min_content_length": 0}
+    load = load_sources(spark, Manifest.from_dict({"sources": [entry]}))[0]
+    assert load.error is None and "1.5" in {r.content for r in load.rows.collect()}
+
+
+def test_a_failing_job_ends_the_build(spark, tmp_path):
+    """Only what cannot be read is skipped; other failures are not taken for bad sources."""
+    spark.createDataFrame([("a.txt", "text")], "filename string, content string").write.parquet(f"{tmp_path}/good")
+    entry = {"path": f"{tmp_path}/good", "format": "parquet", "label": "Code", "content_columns": ["content"]}
+
+    def fails_in_the_job(spark, spec):
+        return spark.read.parquet(spec.path).withColumn("content", F.raise_error(F.lit("a bug")).cast("string"))
+
+    with pytest.raises(Exception, match="a bug"):
+        load_sources(spark, Manifest.from_dict({"sources": [entry]}), {LOCAL: fails_in_the_job})
