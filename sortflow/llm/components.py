@@ -1,13 +1,34 @@
-"""Connected components of a table of edges by smallest-label hooking and pointer jumping."""
+"""Connected components: of a table of edges by smallest-label hooking and pointer jumping, of numbers inside a task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sortflow.plans.workspace import materialise
 
 
+class Union:
+    """Components of numbers; each is named by its smallest."""
+
+    def __init__(self, size: int) -> None:
+        self.parent = np.arange(size)
+
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        root = self.parent[of]
+        while (above := self.parent[root]).tobytes() != root.tobytes():
+            root = above
+        return root
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.roots(a), self.roots(b)
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.parent, np.maximum(x, y), np.minimum(x, y))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its smallest node.
 

@@ -5,27 +5,29 @@ counts per group are the text's point. Two sets cannot share more than the sum,
 over the groups, of the smaller count, so a pair, or a whole node of a tree over
 points, is dropped when that sum stays below what the threshold demands.
 
-Spread over a cluster, the root of the tree splits by equal coordinates. The
-groups of a text are dealt into slices; sets that differ in at most d shingles
-differ in at most d slices, and with d + 5 slices at least five have equal
-coordinates. Each text therefore goes to one cell per slice, named by its
-coordinates there (every shingle hash is a group of its own in these slices).
-Empty slices are left out unless a text has three or more, so linked texts meet
-in three cells at least; pairs that meet in fewer are dropped before any vector
-is looked at. Small texts get d + 3 slices and meet once at least. d follows from the threshold and the size, by classes
-of sizes; a text also visits the cells of the next class if a partner may be there.
-
-No cell is gathered and no pair listed that is linked already:
+In the count vectors of unrelated texts no single coordinate separates, so one
+tree over all texts would compare nearly all of them. Over a cluster, the trees
+therefore stand below cells. Shingles are dealt into slices; sets that differ in
+at most d shingles differ in at most d slices, d following from the threshold and
+the size, by classes of sizes. With d + t slices, t are equal. A text goes to one
+cell per slice that is not empty, named by the shingles in it: nobody meets in
+emptiness. If fewer than t slices of either text are empty, two linked texts meet.
+Texts with t empty slices or more are dealt once more, by another hash, and so on
+for ``DEALS`` times; only what is left by then, practically nothing, visits the cells of
+its empty slices. A text also visits the cells of the next class if a partner may be there.
+
+No cell is gathered and no pair listed:
 
 1. Texts with equal sets are one node.
-2. Every cell names its smallest node. Each node is compared with the one named most
-   often, then with the others unless they are of one component by now. This
-   takes one pair per node and cell at most, however large the cell.
-3. Cells that still hold different components are searched by trees of at most
-   ``BLOCK`` points, cut by hash, block against block. A query skips nodes of the
-   tree that hold its own component only; survivors are verified on the sets.
+2. Every cell names its smallest node. A node is compared with the one named most
+   often, then with the others unless they are of one component by now.
+3. Nodes that meet under one name and are still of different components are searched by
+   trees of at most ``BLOCK`` points, cut by hash, block against block: first by
+   counts alone, to see which nodes have any partner; then their sets are sent,
+   and the task verifies what the tree lets through. It unites what is linked and
+   returns at most one row per component; pairs united already are skipped.
 
-Sets and nodes are told apart by 64-bit hashes.
+Sets, nodes and shingles are told apart by 64-bit hashes.
 
 Defined results: a null, empty or wordless text has an empty set and is a
 component of its own; texts of fewer words than a shingle are one shingle; rows
@@ -40,11 +42,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sortflow.llm.components import connected_components
-from sortflow.llm.rows import release_shuffles, text_of
+from sortflow.llm.components import Union, connected_components
+from sortflow.llm.rows import ROW, release_shuffles, text_of, unpack, whole_row
 from sortflow.llm.wordbytes import SOLID_BYTES, Texts, by_row, find_words, mix, run_hashes, span_hashes, text_slices, word_run_hashes
 from sortflow.plans.broadcasting import checked_broadcast
 from sortflow.plans.workspace import materialise
@@ -53,18 +55,19 @@ GROUPS = 64
 #: Groups of the second bound, for the pairs that pass the first.
 FINE_GROUPS = 1_024
 CLASS_RATIO = 1.6
-#: Cells in which linked texts meet; a cell of small texts counts as so many.
-MET = 3
-#: A text visits the cells of its empty slices if it has so many of them.
-EMPTY = 3
-#: From so many differences on, there are slices enough for linked texts to meet more than once.
-LIGHT_FROM = 8
+#: Times that a text with many empty slices is dealt.
+DEALS = 4
 LEAF = 32
 FAN = 16
 BLOCK = 2_048
+#: Rows of groups that a task takes at once, if no single group is larger, and rows whose sets it takes.
+BUCKET = 1 << 15
+SET_BUCKET = 1 << 11
+#: Queries of a tree whose pairs are held at once.
+AT_ONCE = 256
 #: Ids broadcast at most, 16 bytes each.
 MAX_IDS = 500_000
-_SLICE_SALT = np.uint64(0x2545F4914F6CDD1D)
+_SLICE_SALTS = [np.uint64(0x2545F4914F6CDD1D * (2 * k + 1) % (1 << 64)) for k in range(DEALS)]
 
 
 def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,39 +114,53 @@ class SizeClasses:
             starts.append(max(starts[-1] + 1, int(starts[-1] * CLASS_RATIO)))
         self.starts = np.array(starts, np.int64)
         self.differ = (100 - percent) * 2 * (self.starts[1:] - 1) // (100 + percent)
-        self.light = self.differ >= LIGHT_FROM
-        self.slices = np.where(self.differ == 0, 0, self.differ + np.where(self.light, MET + EMPTY - 1, EMPTY))
+        self.equal = np.array([self._equal(n, d) for n, d in zip(self.starts[:-1].tolist(), self.differ.tolist())])
+        self.slices = np.where(self.differ == 0, 0, self.differ + self.equal)
+
+    @staticmethod
+    def _equal(size: int, differ: int) -> int:
+        """How many slices beyond ``differ`` make it rare that so many of the slices of a set of ``size`` are empty."""
+        for equal in range(1, differ + 8):
+            empty = (differ + equal) * np.exp(-size / (differ + equal))
+            if empty + 2 * np.sqrt(empty) < equal:
+                break
+        return equal
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, sizes, side="right") - 1
 
 
 def cell_keys(row: np.ndarray, shingles: np.ndarray, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every cell that a text visits. Keys of small texts are odd."""
+    """(row, key) of every cell that a text visits."""
     sizes = np.bincount(row, minlength=rows)
     classes = SizeClasses(percent, int(sizes.max(initial=1)))
     own = classes.of(np.maximum(sizes, 1))
     last = classes.of(np.maximum(sizes, 1) * 100 // percent)
-    spread, weight = mix(shingles ^ _SLICE_SALT), mix(shingles)
-    out_rows, out_keys = [], []
+    weight = mix(shingles)
+    out_rows, out_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for step in range(int((last - own).max(initial=0)) + 1):
         level = own + step
-        active = (level <= last) & (sizes > 0)
-        slices = np.where(active, classes.slices[np.minimum(level, len(classes.slices) - 1)], 0)
-        light = classes.light[np.minimum(level, len(classes.slices) - 1)]
-        base = np.cumsum(slices) - slices
-        used = (slices > 0)[row]
-        place = base[row[used]] + (spread[used] % slices[row[used]].astype(np.uint64)).astype(np.int64)
-        total = int(slices.sum())
-        counts, sums = np.bincount(place, minlength=total), _sum_by(place, weight[used], total)
-        owner = np.repeat(np.arange(rows), slices)
-        number = np.arange(total) - base[owner]
-        empty = np.bincount(owner, counts == 0, rows)
-        wanted = (counts > 0) | (empty >= EMPTY)[owner]
-        name = mix((level[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64))
-        out_rows.append(owner[wanted])
-        key = (mix(sums + name) & ~np.uint64(1)) | (~light[owner]).astype(np.uint64)
-        out_keys.append(key[wanted])
+        dealt = (level <= last) & (sizes > 0)
+        level = np.minimum(level, len(classes.slices) - 1)
+        dealt &= classes.slices[level] > 0
+        for deal, salt in enumerate(_SLICE_SALTS):
+            slices = np.where(dealt, classes.slices[level], 0)
+            total = int(slices.sum())
+            if not total:
+                break
+            base = np.cumsum(slices) - slices
+            used = dealt[row]
+            place = base[row[used]] + (mix(shingles[used] ^ salt) % slices[row[used]].astype(np.uint64)).astype(np.int64)
+            counts, sums = np.bincount(place, minlength=total), _sum_by(place, weight[used], total)
+            owner = np.repeat(np.arange(rows), slices)
+            number = np.arange(total) - base[owner]
+            dealt = dealt & (np.bincount(owner, counts == 0, rows) >= classes.equal[level])
+            wanted = counts > 0
+            if deal == DEALS - 1:
+                wanted |= dealt[owner]
+            name = mix((level[owner].astype(np.uint64) << np.uint64(40)) + (np.uint64(deal) << np.uint64(32)) + number.astype(np.uint64))
+            out_rows.append(owner[wanted])
+            out_keys.append(mix(sums + name)[wanted])
     return np.concatenate(out_rows), np.concatenate(out_keys)
 
 
@@ -224,24 +241,46 @@ def _nodes(width: int):
                 row, shingles = shingle_sets(texts, width)
                 sizes, node = set_nodes(row, shingles, texts.rows)
                 counts = pa.array([c.tobytes() for c in group_counts(row, shingles, texts.rows).astype("<u4")], pa.binary())
-                ids = (batch.column(i).slice(texts.first, texts.rows) for i in (0, 2))
-                yield _batch(id=next(ids), place=next(ids), n=_longs(sizes), node=_longs(node), counts=counts)
+                given = {name: batch.column(name).slice(texts.first, texts.rows) for name in ("id", "place", "digest")}
+                yield _batch(**given, n=_longs(sizes), node=_longs(node), counts=counts)
 
     return run
 
 
 def _cells(width: int, percent: int):
+    """Cells and nodes, once for all copies in a slice of texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in text_slices(batch.column(0)):
                 row, shingles = shingle_sets(texts, width)
                 _, node = set_nodes(row, shingles, texts.rows)
-                owner, key = cell_keys(row, shingles, texts.rows, percent)
+                _, first, copy = np.unique(node, return_index=True, return_inverse=True)
+                one = first[copy] == np.arange(texts.rows)
+                mine = one[row]
+                owner, key = cell_keys(row[mine], shingles[mine], texts.rows, percent)
                 yield _batch(key=_longs(key), node=_longs(node[owner]))
 
     return run
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first, node) of all nodes of a cell but the smallest, from rows sorted by cell and node."""
+    key = first = last = None
+    for batch in batches:
+        keys, nodes = (batch.column(c).to_numpy() for c in ("key", "node"))
+        if not len(keys):
+            continue
+        opens = np.append(True, keys[1:] != keys[:-1])
+        opens[0] = keys[0] != key
+        begin = np.maximum.accumulate(np.where(opens, np.arange(len(keys)), -1))
+        firsts = np.where(begin >= 0, nodes[begin], first if first is not None else 0)
+        new = np.append(opens[0] or nodes[0] != last, nodes[1:] != nodes[:-1])
+        wanted = (nodes != firsts) & (new | opens)
+        key, first, last = keys[-1], firsts[-1], nodes[-1]
+        yield _batch(first=_longs(firsts[wanted]), node=_longs(nodes[wanted]))
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,28 +353,94 @@ def _verified(percent: int):
     return run
 
 
-def _weight(key: int) -> int:
-    return MET if key % 2 else 1
+def _pairs(tree: CountTree | None, points, sizes, components, at: slice, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, point) let through of some queries; without a tree, of a small group's later points."""
+    if tree is not None:
+        return tree.search(points[at], sizes[at], components[at], percent)
+    query, point = np.triu_indices(len(points), 1)
+    return CountTree._let_through(query, point, points, sizes, components, percent, points, sizes, sizes, components, components)
+
+
+def _groups_of(shard: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(points, queries, small) of every shard: a block against another one, or against itself."""
+    order = np.lexsort((side, shard))
+    for rows in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        one, two = rows[side[rows] == 0], rows[side[rows] == 1]
+        if not len(two):
+            yield one, one, len(one) <= LEAF
+        elif len(one):
+            yield one, two, False
 
 
-def _search_blocks(percent: int):
-    """Pairs of different components between two blocks of a cell, or inside one."""
+def _with_partners(percent: int):
+    """(shard, side, node, component) of the nodes that the bound leaves a partner of another component."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        side = table.column("side").to_numpy()
-        nodes, sizes, components = (table.column(c).to_numpy() for c in ("node", "n", "component"))
-        counts = _counts(table.column("counts"))
-        one = np.flatnonzero(side == 0)
-        two = np.flatnonzero(side == 1) if (side == 1).any() else one
-        if not len(one):
-            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "met")})
-        tree = CountTree(counts[one], sizes[one], components[one])
-        query, point = tree.search(counts[two], sizes[two], components[two], percent)
-        a, b = nodes[two[query]], nodes[one[point]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        met = np.full(pairs.shape[1], _weight(table.column("key")[0].as_py()), np.int64)
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1]), "met": pa.array(met)})
+        shard, side, sizes, components = (table.column(c).to_numpy() for c in ("shard", "side", "n", "component"))
+        counts, kept = _counts(table.column("counts")), np.zeros(len(shard), bool)
+        for one, two, small in _groups_of(shard, side):
+            tree = None if small else CountTree(counts[one], sizes[one], components[one])
+            for at in range(0, len(two) if tree is not None else 1, AT_ONCE):
+                part = slice(at, at + AT_ONCE)
+                query, point = _pairs(tree, counts[two], sizes[two], components[two], part, percent)
+                kept[two[query + (at if tree is not None else 0)]] = True
+                kept[one[point]] = True
+        return table.select(["shard", "side", "node", "component"]).filter(pa.array(kept))
+
+    return run
+
+
+class _Sets:
+    """Sets of shingles as numbers, for many comparisons with one of them."""
+
+    def __init__(self, sets: list[bytes]) -> None:
+        self.sizes = np.array([len(s) // 8 for s in sets], np.int64)
+        _, flat = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)
+        self.sets = np.split(flat, np.cumsum(self.sizes)[:-1]) if sets else []
+        self.seen = np.zeros(int(flat.max(initial=-1)) + 1, np.int64)
+
+    def linked(self, one: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the others are similar enough."""
+        mine = self.sets[one]
+        self.seen[mine] = 1
+        sizes = self.sizes[others]
+        shared = np.add.reduceat(self.seen[np.concatenate([self.sets[x] for x in others.tolist()])], np.cumsum(sizes) - sizes)
+        self.seen[mine] = 0
+        return 100 * shared >= percent * (len(mine) + sizes - shared)
+
+
+def _united(percent: int):
+    """(a, b) for every component of a bucket that is linked with one named before it."""
+
+    def run(rows: pa.Table, points: pa.Table) -> pa.Table:
+        rows, points = rows.combine_chunks(), points.combine_chunks()
+        nodes = points.column("point").to_numpy()
+        order = np.argsort(nodes)
+        where = order[np.searchsorted(nodes[order], rows.column("node").to_numpy())]
+        shard, side, known = (rows.column(c).to_numpy() for c in ("shard", "side", "component"))
+        counts, sizes, sets = _counts(points.column("vector")), points.column("size").to_numpy(), _Sets(points.column("data").to_pylist())
+        union = Union(len(nodes))
+        _, first, group = np.unique(known, return_index=True, return_inverse=True)
+        union.unite(where, where[first][group])
+        given = union.roots(np.arange(len(nodes)))
+        for one, two, small in _groups_of(shard, side):
+            one, two = where[one], where[two]
+            tree = None if small else CountTree(counts[one], sizes[one], given[one])
+            for at in range(0, len(two) if tree is not None else 1, AT_ONCE):
+                query, point = _pairs(tree, counts[two], sizes[two], given[two], slice(at, at + AT_ONCE), percent)
+                query, point = two[query + (at if tree is not None else 0)], one[point]
+                grouped = np.argsort(query, kind="stable")
+                query, point = query[grouped], point[grouped]
+                for part in np.split(np.arange(len(query)), np.flatnonzero(np.diff(query)) + 1):
+                    apart = part[union.roots(point[part]) != union.roots(query[part])] if len(part) else part
+                    if len(apart):
+                        others = point[apart]
+                        others = others[sets.linked(int(query[apart[0]]), others, percent)]
+                        union.unite(np.full(len(others), query[apart[0]]), others)
+        root = union.roots(np.arange(len(nodes)))
+        new = np.flatnonzero((given == np.arange(len(nodes))) & (root != given))
+        return pa.table({"a": pa.array(nodes[new]), "b": pa.array(nodes[root[new]])})
 
     return run
 
@@ -347,18 +452,18 @@ class _Join:
         self.width, self.percent = width, percent
         text = text_of(docs, text_col)
         key = F.col(f"`{id_col}`").cast("long")
-        self.docs = docs.select(key.alias("id"), text.alias("text"), F.coalesce(key, F.xxhash64(text)).alias("place"))
-        nodes = self.docs.mapInArrow(_nodes(width), "id long, place long, n long, node long, counts binary")
+        place = F.coalesce(key, F.xxhash64(text)).alias("place")
+        self.docs = docs.select(key.alias("id"), text.alias("text"), place, text_digest(text).alias("digest"))
+        nodes = self.docs.mapInArrow(_nodes(width), "id long, place long, digest long, n long, node long, counts binary")
         self.nodes = materialise(nodes, "jaccard-nodes")
         self.vectors = self.nodes.select("node", "n", "counts", "place")
 
     def cells(self) -> DataFrame:
-        """(key, node, first): the cells of more than one node, with their smallest node."""
+        """(first, node, met): nodes of a cell and its smallest node, with the number of such cells."""
         keys = self.docs.select("text").mapInArrow(_cells(self.width, self.percent), "key long, node long")
-        firsts = keys.groupBy("key").agg(F.min("node").alias("first"))
-        members = keys.join(firsts, "key").where("node != first").distinct()
-        members = materialise(members, "jaccard-cells")
-        del keys, firsts
+        named = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_named, "first long, node long")
+        members = materialise(named.groupBy("first", "node").agg(F.count("*").alias("met")), "jaccard-cells")
+        del keys, named
         release_shuffles(self.docs.sparkSession)
         return members
 
@@ -382,10 +487,8 @@ class _Join:
     def _filtered(self, pairs: DataFrame, points: DataFrame, make, keep) -> DataFrame:
         """The pairs that ``keep`` keeps, by what ``make`` makes of a text of either node."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        places = points.join(nodes, "node", "left_semi").select("place").distinct()
-        texts = self.docs.join(checked_broadcast(places, MAX_IDS), "place", "left_semi").select("text")
         # One exchange of the data of nodes serves both joins.
-        data = texts.mapInArrow(make(self.width), "node long, data binary").dropDuplicates(["node"])
+        data = self._data(points.join(nodes, "node", "left_semi"), make)
         of_a = data.select(F.col("node").alias("a"), F.col("data").alias("of_a"))
         of_b = data.select(F.col("node").alias("b"), F.col("data").alias("of_b"))
         both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b")
@@ -394,6 +497,12 @@ class _Join:
         release_shuffles(self.docs.sparkSession)
         return found
 
+    def _data(self, points: DataFrame, make) -> DataFrame:
+        """(node, data) of some points: what ``make`` makes of a text of each."""
+        places = checked_broadcast(points.select("place").distinct(), MAX_IDS)
+        texts = self.docs.join(places, "place", "left_semi").select("text")
+        return texts.mapInArrow(make(self.width), "node long, data binary").dropDuplicates(["node"])
+
     def star_pairs(self, stars: DataFrame, components: DataFrame) -> DataFrame:
         """Pairs of a node and the smallest node of its cells that are not of one component yet."""
         of_a = components.select(F.col("node").alias("a"), F.col("component").alias("in_a"))
@@ -402,46 +511,52 @@ class _Join:
         apart = placed.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
         return materialise(apart, "jaccard-apart")
 
-    def open_pairs(self, members: DataFrame, components: DataFrame) -> DataFrame:
-        """Pairs of different components in three cells or more that the trees let through."""
-        whole = members.select("key", "node").unionByName(members.select("key", F.col("first").alias("node")).distinct())
-        placed = whole.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-        mixed = mixed.where("low != high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        rows = materialise(placed.join(mixed, "key"), "jaccard-mixed")
-        points = materialise(self.points(rows.select("node").distinct()).drop("place"), "jaccard-points")
+    def open_links(self, members: DataFrame, components: DataFrame) -> DataFrame:
+        """Links between nodes that meet under one name; the nodes that give the names are compared with all by now."""
+        placed = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("first").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
+        mixed = mixed.where("least != most").select("first", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        rows = materialise(placed.join(mixed, "first"), "jaccard-mixed")
+        points = materialise(self.points(rows.select("node").distinct()), "jaccard-points")
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        rows = rows.select("key", "node", "component", "block", other)
-        rows = rows.select(
-            "key",
-            F.least("block", "other").alias("low"),
-            F.greatest("block", "other").alias("high"),
-            (F.col("block") > F.col("other")).cast("int").alias("side"),
-            "node",
-            "component",
-        )
-        rows = rows.join(points, "node")
-        found = rows.groupBy("key", "low", "high").applyInArrow(_search_blocks(self.percent), "a long, b long, met long")
-        often = found.groupBy("a", "b").agg(F.sum("met").alias("met")).where(F.col("met") >= MET)
-        return materialise(often.select("a", "b"), "jaccard-open")
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # Two groups of one hash are one: that only compares more.
+        shard = F.xxhash64("first", F.least("block", "other"), F.greatest("block", "other")).alias("shard")
+        rows = rows.select(shard, (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component")
+        bounded = rows.join(points.drop("place"), "node").withColumn("bucket", self._bucket(rows, BUCKET))
+        rows = bounded.groupBy("bucket").applyInArrow(_with_partners(self.percent), "shard long, side int, node long, component long")
+        rows = materialise(rows, "jaccard-open")
+        return materialise(self._united(rows, points), "jaccard-links")
+
+    @staticmethod
+    def _bucket(rows: DataFrame, size: int):
+        return F.pmod("shard", F.lit(max(1, -(-rows.count() // size))))
+
+    def _united(self, rows: DataFrame, points: DataFrame) -> DataFrame:
+        rows = rows.withColumn("bucket", self._bucket(rows, SET_BUCKET))
+        sets = self._data(points.join(rows.select("node").distinct(), "node", "left_semi"), _sets)
+        whole = points.drop("place").join(sets, "node")
+        sent = rows.select(F.col("bucket").alias("to"), "node").distinct().join(whole, "node")
+        sent = sent.select("to", F.col("node").alias("point"), F.col("n").alias("size"), F.col("counts").alias("vector"), "data")
+        return rows.groupBy("bucket").cogroup(sent.groupBy("to")).applyInArrow(_united(self.percent), "a long, b long")
 
     def components(self) -> DataFrame:
         """(node, component) of all nodes with a link."""
         members = self.cells()
-        weight = F.when(F.col("key") % 2 == 0, 1).otherwise(MET)
-        stars = members.groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.sum(weight).alias("met"))
-        stars = materialise(stars.where(F.col("met") >= MET), "jaccard-stars")
+        stars = members.select(F.col("node").alias("a"), F.col("first").alias("b"), "met")
         best = F.max_by("b", F.struct("met", "b")).alias("b")
         links = self.links(stars.groupBy("a").agg(best))
         components = connected_components(links)
-        for pairs in (lambda c: self.star_pairs(stars, c), lambda c: self.open_pairs(members, c)):
-            found = pairs(components)
-            more = None if found.isEmpty() else self.links(found)
-            if more is not None and not more.isEmpty():
-                links = links.unionByName(more)
-                components = connected_components(links)
-        return components
+        stars = self.star_pairs(stars.select("a", "b"), components)
+        if not stars.isEmpty():
+            links = links.unionByName(self.links(stars))
+            components = connected_components(links)
+        more = self.open_links(members.select("first", "node"), components)
+        return components if more.isEmpty() else connected_components(links.unionByName(more))
+
+
+def text_digest(text: Column) -> Column:
+    return F.xxhash64(text, F.lit(1))
 
 
 def link_components(
@@ -464,7 +579,26 @@ def link_components(
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without rows whose id is not the smallest of its component. Rows with a null id stay."""
-    found = link_components(docs, width, percent, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(checked_broadcast(materialise(gone, "jaccard-gone"), MAX_IDS), id_col, "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component: one of its smallest id, the others go; rows without words all stay.
+
+    Of rows that repeat, and of rows of one id and one text, one stays. Rows without an id come after all ids.
+    """
+    join = _Join(docs, width, percent, id_col, text_col)
+    placed = join.nodes.where("n > 0").select("id", "digest", "node").join(join.components(), "node", "left")
+    placed = placed.select("id", "digest", F.coalesce("component", "node").alias("component"))
+    row = F.struct(F.col("id").isNull().alias("last"), "id", "digest")
+    best = placed.groupBy("component").agg(F.min(row).alias("best"), F.count("*").alias("size")).where("size > 1")
+    found = placed.join(materialise(best, "jaccard-best"), "component")
+    key, is_best = [F.col("id").isNull().alias("last"), F.coalesce("id", F.lit(0)).alias("id"), "digest"], row == F.col("best")
+    counted = found.groupBy(*key).agg(F.max(is_best).alias("stays"), F.count("*").alias("rows"))
+    counted = materialise(counted.where(~F.col("stays") | (F.col("rows") > 1)), "jaccard-gone")
+    number = F.col(f"`{id_col}`").cast("long")
+    text = text_of(docs, text_col)
+    keyed = docs.select(whole_row(docs), number.isNull().alias("last"), F.coalesce(number, F.lit(0)).alias("id"), text_digest(text).alias("digest"))
+    names = ["last", "id", "digest"]
+    kept = keyed.join(checked_broadcast(counted.select(*names), MAX_IDS), names, "left_anti")
+    repeated = counted.where("stays").select(*names)
+    if not repeated.isEmpty():
+        one = keyed.join(checked_broadcast(repeated, MAX_IDS), names, "left_semi").dropDuplicates(names)
+        kept = kept.unionByName(one)
+    return unpack(kept.select(ROW), docs)

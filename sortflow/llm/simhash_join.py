@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortflow.llm.components import connected_components
+from sortflow.llm.components import Union, connected_components
 from sortflow.llm.rows import text_of
 from sortflow.llm.wordbytes import SOLID_BYTES, Texts, by_row, find_words, text_slices
 from sortflow.plans.workspace import materialise
@@ -172,26 +172,6 @@ class BKForest:
                 node = self.order[first + np.arange(len(first))]
 
 
-class Union:
-    """Components of numbers; each is named by its smallest."""
-
-    def __init__(self, size: int) -> None:
-        self.parent = np.arange(size)
-
-    def roots(self, of: np.ndarray) -> np.ndarray:
-        root = self.parent[of]
-        while (above := self.parent[root]).tobytes() != root.tobytes():
-            root = above
-        return root
-
-    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            x, y = self.roots(a), self.roots(b)
-            apart = x != y
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(self.parent, np.maximum(x, y), np.minimum(x, y))
-
-
 def _united(radius: int):
     """Search all shards of a bucket by their trees; (a, b) for every component that was united with one of a smaller mark."""
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sortflow.llm import jaccard_join
@@ -89,10 +90,54 @@ def test_tree_loses_no_pair():
 
 
 def test_one_of_each_stays(documents):
-    text = " ".join(f"t{i}" for i in range(80))
-    docs = [(4, text), (2, text + " end"), (3, "quite another text of some words here"), (7, ""), (8, None), (None, text)]
-    kept = keep_one_of_each(documents(docs, extra="component string, node long, place long")).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 2), (False, 3), (False, 7), (False, 8), (True, 0)]
+    """By row, not by id: repeated rows, rows without an id, and one id with two texts."""
+    text, other = " ".join(f"t{i}" for i in range(80)), " ".join(f"u{i}" for i in range(60))
+    docs = [(4, text), (2, text + " end"), (2, text + " end"), (3, "quite another text of some words here"), (7, ""), (8, None), (8, None), (None, text)]
+    docs += [(5, other), (4, other + " x"), (None, "without an id at all here"), (None, "without an id at all here"), (9, "alone"), (9, "on its own")]
+    kept = keep_one_of_each(documents(docs, extra="component string, node long, place long, id long, last int, digest int")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    expected = [docs[1], docs[3], docs[4], docs[5], docs[6], docs[9], docs[10], docs[12], docs[13]]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=key) == sorted(expected, key=key)
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_nobody_meets_in_emptiness(width, percent):
+    """Two texts of one cell share a shingle; all linked texts share a cell."""
+    r = random.Random(percent)
+    texts = [t for _, t in near_copies(r, 150)] + [" ".join(f"x{r.random()}" for _ in range(r.choice([9, 20, 50, 90, 400]))) for _ in range(300)]
+    for part in jaccard_join.text_slices(pa.array(texts), 1 << 30):
+        row, runs = jaccard_join.shingle_sets(part, width)
+        owner, key = jaccard_join.cell_keys(row, runs, part.rows, percent)
+        sets = [set(runs[row == i].tolist()) for i in range(part.rows)]
+    cells: dict[int, set] = {}
+    for i, k in zip(owner.tolist(), key.tolist()):
+        cells.setdefault(k, set()).add(i)
+    met = {(a, b) for members in cells.values() for a in members for b in members if a < b}
+    assert all(sets[a] & sets[b] for a, b in met)
+    linked = {
+        (a, b)
+        for a in range(len(sets))
+        for b in range(a + 1, len(sets))
+        if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= percent * max(1, len(sets[a] | sets[b]))
+    }
+    assert len(linked) > 30 and linked <= met
+
+
+def test_a_group_of_near_copies_sends_no_pairs(documents, monkeypatch):
+    """The trees return at most one row for each node but one, however many pairs are linked."""
+    sent, united = [], jaccard_join._Join._united
+    monkeypatch.setattr(jaccard_join._Join, "_united", lambda self, *args: sent.append(united(self, *args)) or sent[-1])
+    r = random.Random(5)
+    base, docs = [f"b{i}" for i in range(200)], []
+    for i in range(150):
+        text = list(base)
+        for _ in range(r.choice([2, 3, 3, 4])):
+            text[r.randrange(200)] = f"own{i}"
+        docs.append((i, " ".join(text)))
+    expected = brute(docs, 3, 90)
+    found = link_components(documents(docs), 3, 90).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == expected
+    assert sum(df.count() for df in sent) <= len(docs) - 1
 
 
 def test_odd_tables(documents):
