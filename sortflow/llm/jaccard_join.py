@@ -60,9 +60,10 @@ DEALS = 4
 LEAF = 32
 FAN = 16
 BLOCK = 2_048
-#: Rows of groups that a task takes at once, if no single group is larger, and rows whose sets it takes.
-BUCKET = 1 << 15
-SET_BUCKET = 1 << 11
+#: Rows of groups that a task takes at once, if no single group is larger.
+BUCKET = 1 << 13
+#: Shingles of the sets that a task takes at once, if no single group has more, and of one block of a group.
+SET_SHINGLES = 1 << 21
 #: Queries of a tree whose pairs are held at once.
 AT_ONCE = 256
 #: Ids broadcast at most, 16 bytes each.
@@ -281,6 +282,25 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(first=_longs(firsts[wanted]), node=_longs(nodes[wanted]))
 
 
+def _sent(width: int):
+    """The points and sets of the nodes that a bucket asks for, from a text of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in text_slices(batch.column(0)):
+                row, shingles = shingle_sets(texts, width)
+                sizes, node = set_nodes(row, shingles, texts.rows)
+                border = by_row(row, texts.rows)
+                sets = pa.array([shingles[a:b].tobytes() for a, b in zip(border[:-1], border[1:])], pa.binary())
+                counts = pa.array([c.tobytes() for c in group_counts(row, shingles, texts.rows).astype("<u4")], pa.binary())
+                asked, to = (batch.column(c).slice(texts.first, texts.rows) for c in ("node", "bucket"))
+                rows = _batch(to=to, point=_longs(node), size=_longs(sizes), vector=counts, data=sets)
+                # Other texts may have the same id.
+                yield rows.filter(pa.array(asked.to_numpy() == node.view(np.int64)))
+
+    return run
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,18 +414,21 @@ def _with_partners(percent: int):
 class _Sets:
     """Sets of shingles as numbers, for many comparisons with one of them."""
 
-    def __init__(self, sets: list[bytes]) -> None:
-        self.sizes = np.array([len(s) // 8 for s in sets], np.int64)
-        _, flat = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)
-        self.sets = np.split(flat, np.cumsum(self.sizes)[:-1]) if sets else []
-        self.seen = np.zeros(int(flat.max(initial=-1)) + 1, np.int64)
+    def __init__(self, nodes: np.ndarray, data: list[bytes]) -> None:
+        sets = [np.frombuffer(data[x], "<u8") for x in nodes.tolist()]
+        self.at = dict(zip(nodes.tolist(), range(len(nodes))))
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.sets = np.split(flat.astype(np.int32), np.cumsum(self.sizes)[:-1])
+        self.seen = np.zeros(len(known), np.int64)
 
     def linked(self, one: int, others: np.ndarray, percent: int) -> np.ndarray:
         """Which of the others are similar enough."""
-        mine = self.sets[one]
+        mine = self.sets[self.at[one]]
+        others = [self.at[x] for x in others.tolist()]
         self.seen[mine] = 1
         sizes = self.sizes[others]
-        shared = np.add.reduceat(self.seen[np.concatenate([self.sets[x] for x in others.tolist()])], np.cumsum(sizes) - sizes)
+        shared = np.add.reduceat(self.seen[np.concatenate([self.sets[x] for x in others])], np.cumsum(sizes) - sizes)
         self.seen[mine] = 0
         return 100 * shared >= percent * (len(mine) + sizes - shared)
 
@@ -415,17 +438,18 @@ def _united(percent: int):
 
     def run(rows: pa.Table, points: pa.Table) -> pa.Table:
         rows, points = rows.combine_chunks(), points.combine_chunks()
-        nodes = points.column("point").to_numpy()
-        order = np.argsort(nodes)
-        where = order[np.searchsorted(nodes[order], rows.column("node").to_numpy())]
+        nodes, once = np.unique(points.column("point").to_numpy(), return_index=True)
+        points = points.take(pa.array(once))
+        where = np.searchsorted(nodes, rows.column("node").to_numpy())
         shard, side, known = (rows.column(c).to_numpy() for c in ("shard", "side", "component"))
-        counts, sizes, sets = _counts(points.column("vector")), points.column("size").to_numpy(), _Sets(points.column("data").to_pylist())
+        counts, sizes, data = _counts(points.column("vector")), points.column("size").to_numpy(), points.column("data").to_pylist()
         union = Union(len(nodes))
         _, first, group = np.unique(known, return_index=True, return_inverse=True)
         union.unite(where, where[first][group])
         given = union.roots(np.arange(len(nodes)))
         for one, two, small in _groups_of(shard, side):
             one, two = where[one], where[two]
+            sets = _Sets(np.union1d(one, two), data)
             tree = None if small else CountTree(counts[one], sizes[one], given[one])
             for at in range(0, len(two) if tree is not None else 1, AT_ONCE):
                 query, point = _pairs(tree, counts[two], sizes[two], given[two], slice(at, at + AT_ONCE), percent)
@@ -487,8 +511,10 @@ class _Join:
     def _filtered(self, pairs: DataFrame, points: DataFrame, make, keep) -> DataFrame:
         """The pairs that ``keep`` keeps, by what ``make`` makes of a text of either node."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        places = points.join(nodes, "node", "left_semi").select("place").distinct()
+        texts = self.docs.join(checked_broadcast(places, MAX_IDS), "place", "left_semi").select("text")
         # One exchange of the data of nodes serves both joins.
-        data = self._data(points.join(nodes, "node", "left_semi"), make)
+        data = texts.mapInArrow(make(self.width), "node long, data binary").dropDuplicates(["node"])
         of_a = data.select(F.col("node").alias("a"), F.col("data").alias("of_a"))
         of_b = data.select(F.col("node").alias("b"), F.col("data").alias("of_b"))
         both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b")
@@ -497,12 +523,6 @@ class _Join:
         release_shuffles(self.docs.sparkSession)
         return found
 
-    def _data(self, points: DataFrame, make) -> DataFrame:
-        """(node, data) of some points: what ``make`` makes of a text of each."""
-        places = checked_broadcast(points.select("place").distinct(), MAX_IDS)
-        texts = self.docs.join(places, "place", "left_semi").select("text")
-        return texts.mapInArrow(make(self.width), "node long, data binary").dropDuplicates(["node"])
-
     def star_pairs(self, stars: DataFrame, components: DataFrame) -> DataFrame:
         """Pairs of a node and the smallest node of its cells that are not of one component yet."""
         of_a = components.select(F.col("node").alias("a"), F.col("component").alias("in_a"))
@@ -514,30 +534,41 @@ class _Join:
     def open_links(self, members: DataFrame, components: DataFrame) -> DataFrame:
         """Links between nodes that meet under one name; the nodes that give the names are compared with all by now."""
         placed = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("first").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
-        mixed = mixed.where("least != most").select("first", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        rows = materialise(placed.join(mixed, "first"), "jaccard-mixed")
+        mixed = placed.groupBy("first").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        rows = materialise(placed.join(mixed.where("least != most").select("first"), "first"), "jaccard-mixed")
         points = materialise(self.points(rows.select("node").distinct()), "jaccard-points")
+        sized = rows.join(points.select("node", "n"), "node").groupBy("first").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+        blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / SET_SHINGLES)).cast("int")
+        rows = rows.join(sized.select("first", blocks.alias("blocks")), "first")
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         # Two groups of one hash are one: that only compares more.
         shard = F.xxhash64("first", F.least("block", "other"), F.greatest("block", "other")).alias("shard")
         rows = rows.select(shard, (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component")
-        bounded = rows.join(points.drop("place"), "node").withColumn("bucket", self._bucket(rows, BUCKET))
+        buckets = max(1, -(-rows.count() // BUCKET))
+        bounded = rows.join(points.select("node", "n", "counts"), "node").withColumn("bucket", F.pmod("shard", F.lit(buckets)))
         rows = bounded.groupBy("bucket").applyInArrow(_with_partners(self.percent), "shard long, side int, node long, component long")
-        rows = materialise(rows, "jaccard-open")
-        return materialise(self._united(rows, points), "jaccard-links")
-
-    @staticmethod
-    def _bucket(rows: DataFrame, size: int):
-        return F.pmod("shard", F.lit(max(1, -(-rows.count() // size))))
-
-    def _united(self, rows: DataFrame, points: DataFrame) -> DataFrame:
-        rows = rows.withColumn("bucket", self._bucket(rows, SET_BUCKET))
-        sets = self._data(points.join(rows.select("node").distinct(), "node", "left_semi"), _sets)
-        whole = points.drop("place").join(sets, "node")
-        sent = rows.select(F.col("bucket").alias("to"), "node").distinct().join(whole, "node")
-        sent = sent.select("to", F.col("node").alias("point"), F.col("n").alias("size"), F.col("counts").alias("vector"), "data")
+        rows = materialise(self._dealt(materialise(rows, "jaccard-open"), points), "jaccard-dealt")
+        release_shuffles(self.docs.sparkSession)
+        return materialise(self._united(rows, points.select("node", "place")), "jaccard-links")
+
+    def _dealt(self, rows: DataFrame, points: DataFrame) -> DataFrame:
+        """Rows with their bucket: groups that share nodes go to one, so that a set is sent once, unless they are too many."""
+        least = rows.groupBy("node").agg(F.min("shard").alias("least"))
+        edges = rows.join(least, "node").where("shard != least").select(F.col("shard").alias("a"), F.col("least").alias("b")).distinct()
+        families = connected_components(edges).select(F.col("node").alias("shard"), F.col("component").alias("family"))
+        placed = rows.join(families, "shard", "left").withColumn("family", F.coalesce("family", "shard"))
+        weights = placed.select("family", "node").distinct().join(points.select("node", "n"), "node")
+        weights = materialise(weights.groupBy("family").agg(F.sum("n").alias("shingles")), "jaccard-families")
+        buckets = max(1, -(-(weights.agg(F.sum("shingles")).first()[0] or 0) // SET_SHINGLES))
+        whole = F.when(F.col("shingles") <= SET_SHINGLES, F.xxhash64("family")).otherwise(F.xxhash64("shard"))
+        placed = placed.join(weights, "family").withColumn("bucket", F.pmod(whole, F.lit(buckets)))
+        return placed.select("bucket", "shard", "side", "node", "component")
+
+    def _united(self, rows: DataFrame, places: DataFrame) -> DataFrame:
+        asked = rows.select("bucket", "node").distinct().join(places, "node")
+        texts = self.docs.select("place", "text").join(checked_broadcast(materialise(asked, "jaccard-asked"), MAX_IDS), "place")
+        sent = texts.select("text", "node", "bucket").mapInArrow(_sent(self.width), "to long, point long, size long, vector binary, data binary")
         return rows.groupBy("bucket").cogroup(sent.groupBy("to")).applyInArrow(_united(self.percent), "a long, b long")
 
     def components(self) -> DataFrame:
