@@ -138,17 +138,39 @@ def plan_destinations_query(spark: SparkSession, sf: str) -> DataFrame:
     return plan_destinations(files, "/out")
 
 
+_CONTENDED = """files as (select event_id as seq, event_type as category,
+    case when event_id % 3 = 0 then 'f.txt' else 'f_' || (event_id * 7 % 5) || '.txt' end as name from events),
+  disk as (select distinct event_type as category, user_id as k, 'f_' || user_id || '.txt' as name from events),
+  placed as (select *, row_number() over (partition by category, name order by seq) - 1 as p from files),
+  slots as (select c.category, k, any_value(d.name) is not null as on_disk, min(f.seq) as first
+    from (select distinct category from files) c cross join range(1, 5) t(k)
+    left join disk d using (category, k) left join files f on f.category = c.category and f.name = 'f_' || k || '.txt' group by all),
+  claims as (select s.category, s.k, any_value(on_disk) as on_disk, any_value(first) as first, count(r.seq) as before
+    from slots s left join files r on r.category = s.category and r.name = 'f.txt' and r.seq < s.first group by all),
+  walk(category, k, skipped, skips) as (select distinct category, 0::bigint, 0::bigint, false from files
+    union all select w.category, c.k, skipped + (on_disk or (first is not null and c.k - skipped >= before))::bigint,
+      on_disk or (first is not null and c.k - skipped >= before)
+      from walk w join claims c on c.category = w.category and c.k = w.k + 1),
+  closed as (select category, k from walk where skips union select category, k from disk where k > 0),
+  room as (select category, count(*) + (select count(*) from closed x where x.category = f.category) as n
+    from files f where name = 'f.txt' group by category),
+  free as (select category, slot, row_number() over (partition by category order by slot) - 1 as p
+    from (select category, unnest(range(0, n + 1)) as slot from room) r
+    where not exists (select 1 from closed x where x.category = r.category and x.k = r.slot)),
+  gone as (select category, name from disk union
+    select c.category, 'f_' || c.k || '.txt' from claims c join walk w using (category, k) where first is not null and not skips),
+  slotted as (select seq, category, name, p + (g.name is not null)::bigint as slot
+    from placed left join gone g using (category, name) where placed.name <> 'f.txt'
+    union all select seq, category, name, slot from placed join free using (category, p) where name = 'f.txt')"""
+
+
 @query(
     "plan_destinations_contended",
-    """select event_type as category, count(*) as files, count(*) as destinations, 0::bigint as on_disk, count(*) as slots
-       from events group by event_type""",
+    f"""with recursive {_CONTENDED} select seq, category, name, '/out/' || category || '/' ||
+          case when slot = 0 then name else replace(name, '.txt', '_' || slot || '.txt') end as destination from slotted""",
 )
 def plan_destinations_contended(spark: SparkSession, sf: str) -> DataFrame:
-    """Names that are numbered forms of one another, and folders that already hold files.
-
-    What SQL can say of the plan, which the tests hold against the sequential rule: every file has a
-    destination of its own, none is on disk, all are slots of the family, and files of one name rise in order.
-    """
+    """Names that are numbered forms of one another, and folders that already hold files."""
     events = table(spark, sf, "events")
     number = (F.col("event_id") * 7 % 5).cast("string")
     name = F.when(F.col("event_id") % 3 == 0, F.lit("f.txt")).otherwise(F.concat(F.lit("f_"), number, F.lit(".txt")))
@@ -156,15 +178,35 @@ def plan_destinations_contended(spark: SparkSession, sf: str) -> DataFrame:
     existing = events.select(
         F.col("event_type").alias("category"), F.concat(F.lit("f_"), F.col("user_id").cast("string"), F.lit(".txt")).alias("name")
     ).distinct()
-    planned = plan_destinations(files, "/out", existing).groupBy("category", "destination").agg(F.count("*").alias("n"))
-    on_disk = existing.select(F.concat_ws("/", F.lit("/out"), "category", "name").alias("destination"), F.lit(1).alias("taken"))
-    slot = F.col("destination").rlike(r"^/out/[a-z]+/f(_[0-9]+)*\.txt$")
-    return planned.join(on_disk, "destination", "left").groupBy("category").agg(
-        F.sum("n").alias("files"),
-        F.count("*").alias("destinations"),
-        F.count("taken").alias("on_disk"),
-        F.sum(F.when(slot, F.col("n")).otherwise(0)).alias("slots"),
-    )
+    return plan_destinations(files, "/out", existing)
+
+
+_NUMBERED = """files as (select event_id as seq, event_id % 2 = 0 as plain, case when event_id % 2 = 0 then 0 else event_id * 7919 % 4999 + 1 end as k,
+    sum((event_id % 2 = 0)::bigint) over (order by event_id rows unbounded preceding) as before from events),
+  placed as (select *, row_number() over (partition by k order by seq) - 1 as p from files),
+  claims as materialized (select *, row_number() over (order by k) as i from (select k, min(before) as before from files where not plain group by k)),
+  walk(i, k, skipped, skips) as (select 0::bigint, 0::bigint, 0::bigint, false
+    union all select c.i, c.k, skipped + (c.k - skipped >= before)::bigint, c.k - skipped >= before from walk w join claims c on c.i = w.i + 1),
+  closed as (select k from walk where skips),
+  free as (select slot, row_number() over (order by slot) - 1 as p
+    from (select unnest(range(0, (select count(*) from files where plain) + (select count(*) from closed) + 1)) as slot)
+    where slot not in (select k from closed)),
+  slotted as (select seq, 'n.txt' as name, slot from placed join free using (p) where plain
+    union all select seq, 'n_' || x.k || '.txt', p + (w.i is not null)::bigint
+      from placed x left join walk w on w.k = x.k and not skips and w.i > 0 where not plain)"""
+
+
+@query(
+    "plan_destinations_numbered",
+    f"""with recursive {_NUMBERED} select seq, 'Docs' as category, name, '/out/Docs/' ||
+          case when slot = 0 then name else replace(name, '.txt', '_' || slot || '.txt') end as destination from slotted""",
+)
+def plan_destinations_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """One family of very many numbered names: every other file is ``n.txt``, the others ``n_1.txt``, ``n_2.txt``, ... in mixed order."""
+    events = table(spark, sf, "events").select(F.col("event_id").alias("seq"))
+    number = (F.col("seq") * 7919 % 4999 + 1).cast("string")
+    name = F.when(F.col("seq") % 2 == 0, F.lit("n.txt")).otherwise(F.concat(F.lit("n_"), number, F.lit(".txt")))
+    return plan_destinations(events.select("seq", F.lit("Docs").alias("category"), name.alias("name")), "/out")
 
 
 @query(
