@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sortflow.functions.paths import base_name, visible_name
 from sortflow.functions.vocabulary import EXTRACT_CHARS, REJECT_THRESHOLD
 from sortflow.operators.classify import Scorer, classify, classify_in_place
 from sortflow.operators.destinations import plan_destinations
-from sortflow.operators.movelog import append_moves, live, read_log, replayed
+from sortflow.operators.movelog import append_moves, live, read_log, replayed, undo_replay
+from sortflow.plans.scan import CHUNK_ROWS, dense_index
 from sortflow.plans.workspace import delete_folder, materialise, scratch_scope
 from sortflow.sources.files import BINARY_FILE_SCHEMA, file_text
 
@@ -109,49 +108,101 @@ def auto_move(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _changes(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What the operations of one owner add to and take from the counts; the state is the stack of its live moves."""
-    live_moves = list(state.get[0]) if state.exists else []
-    changes: Counter = Counter()
-    for row in pd.concat(list(rows), ignore_index=True).sort_values("id").itertuples():
-        if row.op == "move":
-            live_moves.append(row.category)
-            changes[row.category] += 1
-        elif row.op == "undo" and live_moves:
-            changes[live_moves.pop()] -= 1
-    state.update((live_moves,))
-    found = [(category, n) for category, n in changes.items() if n]
-    yield pd.DataFrame({"category": [c for c, _ in found], "change": [n for _, n in found]})
+@dataclass(frozen=True)
+class LiveStack:
+    """The live moves of every owner, as tables of what each trigger put on and took off.
+
+    A trigger's operations come down to undos that found nothing of their own trigger, and moves that
+    stayed: the undos take the newest live moves of before, the moves go on top. Every ``compact`` triggers the live
+    moves are written as one table, and what is older is deleted. A trigger that runs again writes
+    its own tables again, from those of the triggers before it.
+    """
+
+    path: str
+    compact: int = 16
+
+    _ROWS = "owner string, id long, category string"
+
+    def _table(self, spark: SparkSession, kind: str, versions: range, schema: str) -> DataFrame:
+        folders = [f"{self.path}/{kind}/version={v}" for v in versions]
+        return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The live moves that the triggers before ``batch_id`` left."""
+        versions = range(max(0, batch_id // self.compact * self.compact - 1), batch_id)
+        pushed = self._table(spark, "pushed", versions, self._ROWS)
+        popped = self._table(spark, "popped", versions, "owner string, id long")
+        return pushed.join(popped, ["owner", "id"], "left_anti")
+
+    def update(self, ops: DataFrame, batch_id: int) -> DataFrame:
+        """Write what the operations (owner, id, op, category) put on and take off; (category, change) of the live moves."""
+        spark = ops.sparkSession
+        ops = materialise(ops, "stack-operations")
+        pushed = undo_replay(ops).where("undone = 0").select("owner", "id", "category")
+        undos = ops.where("op = 'undo'").groupBy("owner").agg(F.count("*").alias("undos"))
+        moves = ops.where("op = 'move'").groupBy("owner").agg(F.count("*").alias("moves"))
+        pushed = materialise(pushed, "stack-pushed")
+        stayed = pushed.groupBy("owner").agg(F.count("*").alias("stayed"))
+        # A move that did not stay took one undo; the others reach below.
+        counts = undos.join(moves, "owner", "left").join(stayed, "owner", "left").fillna(0, ["moves", "stayed"])
+        reach = counts.select("owner", (F.col("undos") - F.col("moves") + F.col("stayed")).alias("reach")).where("reach > 0")
+        popped = materialise(self._newest(self.before(spark, batch_id), reach), "stack-popped") if batch_id else self.before(spark, 0)
+        changed = pushed.select("category", F.lit(1).alias("by")).unionByName(popped.select("category", F.lit(-1).alias("by")))
+        changes = changed.groupBy("category").agg(F.sum("by").alias("change"))
+        if batch_id % self.compact == self.compact - 1:
+            live_moves = self.before(spark, batch_id).join(popped.select("owner", "id"), ["owner", "id"], "left_anti")
+            pushed, popped = materialise(live_moves.unionByName(pushed), "stack-live"), popped.limit(0)
+        pushed.write.mode("overwrite").parquet(f"{self.path}/pushed/version={batch_id}")
+        popped.select("owner", "id").write.mode("overwrite").parquet(f"{self.path}/popped/version={batch_id}")
+        return changes
+
+    def forget(self, spark: SparkSession, batch_id: int) -> None:
+        """Delete what no trigger after ``batch_id`` reads, nor ``batch_id`` itself if it runs again."""
+        if batch_id and batch_id % self.compact == 0:
+            for version in range(max(0, batch_id - self.compact - 1), batch_id - 1):
+                for kind in ("pushed", "popped"):
+                    delete_folder(spark, f"{self.path}/{kind}/version={version}")
+
+    @staticmethod
+    def _newest(stack: DataFrame, reach: DataFrame) -> DataFrame:
+        """The ``reach`` newest moves of every owner: counted by chunks of ids, so that no owner is one task."""
+        rows = stack.join(reach, "owner").withColumn("__age", -F.col("id"))
+        ranked = dense_index(rows, ["owner"], ["__age"], F.floor(F.col("__age") / CHUNK_ROWS), "__rank")
+        return ranked.where("__rank < reach").select("owner", "id", "category")
 
 
 def live_counts(ops: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Live moves per category of a stream of (owner, id, op, category), as undos take moves back.
 
-    An owner's operations have to arrive in the order of their ids over triggers. State is the stack of
-    categories of each owner's live moves; a trigger adds its changes to the counts of the one before,
-    a table of one row per category, and leaves that and its own.
+    An owner's operations have to arrive in the order of their ids over triggers. A trigger matches its own undos and
+    moves by the scan of :func:`undo_replay`, takes what they reach below from the live moves of before, and adds its
+    changes to the counts of the trigger before: no owner is one group, and no state is held in memory.
+    A null owner is an owner; operations that are neither move nor undo are passed over.
     """
+    stack = LiveStack(f"{path}/stack")
 
-    def replace(changes: DataFrame, batch_id: int) -> None:
-        spark = changes.sparkSession
-        counts = changes.select("category", F.col("change").alias("count"))
-        if batch_id:
-            before = spark.read.schema("category string, count long").parquet(f"{path}/version={batch_id - 1}")
-            counts = counts.unionByName(before)
-        counts = counts.groupBy("category").agg(F.sum("count").alias("count")).where("count > 0")
-        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with scratch_scope(spark):
+            owner = F.coalesce(F.concat(F.lit("="), F.col("owner").cast("string")), F.lit(""))
+            steps = batch.select(owner.alias("owner"), F.col("id").cast("long").alias("id"), "op", F.col("category").cast("string").alias("category"))
+            counts = stack.update(steps.where(F.col("op").isin("move", "undo")), batch_id)
+            counts = counts.select("category", F.col("change").alias("count"))
+            if batch_id:
+                before = spark.read.schema("category string, count long").parquet(f"{path}/counts/version={batch_id - 1}")
+                counts = counts.unionByName(before)
+            counts = counts.groupBy("category").agg(F.sum("count").alias("count")).where("count > 0")
+            counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/version={batch_id}")
         if batch_id > 1:
-            delete_folder(spark, f"{path}/version={batch_id - 2}")
+            delete_folder(spark, f"{path}/counts/version={batch_id - 2}")
+        stack.forget(spark, batch_id)
 
-    changed = ops.select("owner", "id", "op", "category").groupBy("owner").applyInPandasWithState(
-        _changes, "category string, change long", "live array<string>", "update", GroupStateTimeout.NoTimeout
-    )
-    writer = changed.writeStream.outputMode("update").foreachBatch(replace).option("checkpointLocation", checkpoint)
+    writer = ops.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
     """The counts of the newest trigger."""
-    versions = spark.read.parquet(path)
+    versions = spark.read.parquet(f"{path}/counts")
     newest = versions.agg(F.max("version")).scalar()
     return versions.where(F.col("version") == newest).select("category", "count")
