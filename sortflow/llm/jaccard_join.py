@@ -54,6 +54,7 @@ from sortflow.plans.workspace import materialise
 GROUPS = 64
 #: Groups of the second bound, for the pairs that pass the first.
 FINE_GROUPS = 1_024
+_MOST = np.iinfo(np.uint16).max
 CLASS_RATIO = 1.6
 #: Times that a text with many empty slices is dealt.
 DEALS = 4
@@ -320,22 +321,33 @@ def _fine_counts(width: int):
             for texts in text_slices(batch.column(0), 1 << 20):
                 row, shingles = shingle_sets(texts, width)
                 _, node = set_nodes(row, shingles, texts.rows)
-                counts = [c.tobytes() for c in group_counts(row, shingles, texts.rows, FINE_GROUPS).astype("<u4")]
+                # Two bytes a group: a count that does not fit is the largest, and such sets are bounded by the coarse groups alone.
+                counts = [np.minimum(c, _MOST).astype("<u2").tobytes() for c in group_counts(row, shingles, texts.rows, FINE_GROUPS)]
                 yield _batch(node=_longs(node), data=pa.array(counts, pa.binary()))
 
     return run
 
 
+def _fine_pass(sizes_x: np.ndarray, sizes_y: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether fine counts, row by row, can reach the overlap."""
+    shared = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    capped = (x == _MOST).any(axis=1) & (y == _MOST).any(axis=1)
+    return capped | (shared >= needed_overlap(sizes_x, sizes_y, percent))
+
+
+def _fine(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, FINE_GROUPS)
+
+
 def _bounded_finely(percent: int):
     """Drop pairs whose counts over finer groups cannot reach the overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u4").astype(np.int64), np.frombuffer(y, "<u4").astype(np.int64)
-                ok.append(bool(np.minimum(x, y).sum() >= needed_overlap(x.sum(), y.sum(), percent)))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                sizes = (part.column(c).to_numpy() for c in ("n_a", "n_b"))
+                yield part.select([0, 1]).filter(pa.array(_fine_pass(*sizes, _fine(part.column("of_a")), _fine(part.column("of_b")), percent)))
 
     return run
 
@@ -353,7 +365,7 @@ def _bounded(percent: int):
                 a, b = (batch.column(i).to_numpy() for i in (2, 4))
                 shared = np.minimum(_counts(batch.column(3)), _counts(batch.column(5))).sum(axis=1)
                 ok = (shared >= needed_overlap(a, b, percent)) & (np.minimum(a, b) * 100 >= percent * np.maximum(a, b))
-                yield batch.select([0, 1]).filter(pa.array(ok))
+                yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(ok))
 
     return run
 
@@ -364,7 +376,7 @@ def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
@@ -393,19 +405,25 @@ def _groups_of(shard: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray
 
 
 def _with_partners(percent: int):
-    """(shard, side, node, component) of the nodes that the bound leaves a partner of another component."""
+    """(shard, side, node, component) of the nodes that the bounds, over coarse and fine groups, leave a partner of another component."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         shard, side, sizes, components = (table.column(c).to_numpy() for c in ("shard", "side", "n", "component"))
-        counts, kept = _counts(table.column("counts")), np.zeros(len(shard), bool)
+        counts, fine, kept = _counts(table.column("counts")), _fine(table.column("data")), np.zeros(len(shard), bool)
         for one, two, small in _groups_of(shard, side):
             tree = None if small else CountTree(counts[one], sizes[one], components[one])
             for at in range(0, len(two) if tree is not None else 1, AT_ONCE):
                 part = slice(at, at + AT_ONCE)
                 query, point = _pairs(tree, counts[two], sizes[two], components[two], part, percent)
-                kept[two[query + (at if tree is not None else 0)]] = True
-                kept[one[point]] = True
+                query, point = two[query + (at if tree is not None else 0)], one[point]
+                # What is kept already needs no further partner.
+                open_ = ~(kept[query] & kept[point])
+                query, point = query[open_], point[open_]
+                for begin in range(0, len(query), 4_096):
+                    q, p = query[begin : begin + 4_096], point[begin : begin + 4_096]
+                    ok = _fine_pass(sizes[q], sizes[p], fine[q], fine[p], percent)
+                    kept[q[ok]] = kept[p[ok]] = True
         return table.select(["shard", "side", "node", "component"]).filter(pa.array(kept))
 
     return run
@@ -503,26 +521,31 @@ class _Join:
         a = points.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("counts_a"))
         b = points.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("counts").alias("counts_b"))
         near = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "counts_a", "n_b", "counts_b")
-        near = materialise(near.mapInArrow(_bounded(self.percent), "a long, b long"), "jaccard-near")
+        near = materialise(near.mapInArrow(_bounded(self.percent), "a long, b long, n_a long, n_b long"), "jaccard-near")
+        sizes = near
 
-        near = self._filtered(near, points, _fine_counts, _bounded_finely)
+        near = self._filtered(near, points, _fine_counts, _bounded_finely).join(sizes, ["a", "b"])
         return self._filtered(near, points, _sets, _verified)
 
     def _filtered(self, pairs: DataFrame, points: DataFrame, make, keep) -> DataFrame:
         """The pairs that ``keep`` keeps, by what ``make`` makes of a text of either node."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        places = points.join(nodes, "node", "left_semi").select("place").distinct()
-        texts = self.docs.join(checked_broadcast(places, MAX_IDS), "place", "left_semi").select("text")
         # One exchange of the data of nodes serves both joins.
-        data = texts.mapInArrow(make(self.width), "node long, data binary").dropDuplicates(["node"])
+        data = self._data(points.join(nodes, "node", "left_semi"), make)
         of_a = data.select(F.col("node").alias("a"), F.col("data").alias("of_a"))
         of_b = data.select(F.col("node").alias("b"), F.col("data").alias("of_b"))
-        both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b")
+        both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "n_a", "n_b", "of_a", "of_b")
         found = materialise(both.mapInArrow(keep(self.percent), "a long, b long"), "jaccard-pairs")
         del data, of_a, of_b, both
         release_shuffles(self.docs.sparkSession)
         return found
 
+    def _data(self, points: DataFrame, make) -> DataFrame:
+        """(node, data) of some points: what ``make`` makes of a text of each."""
+        places = checked_broadcast(points.select("place").distinct(), MAX_IDS)
+        texts = self.docs.join(places, "place", "left_semi").select("text")
+        return texts.mapInArrow(make(self.width), "node long, data binary").dropDuplicates(["node"])
+
     def star_pairs(self, stars: DataFrame, components: DataFrame) -> DataFrame:
         """Pairs of a node and the smallest node of its cells that are not of one component yet."""
         of_a = components.select(F.col("node").alias("a"), F.col("component").alias("in_a"))
@@ -546,7 +569,8 @@ class _Join:
         shard = F.xxhash64("first", F.least("block", "other"), F.greatest("block", "other")).alias("shard")
         rows = rows.select(shard, (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component")
         buckets = max(1, -(-rows.count() // BUCKET))
-        bounded = rows.join(points.select("node", "n", "counts"), "node").withColumn("bucket", F.pmod("shard", F.lit(buckets)))
+        finer = points.select("node", "n", "counts").join(self._data(points, _fine_counts), "node")
+        bounded = rows.join(finer, "node").withColumn("bucket", F.pmod("shard", F.lit(buckets)))
         rows = bounded.groupBy("bucket").applyInArrow(_with_partners(self.percent), "shard long, side int, node long, component long")
         rows = materialise(self._dealt(materialise(rows, "jaccard-open"), points), "jaccard-dealt")
         release_shuffles(self.docs.sparkSession)
