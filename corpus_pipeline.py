@@ -4,9 +4,11 @@ Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
 returns a DataFrame; ``run`` writes it as Parquet and reads it again as the next
 stage's docs. All stages but the last return the columns of ``documents``.
 
-A null text is no known language and goes in the first stage; an empty table gives
-an empty result; repeated rows are one document for the near-copy stage if they
-share an id, and keep their copies.
+Defined results: a null, empty or letterless text is no known language and goes in
+the first stage; an empty table gives an empty result; of repeated rows, and of all
+rows linked with one another, the near-copy stage keeps one row, of the smallest id; rows without an id
+come after all ids; one id with two unlike texts keeps both; extra columns are
+carried through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of every group of texts linked by 80 % of their five-word shingles."""
+    """Keep one row of every group of texts linked by 80 % of their five-word shingles."""
     return keep_one_of_each(docs, width=5, percent=80)
 
 
