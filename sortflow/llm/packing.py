@@ -21,6 +21,7 @@ rows; columns other than id and text are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sortflow.llm.wordbytes import Texts, Words, find_words, span_hashes, text_slices
+from sortflow.llm.wordbytes import Texts, Words, find_words, lower_case, mix, span_hashes, text_slices
 from sortflow.plans.broadcasting import checked_broadcast
 from sortflow.plans.workspace import materialise
 
@@ -83,7 +84,8 @@ class Tokeniser:
     For vocabularies in which white space and a stop after a letter or digit are
     borders of words, and in which A-Z count as lower case. Words are told apart
     by a 64-bit hash. At most ``MAX_WORDS`` words are remembered, over all tasks
-    of a Python worker; beyond that it starts anew.
+    of a Python worker; beyond that it starts anew. Strings of added tokens are
+    cut out of the text as it is written, before it is lower-cased, and get their id.
     """
 
     def __init__(self, path: str) -> None:
@@ -91,24 +93,46 @@ class Tokeniser:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        # What is learnt are words between added tokens: there their strings are ordinary text.
         self.model.encode_special_tokens = True
+        added = self.model.get_added_tokens_decoder()
+        self.added = {t.content.encode(): i for i, t in added.items()}
+        for raw, token in zip(self.added, added.values()):
+            plain = np.frombuffer(raw, np.uint8)
+            if token.normalized or token.lstrip or token.rstrip or token.single_word or _STOPS[plain].any() or not _SOLID[plain].all():
+                raise ValueError(f"An added token that is no word of its own: {token.content}")
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.added_pattern = re.compile(b"|".join(map(re.escape, longest_first))) if self.added else None
+        self.added_hashes = {i: mix(np.array([i], np.uint64) + np.uint64(1 << 63))[0] for i in self.added.values()}
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.begins = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        known = sorted((h, i) for i, h in self.added_hashes.items())
+        self.hashes = np.array([h for h, _ in known], np.uint64)
+        self.begins = np.arange(len(known))
+        self.sizes = np.ones(len(known), np.int64)
+        self.flat = np.array([i for _, i in known], np.uint32)
+
+    def _added(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, id) of the strings of added tokens, from the left; none crosses a row."""
+        found = []
+        if self.added_pattern is not None:
+            raw = texts.data.tobytes()
+            if self.added_pattern.search(raw):
+                for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist()):
+                    found += [(m.start(), m.end(), self.added[m[0]]) for m in self.added_pattern.finditer(raw, a, b)]
+        return tuple(np.array(found, np.int64).reshape(-1, 3).T)
 
     @staticmethod
-    def _pieces(texts: Texts) -> Words:
-        """Words between white space, cut before stops that follow a letter or digit."""
+    def _pieces(texts: Texts, borders: np.ndarray) -> Words:
+        """Words between white space, cut before stops that follow a letter or digit, and at ``borders``."""
         data = texts.data
         cuts = np.zeros(len(data), bool)
         if len(data) > 2:
             cuts[1:] = _PLAIN[data[:-1]]
             cuts[2:] |= (data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
             cuts &= _STOPS[data]
+        cuts[borders[borders < len(data)]] = True
         return find_words(texts, _SOLID, cuts)
 
     def _learn(self, hashes: np.ndarray, said: list[str]) -> None:
@@ -127,11 +151,13 @@ class Tokeniser:
         self.sizes = np.insert(self.sizes, at, sizes)
 
     def __call__(self, texts: Texts, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, borders): text ``i`` has ``ids[borders[i]:borders[i + 1]]``, its end id last."""
-        words = self._pieces(texts)
-        hashes, first, code = np.unique(
-            span_hashes(texts, words.start, words.end), return_index=True, return_inverse=True
-        )
+        """(ids, borders): text ``i`` has ``ids[borders[i]:borders[i + 1]]``, its end id last. Texts as they are written."""
+        starts, ends, added = self._added(texts)
+        texts = lower_case(texts)
+        words = self._pieces(texts, np.concatenate([starts, ends]))
+        of_words = span_hashes(texts, words.start, words.end)
+        of_words[np.searchsorted(words.start, starts)] = [self.added_hashes[i] for i in added.tolist()]
+        hashes, first, code = np.unique(of_words, return_index=True, return_inverse=True)
         if len(self.hashes) > MAX_WORDS:
             self._forget()
         at = np.searchsorted(self.hashes, hashes)
@@ -250,7 +276,7 @@ def _pack_texts(tokenizer_path: str, tiers: tuple[int, ...], end_id: int, block_
         writer = _Writer(TaskContext.get().partitionId())
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for texts in text_slices(batch.column(1), SLICE_BYTES):
+            for texts in text_slices(batch.column(1), SLICE_BYTES, lower=False):
                 ids, borders = tokenise(texts, end_id)
                 for i, doc_id in enumerate(doc_ids[texts.first : texts.first + texts.rows]):
                     own = ids[borders[i] : borders[i + 1]]

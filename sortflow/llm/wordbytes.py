@@ -71,6 +71,10 @@ def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES, lower: bool = Tr
         at = stop
 
 
+def lower_case(texts: Texts) -> Texts:
+    return Texts(texts.first, _LOWER[texts.data], texts.offsets)
+
+
 def find_words(texts: Texts, inside: np.ndarray, cuts: np.ndarray | None = None) -> Words:
     """Longest runs of bytes for which ``inside`` holds; no word crosses a row, nor a byte marked in ``cuts``."""
     mask = inside[texts.data]

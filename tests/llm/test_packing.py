@@ -16,13 +16,12 @@ def ids_of(texts):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(tokenizer_path())
-    model.encode_special_tokens = True
     return [e.ids + [2] for e in model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def made(n=300):
     r = random.Random(8)
-    words = ["The", "naïve", "don't", "x9,", "É́t,", "(a.b)", "…", "日本語。", "ÄÖ.", "×.", "end!", "w1;", "<|endoftext|>", "😀.", " ", "a　b"]
+    words = ["The", "naïve", "don't", "x9,", "É́t,", "(a.b)", "…", "日本語。", "ÄÖ.", "×.", "end!", "w1;", "<|endoftext|>", "<|EndOfText|>", "x.<|startoftext|>'t", "<|<|endoftext|>́e", "<|endoftext", "😀.", " ", "a　b"]
     words += ["".join(r.choice("abcdefgéß") for _ in range(r.randrange(1, 9))) for _ in range(300)]
     docs = [(i, r.choice([" ", "\n", "\t "]).join(r.choice(words) for _ in range(int(2 ** r.uniform(0, 11))))) for i in range(n)]
     return docs + [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "long " * 30_000)]
@@ -68,6 +67,15 @@ def test_step_groups_have_equal_mixtures(documents):
         assert max(counts) - min(counts) <= 1
 
 
+def test_strings_of_added_tokens_get_their_id(documents):
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>B", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|startoftext|><|endoftext|>", "<|<|startoftext|>|>"]
+    rows = pack_documents(documents(list(enumerate(texts))).coalesce(1), tokenizer_path()).collect()
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in rows}
+    wanted = ids_of(texts)
+    assert wanted[0].count(49407) == 1 and len(wanted[0]) == 4 and 49407 not in wanted[2] + wanted[3]
+    assert got == {i: (len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(wanted)}
+
+
 def test_gaps_are_filled_with_what_fits():
     packer = Packer((8, 16))
     for n in (10, 6, 4, 3):
