@@ -131,17 +131,27 @@ def model_labels(model: PipelineModel) -> list[str]:
 
 def model_scorer(model: PipelineModel) -> Scorer:
     """Scorer of a fitted classifier over (filepath, content)."""
-    labels = F.array(*[F.lit(x) for x in model_labels(model)])
     stages = PipelineModel([s for s in model.stages if not isinstance(s, StringIndexerModel)])
+    return scorer_of(stages, vector_to_array("probability"), model_labels(model))
+
+
+def scorer_of(stages: PipelineModel, probabilities: Column, labels: Sequence[str]) -> Scorer:
+    """Scorer by fitted stages over (filename, content) and a column of what they add."""
+    names = F.array(*[F.lit(x) for x in labels])
 
     def score(df: DataFrame) -> DataFrame:
-        # The model's input column takes the place of a file name of the frame for as long as it runs.
-        kept = {c: "__own_name" if c == "filename" else c for c in df.columns}
-        inputs = df.withColumnsRenamed(kept).withColumn("filename", featurize_name(base_name(F.col("filepath"))))
-        scored = stages.transform(inputs).withColumn("__p", vector_to_array("probability"))
+        # The model's input columns, never null, take the place of those of the frame for as long as it runs.
+        kept = {c: {"filename": "__own_name", "content": "__own_content"}.get(c, c) for c in df.columns}
+        inputs = df.withColumnsRenamed(kept).withColumns(
+            {
+                "filename": F.coalesce(featurize_name(base_name(F.col("filepath"))), F.lit("")),
+                "content": F.coalesce("__own_content", F.lit("")),
+            }
+        )
+        scored = stages.transform(inputs).withColumn("__p", probabilities)
         return scored.select(
             *[F.col(name).alias(c) for c, name in kept.items()],
-            F.get(labels, arg_max(F.col("__p")).cast("int")).alias("category"),
+            F.get(names, arg_max(F.col("__p")).cast("int")).alias("category"),
             F.array_max("__p").alias("confidence"),
             F.col("__p").alias("probabilities"),
         )

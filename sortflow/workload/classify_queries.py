@@ -14,6 +14,7 @@ from sortflow.functions.labels import reject_low
 from sortflow.functions.text import result_preview
 from sortflow.functions.vocabulary import DEFAULT_CATEGORY
 from sortflow.operators import classify as ops
+from sortflow.operators import perceptron
 from sortflow.operators import evaluate as ev
 from sortflow.operators.corpus import stratified_cap, stratified_split
 from sortflow.operators.evaluate import REPORT_METRICS, class_report_full
@@ -191,6 +192,7 @@ _models: dict[tuple[str, str], PipelineModel] = {}
 MAX_LABELLED_ROWS = 20_000
 #: Least accuracy on held-out rows: the labels follow from the language of the text.
 ACCURACY_FLOOR = 0.9
+PERCEPTRON_FLOOR = 0.95
 
 _SPLIT_SQL = f"""{with_views('corpus')}, counts as (select label, count(*) as n from corpus group by label),
   whole as (select sum(n)::bigint as n, sum(n)::bigint - ceil(0.2 * sum(n))::bigint as draws from counts),
@@ -239,6 +241,48 @@ def train_classifier(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_perceptrons: dict[tuple[str, str], perceptron.FileClassifier] = {}
+
+
+def trained_perceptron(spark: SparkSession, sf: str) -> perceptron.FileClassifier:
+    """The perceptron of the training rows, a tenth of which decide when to stop; fitted once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _perceptrons:
+        train = split_corpus(spark, sf).where("split = 'train'")
+        _perceptrons[key] = perceptron.train_perceptron(stratified_cap(train, "label", "doc_id", MAX_LABELLED_ROWS), "doc_id")
+    return _perceptrons[key]
+
+
+def perceptron_report(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = split_corpus(spark, sf).where("split = 'validation'").withColumnRenamed("filename", "filepath")
+    scored = perceptron.perceptron_scorer(trained_perceptron(spark, sf))(held_out)
+    return class_report_full(scored.select(F.col("label").alias("y_true"), F.col("category").alias("y_pred")))
+
+
+@query(
+    "train_perceptron",
+    f"""{_SPLIT_SQL} select label, cast(support as double) as support, true as ok, true as stop_ok from held_out
+        union all select 'accuracy', null, true, true
+        union all select name, (select cast(sum(support) as double) from held_out), true, true
+          from (values ('macro avg'), ('weighted avg')) v(name)""",
+)
+def train_perceptron(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``train_classifier``, by mini-batches; and whether the training stopped where the scan over its history stops."""
+    training = trained_perceptron(spark, sf).training
+    stops = ev.early_stop(training.history, "run", "epoch", "val_macro_f1", perceptron.PATIENCE).select(
+        ((F.col("best_epoch") == training.best_epoch) & (F.col("last_epoch") == training.last_epoch)).alias("stop_ok")
+    )
+    metrics = [F.col(m) for m in REPORT_METRICS]
+    inside = reduce(lambda a, b: a & b, [m.between(0, 1) for m in metrics])
+    is_accuracy = F.col("label") == "accuracy"
+    return perceptron_report(spark, sf).select(
+        "label",
+        F.when(~is_accuracy, F.col("support")).alias("support"),
+        F.when(is_accuracy, F.col("precision") > PERCEPTRON_FLOOR).otherwise(inside).alias("ok"),
+        stops.scalar().alias("stop_ok"),
+    )
+
+
 @query(
     "model_evaluation",
     f"""{_SPLIT_SQL} select (select max(draws) from whole) as train_rows, sum(support)::bigint as validation_rows,
