@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sortflow.functions.paths import base_name, extension
+from sortflow.functions.paths import base_name, extension, visible_name
 from sortflow.functions.text import extracted_text
 from sortflow.functions.vocabulary import EXTRACT_CHARS, TEXT_SUFFIXES
-
-#: Half of what one binary cell can hold.
-MAX_FILE_BYTES = 1 << 30
+from sortflow.sources import heads
 
 BINARY_FILE_SCHEMA = T.StructType(
     [
@@ -25,15 +21,6 @@ BINARY_FILE_SCHEMA = T.StructType(
 )
 
 
-def suffix_glob(suffixes: Sequence[str]) -> str:
-    """Glob for the suffixes in any letter case."""
-
-    def both_cases(suffix: str) -> str:
-        return "".join(f"[{ch.lower()}{ch.upper()}]" if ch.isalpha() else ch for ch in suffix)
-
-    return "*.{" + ",".join(both_cases(s) for s in suffixes) + "}"
-
-
 def decode_text(content: Column) -> Column:
     """UTF-8 text with undecodable bytes dropped and line ends unified. A literal U+FFFD is dropped as well."""
     text = F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
@@ -49,24 +36,14 @@ def file_text(name: Column, content: Column, max_chars: int = EXTRACT_CHARS) ->
     return F.when(has_text_suffix(name), extracted_text(decode_text(content), max_chars)).otherwise("")
 
 
-def read_files(spark: SparkSession, folder: str, max_chars: int = EXTRACT_CHARS) -> DataFrame:
-    """All files of one folder. Only files with a text suffix are opened; of the rest only the names are listed.
-
-    Files of more than ``MAX_FILE_BYTES`` are not opened either and have an empty text.
-    """
-    opened = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", suffix_glob(TEXT_SUFFIXES))
-        .load(folder)
-        .where(F.col("length") <= MAX_FILE_BYTES)
-        .select("path", file_text(base_name(F.col("path")), F.col("content"), max_chars).alias("content"))
-    )
-    listed = (
-        spark.read.format("binaryFile")
-        .load(folder)
-        .where(~has_text_suffix(base_name(F.col("path"))) | (F.col("length") > MAX_FILE_BYTES))
-        .select("path", F.lit("").alias("content"))
-    )
-    return opened.where(has_text_suffix(base_name(F.col("path")))).unionByName(listed).select(
-        F.col("path").alias("filepath"), base_name(F.col("path")).alias("filename"), "content"
+def read_files(spark: SparkSession, folder: str, max_chars: int = EXTRACT_CHARS, recursive: bool = False) -> DataFrame:
+    """All visible files of a folder. Of files with a text suffix the head is read, of the rest only the names are listed."""
+    heads.register(spark)
+    reader = spark.read.format(heads.FORMAT).option("max_chars", max_chars).option("recursive", recursive)
+    found = reader.option("suffixes", ",".join(TEXT_SUFFIXES)).load(folder)
+    name = base_name(F.col("path"))
+    return found.where(visible_name(name)).select(
+        F.col("path").alias("filepath"),
+        name.alias("filename"),
+        F.when(has_text_suffix(name), extracted_text(F.col("head"), max_chars)).otherwise("").alias("content"),
     )

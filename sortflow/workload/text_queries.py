@@ -25,6 +25,8 @@ from sortflow.functions.text import (
 from sortflow.functions.vocabulary import CATEGORIES, MAX_CONTENT_CHARS, NAME_PREFIX_CHARS
 from sortflow.operators.corpus import decode_labels, encode_labels, label_ids, matches_filters, min_content
 from sortflow.plans.scan import dense_index, id_chunk
+from sortflow.plans.workspace import scratch
+from sortflow.sources.files import read_files
 from sortflow.workload import sqltext as q
 from sortflow.workload.registry import query, table
 from sortflow.workload.views import view, with_views
@@ -35,6 +37,16 @@ def text_preview(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", extracted_text(F.col("text")).alias("preview"))
 
 
+@query("folder_preview", f"select item_id, {q.strip('substr(text, 1, 500)')} as preview from benchmark")
+def folder_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """One text file per benchmark item, and the heads of these files."""
+    folder = scratch(spark, "benchmark-files")
+    table(spark, sf, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(folder)
+    found = read_files(spark, folder, recursive=True).where("filename like 'part-%'")
+    item = F.regexp_extract("filepath", r"/item_id=(\d+)/", 1).cast("bigint")
+    return found.select(item.alias("item_id"), F.col("content").alias("preview"))
+
+
 @query("normalize_text", f"select doc_id, {q.norm('text')} as content from documents")
 def normalize_text_query(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", normalize_text(F.col("text")).alias("content"))

@@ -104,11 +104,22 @@ def test_only_a_missing_log_is_empty(spark, tmp_path):
         read_log(spark, str(tmp_path / "log")).count()
 
 
-def test_large_files_are_listed_and_not_opened(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "MAX_FILE_BYTES", 10)
-    (tmp_path / "small.txt").write_text("small")
-    (tmp_path / "large.txt").write_text("large " * 100)
-    assert {(r["filename"], r["content"]) for r in files.read_files(spark, str(tmp_path)).collect()} == {("small.txt", "small"), ("large.txt", "")}
+def test_heads_of_files_of_any_size(spark, tmp_path):
+    with open(tmp_path / "large.txt", "wb") as f:
+        f.write("  é\r\n".encode() + b"\xff" * 5_000 + b"x" * 600)
+        f.truncate(2 << 30)  # a sparse file
+    (tmp_path / "_draft.md").write_text("draft")
+    (tmp_path / "a b%20.txt").write_text("")
+    (tmp_path / "gone.txt").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "data.bin").write_text("data")
+    got = {r["filename"]: r["content"] for r in files.read_files(spark, str(tmp_path)).collect()}
+    assert got.pop("gone.txt", "") == ""
+    assert got == {"large.txt": "é\n" + "x" * 496, "_draft.md": "draft", "a b%20.txt": "", "data.bin": ""}
+    (tmp_path / "empty").mkdir()
+    assert files.read_files(spark, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(Exception, match="nothing"):
+        files.read_files(spark, str(tmp_path / "nothing")).count()
+
 
 
 def python_text(x) -> str:
