@@ -1,25 +1,28 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the words of a text and their first three to six bytes, each as a
-64-bit hash; a text holds a term or not. The score is the logistic of a bias,
-a weight per term, and for every pair of terms of the text the inner product of
-their factors, so that pairs can mean what neither term means alone.
+Terms are the words of a text and their heads, hashed into a table of ``1 << SLOT_BITS``
+slots; a text holds a slot or not. The score is the logistic of a bias, a weight per
+slot, and for every pair of slots of the text the inner product of their factors over the
+number of its slots, so that pairs can mean what neither term means alone.
 
-The machine is fitted in one task on about ``max_docs`` labelled rows, with the
-``max_terms`` terms that tell the labels apart best (log-likelihood ratio), by
-Adagrad over small batches in a fixed order. Sample and terms bound the model,
-which is broadcast; scoring reads every text in one pass without a shuffle.
+The machine is fitted in one task on about ``max_docs`` labelled rows, on all of their
+terms: none is chosen or dropped beforehand by what it tells alone. Sparse Adagrad in its
+follow-the-regularised-leader form runs over small batches in a fixed order and touches the slots
+of a batch only; gradients that do not add up move nothing. Sample and table bound the
+model, which is broadcast; scoring reads every text in one pass without a shuffle.
 
 Defined results: a null or empty text has no terms and gets the score of the
 bias; without labelled rows, or with one label only, the bias is the share of
 toxic rows, one row added to each label; a document labelled twice counts as
 toxic if any label says so; null labels are left out; repeated rows get equal
-scores; empty tables give no rows; other columns are not read.
+scores; terms that no labelled row holds count nothing; empty tables give no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,161 +33,131 @@ from sortflow.llm.rows import ROW, text_of, whole_row
 from sortflow.llm.wordbytes import ALNUM_BYTES, Texts, find_words, span_hashes, text_slices
 
 MAX_DOCS = 16_000
-MAX_TERMS = 8_192
-MIN_DOCS = 4
+SLOT_BITS = 18
 FACTORS = 8
-EPOCHS = 12
+EPOCHS = 6
 BATCH = 128
-RATE = 0.05
-DECAY_WEIGHTS = 1e-4
-DECAY_FACTORS = 1e-3
-PREFIXES = (3, 4, 5, 6)
-#: Least log-likelihood ratio of a term: chance exceeds it for one term in 10,000.
-MIN_RATIO = 8.0
+RATE = 1.0
+STEADY = 1.0
+SPREAD = 0.1
+#: A weight or factor stays where it started until its gradients sum up to more than this.
+LEAST_WEIGHT, LEAST_FACTOR = 12.0, 1.0
+HEADS = (3, 4, 5, 6)
 SEED = 20
-_FILTER_BITS = 22
 
 
-def _terms(texts: Texts, likely: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) of every distinct term of every text, sorted; ``likely`` marks the hash heads worth keeping."""
+def _slots(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, borders): text ``i`` holds the slots ``slots[borders[i]:borders[i + 1]]``, each once, ascending."""
     words = find_words(texts, ALNUM_BYTES)
-    rows, hashes = [], []
-    for size in (None, *PREFIXES):
+    found = []
+    for size in (None, *HEADS):
         longer = np.ones(len(words.row), bool) if size is None else words.end - words.start > size
         start, end, row = words.start[longer], words.end[longer], words.row[longer]
-        h = span_hashes(texts, start, end if size is None else start + size) ^ np.uint64(0 if size is None else size)
-        if likely is not None:
-            wanted = likely[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
-            row, h = row[wanted], h[wanted]
-        rows.append(row)
-        hashes.append(h)
-    row, h = np.concatenate(rows), np.concatenate(hashes)
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    return row[new], h[new]
+        h = span_hashes(texts, start, end if size is None else start + size)
+        h = (h ^ np.uint64(0 if size is None else size)) >> np.uint64(64 - SLOT_BITS)
+        found.append((row.astype(np.int64) << SLOT_BITS) | h.astype(np.int64))
+    found = np.unique(np.concatenate(found))
+    return found & ((1 << SLOT_BITS) - 1), np.searchsorted(found, np.arange(texts.rows + 1) << SLOT_BITS)
 
 
+def _sums(values: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` from each border to the next; nothing sums to zero."""
+    out = np.zeros((len(border) - 1, *values.shape[1:]))
+    full = border[1:] > border[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, border[:-1][full], axis=0)
+    return out
+
+
+@dataclass
 class FactorizationMachine:
-    """Bias, weights and factors of terms; ``terms`` is sorted."""
-
-    def __init__(self, bias: float, terms: np.ndarray, weights: np.ndarray, factors: np.ndarray) -> None:
-        self.bias, self.terms, self.weights, self.factors = bias, terms, weights, factors
-        self.likely = np.zeros(1 << _FILTER_BITS, bool)
-        self.likely[(terms >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-
-    def margins(self, index: np.ndarray, border: np.ndarray) -> np.ndarray:
-        """Log-odds of texts, text ``i`` having the terms ``index[border[i]:border[i + 1]]``."""
-        rows = len(border) - 1
-        row = np.repeat(np.arange(rows), np.diff(border))
-        out = self.bias + np.bincount(row, self.weights[index], rows)
-        for v in self.factors.T:
-            x = v[index]
-            out += 0.5 * (np.bincount(row, x, rows) ** 2 - np.bincount(row, x * x, rows))
-        return out
+    """Bias, and weights and factors of every slot."""
+
+    bias: float
+    weights: np.ndarray
+    factors: np.ndarray
+
+    def margins(self, slots: np.ndarray, border: np.ndarray) -> np.ndarray:
+        """Log-odds of texts, text ``i`` holding ``slots[border[i]:border[i + 1]]``."""
+        v = self.factors[slots].astype(np.float64)
+        pairs = (_sums(v, border) ** 2).sum(axis=1) - _sums((v * v).sum(axis=1), border)
+        return self.bias + _sums(self.weights[slots], border) + 0.5 * pairs / np.maximum(np.diff(border), 1)
 
     def scores(self, texts: Texts) -> np.ndarray:
-        row, h = _terms(texts, self.likely)
-        if not len(self.terms):
-            row, h = row[:0], h[:0]
-        else:
-            at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-            known = self.terms[at] == h
-            row, h = row[known], at[known]
-        margin = self.margins(h.astype(np.int64), np.searchsorted(row, np.arange(texts.rows + 1)))
-        return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
-
-
-def _plogp(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1e-12)), 0.0)
-
-
-def choose_terms(terms: np.ndarray, toxic: np.ndarray, n_toxic: int, n: int, max_terms: int) -> np.ndarray:
-    """The terms with the largest log-likelihood ratio between the labels, sorted. One entry per (text, term)."""
-    known, code = np.unique(terms, return_inverse=True)
-    a = np.bincount(code, toxic, len(known))
-    b = np.bincount(code, minlength=len(known)) - a
-    c, d = n_toxic - a, n - n_toxic - b
-    ratio = _plogp(a) + _plogp(b) + _plogp(c) + _plogp(d) + _plogp(np.float64(n))
-    ratio -= _plogp(a + b) + _plogp(c + d) + _plogp(a + c) + _plogp(b + d)
-    ratio[a + b < MIN_DOCS] = -1
-    best = np.lexsort((known, -ratio))[:max_terms]
-    return np.sort(known[best[ratio[best] >= MIN_RATIO]])
-
-
-def fit(texts: list[np.ndarray], toxic: np.ndarray, max_terms: int = MAX_TERMS) -> FactorizationMachine:
-    """Fit on texts given as arrays of term hashes."""
-    n, n_toxic = len(texts), int(toxic.sum())
-    bias = float(np.log((n_toxic + 1) / (n - n_toxic + 1)))
-    sizes = np.array([len(t) for t in texts], np.int64)
-    flat = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
-    terms = choose_terms(flat, np.repeat(toxic, sizes), n_toxic, n, max_terms) if 0 < n_toxic < n else flat[:0]
-    chance = np.random.default_rng(SEED)
-    fm = FactorizationMachine(bias, terms, np.zeros(len(terms)), chance.normal(0, 0.01, (len(terms), FACTORS)))
-    if not len(terms):
+        return 1 / (1 + np.exp(-np.clip(self.margins(*_slots(texts)), -40, 40)))
+
+
+def _batch(slots: np.ndarray, border: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and borders of the chosen texts alone."""
+    lengths = border[chosen + 1] - border[chosen]
+    own = np.concatenate([[0], np.cumsum(lengths)])
+    return slots[np.arange(own[-1]) + np.repeat(border[chosen] - own[:-1], lengths)], own
+
+
+def fit(
+    slots: np.ndarray, border: np.ndarray, toxic: np.ndarray, epochs: int = EPOCHS, table: int = 1 << SLOT_BITS
+) -> FactorizationMachine:
+    """Fit on texts given as in :func:`_slots`."""
+    n, n_toxic = len(toxic), int(toxic.sum())
+    fm = FactorizationMachine(
+        float(np.log((n_toxic + 1) / (n - n_toxic + 1))), np.zeros(table), np.zeros((table, FACTORS))
+    )
+    if not 0 < n_toxic < n:
         return fm
-    at = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
-    known = terms[at] == flat
-    index, row = at[known], np.repeat(np.arange(n), sizes)[known]
-    border = np.searchsorted(row, np.arange(n + 1))
-    seen_w, seen_v, seen_bias = np.full(len(terms), 1e-6), np.full((len(terms), FACTORS), 1e-6), 1e-6
-    for _ in range(EPOCHS):
+    chance = np.random.default_rng(SEED)
+    held = np.zeros((table, 1), bool)
+    held[slots] = True
+    # Column 0 stands for the weight, the others for the factors, which start at random where a text holds the slot.
+    start = np.column_stack([fm.weights, np.where(held, chance.normal(0, SPREAD, fm.factors.shape), 0.0)])
+    now, pull, seen, seen_bias = start.copy(), np.zeros_like(start), np.zeros_like(start), 1.0
+    least = np.array([LEAST_WEIGHT] + [LEAST_FACTOR] * FACTORS)
+    for _ in range(epochs):
         order = chance.permutation(n)
         for begin in range(0, n, BATCH):
             chosen = order[begin : begin + BATCH]
-            lengths = border[chosen + 1] - border[chosen]
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            own = index[np.arange(offsets[-1]) + np.repeat(border[chosen] - offsets[:-1], lengths)]
-            where = np.repeat(np.arange(len(chosen)), lengths)
-            v = fm.factors[own]
-            sums = np.stack([np.bincount(where, v[:, f], len(chosen)) for f in range(FACTORS)], axis=1)
-            margin = fm.bias + np.bincount(where, fm.weights[own], len(chosen))
-            margin += 0.5 * ((sums**2).sum(axis=1) - np.bincount(where, (v * v).sum(axis=1), len(chosen)))
-            error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - toxic[chosen]) / len(chosen)
-            step = error[where]
-            used, code = np.unique(own, return_inverse=True)
-            grad_w = np.bincount(code, step, len(used)) + DECAY_WEIGHTS * fm.weights[used]
-            per_term = step[:, None] * (sums[where] - v)
-            grad_v = np.stack([np.bincount(code, per_term[:, f], len(used)) for f in range(FACTORS)], axis=1)
-            grad_v += DECAY_FACTORS * fm.factors[used]
-            seen_w[used] += grad_w**2
-            seen_v[used] += grad_v**2
+            own, at = _batch(slots, border, chosen)
+            size, row = np.maximum(np.diff(at), 1), np.repeat(np.arange(len(chosen)), np.diff(at))
+            fm.weights, fm.factors = now[:, 0], now[:, 1:]
+            error = 1 / (1 + np.exp(-np.clip(fm.margins(own, at), -40, 40))) - toxic[chosen]
+            v = now[own, 1:]
+            per_slot = np.column_stack([error[row], (error / size)[row, None] * (_sums(v, at)[row] - v)])
+            by_slot = np.argsort(own, kind="stable")
+            used, first = np.unique(own[by_slot], return_index=True)
+            grads = _sums(per_slot[by_slot], np.append(first, len(own)))
+            before = np.sqrt(seen[used])
+            seen[used] += grads**2
+            after = np.sqrt(seen[used])
+            pull[used] += grads - (after - before) / RATE * (now[used] - start[used])
+            strong = np.sign(pull[used]) * np.maximum(np.abs(pull[used]) - least, 0)
+            now[used] = start[used] - strong * RATE / (STEADY + after)
             seen_bias += error.sum() ** 2
-            fm.weights[used] -= RATE * grad_w / np.sqrt(seen_w[used])
-            fm.factors[used] -= RATE * grad_v / np.sqrt(seen_v[used])
             fm.bias -= RATE * error.sum() / np.sqrt(seen_bias)
+    fm.weights, fm.factors = now[:, 0], now[:, 1:]
     return fm
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column(0).to_pylist()
         for texts in text_slices(batch.column(1)):
-            row, h = _terms(texts)
-            border = np.searchsorted(row, np.arange(texts.rows + 1))
-            terms = [h[border[i] : border[i + 1]].astype("<u8").tobytes() for i in range(texts.rows)]
+            slots, border = _slots(texts)
+            held = [slots[border[i] : border[i + 1]].astype("<i4").tobytes() for i in range(texts.rows)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(toxic[texts.first : texts.first + texts.rows], pa.int32()), pa.array(terms, pa.binary())],
-                ["toxic", "terms"],
+                [pa.array(toxic[texts.first : texts.first + texts.rows], pa.int32()), pa.array(held, pa.binary())],
+                ["toxic", "slots"],
             )
 
 
-def _fit_rows(max_terms: int):
-    def fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, texts = [], []
-        for batch in batches:
-            toxic += batch.column(0).to_pylist()
-            texts += [np.frombuffer(x, "<u8") for x in batch.column(1).to_pylist()]
-        order = sorted(range(len(texts)), key=lambda i: (toxic[i], texts[i].tobytes()))
-        fm = fit([texts[i] for i in order], np.array([toxic[i] for i in order], np.float64), max_terms)
-        parts = [fm.terms.astype("<u8"), fm.weights.astype("<f8"), fm.factors.astype("<f8")]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([fm.bias]), *[pa.array([p.tobytes()], pa.binary()) for p in parts]],
-            ["bias", "terms", "weights", "factors"],
-        )
-
-    return fit_rows
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for batch in batches:
+        rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+    rows.sort()
+    slots = np.frombuffer(b"".join(held for _, held in rows), "<i4")
+    border = np.concatenate([[0], np.cumsum([len(held) // 4 for _, held in rows])]).astype(np.int64)
+    fm = fit(slots, border, np.array([toxic for toxic, _ in rows], np.float64))
+    parts = [pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (fm.weights, fm.factors)]
+    yield pa.RecordBatch.from_arrays([pa.array([fm.bias]), *parts], ["bias", "weights", "factors"])
 
 
 def train_toxicity(
@@ -194,7 +167,6 @@ def train_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     max_docs: int = MAX_DOCS,
-    max_terms: int = MAX_TERMS,
 ) -> FactorizationMachine:
     """Fit on about ``max_docs`` labelled documents, chosen by a hash of their id."""
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic"))
@@ -202,15 +174,13 @@ def train_toxicity(
     share = min(1.0, max_docs / max(1, marks.count()))
     chosen = F.broadcast(marks.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(docs, text_col).alias("text"))
-    rows = texts.join(chosen, "id").select("toxic", "text").mapInArrow(_term_rows, "toxic int, terms binary")
-    fitted = rows.repartition(1).mapInArrow(_fit_rows(max_terms), "bias double, terms binary, weights binary, factors binary")
+    rows = texts.join(chosen, "id").select("toxic", "text").mapInArrow(_slot_rows, "toxic int, slots binary")
+    fitted = rows.repartition(1).mapInArrow(_fit_rows, "bias double, weights binary, factors binary")
     models = fitted.collect()
     if not models:
-        return fit([], np.zeros(0), max_terms)
-    m = models[0]
-    terms = np.frombuffer(bytes(m["terms"]), "<u8")
-    factors = np.frombuffer(bytes(m["factors"]), "<f8").reshape(len(terms), -1) if len(terms) else np.zeros((0, FACTORS))
-    return FactorizationMachine(m["bias"], terms, np.frombuffer(bytes(m["weights"]), "<f8"), factors)
+        return fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0))
+    weights, factors = (np.frombuffer(bytes(models[0][c]), "<f4") for c in ("weights", "factors"))
+    return FactorizationMachine(models[0]["bias"], weights, factors.reshape(-1, FACTORS))
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:

@@ -6,12 +6,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from sortflow.llm import toxicity
 from sortflow.llm.language_id import LanguageModel, identify_languages, keep_known_languages, train_languages
 from sortflow.llm.queries import held_out
 from sortflow.llm.rows import ROW
-from sortflow.llm.toxicity import FactorizationMachine, fit, score_toxicity, train_toxicity
+from sortflow.llm.toxicity import fit, score_toxicity, train_toxicity
 from sortflow.llm.wordbytes import text_slices
 
 SF = "/root/testdata/sf0.01"
@@ -105,36 +107,93 @@ def test_unknown_languages(spark, documents):
     assert identify_languages(documents([]), model).count() == 0
 
 
-def test_pairs_mean_what_no_term_means_alone():
-    """Toxic if both terms are there or neither: no additive weights can tell."""
-    r = random.Random(3)
-    texts, toxic = [], []
-    for i in range(800):
-        a, b = i % 2, i // 2 % 2
-        own = [10 + r.randrange(50)] + [1] * a + [2] * b
-        texts.append(np.array(sorted(set(own)), np.uint64))
-        toxic.append(float(a == b))
-    fm = FactorizationMachine(0.0, np.array([1, 2], np.uint64), np.array([-1.0, -1.0]), np.array([[1.5], [1.5]]))
-    margins = fm.margins(np.array([0, 0, 1]), np.array([0, 0, 1, 3]))
-    np.testing.assert_allclose(margins, [0, -1, -2 + 1.5 * 1.5])
-    both = [t for t in texts]
-    model = fit(both + [np.array([1, 2, 5], np.uint64)] * 40, np.array(toxic + [1.0] * 40))
-    assert model.terms.size == 0 or np.isfinite(model.weights).all()
+def as_rows(texts):
+    """Slots and borders of texts given as sets of slots."""
+    slots = [sorted(t) for t in texts]
+    return np.array([s for t in slots for s in t], np.int64), np.cumsum([0] + [len(t) for t in slots])
+
+
+def plain_margin(bias, weights, factors, text):
+    pairs = sum(float(np.dot(factors[i], factors[j])) for i in text for j in text if i < j)
+    return bias + sum(weights[i] for i in text) + pairs / max(1, len(text))
+
+
+def plain_fit(texts, toxic, epochs, table):
+    """The same steps, slot by slot: a batch's gradients are added up, then every slot of the batch moves."""
+    n, chance = len(texts), np.random.default_rng(toxicity.SEED)
+    bias, width = math.log((sum(toxic) + 1) / (n - sum(toxic) + 1)), toxicity.FACTORS + 1
+    random_start = chance.normal(0, toxicity.SPREAD, (table, toxicity.FACTORS))
+    held = set().union(*texts)
+    start = [[0.0, *(random_start[s] if s in held else [0.0] * toxicity.FACTORS)] for s in range(table)]
+    now, pull, seen, seen_bias = [list(x) for x in start], [[0.0] * width for _ in start], [[0.0] * width for _ in start], 1.0
+    for _ in range(epochs):
+        order = chance.permutation(n).tolist()
+        for begin in range(0, n, toxicity.BATCH):
+            grads, all_errors = {}, 0.0
+            for i in order[begin : begin + toxicity.BATCH]:
+                text = texts[i]
+                margin = plain_margin(bias, [x[0] for x in now], np.array([x[1:] for x in now]), text)
+                error = 1 / (1 + math.exp(-margin)) - toxic[i]
+                all_errors += error
+                for s in text:
+                    grad = grads.setdefault(s, [0.0] * width)
+                    grad[0] += error
+                    for f in range(1, width):
+                        grad[f] += error / len(text) * sum(now[o][f] for o in text if o != s)
+            for s, grad in grads.items():
+                for f, g in enumerate(grad):
+                    before, after = math.sqrt(seen[s][f]), math.sqrt(seen[s][f] + g * g)
+                    seen[s][f] += g * g
+                    pull[s][f] += g - (after - before) / toxicity.RATE * (now[s][f] - start[s][f])
+                    strong = max(0.0, abs(pull[s][f]) - (toxicity.LEAST_FACTOR if f else toxicity.LEAST_WEIGHT))
+                    now[s][f] = start[s][f] - math.copysign(strong, pull[s][f]) * toxicity.RATE / (toxicity.STEADY + after)
+            seen_bias += all_errors**2
+            bias -= toxicity.RATE * all_errors / math.sqrt(seen_bias)
+    return bias, np.array(now)
+
+
+def drawn(n, label, seed=1, fillers=50):
+    r, texts, toxic = random.Random(seed), [], []
+    for _ in range(n):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        texts.append({10 + r.randrange(fillers)} | ({1} if a else set()) | ({2} if b else set()))
+        toxic.append(float(label(a, b)))
+    return texts, np.array(toxic)
+
+
+def test_training_agrees_with_a_plain_loop():
+    texts, toxic = drawn(400, lambda a, b: a and b)
+    texts[7] = set()
+    model = fit(*as_rows(texts), toxic, epochs=3, table=64)
+    bias, now = plain_fit(texts, toxic.tolist(), 3, 64)
+    assert math.isclose(model.bias, bias, rel_tol=1e-6)
+    np.testing.assert_allclose(model.weights, now[:, 0], atol=1e-8)
+    np.testing.assert_allclose(model.factors, now[:, 1:], atol=1e-8)
+    assert np.abs(model.weights).max() > 0.1
+    margins = [plain_margin(bias, now[:, 0], now[:, 1:], t) for t in texts[:20]]
+    np.testing.assert_allclose(model.margins(*as_rows(texts[:20])), margins, atol=1e-6)
+
+
+def auc_of(score, label):
+    rank = score.argsort().argsort() + 1
+    ones = label.sum()
+    return (rank[label == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(label) - ones))
+
+
+@pytest.mark.parametrize("fillers", [50, 5_000])
+def test_pairs_mean_what_no_term_means_alone(fillers):
+    """Toxic if both terms stand in a text, or neither: no term says anything by itself."""
+    texts, toxic = drawn(6_000, lambda a, b: a == b, fillers=fillers)
+    model = fit(*as_rows(texts[:4_000]), toxic[:4_000])
+    assert auc_of(model.margins(*as_rows(texts[4_000:])), toxic[4_000:]) > 0.95
 
 
 def test_interaction_is_learnt():
-    r = random.Random(4)
-    texts, toxic = [], []
-    for _ in range(3000):
-        insult, group = r.random() < 0.3, r.random() < 0.3
-        texts.append(np.array(sorted({100 + r.randrange(30)} | ({1} if insult else set()) | ({2} if group else set())), np.uint64))
-        toxic.append(float(insult and group))
-    model = fit(texts, np.array(toxic))
-    index = {int(t): i for i, t in enumerate(model.terms)}
-    alone = model.margins(np.array([index[1], index[2]]), np.array([0, 1, 2]))
-    both = model.margins(np.array([index[1], index[2]]), np.array([0, 2]))[0]
-    assert both > 2 and alone.max() < -2
-    assert model.factors[index[1]] @ model.factors[index[2]] > 0.5
+    texts, toxic = drawn(3_000, lambda a, b: a and b, seed=4)
+    model = fit(*as_rows(texts), toxic)
+    one, other, both = model.margins(*as_rows([{1, 10}, {2, 10}, {1, 2, 10}]))
+    assert both > 2 and max(one, other) < -2
+    assert model.factors[1] @ model.factors[2] > 0.5
 
 
 def test_held_out_toxicity(spark):
