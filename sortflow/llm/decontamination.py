@@ -5,9 +5,9 @@ A-Z in lower case. A window is ``window`` consecutive words of a benchmark item;
 an item with fewer words, but at least one, is one window of its own length.
 A document word is hit if it lies inside an occurrence of any window.
 
-The windows are hashed and broadcast in blocks of at most ``MAX_WINDOWS``; a
-larger benchmark takes one more pass over the rows for each further block, so
-that what is broadcast never grows with the benchmark. Equal hashes are
+The windows are written once, hashed and broadcast in blocks of about ``MAX_WINDOWS``, dealt
+by window and item; a larger benchmark takes one more pass over the rows for each further
+block, so that what is broadcast never grows with the benchmark. Equal hashes are
 verified word by word.
 
 Defined results: a null or empty text has no words and no hits; an item without
@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from sortflow.llm.rows import ROW, text_of, unpack, whole_row
 from sortflow.llm.wordbytes import ALNUM_BYTES, by_row, find_words, run_hashes, span_hashes, text_slices
+from sortflow.plans.workspace import materialise
 
 WINDOW = 10
 #: Windows broadcast at once: about 100 bytes each.
@@ -130,7 +131,7 @@ def find_benchmark_words(
 ) -> DataFrame:
     """(row, n_words, hit_words, items): every row of ``docs`` as a struct, and what was found in its text."""
     spark = docs.sparkSession
-    windows = benchmark_windows(benchmark, window)
+    windows = materialise(benchmark_windows(benchmark, window), "benchmark-windows")
     blocks = max(1, -(-windows.count() // max_windows))
     out = docs.select(
         whole_row(docs),
@@ -140,7 +141,9 @@ def find_benchmark_words(
         F.array().cast("array<string>").alias("items"),
     )
     for block in range(blocks):
-        part = windows.where(F.pmod(F.xxhash64("length", "words"), F.lit(blocks)) == block) if blocks > 1 else windows
+        # Dealt by window and item: a window that very many items share is spread over all blocks.
+        dealt = F.pmod(F.xxhash64("item", "length", "words"), F.lit(blocks))
+        part = windows.where(dealt == block) if blocks > 1 else windows
         index = spark.sparkContext.broadcast(WindowIndex(part.collect()))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:

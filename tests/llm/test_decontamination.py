@@ -64,6 +64,25 @@ def test_equals_the_plain_rule(spark, documents, blocks):
     assert {r["row"]["doc_id"]: (r["n_words"], len(r["hit_words"])) for r in found.collect()} == expected
 
 
+def test_a_window_of_very_many_items_is_spread_over_blocks(spark, documents, monkeypatch):
+    sizes = []
+
+    made_of = decontamination.WindowIndex.__init__
+
+    def counted(self, rows):
+        sizes.append(len(rows))
+        made_of(self, rows)
+
+    monkeypatch.setattr(decontamination.WindowIndex, "__init__", counted)
+    same = " ".join(f"w{i}" for i in range(10))
+    benchmark = spark.createDataFrame([(i, same) for i in range(500)], "item_id long, text string")
+    found = find_benchmark_words(documents([(1, f"x {same} y"), (2, "x y")]), benchmark, max_windows=100)
+    rows = {r["row"]["doc_id"]: r for r in found.collect()}
+    assert len(sizes) == 5 and sum(sizes) == 500 and max(sizes) < 150
+    assert rows[1]["items"] == sorted(str(i) for i in range(500)) and rows[1]["hit_words"] == list(range(1, 11))
+    assert rows[2]["items"] == [] and rows[2]["n_words"] == 2
+
+
 def test_removal(spark, documents):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
