@@ -30,6 +30,8 @@ pass through in the row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,13 +60,29 @@ _PATTERNS = {
 _WORD = r"\p{L}{3,}"
 _SPAN = "array<struct<start:int,kind:int,end:int,removed:boolean>>"
 _NONE = "array<struct<start:int,piece:string>>"
+#: Parts of a text that one array is appended to for; even, as every second part is a match.
+_RUN = 64
 
 
 def _pieces(text: Column, pattern: str) -> Column:
     """(start, piece) of all matches, leftmost and without overlap; starts are code points."""
     plain = F.when(text.rlike(f"[{_OPEN}{_CLOSE}]"), F.translate(text, _OPEN + _CLOSE, _OTHER + _OTHER)).otherwise(text)
     parts = F.split(F.regexp_replace(plain, f"({pattern})", f"{_OPEN}$1{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
-    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(_NONE).alias("found"))
+    return _let(parts, _places)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _places(parts: Column) -> Column:
+    """(start, piece) of every second part. Appending copies an array, so parts go by short runs, flattened at the end."""
+    runs = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _RUN).cast("int"))
+    of_run = lambda run: F.slice(parts, run * _RUN + 1, _RUN)
+    lengths = F.transform(runs, lambda run: F.aggregate(of_run(run), F.lit(0), lambda n, part: n + F.char_length(part)))
+    zero = F.array(F.lit(0))
+    starts = F.aggregate(lengths, zero, lambda ends, n: F.concat(ends, F.array(F.element_at(ends, -1) + n)))
 
     def step(state: Column, part: Column) -> Column:
         piece = F.array(F.struct(state["at"].alias("start"), part.alias("piece")))
@@ -74,7 +92,14 @@ def _pieces(text: Column, pattern: str) -> Column:
             F.when(state["inside"], F.concat(state["found"], piece)).otherwise(state["found"]).alias("found"),
         )
 
-    return F.aggregate(parts, begin, step, lambda state: state["found"])
+    def found(starts: Column) -> Column:
+        def of(run: Column) -> Column:
+            begin = F.struct(F.get(starts, run).alias("at"), F.lit(False).alias("inside"), F.array().cast(_NONE).alias("found"))
+            return F.aggregate(of_run(run), begin, step, lambda state: state["found"])
+
+        return F.flatten(F.transform(runs, of))
+
+    return _let(starts, found)
 
 
 def _luhn(digits: Column) -> Column:

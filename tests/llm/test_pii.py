@@ -125,3 +125,16 @@ def test_no_python_on_the_main_path(documents):
     plan = sanitise(documents(corpus()))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
     assert pii.SUPPORT > 1
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Spans of a text with thousands of matches, over the border of many runs, and in time that grows with the text."""
+    parts = [f"u{i}@m{i}.example.org" if i % 3 else f"text {i}" for i in range(9_000)]
+    text, expected, at = " ".join(parts), [], 0
+    for part in parts:
+        if "@" in part:
+            expected.append((at, 0, at + len(part)))
+        at += len(part) + 1
+    rows = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    spans = rows.select(F.transform(pii.entity_spans(F.coalesce("t", F.lit(""))), lambda s: F.struct(s["start"], s["kind"], s["end"])).alias("s"))
+    assert sorted((len(r.s), [tuple(x) for x in r.s]) for r in spans.collect()) == [(0, []), (0, []), (6_000, expected)]
