@@ -89,5 +89,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, group: str) -> None:
+    """Files of one JSON array each, of the rows with an equal ``group``. A group is one document, so keep groups small."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != group])
+    arrays = df.groupBy(group).agg(F.to_json(F.collect_list(row)).alias("value"))
+    arrays.write.mode("overwrite").partitionBy(group).text(path)
+
+
 def label_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("label").agg(F.count("*").alias("count")).orderBy("label")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,7 @@ from sortflow.operators.synthetic import seed_rows, synthetic_rows
 from sortflow.plans.once import computed_once
 from sortflow.plans.workspace import materialise, scratch
 from sortflow.sources.manifest import Manifest
-from sortflow.sources.tables import CORPUS_COLUMNS, check_corpus, label_counts, load_table
+from sortflow.sources.tables import CORPUS_COLUMNS, check_corpus, label_counts, load_table, write_corpus, write_json_arrays
 from sortflow.workload import sqltext as q
 from sortflow.workload.registry import query, table
 from sortflow.workload.views import view, with_views
@@ -97,19 +99,19 @@ def source_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "read_formats",
-    f"""{with_views('corpus')}, formats(format) as (values ('csv'), ('jsonl'), ('parquet'))
+    f"""{with_views('corpus')}, formats(format) as (values ('csv'), ('json'), ('jsonl'), ('ndjson'), ('parquet'))
         select format, label, count(*) as rows, sum(length(content))::bigint as chars, count(distinct content) as contents
         from corpus, formats group by format, label""",
 )
 def read_formats(spark: SparkSession, sf: str) -> DataFrame:
-    """The corpus written in each format and read back."""
-    corpus = view(spark, sf, "corpus").select(*CORPUS_COLUMNS)
+    """The corpus written in each format and read back; ``json`` are files of one array for 1,000 ids each."""
+    corpus = view(spark, sf, "corpus").select("doc_id", *CORPUS_COLUMNS)
     schema = T.StructType([T.StructField(name, T.StringType()) for name in CORPUS_COLUMNS])
     folder, read = scratch(spark, "formats"), []
-    corpus.write.csv(f"{folder}/corpus.csv", header=True, quote='"', escape='"')
-    corpus.write.json(f"{folder}/corpus.jsonl")
-    corpus.write.parquet(f"{folder}/corpus.parquet")
-    for fmt in ("csv", "jsonl", "parquet"):
+    write_json_arrays(corpus.withColumn("chunk", F.floor(F.col("doc_id") / 1_000)), f"{folder}/corpus.json", "chunk")
+    for fmt in ("csv", "jsonl", "ndjson", "parquet"):
+        write_corpus(corpus, f"{folder}/corpus.{fmt}", fmt)
+    for fmt in ("csv", "json", "jsonl", "ndjson", "parquet"):
         back = check_corpus(load_table(spark, f"{folder}/corpus.{fmt}", schema=schema))
         read.append(
             back.groupBy("label")
@@ -120,7 +122,7 @@ def read_formats(spark: SparkSession, sf: str) -> DataFrame:
             )
             .withColumn("format", F.lit(fmt))
         )
-    return read[0].unionByName(read[1]).unionByName(read[2])
+    return reduce(DataFrame.unionByName, read)
 
 
 @query(
