@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,8 +14,8 @@ from sortflow.functions.paths import base_name
 from sortflow.functions.text import percent_text
 from sortflow.functions.vocabulary import CATEGORIES, REJECT_THRESHOLD
 from sortflow.plans.broadcasting import dimension
-from sortflow.plans.scan import CHUNK, carry_join, chunked, dense_index, id_chunk, next_value
-from sortflow.plans.workspace import materialise
+from sortflow.plans.scan import CHUNK, CHUNK_ROWS, carry_join, chunked, dense_index, id_chunk, next_value
+from sortflow.plans.workspace import delete_folder, folder_names, materialise, scratch_scope
 
 MOVE_SCHEMA = T.StructType(
     [
@@ -91,11 +93,14 @@ def append_operations(path: str, rows: DataFrame, order: str, batch: str) -> Non
     """Append (op, owner, src, dst, category, confidence[, ts]) rows in ``order``, a unique integer column.
 
     Ids go on after the highest one on record. A batch is a folder of its own
-    that a replay overwrites, so writing a batch twice leaves it once. One
-    writer at a time, as ids are taken from the log.
+    that a replay overwrites, so writing a batch twice leaves it once; a batch
+    that is in the snapshot already is left as it is. One writer at a time, as ids are taken from the log.
+    Only the snapshot's last id and the batches since are read.
     """
-    others = read_log(rows.sparkSession, path).where(F.col("batch") != batch)
-    last = others.agg(F.max("id")).first()[0] or 0
+    taken = snapshot(rows.sparkSession, path)
+    if batch in taken.batches:
+        return
+    last = max(taken.last, _since(rows.sparkSession, path, taken, batch).agg(F.max("id")).first()[0] or 0)
     placed = dense_index(rows, [], [order], id_chunk(order), "__row")
     ts = F.col("ts") if "ts" in rows.columns else F.current_timestamp()
     stored = placed.select(
@@ -125,6 +130,102 @@ def append_undo(spark: SparkSession, path: str, batch: str, owner: str = ONE_OWN
     append_operations(path, undo, "n", batch)
 
 
+# --- snapshots of the log ---------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """What the folded batches of a log left: their live moves, which are the open stack of every owner, and the last id."""
+
+    version: int
+    moves: DataFrame
+    batches: frozenset[str]
+    last: int
+
+
+def snapshot(spark: SparkSession, path: str) -> Snapshot:
+    """The newest whole snapshot beside the log at ``path``; an empty one if nothing was ever folded.
+
+    A snapshot counts once its list of batches is written, which comes last. The driver reads that list, a name
+    per batch, as it lists the folders of the batches; it reads no moves.
+    """
+    root = f"{path}-live"
+    for version in sorted((int(v.removeprefix("version=")) for v in folder_names(spark, root)), reverse=True):
+        folder = f"{root}/version={version}"
+        if any(f.endswith(".parquet") for f in folder_names(spark, f"{folder}/folded")):
+            folded = spark.read.schema("batch string, last long").parquet(f"{folder}/folded").collect()
+            moves = spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/moves")
+            return Snapshot(version, moves, frozenset(r.batch for r in folded), max(r["last"] for r in folded))
+    return Snapshot(-1, spark.createDataFrame([], LOG_SCHEMA), frozenset(), 0)
+
+
+def _batches_since(spark: SparkSession, path: str, taken: Snapshot, but: str | None = None) -> list[str]:
+    names = [n.removeprefix("batch=") for n in folder_names(spark, path) if n.startswith("batch=")]
+    return [n for n in names if n not in taken.batches and n != but]
+
+
+def _since(spark: SparkSession, path: str, taken: Snapshot, but: str | None = None) -> DataFrame:
+    """The operations that came after the snapshot; only their folders are opened."""
+    folders = [f"{path}/batch={n}" for n in _batches_since(spark, path, taken, but)]
+    ops = spark.read.schema(LOG_SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], LOG_SCHEMA)
+    return ops.withColumns({"op": F.coalesce("op", F.lit("move")), "owner": F.coalesce("owner", F.lit(ONE_OWNER))})
+
+
+def live_moves(spark: SparkSession, path: str, but: str | None = None) -> DataFrame:
+    """The stored moves that no undo took back, leaving out the batch ``but`` if it is not folded.
+
+    The operations since the snapshot come down to moves that stayed and undos that reach below; those take
+    the newest moves of the snapshot. Nothing that was undone before the snapshot is read again.
+    """
+    taken = snapshot(spark, path)
+    since = _since(spark, path, taken, but)
+    if since.where("op = 'undo'").isEmpty():
+        return taken.moves.unionByName(since.where("op = 'move'"))
+    stayed, reach = net_effect(since.drop("undone"))
+    gone = newest_moves(taken.moves, reach).select("id")
+    stayed = stayed.withColumns({"op": F.lit("move"), "undone": F.lit(0)})
+    return taken.moves.join(gone, "id", "left_anti").unionByName(stayed.select(*LOG_SCHEMA.names))
+
+
+def fold_log(spark: SparkSession, path: str, least: int = 1) -> bool:
+    """Write a new snapshot if at least ``least`` batches came since the last one; says whether it did.
+
+    The log itself stays as it is, for the views over all moves. The snapshot before the last is deleted: a reader
+    may still be at the last one. A fold that was cut off is written again by the next.
+    """
+    taken = snapshot(spark, path)
+    names = _batches_since(spark, path, taken)
+    if len(names) < max(1, least):
+        return False
+    folder = f"{path}-live/version={taken.version + 1}"
+    with scratch_scope(spark):
+        last = max(taken.last, _since(spark, path, taken).agg(F.max("id")).first()[0] or 0)
+        live_moves(spark, path).write.mode("overwrite").parquet(f"{folder}/moves")
+    folded = spark.createDataFrame([(n, last) for n in sorted({*taken.batches, *names})], "batch string, last long")
+    folded.coalesce(1).write.mode("overwrite").parquet(f"{folder}/folded")
+    if taken.version > 0:
+        delete_folder(spark, f"{path}-live/version={taken.version - 1}")
+    return True
+
+
+def net_effect(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Operations as (moves that no undo among them took back; per owner, how many undos ``reach`` below them)."""
+    stayed = materialise(undo_replay(ops).where("undone = 0").drop("undone"), "moves-stayed")
+    undos = ops.where("op = 'undo'").groupBy("owner").agg(F.count("*").alias("undos"))
+    moves = ops.where("op = 'move'").groupBy("owner").agg(F.count("*").alias("moves"))
+    left = stayed.groupBy("owner").agg(F.count("*").alias("stayed"))
+    # A move that did not stay took one undo; the others reach below.
+    counts = undos.join(moves, "owner", "left").join(left, "owner", "left").fillna(0, ["moves", "stayed"])
+    return stayed, counts.select("owner", (F.col("undos") - F.col("moves") + F.col("stayed")).alias("reach")).where("reach > 0")
+
+
+def newest_moves(moves: DataFrame, reach: DataFrame) -> DataFrame:
+    """The ``reach`` newest of every owner's live moves, counted by chunks of ids, so that no owner is one task."""
+    rows = moves.join(reach, "owner").withColumn("__age", -F.col("id"))
+    ranked = dense_index(rows, ["owner"], ["__age"], F.floor(F.col("__age") / CHUNK_ROWS), "__rank")
+    return ranked.where("__rank < reach").select(*moves.columns)
+
+
 # --- undo -------------------------------------------------------------------------------------------
 
 

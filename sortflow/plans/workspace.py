@@ -42,6 +42,13 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder, none if there is no such folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(found.getPath().getName() for found in system.listStatus(path)) if system.exists(path) else []
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to scratch. Results read from there must be stored by then."""
     delete_folder(spark, _session_folder(spark))

@@ -14,8 +14,7 @@ from sortflow.functions.paths import base_name, visible_name
 from sortflow.functions.vocabulary import EXTRACT_CHARS, REJECT_THRESHOLD
 from sortflow.operators.classify import Scorer, classify, classify_in_place
 from sortflow.operators.destinations import plan_destinations
-from sortflow.operators.movelog import append_moves, live, read_log, replayed, undo_replay
-from sortflow.plans.scan import CHUNK_ROWS, dense_index
+from sortflow.operators.movelog import append_moves, fold_log, live_moves, net_effect, newest_moves, snapshot
 from sortflow.plans.workspace import delete_folder, materialise, scratch_scope
 from sortflow.sources.files import BINARY_FILE_SCHEMA, file_text
 
@@ -71,26 +70,32 @@ def append_sink(stream: DataFrame, path: str, checkpoint: str, once: bool = True
     return (writer.trigger(availableNow=True) if once else writer).start(path)
 
 
-def move_batch(log_path: str, out_root: str, threshold: float = REJECT_THRESHOLD) -> Callable[[DataFrame, int], None]:
+def move_batch(
+    log_path: str, out_root: str, threshold: float = REJECT_THRESHOLD, fold_after: int = 16
+) -> Callable[[DataFrame, int], None]:
     """Sink of prediction records with a unique integer ``seq``: plan and log the moves of a batch.
 
     A batch that is replayed overwrites its own part of the log, and plans
-    against the log without it, so a restart moves nothing twice.
+    against the log without it, so a restart moves nothing twice. Every ``fold_after`` batches the live moves
+    become a snapshot: a trigger reads it and the batches since, never the whole log, and replays
+    the undos since only. A batch that is in the snapshot is stored already.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if str(batch_id) in snapshot(spark, log_path).batches:
+            return
         name = base_name(F.col("filepath"))
         sure = batch.where(F.col("confidence") >= threshold).select(
             "seq", "category", name.alias("name"), F.col("filepath").alias("src"), "confidence"
         )
-        log = read_log(spark, log_path).where(F.col("batch") != str(batch_id))
         with scratch_scope(spark):
-            taken = live(replayed(log)).select("category", base_name(F.col("dst")).alias("name"))
+            taken = live_moves(spark, log_path, str(batch_id)).select("category", base_name(F.col("dst")).alias("name"))
             # Planning and appending read their input several times; each step runs once, for its table.
             planned = plan_destinations(materialise(sure, "routed"), out_root, taken)
             moves = materialise(planned.withColumnRenamed("destination", "dst"), "planned")
             append_moves(log_path, moves, "seq", str(batch_id))
+        fold_log(spark, log_path, fold_after)
 
     return write
 
@@ -108,6 +113,32 @@ def auto_move(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def once_per_file(announced: DataFrame, time: str = "modified", within: str = "10 minutes") -> DataFrame:
+    """Each ``filepath`` of a stream of announcements once, however often its creation and moves are announced.
+
+    Paths are remembered until the watermark passes ``within`` after they were first announced, also over restarts;
+    announced again later, a file counts as new. Which of several announcements comes through is not defined. An
+    announcement older than the watermark is dropped; a null path is a path like any other.
+    """
+    return _timed(announced, time).withWatermark(time, within).dropDuplicatesWithinWatermark(["filepath"])
+
+
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """Event times as instants; times without a zone are those of the session's."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
+def daily_counts(moves: DataFrame, time: str = "ts", late: str = "1 hour") -> DataFrame:
+    """(day, category, count) of a stream of moves: a day comes out once, in the trigger after its end lies ``late`` back.
+
+    Rows that come for a day after that are dropped, and so are rows without a time; a null category is counted like others.
+    Days begin at midnight UTC.
+    """
+    day = F.window(time, "1 day")
+    counted = _timed(moves, time).withWatermark(time, late).groupBy(day, "category").agg(F.count("*").alias("count"))
+    return counted.select(F.col("window.start").alias("day"), "category", "count")
+
+
 @dataclass(frozen=True)
 class LiveStack:
     """The live moves of every owner, as tables of what each trigger put on and took off.
@@ -138,15 +169,9 @@ class LiveStack:
         """Write what the operations (owner, id, op, category) put on and take off; (category, change) of the live moves."""
         spark = ops.sparkSession
         ops = materialise(ops, "stack-operations")
-        pushed = undo_replay(ops).where("undone = 0").select("owner", "id", "category")
-        undos = ops.where("op = 'undo'").groupBy("owner").agg(F.count("*").alias("undos"))
-        moves = ops.where("op = 'move'").groupBy("owner").agg(F.count("*").alias("moves"))
-        pushed = materialise(pushed, "stack-pushed")
-        stayed = pushed.groupBy("owner").agg(F.count("*").alias("stayed"))
-        # A move that did not stay took one undo; the others reach below.
-        counts = undos.join(moves, "owner", "left").join(stayed, "owner", "left").fillna(0, ["moves", "stayed"])
-        reach = counts.select("owner", (F.col("undos") - F.col("moves") + F.col("stayed")).alias("reach")).where("reach > 0")
-        popped = materialise(self._newest(self.before(spark, batch_id), reach), "stack-popped") if batch_id else self.before(spark, 0)
+        stayed, reach = net_effect(ops)
+        pushed = stayed.select("owner", "id", "category")
+        popped = materialise(newest_moves(self.before(spark, batch_id), reach), "stack-popped") if batch_id else self.before(spark, 0)
         changed = pushed.select("category", F.lit(1).alias("by")).unionByName(popped.select("category", F.lit(-1).alias("by")))
         changes = changed.groupBy("category").agg(F.sum("by").alias("change"))
         if batch_id % self.compact == self.compact - 1:
@@ -163,13 +188,6 @@ class LiveStack:
                 for kind in ("pushed", "popped"):
                     delete_folder(spark, f"{self.path}/{kind}/version={version}")
 
-    @staticmethod
-    def _newest(stack: DataFrame, reach: DataFrame) -> DataFrame:
-        """The ``reach`` newest moves of every owner: counted by chunks of ids, so that no owner is one task."""
-        rows = stack.join(reach, "owner").withColumn("__age", -F.col("id"))
-        ranked = dense_index(rows, ["owner"], ["__age"], F.floor(F.col("__age") / CHUNK_ROWS), "__rank")
-        return ranked.where("__rank < reach").select("owner", "id", "category")
-
 
 def live_counts(ops: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Live moves per category of a stream of (owner, id, op, category), as undos take moves back.

@@ -224,3 +224,22 @@ def movelog_append(spark: SparkSession, sf: str) -> DataFrame:
     for _ in range(2):
         ops.append_moves(path, rows.where(late), "id", "second")
     return ops.read_moves(spark, path).drop("ts")
+
+
+@query(
+    "movelog_snapshot",
+    f"""{_WITH_MOVES}, numbered as (select id, row_number() over (order by id) as n from ops)
+        select n as id, cast(owner as varchar) as owner, src, category, confidence from moves join numbered using (id) where undone = 0""",
+)
+def movelog_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """All operations appended in four batches and folded in between; a folded batch is appended again, as after a restart."""
+    rows = view(spark, sf, "ops").withColumn("dst", F.concat(F.lit("/out/"), "category"))
+    last = rows.agg(F.max("id")).first()[0] or 0
+    path = scratch(spark, "movelog")
+    for k in range(4):
+        batch = rows.where(F.col("id").between(last * k // 4 + (k > 0), last * (k + 1) // 4))
+        ops.append_operations(path, batch, "id", str(k))
+        if k == 1:
+            ops.fold_log(spark, path)
+            ops.append_operations(path, batch, "id", str(k))
+    return ops.live_moves(spark, path).select("id", "owner", "src", "category", "confidence")

@@ -76,3 +76,27 @@ def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch(spark, "stream-counts")
     streams.live_counts(ops, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
     return streams.latest_counts(spark, f"{folder}/counts")
+
+
+@query(
+    "stream_announcements",
+    f"""{with_views('ops')} select distinct src as filepath, split_part(src, '/', -1) as filename, 'Docs' as category,
+          0.9::double as confidence from ops""",
+)
+def stream_announcements(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that are announced many times, each classified once."""
+    seen = stream_view(spark, sf, "ops").select(F.col("src").alias("filepath"), F.lit("").alias("content"), F.col("ts").alias("modified"))
+    records = streams.classify_stream(streams.once_per_file(seen), F.lit("Docs"), F.lit(0.9))
+    return _landed(spark, records.select("filepath", "filename", "category", "confidence"), "stream-announcements")
+
+
+@query(
+    "stream_daily_counts",
+    f"""{with_views('ops')}, moved as (select category, ts, date_trunc('day', ts) as day from ops where op = 'move')
+        select cast(day as date) as day, category, count(*) as count from moved group by all
+        having day + interval 1 day <= (select max(ts) - interval 1 hour from moved)""",
+)
+def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Moves per day and category, of the days that the watermark has closed."""
+    counts = streams.daily_counts(stream_view(spark, sf, "ops").where("op = 'move'"))
+    return _landed(spark, counts.withColumn("day", F.to_date("day")), "stream-daily")

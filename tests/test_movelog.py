@@ -84,3 +84,34 @@ def test_appends_number_on_and_replays_leave_one_copy(spark, tmp_path, small_chu
     assert sorted(r.id for r in log.collect()) == list(range(1, 14))
     assert {r.src for r in log.where("id > 10").collect()} == {"/in/f1.txt", "/in/f2.txt", "/in/f3.txt"}
     assert log.where("undone = 0 and ts is not null").count() == 13
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_snapshots_equal_a_replay_of_the_whole_log(spark, tmp_path, monkeypatch, small_chunks, seed):
+    monkeypatch.setattr(ops, "CHUNK_ROWS", 3)
+    rng, path = random.Random(seed), str(tmp_path / "log")
+    schema = "n long, op string, owner string, src string, dst string, category string, confidence double"
+    at = 0
+    for batch in range(5):
+        rows = [(at + i, rng.choice(["move", "undo"] if batch % 2 else ["move", "move", "undo"]), rng.choice([None, "a", "b"]), f"s{at + i}", None, "Docs", 0.5) for i in range(20)]
+        at += 20
+        for _ in range(2):
+            ops.append_operations(path, spark.createDataFrame(rows, schema), "n", f"b{batch}")
+        if batch in (0, 2, 3):
+            assert ops.fold_log(spark, path) and not ops.fold_log(spark, path)
+            ops.append_operations(path, spark.createDataFrame(rows, schema), "n", f"b{batch}")
+        whole = {(r.id, r.src) for r in ops.read_moves(spark, path).where("undone = 0").collect()}
+        assert {(r.id, r.src) for r in ops.live_moves(spark, path).collect()} == whole
+    assert ops.snapshot(spark, path).last == 80 and ops.snapshot(spark, path).batches == {"b0", "b1", "b2", "b3"}
+
+
+def test_a_fold_that_was_cut_off_does_not_count(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert not ops.fold_log(spark, path) and ops.live_moves(spark, path).count() == 0
+    ops.append_moves(path, moves(spark).drop("owner"), "id", "0")
+    ops.fold_log(spark, path)
+    (tmp_path / "log-live" / "version=1" / "moves").mkdir(parents=True)
+    assert ops.snapshot(spark, path).version == 0 and ops.live_moves(spark, path).count() == 10
+    ops.append_undo(spark, path, "undo")
+    assert ops.fold_log(spark, path) and ops.snapshot(spark, path).version == 1
+    assert ops.live_moves(spark, path).agg(F.max("id")).first()[0] == 9
