@@ -26,9 +26,14 @@ def unigrams_and_bigrams(tokens: str) -> str:
     return f"concat({tokens}, if(size({tokens}) > 1, {pairs}, cast(array() as array<string>)))"
 
 
+def blank_separated(column: str) -> str:
+    """Lower-cased text with one blank for every run of whitespace."""
+    return f"trim(regexp_replace(lower({column}), {_sql_text(blank_run_pattern())}, ' '))"
+
+
 def padded_words(column: str) -> str:
     """Whitespace-separated lower-cased words, each with a blank on both sides."""
-    words = f"split(trim(regexp_replace(lower({column}), {_sql_text(blank_run_pattern())}, ' ')), ' ')"
+    words = f"split({blank_separated(column)}, ' ')"
     return f"transform(filter({words}, w -> w <> ''), w -> concat(' ', w, ' '))"
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -16,8 +20,10 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sortflow.functions.ngrams import (
+    blank_separated,
     char_grams,
     padded_words,
     unigrams_and_bigrams,
@@ -48,9 +54,29 @@ FEATURE_BLOCKS = (
 MAX_BROADCAST_TERMS = 100_000
 
 
-def _by_document(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Place each document once; all later grouping by document, or document and term, stays in place."""
-    return docs.select(id_col, F.col(text).alias("__text")).repartition(id_col)
+#: Bytes of text of one partition of documents: what a task counts does not grow with the table.
+PARTITION_BYTES = 8 << 20
+#: Bytes of text under one id that a task counts in a dictionary; ids with more are counted by Spark.
+DOCUMENT_BYTES = 8 << 20
+#: Words whose grams a task remembers, and rows of a batch it returns.
+_REMEMBERED, _BATCH = 100_000, 100_000
+
+
+def text_bytes(docs: DataFrame, id_col: str, text: str) -> tuple[int, int]:
+    """(bytes of all texts, most bytes under one id)."""
+    sizes = docs.groupBy(id_col).agg(F.sum(F.octet_length(text)).alias("__n"))
+    found = sizes.agg(F.sum("__n").alias("total"), F.max("__n").alias("most")).first()
+    return found["total"] or 0, found["most"] or 0
+
+
+def _by_document(docs: DataFrame, id_col: str, text: str, total: int | None = None) -> DataFrame:
+    """Place each document once; all later grouping by document, or document and term, stays in place.
+
+    Terms take far more memory than the texts they are cut from, so the number
+    of partitions follows the bytes of text.
+    """
+    total = text_bytes(docs, id_col, text)[0] if total is None else total
+    return docs.select(id_col, F.col(text).alias("__text")).repartition(total // PARTITION_BYTES + 1, id_col)
 
 
 def word_list(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -60,11 +86,13 @@ def word_list(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def word_occurrences(docs: DataFrame, id_col: str, text: str, high: int = 2) -> DataFrame:
     """(id, term, n): words and, for ``high`` = 2, pairs of neighbouring words, as they occur."""
+    return _placed_words(_by_document(docs, id_col, text), id_col, high)
+
+
+def _placed_words(texts: DataFrame, id_col: str, high: int) -> DataFrame:
     if high not in (1, 2):
         raise ValueError("Word n-grams go up to pairs.")
-    placed = computed_once(
-        _by_document(docs, id_col, text), [id_col], {"__tokens": F.expr(word_tokens("__text"))}
-    )
+    placed = computed_once(texts, [id_col], {"__tokens": F.expr(word_tokens("__text"))})
     # Terms are cut by position, which stays in generated code; a lambda over the array would not.
     at = placed.select(id_col, "__tokens", F.explode(F.sequence(F.lit(0), F.size("__tokens") - 1)).alias("__i"))
     at = at.where("__i < size(__tokens) and __i >= 0")
@@ -80,9 +108,12 @@ def char_occurrences(docs: DataFrame, id_col: str, text: str, low: int, high: in
     Equal words of a document are counted first, so grams are cut once per
     distinct word of a document.
     """
+    return _placed_grams(_by_document(docs, id_col, text), id_col, low, high)
+
+
+def _placed_grams(texts: DataFrame, id_col: str, low: int, high: int) -> DataFrame:
     words = (
-        _by_document(docs, id_col, text)
-        .select(id_col, F.explode(F.expr(padded_words("__text"))).alias("__word"))
+        texts.select(id_col, F.explode(F.expr(padded_words("__text"))).alias("__word"))
         .groupBy(id_col, "__word")
         .agg(F.count("*").alias("__n"))
     )
@@ -97,9 +128,13 @@ def char_occurrences(docs: DataFrame, id_col: str, text: str, low: int, high: in
 
 
 def occurrences(docs: DataFrame, id_col: str, block: Block) -> DataFrame:
+    return _placed_occurrences(_by_document(docs, id_col, block.column), id_col, block)
+
+
+def _placed_occurrences(texts: DataFrame, id_col: str, block: Block) -> DataFrame:
     if block.analyzer == "word":
-        return word_occurrences(docs, id_col, block.column, block.high)
-    return char_occurrences(docs, id_col, block.column, block.low, block.high)
+        return _placed_words(texts, id_col, block.high)
+    return _placed_grams(texts, id_col, block.low, block.high)
 
 
 def term_counts(found: DataFrame, id_col: str) -> DataFrame:
@@ -107,6 +142,102 @@ def term_counts(found: DataFrame, id_col: str) -> DataFrame:
     return found.groupBy(id_col, "term").agg(F.sum("n").alias("tf"))
 
 
+def _count_words(high: int) -> Callable[[list[str], Counter], None]:
+    def count(words: list[str], into: Counter) -> None:
+        into.update(words)
+        if high == 2:
+            into.update(map(" ".join, zip(words, words[1:])))
+
+    return count
+
+
+def _count_grams(low: int, high: int) -> Callable[[list[str], Counter], None]:
+    known: dict[str, list[str]] = {}
+
+    def grams_of(word: str) -> list[str]:
+        if len(known) >= _REMEMBERED:
+            known.clear()
+        padded = f" {word} "
+        sizes = [n for n in range(low, high + 1) if n == low or len(padded) >= n]
+        grams = known[word] = [padded[i : i + n] for n in sizes for i in range(max(len(padded) - n + 1, 1))]
+        return grams
+
+    def count(words: list[str], into: Counter) -> None:
+        for word, n in Counter(words).items():
+            for gram in known.get(word) or grams_of(word):
+                into[gram] = into.get(gram, 0) + n
+
+    return count
+
+
+def _count_documents(make_count: Callable[..., Callable], *sizes: int):
+    """(id, term, tf) of rows (id, first, words), the rows of an id one after another; ``first`` begins an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, names = make_count(*sizes), None
+        ids, lengths, terms, tfs = [], [], [], []
+        own, counts = None, Counter()
+
+        def close() -> None:
+            if counts:
+                ids.append(own)
+                lengths.append(len(counts))
+                terms.extend(counts.keys())
+                tfs.extend(counts.values())
+
+        def flush() -> pa.RecordBatch:
+            rows = np.repeat(np.arange(len(ids)), lengths)
+            columns = [pa.concat_arrays(ids).take(pa.array(rows)), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())]
+            for part in (ids, lengths, terms, tfs):
+                part.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            names = [batch.schema.names[0], "term", "tf"]
+            for i, (first, words) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if first:
+                    close()
+                    own, counts = batch.column(0).slice(i, 1), Counter()
+                    if len(terms) >= _BATCH:
+                        yield flush()
+                if words:
+                    count([w for w in words.split(" ") if w], counts)
+        close()
+        if terms:
+            yield flush()
+
+    return run
+
+
+def document_terms(docs: DataFrame, id_col: str, block: Block) -> DataFrame:
+    """(id, term, tf) of one block: the counts of :func:`term_counts` over :func:`occurrences`, a document at a time.
+
+    Texts are placed and sorted by id, so a task holds the terms of one id and
+    no row per occurrence leaves it. Rows that share an id, null included, are
+    one document. An id of more than ``DOCUMENT_BYTES`` goes by :func:`term_counts`.
+    """
+    total, most = text_bytes(docs, id_col, block.column)
+    texts = _by_document(docs, id_col, block.column, total)
+    large = None
+    if most > DOCUMENT_BYTES:
+        size = F.coalesce(F.sum(F.octet_length("__text")).over(W.partitionBy(id_col)), F.lit(0))
+        texts = texts.withColumn("__size", size)
+        large, texts = texts.where(F.col("__size") > DOCUMENT_BYTES), texts.where(F.col("__size") <= DOCUMENT_BYTES)
+    if block.analyzer == "word":
+        if block.high not in (1, 2):
+            raise ValueError("Word n-grams go up to pairs.")
+        words, run = F.array_join(F.expr(word_tokens("__text")), " "), _count_documents(_count_words, block.high)
+    else:
+        words, run = F.expr(blank_separated("__text")), _count_documents(_count_grams, block.low, block.high)
+    first = F.row_number().over(W.partitionBy(id_col).orderBy(id_col)) == 1
+    rows = texts.select(id_col, first.alias("__first"), "__text").select(id_col, "__first", words.alias("__words"))
+    fields = [docs.select(id_col).schema[0], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]
+    counted = rows.mapInArrow(run, T.StructType(fields))
+    if large is None:
+        return counted
+    return counted.unionByName(term_counts(_placed_occurrences(large, id_col, block), id_col))
+
+
 def vocabulary(counts: DataFrame, max_features: int) -> DataFrame:
     """(term, total, df) of the terms with the highest total count; ties go by term."""
     totals = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
@@ -118,19 +249,23 @@ def smooth_idf(documents: Column, df: Column) -> Column:
 
 
 def tfidf(docs: DataFrame, found: DataFrame, id_col: str, max_features: int) -> DataFrame:
-    """(id, term, tf, df, weight) for the kept terms of the occurrences ``found``.
+    """(id, term, tf, df, weight) for the kept terms of the occurrences ``found``."""
+    return weighted_terms(docs, term_counts(found, id_col), id_col, max_features)
+
+
+def weighted_terms(docs: DataFrame, counts: DataFrame, id_col: str, max_features: int) -> DataFrame:
+    """(id, term, tf, df, weight) for the kept terms of the counts (id, term, tf).
 
     The vocabulary has at most ``max_features`` rows by construction; it is
-    broadcast when that bound is small. Occurrences of other terms are dropped
-    before they are counted. The number of documents is a scalar subquery.
+    broadcast when that bound is small. The number of documents is a scalar subquery.
     """
     documents = docs.agg(F.count("*")).scalar()
-    kept = vocabulary(term_counts(found, id_col), max_features).select(
+    kept = vocabulary(counts, max_features).select(
         "term", "df", smooth_idf(documents, F.col("df")).alias("__idf")
     )
     if max_features <= MAX_BROADCAST_TERMS:
         kept = F.broadcast(kept)
-    counted = found.join(kept, "term").groupBy(id_col, "term", "df", "__idf").agg(F.sum("n").alias("tf"))
+    counted = counts.join(kept, "term")
     return counted.select(id_col, "term", "tf", "df", (F.col("tf") * F.col("__idf")).alias("weight"))
 
 
@@ -161,7 +296,7 @@ def fit_feature_stages(
             grams = char_grams(block.column, block.low, block.high)
         terms = f"{block.name}_terms"
         stages.append(SQLTransformer(statement=f"SELECT *, {grams} AS {terms} FROM __THIS__"))
-        kept = vocabulary(term_counts(occurrences(train, id_col, block), id_col), block.max_features)
+        kept = vocabulary(document_terms(train, id_col, block), block.max_features)
         rows = kept.select("term", smooth_idf(F.lit(documents), F.col("df")).alias("idf")).collect()
         if not rows:
             continue

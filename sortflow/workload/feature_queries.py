@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from sortflow.workload.registry import query, table
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 _CONTENT_WORDS = ops.FEATURE_BLOCKS[1]
+_TEXT_WORDS = replace(_CONTENT_WORDS, column="text")
 
 _GRAMS = f"""tokens as (select doc_id, {_WORDS} as w from documents),
   grams as (
@@ -35,11 +38,11 @@ def word_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _grams(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.word_occurrences(table(spark, sf, "documents"), "doc_id", "text", _CONTENT_WORDS.high)
+    return ops.document_terms(table(spark, sf, "documents"), "doc_id", _TEXT_WORDS)
 
 
-def _totals(found: DataFrame) -> DataFrame:
-    return ops.term_counts(found, "doc_id").groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+def _totals(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
 
 
 @query(
@@ -62,12 +65,13 @@ def word_ngrams(spark: SparkSession, sf: str) -> DataFrame:
         select term, count(*) as total, count(distinct doc_id) as df from grams group by term""",
 )
 def char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    return _totals(ops.char_occurrences(table(spark, sf, "documents"), "doc_id", "text", 3, 5))
+    grams = replace(ops.FEATURE_BLOCKS[2], column="text", low=3, high=5)
+    return _totals(ops.document_terms(table(spark, sf, "documents"), "doc_id", grams))
 
 
 @query("vocab_topk", f"with {_GRAMS}, {_KEPT} select term, total::bigint as total, df from kept")
 def vocab_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.vocabulary(ops.term_counts(_grams(spark, sf), "doc_id"), _CONTENT_WORDS.max_features)
+    return ops.vocabulary(_grams(spark, sf), _CONTENT_WORDS.max_features)
 
 
 @query(
@@ -76,11 +80,11 @@ def vocab_topk(spark: SparkSession, sf: str) -> DataFrame:
         group by doc_id, term""",
 )
 def term_freq(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.term_counts(ops.word_occurrences(table(spark, sf, "documents"), "doc_id", "text", high=1), "doc_id")
+    return ops.document_terms(table(spark, sf, "documents"), "doc_id", replace(_TEXT_WORDS, high=1))
 
 
 def _weights(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.tfidf(table(spark, sf, "documents"), _grams(spark, sf), "doc_id", _CONTENT_WORDS.max_features)
+    return ops.weighted_terms(table(spark, sf, "documents"), _grams(spark, sf), "doc_id", _CONTENT_WORDS.max_features)
 
 
 @query("tfidf", f"with {_GRAMS}, {_KEPT} select doc_id, term, tf, df, round(weight, 6) as weight from weights")

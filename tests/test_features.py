@@ -102,3 +102,31 @@ def test_pipeline_agrees_with_tables(spark, docs):
         assert sorted(x for x in vectors[i] if x) == pytest.approx(sorted(values), abs=1e-12)
         for part in (vectors[i][:12], vectors[i][12:]):
             assert math.sqrt(sum(x * x for x in part)) == pytest.approx(1.0) or not any(part)
+
+
+@pytest.mark.parametrize("largest", [8 << 20, 20])
+@pytest.mark.parametrize("rows", [1, 100_000])
+def test_document_terms_equal_plain_counts(spark, monkeypatch, largest, rows):
+    """Equal and null ids are one document each, also across batches and for ids that Spark counts."""
+    monkeypatch.setattr(ops, "DOCUMENT_BYTES", largest)
+    monkeypatch.setattr(ops, "_BATCH", rows)
+    data = [(None if i % 5 == 0 else i // 2, text) for i, text in enumerate([*TEXTS, None, *TEXTS])]
+    docs = spark.createDataFrame(data, "id bigint, text string")
+    for block, terms in (
+        (ops.Block("w", "text", "word", 1, 2, 9), word_terms),
+        (ops.Block("w", "text", "word", 1, 1, 9), words),
+        (ops.Block("c", "text", "char", 3, 5, 9), lambda t: char_terms(t, 3, 5)),
+    ):
+        wanted = Counter()
+        for i, text in data:
+            wanted.update((i, term) for term in terms(text or ""))
+        got = [((r.id, r.term), r.tf) for r in ops.document_terms(docs, "id", block).collect()]
+        assert len(got) == len(wanted) and dict(got) == wanted
+
+
+def test_documents_lie_in_partitions_of_bounded_bytes(spark, monkeypatch):
+    monkeypatch.setattr(ops, "PARTITION_BYTES", 100)
+    docs = spark.range(40).select("id", F.repeat(F.lit("word "), 10).alias("text"))
+    for found in (ops.occurrences(docs, "id", ops.Block("w", "text", "word", 1, 2, 9)),
+                  ops.document_terms(docs, "id", ops.Block("w", "text", "word", 1, 2, 9))):
+        assert found.rdd.getNumPartitions() == 2_000 // 100 + 1
