@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,9 +57,9 @@ MAX_BROADCAST_TERMS = 100_000
 #: Bytes of text of one partition of documents: what a task counts does not grow with the table.
 PARTITION_BYTES = 8 << 20
 #: Bytes of text under one id that a task counts in a dictionary; ids with more are counted by Spark.
-DOCUMENT_BYTES = 8 << 20
-#: Words whose grams a task remembers, and rows of a batch it returns.
-_REMEMBERED, _BATCH = 100_000, 100_000
+DOCUMENT_BYTES = 1 << 20
+#: Rows of a batch that a task returns.
+_BATCH = 100_000
 
 
 def text_bytes(docs: DataFrame, id_col: str, text: str) -> tuple[int, int]:
@@ -142,80 +142,177 @@ def term_counts(found: DataFrame, id_col: str) -> DataFrame:
     return found.groupBy(id_col, "term").agg(F.sum("n").alias("tf"))
 
 
-def _count_words(high: int) -> Callable[[list[str], Counter], None]:
-    def count(words: list[str], into: Counter) -> None:
-        into.update(words)
-        if high == 2:
-            into.update(map(" ".join, zip(words, words[1:])))
+class _Words:
+    """Words and pairs of documents, counted by dictionaries."""
 
-    return count
+    def __init__(self, high: int) -> None:
+        self.high = high
+        self.clear()
 
+    def clear(self) -> None:
+        self.lengths, self.terms, self.tfs, self.own = [], [], [], Counter()
 
-def _count_grams(low: int, high: int) -> Callable[[list[str], Counter], None]:
-    known: dict[str, list[str]] = {}
+    def add(self, text: str) -> None:
+        words = text.split(" ") if text else []
+        self.own.update(words)
+        if self.high == 2:
+            self.own.update(map(" ".join, zip(words, words[1:])))
 
-    def grams_of(word: str) -> list[str]:
-        if len(known) >= _REMEMBERED:
-            known.clear()
-        padded = f" {word} "
-        sizes = [n for n in range(low, high + 1) if n == low or len(padded) >= n]
-        grams = known[word] = [padded[i : i + n] for n in sizes for i in range(max(len(padded) - n + 1, 1))]
-        return grams
+    def close(self) -> bool:
+        """End a document; whether it has terms."""
+        own, self.own = self.own, Counter()
+        if own:
+            self.lengths.append(len(own))
+            self.terms.extend(own.keys())
+            self.tfs.extend(own.values())
+        return bool(own)
 
-    def count(words: list[str], into: Counter) -> None:
-        for word, n in Counter(words).items():
-            for gram in known.get(word) or grams_of(word):
-                into[gram] = into.get(gram, 0) + n
+    @property
+    def full(self) -> bool:
+        return len(self.terms) >= _BATCH
 
-    return count
+    def take(self) -> tuple[list[int], list[pa.Array]]:
+        lengths, columns = self.lengths, [pa.array(self.terms, pa.string()), pa.array(self.tfs, pa.int64())]
+        self.clear()
+        return lengths, columns
 
 
-def _count_documents(make_count: Callable[..., Callable], *sizes: int):
-    """(id, term, tf) of rows (id, first, words), the rows of an id one after another; ``first`` begins an id."""
+class _Grams:
+    """Character n-grams of the words of documents, as numbers: the ranks of their characters, ``bits`` for each.
+
+    Words are parted by one blank, so the grams of padded words are the runs of
+    characters without a blank inside. A document with more characters than
+    ranks is counted by its strings.
+    """
+
+    def __init__(self, low: int, high: int, totals: bool) -> None:
+        self.low, self.high, self.totals, self.bits = low, high, totals, 63 // high
+        self.rank, self.letters, self.overflow = None, [], True
+        self.text: list[str] = []
+        self.clear()
+
+    def clear(self) -> None:
+        self.lengths, self.keys, self.tfs, self.strings, self.rows = [], [], [], [], 0
+        if self.overflow:
+            self.rank, self.letters, self.overflow = np.zeros(0x110000, np.int32), [0, 32], False
+            self.rank[32] = 1
+
+    def add(self, text: str) -> None:
+        self.text += [w for w in text.split(" ") if w]
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        counts = Counter()
+        for word, times in Counter(words).items():
+            padded = f" {word} "
+            sizes = [n for n in range(self.low, self.high + 1) if n == self.low or len(padded) >= n]
+            for gram in [padded[i : i + n] for n in sizes for i in range(max(len(padded) - n + 1, 1))]:
+                counts[gram] += times
+        first = -len(self.strings) - 1
+        self.strings.extend(counts.keys())
+        return np.arange(first, first - len(counts), -1), np.fromiter(counts.values(), np.int64, len(counts))
+
+    def _counted(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.low not in (2, 3):
+            return self._plain(words)
+        chars = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32)
+        ranks = self.rank[chars]
+        new = np.unique(chars[ranks == 0])
+        if len(new):
+            if len(self.letters) + len(new) > 1 << self.bits:
+                self.overflow = True
+                return self._plain(words)
+            self.rank[new] = np.arange(len(self.letters), len(self.letters) + len(new))
+            self.letters += new.tolist()
+            ranks = self.rank[chars]
+        ranks, blank, found = ranks.astype(np.int64), ranks == 1, []
+        key, inside = ranks << self.bits * (self.high - 1), np.ones(len(ranks), bool)
+        for n in range(2, min(self.high, len(ranks)) + 1):
+            runs = len(ranks) - n + 1
+            key = key[:runs] | ranks[n - 1 :] << self.bits * (self.high - n)
+            inside = inside[:runs] if n == 2 else inside[:runs] & ~blank[n - 2 : n - 2 + runs]
+            if n >= self.low:
+                found.append(key[inside])
+        keys = np.sort(np.concatenate(found))
+        at = np.flatnonzero(np.diff(keys, prepend=-1))
+        return keys[at], np.diff(at, append=len(keys))
+
+    def close(self) -> bool:
+        """End a document; whether it has terms."""
+        words, self.text = self.text, []
+        if not words:
+            return False
+        keys, tfs = self._counted(words)
+        self.keys.append(keys)
+        self.tfs.append(tfs)
+        self.lengths.append(len(keys))
+        self.rows += len(keys)
+        return True
+
+    @property
+    def full(self) -> bool:
+        return self.overflow or self.rows >= _BATCH * 10
+
+    def _names(self, keys: np.ndarray) -> list[str]:
+        own = int(np.searchsorted(keys, 0))
+        shifts = self.bits * np.arange(self.high - 1, -1, -1)
+        ranks = keys[own:, None] >> shifts & (1 << self.bits) - 1
+        text = np.array(self.letters, "<u4")[ranks[ranks > 0]].tobytes().decode("utf-32-le")
+        ends = np.cumsum((ranks > 0).sum(axis=1)).tolist()
+        return [self.strings[-k - 1] for k in keys[:own].tolist()] + [text[a:b] for a, b in zip([0, *ends], ends)]
+
+    def take(self) -> tuple[list[int], list[pa.Array]]:
+        keys, tfs = (np.concatenate(part or [np.zeros(0, np.int64)]) for part in (self.keys, self.tfs))
+        distinct, gram = np.unique(keys, return_inverse=True)
+        names, lengths = pa.array(self._names(distinct), pa.string()), self.lengths
+        if self.totals:
+            total = np.bincount(gram, tfs, minlength=len(distinct)).astype(np.int64)
+            columns = [names, pa.array(total), pa.array(np.bincount(gram, minlength=len(distinct)))]
+        else:
+            columns = [names.take(pa.array(gram)), pa.array(tfs)]
+        self.clear()
+        return lengths, columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, names = make_count(*sizes), None
-        ids, lengths, terms, tfs = [], [], [], []
-        own, counts = None, Counter()
 
-        def close() -> None:
-            if counts:
-                ids.append(own)
-                lengths.append(len(counts))
-                terms.extend(counts.keys())
-                tfs.extend(counts.values())
+def _count_documents(kind: type, low: int, high: int, totals: bool):
+    """(id, term, tf), or (term, total, df) of runs of documents, of rows (id, first, words).
+
+    The rows of an id come one after another; ``first`` begins an id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Words(high) if kind is _Words else _Grams(low, high, totals)
+        ids, own, name = [], None, None
 
         def flush() -> pa.RecordBatch:
-            rows = np.repeat(np.arange(len(ids)), lengths)
-            columns = [pa.concat_arrays(ids).take(pa.array(rows)), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())]
-            for part in (ids, lengths, terms, tfs):
-                part.clear()
-            return pa.RecordBatch.from_arrays(columns, names)
+            lengths, columns = counter.take()
+            if totals:
+                return pa.RecordBatch.from_arrays(columns, ["term", "total", "df"])
+            rows = pa.array(np.repeat(np.arange(len(ids)), lengths))
+            columns = [pa.concat_arrays(ids).take(rows), *columns]
+            ids.clear()
+            return pa.RecordBatch.from_arrays(columns, [name, "term", "tf"])
 
         for batch in batches:
-            names = [batch.schema.names[0], "term", "tf"]
+            name = batch.schema.names[0]
             for i, (first, words) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 if first:
-                    close()
-                    own, counts = batch.column(0).slice(i, 1), Counter()
-                    if len(terms) >= _BATCH:
+                    if counter.close() and not totals:
+                        ids.append(own)
+                    own = batch.column(0).slice(i, 1)
+                    if counter.full:
                         yield flush()
                 if words:
-                    count([w for w in words.split(" ") if w], counts)
-        close()
-        if terms:
+                    counter.add(words)
+        if counter.close() and not totals:
+            ids.append(own)
+        if totals or ids:
             yield flush()
 
     return run
 
 
-def document_terms(docs: DataFrame, id_col: str, block: Block) -> DataFrame:
-    """(id, term, tf) of one block: the counts of :func:`term_counts` over :func:`occurrences`, a document at a time.
-
-    Texts are placed and sorted by id, so a task holds the terms of one id and
-    no row per occurrence leaves it. Rows that share an id, null included, are
-    one document. An id of more than ``DOCUMENT_BYTES`` goes by :func:`term_counts`.
-    """
+def _by_id(docs: DataFrame, id_col: str, block: Block) -> tuple[DataFrame, DataFrame | None]:
+    """((id, first, words) in order of ids, texts of ids above ``DOCUMENT_BYTES`` if there are any)."""
     total, most = text_bytes(docs, id_col, block.column)
     texts = _by_document(docs, id_col, block.column, total)
     large = None
@@ -224,23 +321,52 @@ def document_terms(docs: DataFrame, id_col: str, block: Block) -> DataFrame:
         texts = texts.withColumn("__size", size)
         large, texts = texts.where(F.col("__size") > DOCUMENT_BYTES), texts.where(F.col("__size") <= DOCUMENT_BYTES)
     if block.analyzer == "word":
-        if block.high not in (1, 2):
-            raise ValueError("Word n-grams go up to pairs.")
-        words, run = F.array_join(F.expr(word_tokens("__text")), " "), _count_documents(_count_words, block.high)
+        words = F.array_join(F.expr(word_tokens("__text")), " ")
     else:
-        words, run = F.expr(blank_separated("__text")), _count_documents(_count_grams, block.low, block.high)
+        words = F.expr(blank_separated("__text"))
     first = F.row_number().over(W.partitionBy(id_col).orderBy(id_col)) == 1
-    rows = texts.select(id_col, first.alias("__first"), "__text").select(id_col, "__first", words.alias("__words"))
+    return texts.select(id_col, first.alias("__first"), "__text").select(id_col, "__first", words.alias("__words")), large
+
+
+def _counter(block: Block, totals: bool):
+    if block.analyzer == "word" and block.high not in (1, 2):
+        raise ValueError("Word n-grams go up to pairs.")
+    return _count_documents(_Words if block.analyzer == "word" else _Grams, block.low, block.high, totals)
+
+
+def document_terms(docs: DataFrame, id_col: str, block: Block) -> DataFrame:
+    """(id, term, tf) of one block: the counts of :func:`term_counts` over :func:`occurrences`, a document at a time.
+
+    Texts are placed and sorted by id, so a task holds the terms of a few ids and
+    no row per occurrence leaves it. Rows that share an id, null included, are
+    one document. An id of more than ``DOCUMENT_BYTES`` goes by :func:`term_counts`.
+    """
+    run = _counter(block, totals=False)
+    rows, large = _by_id(docs, id_col, block)
     fields = [docs.select(id_col).schema[0], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]
     counted = rows.mapInArrow(run, T.StructType(fields))
-    if large is None:
-        return counted
-    return counted.unionByName(term_counts(_placed_occurrences(large, id_col, block), id_col))
+    return counted if large is None else counted.unionByName(term_counts(_placed_occurrences(large, id_col, block), id_col))
+
+
+def term_totals(docs: DataFrame, id_col: str, block: Block) -> DataFrame:
+    """(term, total, df) of all terms of one block; of grams, which are few, tasks return no row per document."""
+    if block.analyzer == "word":
+        return document_terms(docs, id_col, block).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    run = _counter(block, totals=True)
+    rows, large = _by_id(docs, id_col, block)
+    parts = rows.mapInArrow(run, "term string, total long, df long")
+    if large is not None:
+        counts = term_counts(_placed_occurrences(large, id_col, block), id_col)
+        parts = parts.unionByName(counts.select("term", F.col("tf").alias("total"), F.lit(1).cast("bigint").alias("df")))
+    return parts.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 
 def vocabulary(counts: DataFrame, max_features: int) -> DataFrame:
     """(term, total, df) of the terms with the highest total count; ties go by term."""
-    totals = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    return top_terms(counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")), max_features)
+
+
+def top_terms(totals: DataFrame, max_features: int) -> DataFrame:
     return totals.orderBy(F.desc("total"), "term").limit(max_features)
 
 
@@ -250,19 +376,23 @@ def smooth_idf(documents: Column, df: Column) -> Column:
 
 def tfidf(docs: DataFrame, found: DataFrame, id_col: str, max_features: int) -> DataFrame:
     """(id, term, tf, df, weight) for the kept terms of the occurrences ``found``."""
-    return weighted_terms(docs, term_counts(found, id_col), id_col, max_features)
+    counts = term_counts(found, id_col)
+    return _weighted(docs, counts, vocabulary(counts, max_features), id_col, max_features)
+
 
+def block_tfidf(docs: DataFrame, id_col: str, block: Block) -> DataFrame:
+    """(id, term, tf, df, weight) for the kept terms of one block."""
+    kept = top_terms(term_totals(docs, id_col, block), block.max_features)
+    return _weighted(docs, document_terms(docs, id_col, block), kept, id_col, block.max_features)
 
-def weighted_terms(docs: DataFrame, counts: DataFrame, id_col: str, max_features: int) -> DataFrame:
-    """(id, term, tf, df, weight) for the kept terms of the counts (id, term, tf).
 
-    The vocabulary has at most ``max_features`` rows by construction; it is
-    broadcast when that bound is small. The number of documents is a scalar subquery.
+def _weighted(docs: DataFrame, counts: DataFrame, kept: DataFrame, id_col: str, max_features: int) -> DataFrame:
+    """The vocabulary has at most ``max_features`` rows by construction; it is broadcast when that bound is small.
+
+    The number of documents is a scalar subquery.
     """
     documents = docs.agg(F.count("*")).scalar()
-    kept = vocabulary(counts, max_features).select(
-        "term", "df", smooth_idf(documents, F.col("df")).alias("__idf")
-    )
+    kept = kept.select("term", "df", smooth_idf(documents, F.col("df")).alias("__idf"))
     if max_features <= MAX_BROADCAST_TERMS:
         kept = F.broadcast(kept)
     counted = counts.join(kept, "term")
@@ -296,7 +426,7 @@ def fit_feature_stages(
             grams = char_grams(block.column, block.low, block.high)
         terms = f"{block.name}_terms"
         stages.append(SQLTransformer(statement=f"SELECT *, {grams} AS {terms} FROM __THIS__"))
-        kept = vocabulary(document_terms(train, id_col, block), block.max_features)
+        kept = top_terms(term_totals(train, id_col, block), block.max_features)
         rows = kept.select("term", smooth_idf(F.lit(documents), F.col("df")).alias("idf")).collect()
         if not rows:
             continue

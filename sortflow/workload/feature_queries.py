@@ -37,12 +37,8 @@ def word_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return words.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-def _grams(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.document_terms(table(spark, sf, "documents"), "doc_id", _TEXT_WORDS)
-
-
-def _totals(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+def _totals(spark: SparkSession, sf: str, block: ops.Block) -> DataFrame:
+    return ops.term_totals(table(spark, sf, "documents"), "doc_id", block)
 
 
 @query(
@@ -50,7 +46,7 @@ def _totals(counts: DataFrame) -> DataFrame:
     f"with {_GRAMS} select term, sum(tf)::bigint as total, count(*) as df from counts group by term",
 )
 def word_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    return _totals(_grams(spark, sf))
+    return _totals(spark, sf, _TEXT_WORDS)
 
 
 @query(
@@ -65,13 +61,12 @@ def word_ngrams(spark: SparkSession, sf: str) -> DataFrame:
         select term, count(*) as total, count(distinct doc_id) as df from grams group by term""",
 )
 def char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    grams = replace(ops.FEATURE_BLOCKS[2], column="text", low=3, high=5)
-    return _totals(ops.document_terms(table(spark, sf, "documents"), "doc_id", grams))
+    return _totals(spark, sf, replace(ops.FEATURE_BLOCKS[2], column="text", low=3, high=5))
 
 
 @query("vocab_topk", f"with {_GRAMS}, {_KEPT} select term, total::bigint as total, df from kept")
 def vocab_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.vocabulary(_grams(spark, sf), _CONTENT_WORDS.max_features)
+    return ops.top_terms(_totals(spark, sf, _TEXT_WORDS), _CONTENT_WORDS.max_features)
 
 
 @query(
@@ -84,7 +79,7 @@ def term_freq(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.weighted_terms(table(spark, sf, "documents"), _grams(spark, sf), "doc_id", _CONTENT_WORDS.max_features)
+    return ops.block_tfidf(table(spark, sf, "documents"), "doc_id", _TEXT_WORDS)
 
 
 @query("tfidf", f"with {_GRAMS}, {_KEPT} select doc_id, term, tf, df, round(weight, 6) as weight from weights")

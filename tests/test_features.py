@@ -110,18 +110,27 @@ def test_document_terms_equal_plain_counts(spark, monkeypatch, largest, rows):
     """Equal and null ids are one document each, also across batches and for ids that Spark counts."""
     monkeypatch.setattr(ops, "DOCUMENT_BYTES", largest)
     monkeypatch.setattr(ops, "_BATCH", rows)
-    data = [(None if i % 5 == 0 else i // 2, text) for i, text in enumerate([*TEXTS, None, *TEXTS])]
+    data = [(None if i % 5 == 0 else i // 2, text) for i, text in enumerate([*TEXTS, None, "nul\x00 \x00", *TEXTS])]
     docs = spark.createDataFrame(data, "id bigint, text string")
     for block, terms in (
         (ops.Block("w", "text", "word", 1, 2, 9), word_terms),
         (ops.Block("w", "text", "word", 1, 1, 9), words),
         (ops.Block("c", "text", "char", 3, 5, 9), lambda t: char_terms(t, 3, 5)),
+        (ops.Block("c", "text", "char", 2, 4, 9), lambda t: char_terms(t, 2, 4)),
+        (ops.Block("c", "text", "char", 4, 5, 9), lambda t: char_terms(t, 4, 5)),
+        (ops.Block("c", "text", "char", 3, 15, 9), lambda t: char_terms(t, 3, 15)),
     ):
         wanted = Counter()
         for i, text in data:
             wanted.update((i, term) for term in terms(text or ""))
         got = [((r.id, r.term), r.tf) for r in ops.document_terms(docs, "id", block).collect()]
         assert len(got) == len(wanted) and dict(got) == wanted
+        totals = Counter()
+        for (_, term), n in wanted.items():
+            totals[term] += n
+        df = Counter(term for _, term in wanted)
+        found = ops.term_totals(docs, "id", block).collect()
+        assert sorted((r.term, r.total, r.df) for r in found) == sorted((t, n, df[t]) for t, n in totals.items())
 
 
 def test_documents_lie_in_partitions_of_bounded_bytes(spark, monkeypatch):
