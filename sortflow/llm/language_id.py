@@ -39,7 +39,9 @@ MAX_DOCS = 4_000
 #: costs over 20 bits, numbers and keys among words 8 to 12.
 MAX_BITS = 16.0
 UNKNOWN = "und"
-_SLICE = 1 << 20
+_SLICE = 1 << 18
+#: Rows of an Arrow batch that are worked on at once: beside the batch, memory holds what these take.
+_PIECE = 500
 
 
 def _count_grams(order: int):
@@ -209,14 +211,18 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     """(row, lang_pred, score, bits_per_byte, accepted): every row of ``docs`` as a struct, and its language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = text_of(docs, text_col)
-    chosen = docs.select(whole_row(docs), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters")
+    # A text that is a string already travels once, inside its row.
+    inside = text_col in docs.columns and isinstance(docs.schema[text_col].dataType, T.StringType)
+    place = docs.columns.index(text_col) if inside else None
+    chosen = docs.select(whole_row(docs), letters, *([text.alias("text")] if place is None else []))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            letters = batch.column(2).to_pylist()
+        for batch in (whole.slice(at, _PIECE) for whole in batches for at in range(0, whole.num_rows, _PIECE)):
+            letters = batch.column(1).to_pylist()
             if model.languages:
-                best, score, bits = model.predict(batch.column(1))
+                best, score, bits = model.predict(batch.column(2) if place is None else batch.column(0).flatten()[place])
             else:
                 letters = [False] * len(letters)
                 best, score, bits = letters, letters, letters
