@@ -51,19 +51,19 @@ def _count_grams(order: int):
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             for lang in sorted(set(langs)):
-                keys = []
-                for texts in text_slices(batch.column(1).filter(pa.array(langs == lang)), lower=False):
+                for texts in text_slices(batch.column(1).filter(pa.array(langs == lang)), _SLICE, lower=False):
+                    keys = []
                     data = texts.data.astype(np.int64)
                     place = np.arange(len(data)) - np.repeat(texts.offsets[:-1], np.diff(texts.offsets))
                     key = np.zeros(len(data), np.int64)
                     for length in range(1, order + 2):
                         key[length - 1 :] |= data[: len(data) - length + 1] << (8 * (length - 1))
                         keys.append(key[place >= length - 1] | (length << 40))
-                found, n = np.unique(np.concatenate(keys), return_counts=True) if keys else ((), ())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(n, pa.int64())],
-                    ["lang", "gram", "n"],
-                )
+                    found, n = np.unique(np.concatenate(keys), return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(n, pa.int64())],
+                        ["lang", "gram", "n"],
+                    )
 
     return count
 

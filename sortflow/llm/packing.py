@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sortflow.llm.wordbytes import Texts, Words, find_words, lower_case, mix, span_hashes, text_slices
+from sortflow.llm.wordbytes import Texts, Words, find_words, lower_case, mix, runs_of_rows, text_slices, word_hashes
 from sortflow.plans.broadcasting import checked_broadcast
 from sortflow.plans.workspace import materialise
 
@@ -44,8 +44,10 @@ END_ID = 2
 BLOCK_TOKENS = 4_000_000
 #: Words whose ids a Python worker remembers: about 50 bytes each.
 MAX_WORDS = 1_500_000
-#: Text tokenised at once: the more, the more often a word is met that is known by then.
-SLICE_BYTES = 4 << 20
+#: Text after which a block is looked at, and text tokenised at once, as its words and ids take many times as much.
+SLICE_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
+#: New words handed to the tokenizer at once: it takes many times their bytes.
+LEARN_WORDS = 10_000
 _SOLID = np.ones(256, bool)
 _SOLID[[9, 10, 13, 32]] = False
 _PLAIN = np.zeros(256, bool)
@@ -135,14 +137,21 @@ class Tokeniser:
         cuts[borders[borders < len(data)]] = True
         return find_words(texts, _SOLID, cuts)
 
-    def _learn(self, hashes: np.ndarray, said: list[str]) -> None:
+    def _encode(self, said: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each)."""
         encoded = self.model.encode("\n".join(said), add_special_tokens=False)
         lengths = np.fromiter(map(len, said), np.int64, len(said))
         starts = np.cumsum(lengths + 1) - lengths - 1
         ids = np.array(encoded.ids, np.uint32)
         places = np.fromiter((o[0] for o in encoded.offsets), np.int64, len(ids))
         word = np.searchsorted(starts, places, side="right") - 1
-        sizes = np.bincount(word, minlength=len(said))
+        return ids, np.bincount(word, minlength=len(said))
+
+    def _learn(self, hashes: np.ndarray, spans: list[tuple[int, int]], data: np.ndarray) -> None:
+        """Remember the words at ``spans`` of ``data``, whose sorted hashes are ``hashes``."""
+        raw = memoryview(data)
+        said = ([str(raw[a:b], "utf-8") for a, b in spans[i : i + LEARN_WORDS]] for i in range(0, len(spans), LEARN_WORDS))
+        ids, sizes = (np.concatenate(part) for part in zip(*map(self._encode, said)))
         begins = len(self.flat) + np.cumsum(sizes) - sizes
         self.flat = np.concatenate([self.flat, ids])
         at = np.searchsorted(self.hashes, hashes)
@@ -155,7 +164,7 @@ class Tokeniser:
         starts, ends, added = self._added(texts)
         texts = lower_case(texts)
         words = self._pieces(texts, np.concatenate([starts, ends]))
-        of_words = span_hashes(texts, words.start, words.end)
+        of_words = word_hashes(texts, words)
         of_words[np.searchsorted(words.start, starts)] = [self.added_hashes[i] for i in added.tolist()]
         hashes, first, code = np.unique(of_words, return_index=True, return_inverse=True)
         if len(self.hashes) > MAX_WORDS:
@@ -165,9 +174,8 @@ class Tokeniser:
             self.hashes[np.minimum(at, len(self.hashes) - 1)] != hashes
         )
         if len(new):
-            raw = texts.data.tobytes()
-            spans = zip(words.start[first[new]].tolist(), words.end[first[new]].tolist())
-            self._learn(hashes[new], [raw[a:b].decode() for a, b in spans])
+            spans = list(zip(words.start[first[new]].tolist(), words.end[first[new]].tolist()))
+            self._learn(hashes[new], spans, texts.data)
             at = np.searchsorted(self.hashes, hashes)
         begin, size = self.begins[at][code], self.sizes[at][code]
         ends = np.cumsum(size)
@@ -276,13 +284,14 @@ def _pack_texts(tokenizer_path: str, tiers: tuple[int, ...], end_id: int, block_
         writer = _Writer(TaskContext.get().partitionId())
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for texts in text_slices(batch.column(1), SLICE_BYTES, lower=False):
-                ids, borders = tokenise(texts, end_id)
-                for i, doc_id in enumerate(doc_ids[texts.first : texts.first + texts.rows]):
-                    own = ids[borders[i] : borders[i + 1]]
-                    doc = (doc_id, len(own))
-                    for start in range(0, len(own), longest):
-                        packer.add(doc, start, own[start : start + longest])
+            for whole in text_slices(batch.column(1), SLICE_BYTES, lower=False):
+                for texts in runs_of_rows(whole, PIECE_BYTES):
+                    ids, borders = tokenise(texts, end_id)
+                    for i, doc_id in enumerate(doc_ids[texts.first : texts.first + texts.rows]):
+                        own = ids[borders[i] : borders[i + 1]]
+                        doc = (doc_id, len(own))
+                        for start in range(0, len(own), longest):
+                            packer.add(doc, start, own[start : start + longest])
                 if packer.tokens >= block_tokens:
                     for tier, parts in packer.full(last=False):
                         writer.window(tier, parts, keep_ids=False)

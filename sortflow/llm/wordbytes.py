@@ -62,12 +62,17 @@ def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES, lower: bool = Tr
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
     bytes_ = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < n:
+    for texts in runs_of_rows(Texts(0, bytes_, offsets), max_bytes):
+        yield lower_case(texts) if lower else texts
+
+
+def runs_of_rows(texts: Texts, max_bytes: int) -> Iterator[Texts]:
+    """Cut texts into runs of whole rows of about ``max_bytes``, as views."""
+    at, offsets = 0, texts.offsets
+    while at < texts.rows:
         stop = int(np.searchsorted(offsets, offsets[at] + max_bytes, side="right")) - 1
-        stop = min(n, max(at + 1, stop))
-        part = bytes_[offsets[at] : offsets[stop]]
-        yield Texts(at, _LOWER[part] if lower else part, offsets[at : stop + 1] - offsets[at])
+        stop = min(texts.rows, max(at + 1, stop))
+        yield Texts(texts.first + at, texts.data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at])
         at = stop
 
 
@@ -127,6 +132,18 @@ def span_hashes(texts: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(texts: Texts, words: Words, max_bytes: int = 1 << 18) -> np.ndarray:
+    """:func:`span_hashes` of the words, those within ``max_bytes`` at a time: it takes memory for these alone."""
+    found, at = np.empty(len(words.start), np.uint64), 0
+    while at < len(found):
+        begin = words.start[at]
+        stop = max(at + 1, int(np.searchsorted(words.end, begin + max_bytes, side="right")))
+        part = Texts(0, texts.data[begin : words.end[stop - 1]], texts.offsets[:0])
+        found[at:stop] = span_hashes(part, words.start[at:stop] - begin, words.end[at:stop] - begin)
+        at = stop
+    return found
+
+
 def run_hashes(words: Words, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of every run of ``length`` consecutive words of one row."""
     n = len(hashes) - length + 1

@@ -216,3 +216,16 @@ def test_odd_labels(spark, documents):
     assert len(rows) == 5 and len({r["score"] for r in rows}) == 1 and 0 < rows[0]["score"] < 1
     assert {r["score"] for r in score_toxicity(docs, train_toxicity(docs, labels.limit(0))).collect()} == {0.5}
     assert score_toxicity(documents([]), train_toxicity(documents([]), labels)).count() == 0
+
+
+def test_sequences_of_training_rows_are_counted_some_at_a_time():
+    """What a task holds beside its batch does not grow with the batch, and nothing is lost."""
+    import pyarrow as pa
+
+    from sortflow.llm import language_id
+
+    texts = ["ab cd ef gh " * 1_000] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 50), pa.array(texts)], ["lang", "text"])
+    sums = [sum(found.column(2).to_pylist()) for found in language_id._count_grams(4)([batch])]
+    assert max(sums) <= 5 * language_id._SLICE
+    assert sum(sums) == sum(len(t) - n for t in texts for n in range(5))

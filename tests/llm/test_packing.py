@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 
 from sortflow.llm import packing
-from sortflow.llm.packing import Packer, pack_documents
+from sortflow.llm.packing import Packer, Tokeniser, pack_documents
 from sortflow.llm.queries import tokenizer_path
+from sortflow.llm.wordbytes import find_words, span_hashes, text_slices, word_hashes
 
 
 def ids_of(texts):
@@ -76,6 +77,39 @@ def test_strings_of_added_tokens_get_their_id(documents):
     assert got == {i: (len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(wanted)}
 
 
+def test_memory_of_tokenising_does_not_grow_with_a_text():
+    """Words are hashed, and new ones learnt, some at a time; ids are those of the whole text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    text = " ".join("".join(r.choice("abcdefg") for _ in range(r.randrange(1, 9))) for _ in range(400_000))
+    whole = next(text_slices(pa.array([text]), lower=False))
+    tokenise = Tokeniser(tokenizer_path())
+    tokenise.model = Recorder(tokenise.model)
+    tracemalloc.start()
+    ids, _ = tokenise(whole)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.tolist() == ids_of([text])[0]
+    assert max(tokenise.model.words) <= packing.LEARN_WORDS < sum(tokenise.model.words)
+    words = find_words(whole, packing._SOLID)
+    assert np.array_equal(word_hashes(whole, words, 50), span_hashes(whole, words.start, words.end))
+    assert peak < 60 * len(text)
+
+
+class Recorder:
+    """A tokenizer that notes how many words it gets."""
+
+    def __init__(self, model):
+        self.model, self.words = model, []
+
+    def encode(self, text, **options):
+        self.words.append(text.count("\n") + 1)
+        return self.model.encode(text, **options)
+
+
 def test_gaps_are_filled_with_what_fits():
     packer = Packer((8, 16))
     for n in (10, 6, 4, 3):
