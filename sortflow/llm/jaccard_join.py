@@ -67,6 +67,8 @@ BUCKET = 1 << 13
 SET_SHINGLES = 1 << 21
 #: Queries of a tree whose pairs are held at once.
 AT_ONCE = 256
+#: Pairs whose counts are held at once.
+PAIRS = 1 << 13
 #: Ids broadcast at most, 16 bytes each.
 MAX_IDS = 500_000
 _SLICE_SALTS = [np.uint64(0x2545F4914F6CDD1D * (2 * k + 1) % (1 << 64)) for k in range(DEALS)]
@@ -199,18 +201,19 @@ class CountTree:
 
     def search(self, points: np.ndarray, sizes: np.ndarray, components: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) of all pairs of different components that the bound lets through."""
-        query = np.arange(len(points))
-        node = np.zeros(len(points), np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            width, top, least, most, low, high = self.levels[depth]
-            query, node = self._let_through(query, node, points, sizes, components, percent, top, least, most, low, high)
-            below = len(self.levels[depth - 1][1]) if depth else len(self.points)
-            child = node[:, None] * width + np.arange(width)
-            query, child = np.repeat(query, width), child.ravel()
-            inside = child < below
-            query, node = query[inside], child[inside]
-        same = self.sizes, self.sizes, self.components, self.components
-        query, node = self._let_through(query, node, points, sizes, components, percent, self.points, *same)
+        bounds = [(self.points, self.sizes, self.sizes, self.components, self.components), *(level[1:] for level in self.levels)]
+        query, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+        query, node = self._let_through(query, node, points, sizes, components, percent, *bounds[-1])
+        for (width, *_), below in zip(self.levels[::-1], bounds[-2::-1]):
+            found = [(query[:0], node[:0])]
+            # Children are made and looked at some at a time.
+            for at in range(0, len(query), max(PAIRS // width, 1)):
+                part = slice(at, at + max(PAIRS // width, 1))
+                child = (node[part, None] * width + np.arange(width)).ravel()
+                inside = child < len(below[0])
+                asked = np.repeat(query[part], width)[inside]
+                found.append(self._let_through(asked, child[inside], points, sizes, components, percent, *below))
+            query, node = (np.concatenate(parts) for parts in zip(*found))
         return query, self.order[node]
 
     @staticmethod
@@ -220,9 +223,9 @@ class CountTree:
         ok &= (percent * least[node] <= 100 * size) & (percent * size <= 100 * most[node])
         query, node = query[ok], node[ok]
         kept = []
-        for at in range(0, len(query), 1 << 16):
-            q, x = query[at : at + (1 << 16)], node[at : at + (1 << 16)]
-            shared = np.minimum(points[q], top[x]).sum(axis=1)
+        for at in range(0, len(query), PAIRS):
+            q, x = query[at : at + PAIRS], node[at : at + PAIRS]
+            shared = np.minimum(points[q], top[x]).sum(axis=1, dtype=np.int64)
             kept.append(shared >= needed_overlap(sizes[q], least[x], percent))
         good = np.concatenate(kept) if kept else np.zeros(0, bool)
         return query[good], node[good]
@@ -335,8 +338,20 @@ def _fine_pass(sizes_x: np.ndarray, sizes_y: np.ndarray, x: np.ndarray, y: np.nd
     return capped | (shared >= needed_overlap(sizes_x, sizes_y, percent))
 
 
-def _fine(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, FINE_GROUPS)
+def _rows_of(column: pa.Array | pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
+    """The values of a binary column as rows of ``width`` numbers; a column of one chunk is not copied."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, width), kind)
+    _, offsets, data = column.buffers()
+    borders = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    first, last = int(borders[column.offset]), int(borders[column.offset + len(column)])
+    return np.frombuffer(data[first:last], kind).reshape(-1, width)
+
+
+def _fine(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return _rows_of(column, "<u2", FINE_GROUPS)
 
 
 def _bounded_finely(percent: int):
@@ -352,8 +367,8 @@ def _bounded_finely(percent: int):
     return run
 
 
-def _counts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+def _counts(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return _rows_of(column, "<u4", GROUPS)
 
 
 def _bounded(percent: int):
@@ -363,7 +378,7 @@ def _bounded(percent: int):
         for batch in batches:
             if batch.num_rows:
                 a, b = (batch.column(i).to_numpy() for i in (2, 4))
-                shared = np.minimum(_counts(batch.column(3)), _counts(batch.column(5))).sum(axis=1)
+                shared = np.minimum(_counts(batch.column(3)), _counts(batch.column(5))).sum(axis=1, dtype=np.int64)
                 ok = (shared >= needed_overlap(a, b, percent)) & (np.minimum(a, b) * 100 >= percent * np.maximum(a, b))
                 yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(ok))
 
@@ -420,8 +435,8 @@ def _with_partners(percent: int):
                 # What is kept already needs no further partner.
                 open_ = ~(kept[query] & kept[point])
                 query, point = query[open_], point[open_]
-                for begin in range(0, len(query), 4_096):
-                    q, p = query[begin : begin + 4_096], point[begin : begin + 4_096]
+                for begin in range(0, len(query), AT_ONCE):
+                    q, p = query[begin : begin + AT_ONCE], point[begin : begin + AT_ONCE]
                     ok = _fine_pass(sizes[q], sizes[p], fine[q], fine[p], percent)
                     kept[q[ok]] = kept[p[ok]] = True
         return table.select(["shard", "side", "node", "component"]).filter(pa.array(kept))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -145,3 +146,42 @@ def test_odd_tables(documents):
     rows = link_components(documents([(5, "same words"), (5, "same words"), (None, "Same  words"), (9, None)], extra="id long, n long, node long"))
     found = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in rows.collect())
     assert found == [(-1, 1, 5), (5, 1, 5), (5, 1, 5), (9, 0, 9)]
+
+
+def test_partners_are_found_in_little_memory():
+    """Counts of unrelated texts: the bounds of nodes let nearly all pairs through, those of texts few."""
+    r, n = np.random.default_rng(4), 2_048
+    counts = r.poisson(5, (n, jaccard_join.GROUPS)).astype("<u4")
+    counts[n // 2 :: 9] = counts[: n - n // 2 : 9]
+    fine = np.zeros((n, jaccard_join.FINE_GROUPS), "<u2")
+    fine[:, : jaccard_join.GROUPS] = counts
+    table = pa.table(
+        {
+            "shard": np.zeros(n, np.int64),
+            "side": pa.array(np.zeros(n), pa.int32()),
+            "node": np.arange(n),
+            "component": np.arange(n),
+            "n": counts.sum(axis=1).astype(np.int64),
+            "counts": pa.array([c.tobytes() for c in counts], pa.binary()),
+            "data": pa.array([c.tobytes() for c in fine], pa.binary()),
+        }
+    )
+    tracemalloc.start()
+    found = jaccard_join._with_partners(80)(table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6
+    size, wanted = counts.sum(axis=1, dtype=np.int64), np.zeros(n, bool)
+    for i in range(n):
+        other = np.minimum(counts[i], counts).sum(axis=1, dtype=np.int64) >= needed_overlap(size[i], size, 80)
+        other[i] = False
+        wanted[i] = other.any()
+    assert found.column("node").to_pylist() == np.flatnonzero(wanted).tolist()
+
+
+@pytest.mark.parametrize("rows", [0, 1, 7])
+def test_rows_of_a_binary_column(rows):
+    values = np.arange(rows * 3, dtype="<u4").reshape(rows, 3)
+    column = pa.array([b"skipped 12 b", *(v.tobytes() for v in values)], pa.binary())
+    for given in (column.slice(1), pa.chunked_array([column.slice(1)]), pa.chunked_array([column.slice(1, 1), column.slice(2)] if rows else [], pa.binary())):
+        assert np.array_equal(jaccard_join._rows_of(given, "<u4", 3), values)
