@@ -10,6 +10,7 @@ from sortflow.operators import perceptron as ops
 from sortflow.operators.classify import classify
 from sortflow.operators.evaluate import early_stop
 from sortflow.operators.features import Block
+from sortflow.workload import classify_queries
 
 WIDTH, LABELS = 12, ["a", "b", "c"]
 
@@ -127,3 +128,16 @@ def test_classifier_of_files(spark, tmp_path):
     assert sum(r.category == r.label for r in got) >= 57 and len(got) == 61
     assert all(r.confidence == max(r.probabilities) and sum(r.probabilities) == pytest.approx(1, abs=1e-5) for r in got)
     assert classify(inputs, ops.perceptron_scorer(loaded), keep=["id"]).count() == 61
+
+
+def test_the_query_learns_from_every_training_row(spark, monkeypatch, tmp_path):
+    """Also where there are more than the logistic model is given."""
+    rows = [(i, "web", ["en", "de", "fr"][i % 3], f"text {i}") for i in range(90)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    monkeypatch.setattr(classify_queries, "MAX_LABELLED_ROWS", 20)
+    monkeypatch.setattr(classify_queries, "_perceptrons", {})
+    monkeypatch.setattr(ops, "train_perceptron", lambda corpus, id_col: seen.extend(r[id_col] for r in corpus.collect()))
+    classify_queries.trained_perceptron(spark, str(tmp_path))
+    wanted = classify_queries.split_corpus(spark, str(tmp_path)).where("split = 'train'").collect()
+    assert len(wanted) == 72 and sorted(seen) == sorted(r.doc_id for r in wanted)
