@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -100,6 +102,27 @@ def test_interactions_are_learnt_and_the_stop_is_that_of_the_scan(spark, tmp_pat
     assert np.array_equal(kept.flat, trained.model.flat) and kept.widths == (WIDTH, 32, 16, 3)
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_shuffles_of_a_step_do_not_stay(spark, monkeypatch):
+    inside, seen = ops.summed_gradient, []
+
+    def summed(rows, model, tasks):
+        seen.append(shuffle_files(spark))
+        return inside(rows, model, max(tasks, 2))
+
+    monkeypatch.setattr(ops, "summed_gradient", summed)
+    train = frame(spark, made(40))
+    ops.train_on_vectors(train, train.limit(0), LABELS, WIDTH, hidden=(3,), max_epochs=4, patience=99, batch_rows=40)
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - seen[0]) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and len(seen) == 4
+
+
 def test_nothing_to_learn_and_one_label(spark):
     empty = frame(spark, [])
     with pytest.raises(ValueError, match="No labelled rows"):
